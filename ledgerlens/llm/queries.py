@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_store
+from . import exact_dedup, packing, simhash, token_store
 from .common import scratch_path, table
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=3, width=3)
+    return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, max_tokens=1024
@@ -25,8 +30,26 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.with_crc32(token_store.with_start(token_store.read(spark, path)))
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_simhash": op4_simhash,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_store": op6_token_store,
+    "op7_exact_dedup": op7_exact_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op7_exact_dedup": r"""
+        WITH n AS (
+          SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
+        )
+        SELECT doc_id,
+               min(doc_id) OVER (PARTITION BY t) AS keep_id,
+               count(*) OVER (PARTITION BY t) AS group_size,
+               doc_id = min(doc_id) OVER (PARTITION BY t) AS kept,
+               sha256(t) AS text_sha256
+        FROM n
+    """,
 }
-ORACLES: dict[str, str] = {}
