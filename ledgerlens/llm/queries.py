@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, simhash, token_store
+from . import chat, exact_dedup, packing, quality_rules, secret_scan, simhash, token_store
 from .common import scratch_path, table
 
 
@@ -34,11 +34,28 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents")).drop("redacted")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rated(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_store": op6_token_store,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_chat_format": op10_chat_format,
 }
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": r"""
@@ -52,4 +69,61 @@ ORACLES: dict[str, str] = {
                sha256(t) AS text_sha256
         FROM n
     """,
+    "op9_quality_rules": r"""
+        WITH d AS (
+          SELECT doc_id, coalesce(text, '') AS t,
+                 regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                 list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+          FROM documents
+        ), windows AS (
+          SELECT doc_id, unnest(range(1, len(w) - 1)) AS i,
+                 unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS k
+          FROM d WHERE len(w) > 2
+        ), twice AS (
+          SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM windows) WHERE c > 1
+        ), covered AS (
+          SELECT doc_id, count(DISTINCT i + o) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS o) GROUP BY doc_id
+        ), lines AS (
+          SELECT doc_id, unnest(lines) AS x FROM d
+        ), judged AS (
+          SELECT doc_id, length(x) AS chars,
+                 regexp_matches(x, '[.!?…。！？]["'')\]»”’]*[\x20\x09-\x0D]*\z')
+                 AND len(regexp_extract_all(x, '[#*$%&|<>]')) * 10 < len(regexp_extract_all(x, '[^\x20\x09-\x0D]'))
+                 AND len(regexp_extract_all(x, '!!')) * 20 < len(regexp_extract_all(x, '[^\x20\x09-\x0D]'))
+                 AND len(regexp_extract_all(x, '\p{Lu}')) * 2 < len(regexp_extract_all(x, '[^\x20\x09-\x0D]'))
+                 AND len(regexp_extract_all(x, '[|»›•·→]')) < 2
+                 AND NOT regexp_matches(x, '(?i)all rights reserved|cookie policy|privacy policy|terms of (use|service)|accept cookies|enable javascript|sign in|log in|subscribe to|share this|click here') AS good
+          FROM lines
+        ), chars AS (
+          SELECT doc_id, sum(chars) AS line_chars, coalesce(sum(chars) FILTER (good), 0) AS good_chars FROM judged GROUP BY doc_id
+        ), base AS (
+          SELECT d.doc_id, len(w)::BIGINT AS n_words,
+                 length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+                 len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+                 (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+                 coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+                 coalesce(line_chars, 0) AS line_chars, coalesce(good_chars, 0) AS good_chars
+          FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN chars USING (doc_id)
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND good_chars >= line_chars * 0.5 AS kept
+        FROM base
+    """,
+    "op10_chat_format": r"""
+        WITH t AS (
+          SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+        ), c AS (
+          SELECT conv_id, count(*) AS n_turns, list([role, text] ORDER BY turn, role, text) AS l,
+                 string_agg('<|' || lower(role) || '|>' || chr(10) || trim(text, ' ') || chr(10) || '<|end|>', chr(10) ORDER BY turn, role, text) AS rendered
+          FROM t GROUP BY conv_id
+        ), whole AS (
+          SELECT min(conv_id) AS conv_id, count(*) AS copies, n_turns, l FROM c GROUP BY n_turns, l
+        ), proper AS (
+          SELECT DISTINCT k, l[1:k] AS l FROM (SELECT l, unnest(range(1, n_turns)) AS k FROM c)
+        )
+        SELECT whole.conv_id, 0::BIGINT AS part, whole.n_turns, copies, rendered
+        FROM whole JOIN c ON c.conv_id = whole.conv_id
+        WHERE NOT EXISTS (SELECT 1 FROM proper WHERE k = whole.n_turns AND proper.l = whole.l)
+    """,
 }
