@@ -6,10 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, packing, quality_rules, secret_scan, simhash, token_store
+from . import chat, exact_dedup, packing, pieces, quality_rules, secret_scan, simhash, token_store
 from .common import scratch_path, table
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_text=False
+    )
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=3, width=3)
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
@@ -49,6 +56,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_simhash": op4_simhash,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_store": op6_token_store,
