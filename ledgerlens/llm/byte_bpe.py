@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from .word_ids import WordIds
+
 # Letters and numbers up to U+024F, as Unicode classes them.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _NUMBERS = "0-9²³¹¼-¾"
@@ -21,24 +23,22 @@ _WORD = re.compile(
     rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+"
 )
 _OTHER = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ɏ]")
-_PLAIN = re.compile(rf" [{_LETTERS}]+\Z")
 
 
 class WordEncoder:
-    """Little-endian unsigned 32-bit ids of texts, as bytes."""
+    """Little-endian unsigned 32-bit ids of texts."""
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remembered = remembered
-        self.ids_of: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.starts_word = np.array(
             [(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)], dtype=bool
         )
+        self.words = WordIds(self._learn, remembered=1_000_000)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [
@@ -46,35 +46,29 @@ class WordEncoder:
             for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ]
 
-    def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if _PLAIN.match(w)]
-        odd = [w for w in new if not _PLAIN.match(w)]
-        self.ids_of.update(zip(odd, self._whole(odd), strict=True))
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        plain, odd = [], []
+        for w in new:
+            (plain if w[0] == " " and w[1:].isalpha() else odd).append(w)
+        learned = dict(zip(odd, self._whole(odd), strict=True))
         # words of one space and letters stay apart when joined, so one call takes many
         for i in range(0, len(plain), 400):
             part = plain[i : i + 400]
             ids = np.frombuffer(self._whole(["".join(part)])[0], dtype="<u4")
             at = np.flatnonzero(self.starts_word[ids])
             if len(at) != len(part):  # a vocabulary without that property
-                self.ids_of.update(zip(part, self._whole(part), strict=True))
+                learned.update(zip(part, self._whole(part), strict=True))
                 continue
             raw, ends = ids.tobytes(), [*(at[1:] * 4).tolist(), len(ids) * 4]
-            self.ids_of.update((w, raw[a:b]) for w, a, b in zip(part, (at * 4).tolist(), ends, strict=True))
+            learned.update((w, raw[a:b]) for w, a, b in zip(part, (at * 4).tolist(), ends, strict=True))
+        return learned
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        own = [i for i, t in enumerate(texts) if _OTHER.search(t) or any(s in t for s in self.special)]
-        out: dict[int, bytes] = dict(zip(own, self._whole([texts[i] for i in own]), strict=True))
-        cut = {i: _WORD.findall(t) for i, t in enumerate(texts) if i not in out}
-        if len(self.ids_of) > self.remembered:
-            self.ids_of.clear()
-        new = set()
-        for ws in cut.values():
-            new.update(ws)
-        self._learn(list(new - self.ids_of.keys()))
-        get = self.ids_of.__getitem__
-        for i, ws in cut.items():
-            out[i] = b"".join(map(get, ws))
-        return [out[i] for i in range(len(texts))]
+        own = {i for i, t in enumerate(texts) if _OTHER.search(t) or any(s in t for s in self.special)}
+        ids = [x.tobytes() for x in self.words.of([[] if i in own else _WORD.findall(t) for i, t in enumerate(texts)])]
+        for i in own:
+            ids[i] = self._whole([texts[i]])[0]
+        return ids
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -58,9 +58,10 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Whole texts travel in Arrow batches of this many rows at most."""
+def small_batches(spark: SparkSession, rows: int = 1024, size: str = "8m") -> None:
+    """Whole texts travel in Arrow batches of so many rows and bytes at most (or of one row)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def text_or_empty(col: str) -> Column:
@@ -81,7 +82,7 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def chunks_of(texts: list[str], limit: int = 1 << 20):
+def chunks_of(texts: list[str], limit: int = 1 << 21):
     """Index ranges of consecutive texts with at most ``limit`` characters together (or one text)."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks_of, small_batches, text_or_empty
+from .word_ids import WordIds
 
 SPACE_MARK = "▁"
 NONE = np.iinfo(np.int32).max
@@ -40,7 +41,7 @@ NORMAL, USER, BYTE = 1, 4, 6
 class Agenda:
     """The merges of a vocabulary, and the words it has encoded so far."""
 
-    def __init__(self, path: str, remembered: int = 700_000):
+    def __init__(self, path: str):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as proto
 
@@ -59,7 +60,6 @@ class Agenda:
         self.is_byte = np.zeros(len(self.pieces), dtype=bool)
         self.is_byte[list(self.byte_of)] = True
         self.unknown, self.end = self.library.unk_id(), self.library.eos_id()
-        self.remembered = remembered
         self.surface = [p.replace(SPACE_MARK, " ") for p in self.pieces]
         self.surface[self.end] = ""
         #: by code point, -1 where not yet met
@@ -82,9 +82,11 @@ class Agenda:
         self.keys, self.ranks, self.merged = table[:, 0].copy(), table[:, 1].astype(np.int32), table[:, 2].astype(np.int32)
         self.pair = {int(k): (int(r), int(m)) for k, r, m in table}
         mixed = any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", self.pieces[i]) for i in normal)
+        if not self.prefix:
+            raise ValueError("a vocabulary that puts a space before each text is needed")
+        self.cuts_at_space = not mixed
         self.word = re.compile("(?s).+" if mixed else f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
-        #: word: its ids as little-endian 32-bit numbers, and in decimal
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.words = WordIds(self._learn)
 
     @staticmethod
     def _key(left: int, right: int) -> int:
@@ -94,7 +96,6 @@ class Agenda:
         s = self.symbol.get(ch)
         if s is None:
             s = self.symbol[ch] = len(self.pieces) + len(self.fallback)
-            self.decimal.append("")
             raw = ch.encode("utf-8", "surrogatepass")
             self.fallback[s] = tuple(self.bytes_id[b] for b in raw) if self.bytes_id else (self.unknown,)
         return s
@@ -174,48 +175,43 @@ class Agenda:
             found = self.of_point[points]
         return found
 
-    def _learn(self, words: list[str]) -> None:
-        words.sort(key=len)
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        pairs = sorted(((w if w[:1] == SPACE_MARK else SPACE_MARK + w, w) for w in words), key=lambda p: len(p[0]))
+        words, keys = [p[0] for p in pairs], [p[1] for p in pairs]
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         low, top = 0, len(self.pieces)
+        learned: dict[str, bytes] = {}
         for width in WIDTHS:
             high = int(np.searchsorted(lengths, width, side="right"))
             if high > low:
                 flat, counts = self._lockstep(self._symbols(words[low:high]), lengths[low:high], width)
-                odd = np.maximum.reduceat(flat, np.cumsum(counts) - counts) >= top
-                raw, names = flat.astype("<i4").tobytes(), list(map(self.decimal.__getitem__, flat.tolist()))
-                at = 0
-                for w, n, other in zip(words[low:high], counts.tolist(), odd.tolist(), strict=True):
-                    if other:
-                        self._keep(w, flat[at : at + n].tolist())
-                    else:
-                        self.known[w] = (raw[at * 4 : (at + n) * 4], " ".join(names[at : at + n]))
-                    at += n
+                ends = np.cumsum(counts)
+                odd = np.maximum.reduceat(flat, ends - counts) >= top
+                raw = flat.astype("<i4").tobytes()
+                to = (ends * 4).tolist()
+                learned.update(zip(keys[low:high], map(raw.__getitem__, map(slice, [0, *to[:-1]], to)), strict=True))
+                for i in np.flatnonzero(odd).tolist():
+                    learned[keys[low + i]] = self._ids(flat[ends[i] - counts[i] : ends[i]].tolist())
                 low = high
-        for w in words[low:]:
-            self._keep(w, self._heap(self._symbols([w]).tolist()))
+        learned.update((k, self._ids(self._heap(self._symbols([w]).tolist()))) for k, w in zip(keys[low:], words[low:], strict=True))
+        return learned
 
-    def _keep(self, word: str, symbols: list[int]) -> None:
-        """Remember a word's ids; characters that are no piece become byte pieces."""
+    def _ids(self, symbols: list[int]) -> bytes:
+        """Symbols as ids; characters that are no piece become byte pieces."""
         top = len(self.pieces)
-        ids = [x for y in symbols for x in (self.fallback[y] if y >= top else (y,))]
-        self.known[word] = (np.array(ids, dtype="<i4").tobytes(), " ".join(map(str, ids)))
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Ids of each text as bytes and in decimal, without an end id."""
-        cut = [self.word.findall(self.prefix + t.replace(" ", SPACE_MARK)) if t else [] for t in texts]
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        new = set()
-        for ws in cut:
-            new.update(ws)
-        self._learn(list(new - self.known.keys()))
-        get = self.known.__getitem__
-        out = []
-        for ws in cut:
-            found = list(map(get, ws))
-            out.append((b"".join([x[0] for x in found]), " ".join([x[1] for x in found])))
-        return out
+        return np.array([x for y in symbols for x in (self.fallback[y] if y >= top else (y,))], dtype="<i4").tobytes()
+
+    def _cut(self, text: str) -> list[str]:
+        """Stretches that merges never leave: between single spaces, the mark before each left out, or else by pattern."""
+        if not text:
+            return []
+        if self.cuts_at_space and not (text[0] == " " or text[-1] == " " or "  " in text or SPACE_MARK in text):
+            return text.split(" ")
+        return self.word.findall(self.prefix + text.replace(" ", SPACE_MARK))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, without an end id."""
+        return self.words.of(list(map(self._cut, texts)))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, runs of byte pieces read as UTF-8, the added space removed."""
@@ -284,21 +280,20 @@ def encode(docs: DataFrame, model_path: str, doc_col="doc_id", text_col="text",
 
     def run(batches):
         own = agenda(model_path)
-        end = np.array([own.end], dtype="<i4").tobytes()
+        end = np.array([own.end], dtype="<i4")
         for batch in batches:
             texts, rows = batch.column(1).to_pylist(), []
             for a, b in chunks_of(texts):
                 part = texts[a:b]
-                mine = own.encode(part)
-                ids = [np.frombuffer(x[0] + end, dtype="<i4") for x in mine]
+                ids = [np.concatenate((x, end)) for x in own.encode(part)]
                 back = own.decode_many(ids)
                 theirs = own.library.encode(part, add_eos=True, num_threads=1)
                 decoded = own.library.decode(theirs, num_threads=1)
                 for k, x in enumerate(ids):
                     same = np.array_equal(x, np.array(theirs[k], dtype="<i4")) and back[k] == decoded[k]
-                    text = f"{mine[k][1]} {own.end}" if mine[k][1] else str(own.end)
                     if not same:
-                        x, text = np.array(theirs[k], dtype="<i4"), " ".join(map(str, theirs[k]))
+                        x = np.array(theirs[k], dtype="<i4")
+                    text = " ".join(map(own.decimal.__getitem__, x.tolist()))
                     rows.append(
                         (
                             len(x),

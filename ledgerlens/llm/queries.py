@@ -6,10 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, packing, pieces, quality_rules, secret_scan, simhash, token_store
+from . import chat, exact_dedup, packing, pieces, quality_rules, quality_sites, secret_scan, simhash, token_store, toxicity
 from .common import scratch_path, table
 
 
+def _held_out(doc_col: str = "doc_id"):
+    """Rows that toxicity is never learned from: crc32 of the id in decimal divides by 5."""
+    return F.coalesce(F.crc32(F.col(doc_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~_held_out()))
+    return toxicity.score(docs, model).select(
+        "doc_id", _held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pieces.encode(
         table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_text=False
@@ -17,6 +30,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees")
 
 
+def op3_quality_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are sources, paths the languages within them."""
+    found = quality_sites.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "evidence", "host_mean", "path_mean", "posterior", "kept")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=3, width=3)
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
@@ -56,7 +75,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_quality_sites": op3_quality_sites,
     "op4_simhash": op4_simhash,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_store": op6_token_store,

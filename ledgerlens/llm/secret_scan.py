@@ -169,3 +169,17 @@ def scan(docs: DataFrame, doc_col="doc_id", text_col="text") -> DataFrame:
         run,
         "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string",
     )
+
+
+def redact(docs: DataFrame, text_col="text") -> DataFrame:
+    """``docs`` with each secret in the text replaced by its kind in brackets; null texts stay null."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = [t if t is None else redacted(t, spans(t)) for t in batch.column(at).to_pylist()]
+            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, text_or_empty
@@ -34,11 +34,10 @@ BITS = 64
 PROBE_COST = 4.0
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
-    """The SimHash of a UTF-8 text over its lower-cased ``width``-word shingles."""
-    ws = text.lower().split()  # of bytes: A-Z and the six ASCII white space characters alone
+def shingle_hashes(ws: list[bytes], width: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each ``width`` consecutive words, space-joined; of all words where there are fewer."""
     if not ws:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(ws)
     n = np.fromiter(map(len, ws), dtype=np.int64, count=len(ws)) + 1
     ends = np.cumsum(n) - 1
@@ -46,7 +45,15 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     k = max(1, len(ws) - width + 1)
     at = zip(starts[:k].tolist(), ends[min(width, len(ws)) - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in at), dtype="<u8", count=k)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in at), dtype="<u8", count=k)
+
+
+def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
+    """The SimHash of a UTF-8 text over its lower-cased ``width``-word shingles."""
+    hashes = shingle_hashes(text.lower().split(), width, seed)  # of bytes: A-Z and the six ASCII spaces alone
+    k = len(hashes)
+    if not k:
+        return 0
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, k, 1 << 16):
         part = hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -167,7 +174,7 @@ def probe_plan(distinct: DataFrame, distance: int, parts=(2, 3, 4)) -> list[tupl
         costs = [
             [0.0]
             + [
-                PROBE_COST * ball(len(g), t) + estimated_candidates(both, rows, g, pairs.get((m, i), 1.0), t)
+                PROBE_COST * (ball(len(g), t // 2) + ball(len(g), t - t // 2)) + estimated_candidates(both, rows, g, pairs.get((m, i), 1.0), t)
                 for t in range(distance + 1)
             ]
             for i, g in enumerate(gs)
@@ -177,21 +184,28 @@ def probe_plan(distinct: DataFrame, distance: int, parts=(2, 3, 4)) -> list[tupl
     return min(plans, key=lambda x: x[:2])[2]
 
 
+def _values(i: int, mask: int, bits: list[int], t: int) -> list[Column]:
+    """(part, value) structs of a fingerprint's values within ``t`` bits in part ``i``."""
+    value = F.col("fp").bitwiseAND(F.lit(mask))
+    flips = [mask_of(list(c)) for k in range(t + 1) for c in itertools.combinations(bits, k)]
+    return [F.struct(F.lit(i).alias("i"), value.bitwiseXOR(F.lit(x)).alias("v")) for x in flips]
+
+
 def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
-    """(a, b), a < b: pairs of different fingerprints that differ in ``distance`` bits at most."""
+    """(a, b), a < b: pairs of different fingerprints that differ in ``distance`` bits at most.
+
+    Values within t bits meet halfway: one side lists its values within t // 2 bits, the
+    other within the rest.
+    """
     plan = probe_plan(distinct, distance)
-    part = lambda i, v: F.struct(F.lit(i).alias("i"), v.alias("v"))
-    own = [part(i, F.col("fp").bitwiseAND(F.lit(mask))) for i, (mask, _, _) in enumerate(plan)]
-    probes = []
-    for i, (mask, bits, t) in enumerate(plan):
-        flips = [mask_of(list(c)) for k in range(t + 1) for c in itertools.combinations(bits, k)]
-        value = F.col("fp").bitwiseAND(F.lit(mask))
-        probes.append(F.array(*[part(i, value.bitwiseXOR(F.lit(x))) for x in flips]))
-    index = distinct.select("fp", F.explode(F.array(*own)).alias("k")).select(F.col("fp").alias("b"), "k.i", "k.v")
-    probe = distinct.select("fp", F.explode(F.concat(*probes)).alias("k")).select(F.col("fp").alias("a"), "k.i", "k.v")
+    sides = [
+        distinct.select(F.col("fp").alias(end), F.explode(F.array(*[x for i, (m, b, t) in enumerate(plan) for x in _values(i, m, b, half(t))])).alias("k")).select(end, "k.i", "k.v")
+        for end, half in (("a", lambda t: t - t // 2), ("b", lambda t: t // 2))
+    ]
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    found = probe.join(index, (probe.i == index.i) & (probe.v == index.v) & (F.col("a") < F.col("b")) & near)
-    return found.select("a", "b").distinct()
+    probe, index = sides
+    met = (probe.i == index.i) & (probe.v == index.v) & (F.col("a") < F.col("b")) & near
+    return probe.join(index, met).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_col="doc_id", text_col="text", distance: int = 3, width: int = 3) -> DataFrame:
@@ -207,6 +221,67 @@ def near_duplicates(docs: DataFrame, doc_col="doc_id", text_col="text", distance
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_sets(docs: DataFrame, width: int, doc_col="doc_id", text_col="text") -> DataFrame:
+    """(doc_id, shingles): the distinct hashes of a text's shingles, sorted, as 64-bit numbers."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.lower().split(), width)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+
+    return docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.encode(text_or_empty(text_col), "UTF-8")).mapInArrow(
+        run, "doc_id long, shingles binary"
+    )
+
+
+def similar(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of those rows (a, b, sa, sb) whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                u, v = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(both >= similarity * (len(u) + len(v) - both))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(mask)
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def groups(docs: DataFrame, doc_col="doc_id", text_col="text", width: int = 5, similarity: float = 0.8, distances=(3, 6, 10)) -> DataFrame:
+    """(doc_id, group_id) of every document: group_id is the smallest doc_id of its near duplicates.
+
+    Links are probed at one distance after another, each time among the smallest
+    documents of the groups so far, and verified on whole shingle sets; a dense group
+    is thus mostly joined while its links are few.
+    """
+    fps = materialize(fingerprints(docs, doc_col, text_col, width), "simhash-fps")
+    lead = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("lead")), "simhash-leads")
+    node = lead.select(F.col("lead").alias("node"), F.col("lead").alias("label"))
+    live = lead.select("fp", F.col("lead").alias("doc_id"))
+    for distance in distances:
+        near = materialize(links(live.select("fp"), distance), "simhash-links")
+        id_of = lambda end: live.select(F.col("fp").alias(end), F.col("doc_id").alias(f"{end}_id"))
+        ends = materialize(near.join(id_of("a"), "a").join(id_of("b"), "b").select("a_id", "b_id"), "simhash-ends")
+        wanted = ends.select(F.col("a_id").alias("doc_id")).union(ends.select("b_id")).distinct()
+        texts = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col)).join(wanted, "doc_id")
+        sets = materialize(shingle_sets(texts, width, "doc_id", text_col).groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "simhash-sets")
+        of = lambda end: sets.select(F.col("doc_id").alias(f"{end}_id"), F.col("shingles").alias(f"s{end}"))
+        true = similar(ends.join(of("a"), "a_id").join(of("b"), "b_id").select("a_id", "b_id", "sa", "sb"), similarity)
+        labels = components(true)
+        joined = labels.select(F.col("node").alias("label"), F.col("label").alias("joined"))
+        node = materialize(
+            node.join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("label")), "simhash-groups"
+        )
+        gone = labels.where("node <> label").select(F.col("node").alias("doc_id"))
+        live = materialize(live.join(gone, "doc_id", "left_anti").select("fp", "doc_id"), "simhash-leads")
+    of_fp = lead.join(node, lead.lead == node.node).select("fp", F.col("label").alias("group_id"))
+    return fps.join(of_fp, "fp").select("doc_id", "group_id")
+
+
 def hex_of(fp: str = "fp"):
     """The fingerprint as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
