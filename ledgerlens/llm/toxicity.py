@@ -108,6 +108,8 @@ def sample(labelled: DataFrame, label: str, max_per_class: int) -> DataFrame:
 def fitted(rows: list[tuple[int, np.ndarray]], ratios: np.ndarray, prior_shift: float, penalty: float, steps: int) -> tuple[np.ndarray, float]:
     """Logistic regression on binary features scaled by ``ratios``: (weights times ratios, intercept)."""
     y = np.array([r[0] for r in rows], dtype=float)
+    # the rarer class counts for more, by the square root of the odds
+    share = np.where(y == 1, np.sqrt((len(y) - y.sum()) / y.sum()), 1.0)
     counts = np.array([len(r[1]) for r in rows])
     cols = np.concatenate([r[1] for r in rows]) if len(rows) else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(rows)), counts)
@@ -115,7 +117,7 @@ def fitted(rows: list[tuple[int, np.ndarray]], ratios: np.ndarray, prior_shift:
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
         z = np.bincount(doc, weights=(w * ratios)[cols], minlength=len(rows)) + b
-        e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / max(len(rows), 1)
+        e = share * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / share.sum()
         g = np.bincount(cols, weights=e[doc], minlength=len(w)) * ratios + penalty * w
         gb = e.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
