@@ -2,14 +2,660 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import admission, chain, projection, proposals, retrieval, similarity, state
+from ..schema import matrix
+from ..sources import adapters
+from ..streaming import incremental
+from . import evals, liveness, transcripts
+
+QUERY = ["ther", "onti", "ered"]
+PRINCIPAL = "p1"
+LONG_TEXT = "md5"
+
+
+def _log(spark, d):
+    return adapters.log(adapters.table(spark, d, "events"))
+
+
+def _units(spark, d):
+    return adapters.units(adapters.table(spark, d, "documents"), adapters.table(spark, d, "labels"))
+
+
+def _now_ms(log: DataFrame) -> int:
+    return log.agg(F.max(F.unix_millis(F.col("ts").cast("timestamp")))).first()[0] or 0
+
+
+def _vectors(spark, d):
+    """Vectors keyed like the units of the same number."""
+    v = adapters.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    return v.join(_units(spark, d).select("doc_id", "key"), "doc_id")
+
+
+def _query_vector(spark, d) -> list[float]:
+    row = adapters.table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()
+    return [float(x) for x in row[0]] if row else []
+
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        name = f.__name__
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = "WITH " + ",\n".join([*COMMON, sql.strip()]) if sql.lstrip().split(None, 1)[0] != "SELECT" else "WITH " + ",\n".join(COMMON) + "\n" + sql
+        return f
+
+    return put
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(T.PT_STOP + T.EN_STOP)) + "]"
+
+
+def _tok(x: str) -> str:
+    return (
+        f"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({x}, '')), '[^{T.WORD_CHARS}\\s]', ' ', 'g'), '\\s+'),"
+        f" lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w))"
+    )
+
+
+COMMON = [
+    r"""log AS (
+  SELECT event_id AS pos, event_id + 1 AS seq, 'user-' || user_id AS slug, 'p' || (user_id % 7) AS principal, ts, value,
+         CAST(regexp_extract(props, '(\d+)', 1) AS BIGINT) AS k, event_type,
+         CASE WHEN event_type IN ('purchase', 'view', 'click') THEN 'write_event'
+              WHEN event_type = 'signup' THEN CASE CAST(regexp_extract(props, '(\d+)', 1) AS BIGINT) % 3 WHEN 0 THEN 'TOPIC_METADATA_SET' WHEN 1 THEN 'TOPIC_CURATED' ELSE 'TOPIC_VERIFIED' END
+              WHEN CAST(regexp_extract(props, '(\d+)', 1) AS BIGINT) < 50 THEN 'TOPIC_BULLETS_RETIRED'
+              WHEN CAST(regexp_extract(props, '(\d+)', 1) AS BIGINT) < 70 THEN 'TOPIC_SUGGESTED'
+              WHEN CAST(regexp_extract(props, '(\d+)', 1) AS BIGINT) < 85 THEN 'TOPIC_SUGGESTION_ACCEPTED'
+              ELSE 'TOPIC_SUGGESTION_DISMISSED' END AS type,
+         CASE event_type WHEN 'purchase' THEN 'CURATED' WHEN 'view' THEN 'SOURCE' WHEN 'click' THEN 'FACT' END AS tag,
+         event_type || ' number ' || CAST(regexp_extract(props, '(\d+)', 1) AS BIGINT) || '.' AS content,
+         1 + CAST(regexp_extract(props, '(\d+)', 1) AS BIGINT) % 30 AS cooldown_days
+  FROM events)""",
+    """refs AS (
+  SELECT *, max(CASE WHEN tag = 'CURATED' THEN seq END) OVER w AS last_curated,
+         max(CASE WHEN type = 'TOPIC_SUGGESTED' THEN seq END) OVER w AS last_suggested
+  FROM log WINDOW w AS (PARTITION BY slug ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+    """units AS (
+  SELECT source || '::' || (doc_id + 1) || '::0' AS key, source AS slug, doc_id + 1 AS seq, doc_id,
+         CASE quality WHEN 1 THEN 'CURATED' WHEN 0 THEN 'FACT' ELSE 'SOURCE' END AS tag,
+         coalesce(toxic, 0) = 1 AS retired, coalesce(text, '') AS content
+  FROM documents LEFT JOIN labels USING (doc_id))""",
+    """live AS (
+  SELECT *, CASE tag WHEN 'CURATED' THEN 'curated' WHEN 'SOURCE' THEN 'source' ELSE 'note' END AS tier FROM units WHERE NOT retired)""",
+    """acl AS (SELECT DISTINCT slug, ['p' || (CAST(regexp_extract(slug, '(\\d+)', 1) AS BIGINT) % 3), 'operator'] AS readers FROM units)""".replace("\\\\", "\\"),
+    """retired AS (
+  SELECT DISTINCT r.pos, r.slug, s.superseded_seq, coalesce(w.pos < r.pos, false) AS effective
+  FROM (SELECT * FROM refs WHERE type = 'TOPIC_BULLETS_RETIRED') r
+  CROSS JOIN LATERAL (SELECT unnest(list_distinct([coalesce(r.last_curated, 0), r.seq - 1])) AS superseded_seq) s
+  LEFT JOIN log w ON w.tag = 'CURATED' AND w.slug = r.slug AND w.seq = s.superseded_seq)""",
+    """resolved AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY last_suggested ORDER BY pos) AS rn FROM refs
+                 WHERE type IN ('TOPIC_SUGGESTION_ACCEPTED', 'TOPIC_SUGGESTION_DISMISSED') AND last_suggested IS NOT NULL) WHERE rn = 1)""",
+    """suggested AS (
+  SELECT s.seq AS suggestion_seq, s.slug, s.ts, s.k,
+         CASE WHEN r.seq IS NULL THEN 'pending' WHEN r.type = 'TOPIC_SUGGESTION_ACCEPTED' THEN 'accepted' ELSE 'dismissed' END AS status,
+         r.seq AS resolver_seq, r.pos AS resolved_pos, r.cooldown_days, r.ts AS resolved_ts
+  FROM log s LEFT JOIN resolved r ON r.last_suggested = s.seq WHERE s.type = 'TOPIC_SUGGESTED')""",
+    """dismissed AS (
+  SELECT replace(lower(d.slug), '-', '') AS slug_key, d.suggestion_seq, d.resolver_seq AS dismissal_seq,
+         (epoch_us(d.resolved_ts) // 1000) + d.cooldown_days * 86400000 AS until_ms,
+         (SELECT min(a.resolver_seq) FROM suggested a WHERE a.status = 'accepted' AND replace(lower(a.slug), '-', '') = replace(lower(d.slug), '-', '')
+            AND a.resolved_pos > d.resolved_pos AND a.resolver_seq > d.resolver_seq) AS cleared_by_accept_seq
+  FROM suggested d WHERE d.status = 'dismissed')""",
+    """topics AS (
+  SELECT slug, coalesce(max(CASE WHEN type = 'write_event' THEN seq END), min(seq)) AS last_updated_seq,
+         count(*) FILTER (type = 'write_event') AS n_writes, max_by(k, pos) FILTER (type = 'TOPIC_METADATA_SET') AS meta_k,
+         max(CASE WHEN type = 'TOPIC_CURATED' THEN seq END) AS curated_seq, max(CASE WHEN type = 'TOPIC_VERIFIED' THEN seq END) AS verified_seq
+  FROM log WHERE type IN ('write_event', 'TOPIC_METADATA_SET', 'TOPIC_CURATED', 'TOPIC_VERIFIED') GROUP BY slug)""",
+]
+
+
+# state ---------------------------------------------------------------------------------------
+
+@query("SELECT slug, last_updated_seq, n_writes, meta_k, curated_seq, verified_seq FROM topics")
+def topic_index_latest_wins(spark, d):
+    return state.topics(_log(spark, d))
+
+
+@query("""SELECT slug, string_agg(tag, ',' ORDER BY first) AS tags
+FROM (SELECT slug, tag, min(pos) AS first FROM log WHERE type = 'write_event' GROUP BY slug, tag) GROUP BY slug""")
+def event_tags_ordered(spark, d):
+    return state.ordered_tags(_log(spark, d))
+
+
+@query("SELECT slug, min_by(principal, pos) || ',operator' AS readers FROM log WHERE type = 'write_event' GROUP BY slug")
+def first_write_acl(spark, d):
+    return state.first_write_acl(_log(spark, d))
+
+
+@query("SELECT pos, slug, superseded_seq FROM retired WHERE effective")
+def retire_temporal_join(spark, d):
+    return state.retirements(_log(spark, d)).where("effective").drop("effective")
+
+
+@query("SELECT pos, slug, superseded_seq FROM retired WHERE NOT effective")
+def retire_skips(spark, d):
+    return state.retirements(_log(spark, d)).where("not effective").drop("effective")
+
+
+@query("SELECT suggestion_seq, slug, status, resolver_seq FROM suggested")
+def suggestion_lifecycle(spark, d):
+    return state.suggestions(_log(spark, d)).select("suggestion_seq", "slug", "status", "resolver_seq")
+
+
+@query("SELECT status, count(*) AS n FROM suggested GROUP BY status")
+def suggestion_status_counts(spark, d):
+    return state.suggestions(_log(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT slug_key, suggestion_seq, dismissal_seq, until_ms FROM dismissed")
+def dismissal_history(spark, d):
+    return state.dismissals(_log(spark, d)).drop("cleared_by_accept_seq")
+
+
+@query("SELECT slug_key, dismissal_seq, cleared_by_accept_seq FROM dismissed WHERE cleared_by_accept_seq IS NOT NULL")
+def cooldown_cleared(spark, d):
+    return state.dismissals(_log(spark, d)).where("cleared_by_accept_seq is not null").select("slug_key", "dismissal_seq", "cleared_by_accept_seq")
+
+
+@query("""SELECT slug_key, dismissal_seq, until_ms FROM (
+  SELECT *, row_number() OVER (PARTITION BY slug_key ORDER BY until_ms DESC, dismissal_seq) AS rn FROM dismissed WHERE cleared_by_accept_seq IS NULL) WHERE rn = 1""")
+def cooldowns(spark, d):
+    return state.cooldowns(_log(spark, d))
+
+
+@query("""declared AS (SELECT principal, min(pos) AS declared_pos FROM log GROUP BY principal)
+SELECT d.principal, declared_pos, coalesce((SELECT max_by(CASE WHEN k % 10 = 0 THEN 'tombstoned' WHEN k % 2 = 0 THEN 'active' ELSE 'disabled' END, pos)
+  FROM log l WHERE l.principal = d.principal AND type = 'TOPIC_VERIFIED' AND pos > declared_pos), 'active') AS status FROM declared d""")
+def principals_status(spark, d):
+    return state.principals(_log(spark, d))
+
+
+@query("SELECT max(pos) AS pos, max_by(seq, pos) AS last_seq FROM log")
+def log_tail(spark, d):
+    return state.tail(_log(spark, d))
+
+
+@query("""cut AS (SELECT * FROM log WHERE pos < (SELECT min(pos) FROM log WHERE seq > 5000))
+SELECT slug, count(*) AS n_writes, max(seq) AS last_seq FROM cut WHERE type = 'write_event' GROUP BY slug""")
+def as_of_state(spark, d):
+    return state.writes(state.as_of(_log(spark, d), 5000)).groupBy("slug").agg(F.count("*").alias("n_writes"), F.max("seq").alias("last_seq"))
+
+
+@query("SELECT slug || ':' || k AS intent_id, min(pos) AS first_pos, max(seq) AS last_seq FROM log GROUP BY 1 ORDER BY first_pos DESC, intent_id LIMIT 100000")
+def dedup_witness(spark, d):
+    return state.witnesses(_log(spark, d))
+
+
+@query("SELECT slug, last_updated_seq, n_writes FROM topics ORDER BY last_updated_seq DESC, slug LIMIT 20")
+def orientation_topn(spark, d):
+    return retrieval.orientation(state.topics(_log(spark, d)).select("slug", "last_updated_seq", "n_writes"), 20)
+
+
+@query("SELECT tag, count(*) AS n FROM log WHERE type = 'write_event' GROUP BY tag ORDER BY n DESC, tag LIMIT 50")
+def tag_distribution(spark, d):
+    return state.writes(_log(spark, d)).groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(50)
+
+
+@query("SELECT slug, min(seq) AS first_seq, max(seq) AS last_seq FROM log WHERE seq > 0 GROUP BY slug")
+def seq_range(spark, d):
+    return _log(spark, d).where("seq > 0").groupBy("slug").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+# admission and chain ----------------------------------------------------------------------------
+
+_MATRIX = "matrix AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{k}', '{s}', '{m}', {str((s == 'standard' and m == 'normal' and a[0] == 'Y') or (s == 'admin' and a[('normal', 'install_freeze', 'read_only', 'recovery').index(m) + 1] == 'Y')).lower()})"
+    for k, (_, _, a) in __import__("ledgerlens.schema", fromlist=["ADMISSION"]).ADMISSION.items()
+    for s in ("standard", "admin")
+    for m in ("normal", "install_freeze", "read_only", "recovery")
+) + ") AS t(type, socket, mode, admissible))"
+
+
+@query(_MATRIX + """
+SELECT type, socket, mode, CASE WHEN admissible THEN NULL ELSE 'EVENT_NOT_ADMISSIBLE' END AS reject_code, count(*) AS n
+FROM log JOIN matrix USING (type) GROUP BY ALL""")
+def admission_matrix(spark, d):
+    return admission.by_matrix(_log(spark, d), matrix(spark)).groupBy("type", "socket", "mode", "reject_code").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, CASE WHEN content = '' THEN 'content:required' WHEN contains(content, 'retrieval_origin') THEN 'payload:retrieval_origin'
+  WHEN length(content) > CASE tag WHEN 'SOURCE' THEN 200000 WHEN 'CURATED' THEN 50000 ELSE 500 END THEN 'content:length_out_of_range'
+  WHEN tag = 'FACT' AND regexp_matches(content, '[\\r\\n]') THEN 'content:must_be_single_line_for_tag' END AS reason FROM units""".replace("\\\\", "\\"))
+def payload_rejects(spark, d):
+    u = _units(spark, d)
+    none = F.lit(None).cast("string")
+    return u.select("doc_id", admission.write_payload_reason(F.col("slug"), F.col("content"), F.col("tag"), none, none).alias("reason"))
+
+
+@query("""SELECT seq, slug, CASE WHEN NOT known THEN 'SLUG_NOT_ADMITTED' END AS reject_code FROM (
+  SELECT *, coalesce(count(*) FILTER (type IN ('write_event', 'TOPIC_METADATA_SET')) OVER (PARTITION BY slug ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS known FROM log)
+WHERE type = 'write_event'""")
+def slug_admissible_staged(spark, d):
+    return admission.slug_admissible(_log(spark, d))
+
+
+@query("SELECT DISTINCT slug FROM log WHERE type IN ('write_event', 'TOPIC_METADATA_SET')")
+def admissible_slugs(spark, d):
+    return admission.admissible_slugs(_log(spark, d))
+
+
+@query("""ok AS (SELECT DISTINCT slug FROM log WHERE type = 'TOPIC_METADATA_SET')
+SELECT coalesce(ok.slug, 'general') AS slug, ok.slug IS NULL AS rerouted, count(*) AS n FROM log LEFT JOIN ok USING (slug) WHERE type = 'write_event' GROUP BY ALL""")
+def extract_reroute(spark, d):
+    log = _log(spark, d)
+    ok = log.where("type = 'TOPIC_METADATA_SET'").select("slug").distinct()
+    return admission.rerouted(state.writes(log), ok).groupBy("slug", "rerouted").agg(F.count("*").alias("n"))
+
+
+@query("SELECT pos, sha256(concat_ws('|', seq, type, slug, k)) AS self_hash, coalesce(lag(sha256(concat_ws('|', seq, type, slug, k))) OVER (ORDER BY pos), repeat('0', 64)) AS hash_prev FROM log")
+def chain_links(spark, d):
+    return chain.chained(_log(spark, d)).select("pos", "self_hash", "hash_prev")
+
+
+_TAMPERED = """h AS (SELECT pos, sha256(concat_ws('|', seq, type, slug, k)) AS self_hash, coalesce(lag(sha256(concat_ws('|', seq, type, slug, k))) OVER (ORDER BY pos), repeat('0', 64)) AS hash_prev FROM log),
+t AS (SELECT pos, self_hash, CASE WHEN pos % 997 = 500 THEN 'tampered' ELSE hash_prev END AS hash_prev FROM h)"""
+
+
+def _tampered(spark, d):
+    bad = F.when(F.col("pos") % 997 == 500, F.lit("tampered")).otherwise(F.col("hash_prev"))
+    return chain.chained(_log(spark, d)).withColumn("hash_prev", bad)
+
+
+@query(_TAMPERED + " SELECT pos FROM t WHERE hash_prev = 'tampered'")
+def chain_breaks(spark, d):
+    r = chain.previous(_tampered(spark, d), "self_hash", "before", 64, F.lit(chain.GENESIS))
+    return r.where("hash_prev <> before").select("pos")
+
+
+@query(_TAMPERED + " SELECT count(*) AS n, max(pos) AS last FROM t WHERE pos < coalesce((SELECT min(pos) FROM t WHERE hash_prev = 'tampered'), 1000000000000)")
+def chain_verify(spark, d):
+    return chain.accepted(_tampered(spark, d)).agg(F.count("*").alias("n"), F.max("pos").alias("last"))
+
+
+@query("""g AS (SELECT slug, list(seq ORDER BY seq) AS seqs FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY pos) AS rn FROM log WHERE type = 'write_event') WHERE rn <= 5 GROUP BY slug)
+SELECT slug, substr(sha256('[' || array_to_string(seqs, ',') || ']'), 1, 16) AS fingerprint, true AS ascends FROM g""")
+def support_fingerprint(spark, d):
+    rn = F.row_number().over(Window.partitionBy("slug").orderBy("pos"))
+    g = state.writes(_log(spark, d)).withColumn("rn", rn).where("rn <= 5").groupBy("slug").agg(F.array_sort(F.collect_list("seq")).alias("seqs"))
+    return g.select("slug", T.support_fingerprint(F.col("seqs")).alias("fingerprint"), T.ascending(F.col("seqs")).alias("ascends"))
+
+
+# retrieval ------------------------------------------------------------------------------------
+
+@query("SELECT key, CASE WHEN tag = 'CURATED' AND retired THEN NULL WHEN tag = 'CURATED' THEN 'curated' WHEN tag = 'SOURCE' THEN 'source' ELSE 'note' END AS tier FROM units")
+def tier_classify(spark, d):
+    return _units(spark, d).select("key", retrieval.tier(F.col("tag"), F.col("retired")).alias("tier"))
+
+
+@query("SELECT tier, count(*) AS n FROM live GROUP BY tier")
+def tier_counts(spark, d):
+    return retrieval.live(_units(spark, d)).groupBy("tier").agg(F.count("*").alias("n"))
+
+
+@query("SELECT key FROM live WHERE tier = 'curated'")
+def scope_filter(spark, d):
+    return retrieval.live(_units(spark, d)).where(retrieval.in_scope(F.col("tier"))).select("key")
+
+
+@query("SELECT key FROM live JOIN acl USING (slug) WHERE list_contains(readers, 'p1')")
+def acl_semi(spark, d):
+    u = _units(spark, d)
+    return retrieval.readable(retrieval.live(u), adapters.acl(u), PRINCIPAL).select("key")
+
+
+@query("""asked AS (SELECT DISTINCT lang AS ask_id, source AS slug FROM documents WHERE doc_id < 8)
+SELECT ask_id, bool_and(coalesce(list_contains(readers, 'p1'), false)) AS allowed FROM asked LEFT JOIN acl USING (slug) GROUP BY ask_id""")
+def acl_intersection(spark, d):
+    asked = adapters.table(spark, d, "documents").where("doc_id < 8").select(F.col("lang").alias("ask_id"), F.col("source").alias("slug")).distinct()
+    return retrieval.authorized(asked, adapters.acl(_units(spark, d)), PRINCIPAL)
+
+
+@query("SELECT key FROM units WHERE NOT retired")
+def retired_anti(spark, d):
+    u = _units(spark, d)
+    return u.join(u.where("retired").select("seq"), "seq", "left_anti").select("key")
+
+
+@query(f"SELECT key, len({_tok('content')}) AS n_tokens, len(list_distinct({_tok('content')})) AS n_distinct FROM units")
+def tokenize_counts(spark, d):
+    t = T.tokens(F.col("content"))
+    return _units(spark, d).select("key", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+
+
+@query(f"SELECT item_id, CASE WHEN len({_tok('text')}) = 0 THEN text ELSE array_to_string({_tok('text')}, ' ') END AS q FROM benchmark")
+def normalize_query(spark, d):
+    return adapters.table(spark, d, "benchmark").select("item_id", T.normalized_query(F.col("text")).alias("q"))
+
+
+@query(r"""n AS (SELECT key, len(regexp_extract_all(content, '[\p{L}\p{N}_]+|[^\s]'))::BIGINT AS n FROM units),
+c AS (SELECT key, n, unnest(CASE WHEN n <= 512 THEN [0] ELSE range(0, greatest(ceil((n - 256) / 192.0), 0)::BIGINT + 1) END) AS chunk_index FROM n)
+SELECT key, chunk_index::BIGINT AS chunk_index, (CASE WHEN n <= 512 THEN 0 ELSE chunk_index * 192 END)::BIGINT AS token_start, (CASE WHEN n <= 512 THEN n ELSE least(chunk_index * 192 + 256, n) END)::BIGINT AS token_end FROM c""")
+def chunk_windows(spark, d):
+    n = F.size(T.positional_tokens(F.col("content")))
+    u = _units(spark, d).select("key", n.alias("n")).select("key", F.explode(T.windows(F.col("n"))).alias("w"))
+    return u.select("key", *[F.col(f"w.{c}").cast("long").alias(c) for c in ("chunk_index", "token_start", "token_end")])
+
+
+def _lexical_sql(mode: str) -> str:
+    return f"""toks AS (SELECT key, {_tok('content')} AS t FROM live),
+post AS (SELECT key, len(t) AS length, term, count(*) AS tf FROM (SELECT key, t, unnest(t) AS term FROM toks) GROUP BY ALL),
+st AS (SELECT count(*) AS n, greatest((SELECT sum(len(t)) FROM toks) / count(*), 1.0) AS mean FROM live),
+hits AS (SELECT * FROM post WHERE term IN ('{"', '".join(QUERY)}')),
+df AS (SELECT term, count(*) AS df FROM hits GROUP BY term),
+sc AS (SELECT key, count(DISTINCT term) AS matched, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.3 + 0.7 * length / mean)) + 0.5)) AS score
+       FROM hits JOIN df USING (term), st GROUP BY key),
+lex AS (SELECT key, score, row_number() OVER (ORDER BY round(score, 9) DESC, key) AS rank FROM sc
+        WHERE {'matched = ' + str(len(QUERY)) if mode == 'and' else f'matched = {len(QUERY)} OR NOT EXISTS (SELECT 1 FROM sc WHERE matched = {len(QUERY)})' if mode == 'auto' else 'true'} ORDER BY rank LIMIT 100)"""
+
+
+@query(_lexical_sql("or") + " SELECT key, round(score, 6) AS score, rank FROM lex")
+def lexical_topk(spark, d):
+    return retrieval.lexical(retrieval.live(_units(spark, d)), QUERY, mode="or").withColumn("score", F.round("score", 6))
+
+
+@query(_lexical_sql("auto") + " SELECT key, round(score, 6) AS score, rank FROM lex")
+def lexical_and_or(spark, d):
+    return retrieval.lexical(retrieval.live(_units(spark, d)), QUERY, mode="auto").withColumn("score", F.round("score", 6))
+
+
+@query(f"""v AS (SELECT DISTINCT unnest({_tok('content')}) AS term FROM live), q AS (SELECT unnest({QUERY}) AS q)
+SELECT q, term FROM q, v WHERE starts_with(term, q) OR (abs(length(q) - length(term)) <= round(length(q) * 0.3) AND levenshtein(q, term) <= round(length(q) * 0.3))""")
+def fuzzy_prefix_terms(spark, d):
+    vocabulary = retrieval.postings(retrieval.live(_units(spark, d))).select("term").distinct()
+    return retrieval.expanded(vocabulary, spark.createDataFrame([(x,) for x in QUERY], "q string")).select("q", "term")
+
+
+_COSINE = """qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
+sims AS (SELECT key, list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE * q[i])) AS score FROM embeddings JOIN {base} ON doc_id = vec_id, qv),
+sem AS (SELECT key, score, row_number() OVER (ORDER BY round(score, 9) DESC, key) AS rank FROM sims WHERE score >= 0.3 ORDER BY rank LIMIT 100)"""
+
+
+@query(_COSINE.format(base="units") + " SELECT key, round(score, 6) AS score, rank FROM sem")
+def cosine_topk(spark, d):
+    return retrieval.cosine(_vectors(spark, d), _query_vector(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(_lexical_sql("auto") + "," + _COSINE.format(base="units") + """
+SELECT key, round(sum(s), 9) AS score FROM (SELECT key, 0.5 / (60 + rank) AS s FROM lex UNION ALL SELECT key, 1.0 / (60 + rank) FROM sem) GROUP BY key""")
+def rrf_weighted(spark, d):
+    arms = {"L": retrieval.lexical(retrieval.live(_units(spark, d)), QUERY), "S": retrieval.cosine(_vectors(spark, d), _query_vector(spark, d))}
+    return retrieval.fused(arms, {"L": 0.5, "S": 1.0}).withColumn("score", F.round("score", 9))
+
+
+@query(_lexical_sql("auto") + """ SELECT key, round(1.0 / (60 + rank), 9) AS score FROM lex""")
+def rrf_fusion(spark, d):
+    return retrieval.fused({"L": retrieval.lexical(retrieval.live(_units(spark, d)), QUERY)}).withColumn("score", F.round("score", 9))
+
+
+@query("own AS (SELECT live.* FROM live JOIN acl USING (slug) WHERE list_contains(readers, 'p1'))," + _lexical_sql("auto").replace("FROM live", "FROM own") + "," + _COSINE.format(base="own") + """,
+f AS (SELECT key, sum(s) AS score FROM (SELECT key, 0.5 / (60 + rank) AS s FROM lex UNION ALL SELECT key, 1.0 / (60 + rank) FROM sem) GROUP BY key),
+top AS (SELECT key, score, row_number() OVER (ORDER BY round(score, 9) DESC, key) AS rank FROM f ORDER BY rank LIMIT 10)
+SELECT key, slug, tier, round(score, 9) AS score, rank, substr(content, 1, 240) AS preview FROM top JOIN own USING (key)""")
+def hybrid_retrieve(spark, d):
+    u = _units(spark, d)
+    found = retrieval.retrieve(u, adapters.acl(u), PRINCIPAL, QUERY, _query_vector(spark, d), _vectors(spark, d), scope="all")
+    return found.withColumn("score", F.round("score", 9))
+
+
+# similarity -----------------------------------------------------------------------------------
+
+@query(f"""s AS (SELECT doc_id, list_sort(list_distinct({_tok('text')})) AS t FROM documents),
+c AS (SELECT min(doc_id) AS rep, t FROM s WHERE len(t) > 0 GROUP BY t),
+e AS (SELECT rep, len(t) AS n, unnest(t) AS term FROM c),
+b AS (SELECT x.rep AS a, y.rep AS b, x.n AS n, y.n AS m, count(*) AS shared FROM e x JOIN e y ON x.term = y.term AND x.rep < y.rep AND x.n >= 0.8 * y.n AND y.n >= 0.8 * x.n GROUP BY ALL)
+SELECT a, b, round(shared / (n + m - shared), 9) AS similarity FROM b WHERE shared / (n + m - shared) >= 0.8""")
+def near_dup_pairs(spark, d):
+    classes, _ = similarity.token_sets(adapters.table(spark, d, "documents"), "doc_id", "text")
+    return similarity.similar_pairs(classes).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(f"""s AS (SELECT doc_id, list_sort(list_distinct({_tok('text')})) AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS rep FROM s WHERE len(t) > 0""")
+def near_dup_classes(spark, d):
+    return similarity.token_sets(adapters.table(spark, d, "documents"), "doc_id", "text")[1]
+
+
+@query(f"""w AS (SELECT seq, slug, ts::DATE AS day, content, list_distinct({_tok('content')}) AS t FROM log WHERE type = 'write_event'),
+p AS (SELECT a.seq, CASE WHEN len(a.t) + len(b.t) = 0 THEN 1.0 ELSE len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) END AS sim
+      FROM w a JOIN w b ON a.slug = b.slug AND a.day = b.day AND b.seq < a.seq)
+SELECT seq, CASE WHEN max(sim) >= 0.8 THEN 'reject' ELSE 'warn' END AS verdict FROM p GROUP BY seq HAVING max(sim) >= 0.6""")
+def dup_same_day_slug(spark, d):
+    return similarity.same_day(_log(spark, d))
+
+
+# projections ----------------------------------------------------------------------------------
+
+@query("""kept AS (SELECT l.* FROM log l WHERE tag = 'CURATED' AND NOT EXISTS (SELECT 1 FROM retired r WHERE r.effective AND r.slug = l.slug AND r.superseded_seq = l.seq))
+SELECT slug, md5(string_agg(trim(content), chr(10) || chr(10) ORDER BY pos)) AS text_md5 FROM kept GROUP BY slug""")
+def layer2_text(spark, d):
+    return projection.layer2(_log(spark, d)).select("slug", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT slug, md5(string_agg(trim(content), chr(10) || chr(10) ORDER BY ts DESC, seq DESC)) AS text_md5 FROM log WHERE tag = 'SOURCE' GROUP BY slug")
+def layer3_text(spark, d):
+    return projection.layer3(_log(spark, d)).select("slug", F.md5("text").alias("text_md5"))
+
+
+@query("""t AS (SELECT slug, string_agg(trim(content), chr(10) || chr(10) ORDER BY ts DESC, seq DESC) AS text FROM log WHERE tag = 'SOURCE' GROUP BY slug)
+SELECT slug, len(string_split(text, chr(10)))::BIGINT AS lines, round(strlen(text) / 1024.0, 1)::DOUBLE AS kb FROM t""")
+def mech_fields(spark, d):
+    m = projection.mechanical(projection.layer3(_log(spark, d)))
+    return m.select("slug", F.col("lines").cast("long").alias("lines"), F.col("kb").cast("double").alias("kb"))
+
+
+@query("""SELECT slug, slug || ' | reference |  | active | Topic ' || slug || ' has ' || n_writes || ' entries.' AS line
+FROM topics WHERE meta_k IS NOT NULL AND meta_k % 5 <> 0""")
+def topic_index_lines(spark, d):
+    return projection.topic_index(_log(spark, d))
+
+
+@query(r"""s AS (SELECT doc_id, trim(content, ' ') AS t, regexp_extract(trim(content, ' '), '(?s)^.+?[.!?](?:\s+[A-Z]|\s*\z)') AS m FROM units)
+SELECT doc_id, md5(CASE WHEN m <> '' THEN trim(regexp_replace(m, '\s+[A-Z]$|\s+$', ''), ' ')
+  ELSE CASE WHEN length(trim(split_part(t, chr(10), 1), ' ')) <= 160 THEN trim(split_part(t, chr(10), 1), ' ')
+       ELSE rtrim(substr(trim(split_part(t, chr(10), 1), ' '), 1, 160), ' ') || '…' END END) AS sentence FROM s""")
+def first_sentence(spark, d):
+    return _units(spark, d).select("doc_id", F.md5(T.first_sentence(F.col("content"))).alias("sentence"))
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS date, md5(string_agg('[' || tag || '] ' || slug || ': ' || content, chr(10) ORDER BY seq) || chr(10)) AS text_md5
+FROM log WHERE type = 'write_event' GROUP BY 1""")
+def event_log_by_date(spark, d):
+    return projection.event_logs(_log(spark, d)).select("date", F.md5("text").alias("text_md5"))
+
+
+@query("""SELECT date, count(*) FILTER (changed) AS changes FROM (
+  SELECT strftime(ts, '%Y-%m-%d') AS date, coalesce(principal <> lag(principal) OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY seq), true) AS changed FROM log WHERE type = 'write_event') GROUP BY date""")
+def context_change(spark, d):
+    return projection.context_changes(_log(spark, d))
+
+
+@query("""SELECT suggestion_seq, slug, floor(((SELECT max((epoch_us(ts) // 1000)) FROM log) - (epoch_us(ts) // 1000)) / 86400000)::BIGINT AS age_days
+FROM suggested WHERE status = 'pending' ORDER BY ts, suggestion_seq LIMIT 10""")
+def pending_envelope(spark, d):
+    log = _log(spark, d)
+    return projection.pending(log, _now_ms(log))
+
+
+@query("""w AS (SELECT DISTINCT sha256(content) AS vector_key FROM live), h AS (SELECT DISTINCT sha256(content) AS vector_key FROM units WHERE doc_id % 3 = 0)
+SELECT CASE WHEN h.vector_key IS NULL THEN 'embed' WHEN w.vector_key IS NULL THEN 'prune' ELSE 'reuse' END AS action, count(*) AS n FROM w FULL JOIN h ON w.vector_key = h.vector_key GROUP BY 1""")
+def vector_store_delta(spark, d):
+    u = _units(spark, d)
+    key = F.sha2("content", 256).alias("vector_key")
+    return projection.vector_delta(retrieval.live(u).select(key), u.where("doc_id % 3 = 0").select(key))
+
+
+# proposals ------------------------------------------------------------------------------------
+
+_SLUGS = [f"user-{i}" for i in range(1, 40)]
+_IN = "slug IN (" + ", ".join(f"'{s}'" for s in _SLUGS) + ")"
+
+
+@query(f"SELECT seq, slug, tag FROM log WHERE type = 'write_event' AND {_IN} AND (epoch_us(ts) // 1000) >= (SELECT max((epoch_us(ts) // 1000)) FROM log) - 30 * 86400000::BIGINT")
+def scan_events(spark, d):
+    log = _log(spark, d)
+    return proposals.scan(log, _SLUGS, _now_ms(log)).select("seq", "slug", "tag")
+
+
+@query("""e AS (SELECT seq, slug, count(*) OVER (PARTITION BY slug) AS n, sum(length(content) + 32) OVER (PARTITION BY slug) AS chars,
+         row_number() OVER (PARTITION BY slug ORDER BY seq) - 1 AS i FROM log WHERE type = 'write_event'),
+t AS (SELECT *, greatest(floor(1000 / (chars / n)), 2) AS target FROM e),
+p AS (SELECT DISTINCT slug, floor((j + 0.5) * ((n - 2) / (target - 2)))::BIGINT AS mid FROM (SELECT DISTINCT slug, n, target, unnest(range(0, (target - 2)::BIGINT)) AS j FROM t WHERE target > 2))
+SELECT seq, slug FROM t WHERE chars <= 1000 OR n <= 2 OR target >= n OR i = 0 OR i = n - 1 OR EXISTS (SELECT 1 FROM p WHERE p.slug = t.slug AND p.mid = t.i - 1)""")
+def stratified_sample(spark, d):
+    return proposals.sampled(state.writes(_log(spark, d)).select("seq", "slug", "content"), 1000)
+
+
+@query("""prop AS (SELECT slug || '-x' AS slug, slug AS origin FROM log WHERE type = 'write_event' GROUP BY slug),
+cool AS (SELECT DISTINCT slug_key FROM dismissed WHERE cleared_by_accept_seq IS NULL AND until_ms > (SELECT max((epoch_us(ts) // 1000)) FROM log))
+SELECT p.slug, CASE WHEN t.slug IS NOT NULL THEN 'slug_collision_with_topic_index' WHEN c.slug_key IS NOT NULL THEN 'cooldown_active' END AS reason
+FROM prop p LEFT JOIN topics t ON t.slug = p.origin AND t.meta_k IS NOT NULL LEFT JOIN cool c ON c.slug_key = replace(lower(p.origin), '-', '')""")
+def cluster_validate(spark, d):
+    log = _log(spark, d)
+    return proposals.validated(proposals.proposals(log), log, _now_ms(log))
+
+
+@query("""prop AS (SELECT slug || '-x' AS slug, seq FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY pos) AS rn FROM log WHERE type = 'write_event') WHERE rn <= 3),
+sup AS (SELECT seq AS suggestion_seq, list_filter(list(CASE WHEN type = 'write_event' THEN seq END) OVER (PARTITION BY slug ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL) AS seqs, type FROM log),
+pend AS (SELECT suggestion_seq, len(seqs) AS m, unnest(seqs) AS seq FROM sup JOIN suggested USING (suggestion_seq) WHERE type = 'TOPIC_SUGGESTED' AND status = 'pending'),
+b AS (SELECT slug, suggestion_seq, m, count(*) AS shared FROM prop JOIN pend USING (seq) GROUP BY ALL),
+n AS (SELECT slug, count(*) AS n FROM prop GROUP BY slug)
+SELECT slug, suggestion_seq, round(shared / (n + m - shared), 9) AS overlap FROM b JOIN n USING (slug) WHERE shared / (n + m - shared) >= 0.65""")
+def support_overlap(spark, d):
+    log = _log(spark, d)
+    return proposals.overlapping(proposals.proposals(log), log).withColumn("overlap", F.round("overlap", 9))
+
+
+# transcripts, evaluation, liveness ----------------------------------------------------------
+
+_DELTA = r"""delta AS (SELECT conv_id, turn, role, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '...[truncated]' ELSE text END AS text
+  FROM conversations WHERE turn > 0 AND role IN ('user', 'assistant') AND text <> '' AND NOT regexp_matches(text, '^[/<]')
+    AND NOT (regexp_matches(text, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}') AND length(text) < 30) AND NOT contains(text, '<tool_result>')
+    AND NOT contains(text, '</tool_result>') AND NOT starts_with(text, 'System:') AND NOT starts_with(text, '[system]'))"""
+
+
+def _delta(spark, d):
+    return transcripts.delta(adapters.table(spark, d, "conversations"), after_turn=0)
+
+
+@query(_DELTA + " SELECT conv_id, turn, role, md5(text) AS text_md5 FROM delta")
+def transcript_delta(spark, d):
+    return _delta(spark, d).select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+@query(_DELTA + " SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn)) AS text_md5 FROM delta GROUP BY conv_id")
+def transcript_body(spark, d):
+    return transcripts.body(_delta(spark, d)).select("conv_id", F.md5("text").alias("text_md5"))
+
+
+@query(_DELTA + r" SELECT conv_id, count(*) AS n_messages, round(sum(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))) * 0.75)::BIGINT AS token_estimate FROM delta GROUP BY conv_id")
+def token_estimate(spark, d):
+    return transcripts.estimate(_delta(spark, d))
+
+
+_RANKINGS = """sims AS (SELECT q.vec_id AS qid, v.vec_id AS key, v.label AS session, list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: v.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)) AS sim
+  FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
+r AS (SELECT qid, key, session, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, key) AS rank FROM sims),
+top AS (SELECT * FROM r WHERE rank <= 50),
+s AS (SELECT qid, session, row_number() OVER (PARTITION BY qid ORDER BY min(rank), session) AS rank FROM top GROUP BY qid, session),
+gold AS (SELECT vec_id AS qid, label AS session FROM embeddings WHERE vec_id % 100 = 0)"""
+
+
+def _rankings(spark, d):
+    """Each stated query - ids divisible by 100 - against all vectors; the first 50 are the report."""
+    v = adapters.table(spark, d, "embeddings")
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    dot = F.aggregate(F.zip_with(F.col("embedding").cast("array<double>"), F.col("q").cast("array<double>"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    sims = v.join(asked, F.col("qid") != F.col("vec_id")).select("qid", F.col("vec_id").alias("key"), F.col("label").alias("session"), dot.alias("sim"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("sim", 9)), "key"))
+    return sims.withColumn("rank", rank).where("rank <= 50").drop("sim")
+
+
+def _gold(spark, d):
+    return adapters.table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("session"))
+
+
+@query(_RANKINGS + " SELECT qid, session, rank FROM s")
+def session_collapse(spark, d):
+    return evals.collapsed(_rankings(spark, d))
+
+
+@query(_RANKINGS + """, h AS (SELECT g.qid, count(*) AS n, min(rank) AS best, list(rank) AS ranks FROM gold g LEFT JOIN s USING (qid, session) GROUP BY g.qid)
+SELECT round(avg(coalesce(1 / best, 0)), 9) AS mrr""" + "".join(
+    f", round(avg((len(list_filter(ranks, lambda r: r <= {k})) > 0)::INT), 9) AS recall_any_{k}, round(avg((len(list_filter(ranks, lambda r: r <= {k})) = n)::INT), 9) AS recall_all_{k}" for k in (1, 3, 5, 10)) + " FROM h")
+def recall_mrr(spark, d):
+    r = evals.recall(evals.collapsed(_rankings(spark, d)), _gold(spark, d))
+    return r.select(*[F.round(c, 9).alias(c) for c in r.columns])
+
+
+@query(_RANKINGS + """ SELECT g.qid, round(coalesce(max(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END), 0), 9) AS ndcg FROM gold g LEFT JOIN s USING (qid, session) GROUP BY g.qid""")
+def ndcg(spark, d):
+    return evals.ndcg(evals.collapsed(_rankings(spark, d)), _gold(spark, d)).withColumn("ndcg", F.round("ndcg", 9))
+
+
+@query(_RANKINGS + """ SELECT tier, count(*) AS n, round(avg((top.session = gold.session)::INT), 9) AS precision
+FROM top JOIN gold USING (qid) JOIN live ON live.doc_id = top.key WHERE rank <= 5 GROUP BY tier""")
+def precision_by_tier(spark, d):
+    tiers = retrieval.live(_units(spark, d)).select(F.col("doc_id").alias("key"), "tier")
+    gold = _gold(spark, d).withColumnRenamed("session", "wanted")
+    hits = _rankings(spark, d).join(gold, "qid").join(tiers, "key").withColumn("relevant", F.col("session") == F.col("wanted"))
+    return evals.precision_by_tier(hits).withColumn("precision", F.round("precision", 9))
+
+
+_RUNS = "runs AS (SELECT slug, seq, CASE k % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'failed' ELSE 'started' END AS kind FROM log)"
+
+
+@query(_RUNS + """, ok AS (SELECT slug, max(seq) AS last_success_seq FROM runs WHERE kind = 'complete' GROUP BY slug)
+SELECT slug, last_success_seq, max_by(kind, seq) AS last_kind, count(*) FILTER (kind = 'failed' AND seq > coalesce(last_success_seq, -1)) AS consecutive_failures
+FROM runs LEFT JOIN ok USING (slug) GROUP BY slug, last_success_seq""")
+def liveness_failures(spark, d):
+    kind = F.when(F.col("k") % 3 == 0, "complete").when(F.col("k") % 3 == 1, "failed").otherwise("started")
+    return liveness.heartbeat(_log(spark, d).select("slug", "seq", kind.alias("kind")))
+
+
+@query("""gaps AS (SELECT slug, seq, row_number() OVER (PARTITION BY slug ORDER BY seq) AS i, (k % 50) / 10.0 AS gap FROM log),
+fold AS (WITH RECURSIVE f AS (
+  SELECT slug, i, gap > 3 AS now, (gap > 3)::INT AS flip FROM gaps WHERE i = 1
+  UNION ALL
+  SELECT g.slug, g.i, CASE WHEN f.now THEN g.gap > 1 ELSE g.gap > 3 END, (CASE WHEN f.now THEN g.gap > 1 ELSE g.gap > 3 END <> f.now)::INT
+  FROM f JOIN gaps g ON g.slug = f.slug AND g.i = f.i + 1) SELECT * FROM f)
+SELECT slug, sum(flip)::BIGINT AS flips, max_by(now, i) AS is_stale FROM fold GROUP BY slug""")
+def liveness_hysteresis(spark, d):
+    return liveness.hysteresis(_log(spark, d).select("slug", "seq", (F.col("k") % 50 / 10.0).alias("gap")))
+
+
+@query("SELECT slug, count(*) AS n_writes, max(seq) AS last_seq, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM log WHERE type = 'write_event' GROUP BY slug")
+def streaming_incremental_equals_batch(spark, d):
+    out = incremental.run(spark, f"{d}/events*.parquet")
+    return out.select("slug", "n_writes", "last_seq", F.array_join("tags", ",").alias("tags"))
+
+
+@query("""SELECT r_name, n_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name""")
+def star_broadcast_join(spark, d):
+    t = lambda n: adapters.table(spark, d, n)
+    # nations and regions are fixed, 25 and 5 rows
+    places = F.broadcast(t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")))
+    per = t("orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("s"))
+    whole = per.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    return whole.groupBy("r_name", "n_name").agg(F.sum("n").alias("n_orders"), F.round(F.sum("s"), 2).alias("total"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid_retrieve(spark, sf_dir)
