@@ -72,10 +72,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_per_clas
         .select(label, *[f.alias(f"f{i}") for i, f in enumerate(form(text))])
         .collect()
     )
-    data = np.array([tuple(r) for r in rows], dtype=float).reshape(len(rows), -1)
-    if not len(rows) or len(set(data[:, 0])) < 2:
+    if len({r[0] for r in rows}) < 2:
         k = len(form(text))
         return Evidence([0.0] * k, [1.0] * k, [0.0] * k, 0.0)
+    data = np.array([tuple(r) for r in rows], dtype=float)
     y, x = data[:, 0], data[:, 1:]
     means, scales = x.mean(axis=0), x.std(axis=0) + 1e-6
     x = np.hstack([(x - means) / scales, np.ones((len(x), 1))])
