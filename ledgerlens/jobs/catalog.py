@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import admission, chain, projection, proposals, retrieval, similarity, state
 from ..schema import matrix
-from ..sources import adapters
+from ..sources import adapters, jsonl, markdown
+from ..sources.storage import scratch_path
 from ..streaming import incremental
 from . import evals, liveness, transcripts
 
@@ -649,6 +650,86 @@ def star_broadcast_join(spark, d):
     return whole.groupBy("r_name", "n_name").agg(F.sum("n").alias("n_orders"), F.round(F.sum("s"), 2).alias("total"))
 
 
+# files ----------------------------------------------------------------------------------------
+
+_LAYERS = """kept AS (SELECT l.* FROM log l WHERE tag = 'CURATED' AND NOT EXISTS (SELECT 1 FROM retired r WHERE r.effective AND r.slug = l.slug AND r.superseded_seq = l.seq)),
+two AS (SELECT slug, string_agg(trim(content), chr(10) || chr(10) ORDER BY pos) AS two FROM kept GROUP BY slug),
+three AS (SELECT slug, string_agg(trim(content), chr(10) || chr(10) ORDER BY ts DESC, seq DESC) AS three FROM log WHERE tag = 'SOURCE' GROUP BY slug),
+firsts AS (SELECT slug, strftime(min_by(ts, pos), '%Y-%m-%d') AS created FROM log WHERE type = 'write_event' GROUP BY slug)"""
+
+
+@query(_LAYERS + """
+SELECT slug, md5('---' || chr(10) || 'topic: ' || slug || chr(10) || 'type: reference' || chr(10) || 'status: ' || CASE WHEN meta_k % 5 = 0 THEN 'archived' ELSE 'active' END
+  || chr(10) || 'created: ' || coalesce(created, '2026-04-22') || chr(10) || 'curated_lines: ' || coalesce(len(string_split(two, chr(10))), 0)
+  || chr(10) || 'source_lines: ' || coalesce(len(string_split(three, chr(10))), 0) || chr(10) || 'source_kb: ' || format('{:.1f}', round(strlen(coalesce(three, '')) / 1024.0, 1))
+  || chr(10) || 'summary: >' || chr(10) || '  Topic ' || slug || ' has ' || n_writes || ' entries.' || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+  || '<!-- CURATED_START -->' || chr(10) || chr(10) || coalesce(two || chr(10) || chr(10), '') || '<!-- CURATED_END -->' || chr(10) || chr(10)
+  || '<!-- SOURCE_START -->' || chr(10) || chr(10) || coalesce(three || chr(10) || chr(10), '') || '<!-- SOURCE_END -->' || chr(10)) AS text_md5
+FROM topics LEFT JOIN firsts USING (slug) LEFT JOIN two USING (slug) LEFT JOIN three USING (slug) WHERE meta_k IS NOT NULL""")
+def topic_file_text(spark, d):
+    return projection.topic_files(_log(spark, d)).select("slug", F.md5("text").alias("text_md5"))
+
+
+@query(_LAYERS + """
+SELECT slug, slug AS topic, CASE WHEN meta_k % 5 = 0 THEN 'archived' ELSE 'active' END AS status, coalesce(created, '2026-04-22') AS created,
+       'Topic ' || slug || ' has ' || n_writes || ' entries.' AS summary, md5(coalesce(two, '')) AS curated_md5, md5(coalesce(three, '')) AS source_md5
+FROM topics LEFT JOIN firsts USING (slug) LEFT JOIN two USING (slug) LEFT JOIN three USING (slug) WHERE meta_k IS NOT NULL""")
+def topic_file_parse(spark, d):
+    """Topic files as written, taken apart again."""
+    t = markdown.topic_files(projection.topic_files(_log(spark, d)))
+    return t.select("slug", "topic", "status", "created", "summary", F.md5("curated").alias("curated_md5"), F.md5("source").alias("source_md5"))
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS date, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY seq) - 1 AS line_no, tag, slug, content FROM log WHERE type = 'write_event'""")
+def event_lines_parse(spark, d):
+    """Dated logs as written, line by line."""
+    parsed = markdown.event_lines(markdown.lines(projection.event_logs(_log(spark, d))))
+    return parsed.where("kind = 'event'").select("date", F.col("line_no").cast("long").alias("line_no"), "tag", "slug", "content")
+
+
+@query("""e AS (SELECT strftime(ts, '%Y-%m-%d') AS date, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY seq) - 1 AS i FROM log WHERE type = 'write_event')
+SELECT date, i AS line_no, date || 'T12:' || lpad(least(i // 60, 23)::VARCHAR, 2, '0') || ':' || lpad((i % 60)::VARCHAR, 2, '0') || 'Z' AS ts FROM e""")
+def event_lines_context(spark, d):
+    parsed = markdown.event_lines(markdown.lines(projection.event_logs(_log(spark, d))))
+    return markdown.with_context(parsed).select("date", F.col("line_no").cast("long").alias("line_no"), "ts")
+
+
+@query("SELECT strftime(ts, '%Y-%m') AS month, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq, true AS ok FROM log GROUP BY 1")
+def jsonl_roundtrip(spark, d):
+    """The log written as month files of JSON lines and read back."""
+    log = _log(spark, d)
+    zero = F.lit(chain.GENESIS)
+    entries = log.select("type", F.lit("v1").alias("schema_version"), F.lit(True).alias("is_state_bearing"), "seq", zero.alias("hash_prev"), F.col("slug").alias("intent_id"), "principal", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"))
+    path = scratch_path(spark, "jsonl")
+    jsonl.write(entries, path)
+    lines = spark.read.text(path).select(F.col("month").cast("string").alias("log_file"), F.struct(F.lit(0).alias("block")).alias("place"), F.col("value").alias("raw"))
+    back = jsonl.parsed(lines)
+    return back.groupBy(F.col("log_file").alias("month")).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.bool_and("shape_ok").alias("ok"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(substr(content, 1, n % 100)) = 0 OR trim(substr(content, 1, n % 100), ' ') = '' THEN 'name:must_be_nonblank'
+  WHEN length(substr(content, 1, n % 100)) > 80 THEN 'name:length_out_of_range' WHEN regexp_matches(substr(content, 1, n % 100), '[\\r\\n]') THEN 'name:must_be_single_line'
+  WHEN n % 3 = 0 THEN 'supporting_seqs:must_be_strictly_ascending' WHEN n % 3 = 2 THEN 'supporting_seqs:must_be_strictly_ascending' END AS reason
+FROM (SELECT *, length(content) AS n FROM units)""".replace("\\\\", "\\"))
+def suggestion_rejects(spark, d):
+    u = _units(spark, d).withColumn("n", F.length("content"))
+    name = F.substr("content", F.lit(1), (F.col("n") % 100).cast("int"))
+    seqs = F.array(F.col("seq"), F.col("seq") + F.when(F.col("n") % 3 == 0, 0).when(F.col("n") % 3 == 1, 5).otherwise(-1) + F.when((F.col("n") % 3 == 2) & (F.col("seq") == 1), 2).otherwise(0))
+    line = F.lit("one line")
+    return u.select("doc_id", admission.suggested_reason(F.col("slug"), name, line, line, seqs).alias("reason"))
+
+
+@query("""SELECT doc_id, CASE WHEN n % 4 = 0 THEN 'type:enum_violation' WHEN n % 5 = 0 THEN 'status:enum_violation' WHEN n % 7 = 0 THEN 'tags:item_slug_regex_mismatch'
+  WHEN n % 11 = 0 THEN 'created:must_be_iso_date_yyyy_mm_dd' WHEN n > 1000 THEN 'summary:length_out_of_range' END AS reason FROM (SELECT *, length(content) AS n FROM units)""")
+def metadata_rejects(spark, d):
+    u = _units(spark, d).withColumn("n", F.length("content"))
+    pick = lambda k, bad, good: F.when(F.col("n") % k == 0, bad).otherwise(good)
+    reason = admission.metadata_reason(
+        F.col("slug"), pick(4, "novel", "project"), pick(5, "gone", "active"), F.array(F.lit("a-b"), pick(7, "A b", "c")), pick(11, "1 May", "2024-05-01"), F.regexp_replace("content", "\r", " ")
+    )
+    return u.select("doc_id", reason.alias("reason"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

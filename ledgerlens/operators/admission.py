@@ -62,3 +62,79 @@ def rerouted(writes: DataFrame, admissible: DataFrame, fallback: str = "general"
     known = admissible.select(F.col("slug").alias("known"))
     out = writes.join(known, F.col("slug") == F.col("known"), "left")
     return out.withColumn("rerouted", F.col("known").isNull()).withColumn("slug", F.coalesce("known", F.lit(fallback))).drop("known")
+
+
+# Bounds and enumerations of topic payloads.
+KINDS = ("reference", "project", "feedback", "personal", "archive", "business", "hobby")
+STATUSES = ("active", "paused", "archived", "reference", "deferred")
+MAX_TAGS, MAX_ENTITIES, MAX_SUPPORT, MAX_DISMISSED, MAX_RETIRED = 20, 20, 100, 50, 256
+
+
+def _slug_reason(slug: Column, field: str) -> Column:
+    return (
+        F.when(slug.isNull(), f"{field}:required")
+        .when(~F.length(slug).between(2, 40), f"{field}:length_out_of_range")
+        .when(~slug_ok(slug), f"{field}:slug_regex_mismatch")
+    )
+
+
+def _line_reason(value: Column, field: str, most: int) -> Column:
+    return (
+        F.when(value.isNull(), f"{field}:required")
+        .when(F.trim(value) == "", f"{field}:must_be_nonblank")
+        .when(F.length(value) > most, f"{field}:length_out_of_range")
+        .when(value.rlike(r"[\r\n]"), f"{field}:must_be_single_line")
+    )
+
+
+def _seqs_reason(seqs: Column, field: str, most: int, max_known: Column | None = None) -> Column:
+    bad = F.when(seqs.isNull(), f"{field}:required").when(~F.size(seqs).between(1, most), f"{field}:length_out_of_range")
+    bad = bad.when(F.exists(seqs, lambda s: s < 1), f"{field}:item_must_be_safe_positive_integer")
+    if max_known is not None:
+        bad = bad.when(F.exists(seqs, lambda s: s > max_known), f"{field}:future_or_unknown_seq")
+    return bad.when(F.size(F.array_distinct(seqs)) < F.size(seqs), f"{field}:must_be_strictly_ascending").when(
+        F.array_sort(seqs) != seqs, f"{field}:must_be_strictly_ascending"
+    )
+
+
+def suggested_reason(slug, name, description, rationale, seqs, max_known=None) -> Column:
+    """First rule that a cluster suggestion breaks."""
+    return F.coalesce(
+        _slug_reason(slug, "slug"),
+        _line_reason(name, "name", 80),
+        _line_reason(description, "description", 240),
+        _line_reason(rationale, "rationale", 500),
+        _seqs_reason(seqs, "supporting_seqs", MAX_SUPPORT, max_known),
+    )
+
+
+def metadata_reason(topic, kind, status, tags, created, summary) -> Column:
+    """First rule that a topic's metadata breaks; null fields are absent."""
+    return F.coalesce(
+        _slug_reason(topic, "topic"),
+        F.when(kind.isNotNull() & ~kind.isin(*KINDS), "type:enum_violation"),
+        F.when(status.isNotNull() & ~status.isin(*STATUSES), "status:enum_violation"),
+        F.when(F.size(tags) > MAX_TAGS, "tags:length_out_of_range")
+        .when(F.exists(tags, lambda t: (F.length(t) == 0) | (F.length(t) > 30)), "tags:item_length_out_of_range")
+        .when(F.exists(tags, lambda t: ~t.rlike(r"^[a-z0-9]+(-[a-z0-9]+)*$")), "tags:item_slug_regex_mismatch"),
+        F.when(created.isNotNull() & ~created.rlike(r"^\d{4}-\d{2}-\d{2}$"), "created:must_be_iso_date_yyyy_mm_dd"),
+        F.when(F.length(summary) > 1000, "summary:length_out_of_range").when(summary.rlike("\r"), "summary:must_not_contain_cr"),
+    )
+
+
+def dismissed_reason(seqs, cooldown_days, reason, max_known=None) -> Column:
+    """First rule that a dismissal breaks."""
+    return F.coalesce(
+        _seqs_reason(seqs, "suggestion_seqs", MAX_DISMISSED, max_known),
+        F.when(cooldown_days.isNull() | ~cooldown_days.between(1, 365), "cooldown_days:out_of_range"),
+        F.when(reason.isNotNull(), _line_reason(reason, "reason", 120)),
+    )
+
+
+def retired_reason(topic, seqs, reason, max_known=None) -> Column:
+    """First rule that a retirement breaks."""
+    return F.coalesce(
+        _slug_reason(topic, "topic"),
+        _seqs_reason(seqs, "superseded_seqs", MAX_RETIRED, max_known),
+        F.when(reason.isNotNull(), _line_reason(reason, "reason", 120)),
+    )

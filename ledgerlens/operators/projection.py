@@ -74,3 +74,46 @@ def vector_delta(wanted: DataFrame, held: DataFrame) -> DataFrame:
         .groupBy(F.when(F.col("h").isNull(), "embed").when(F.col("w").isNull(), "prune").otherwise("reuse").alias("action"))
         .agg(F.count("*").alias("n"))
     )
+
+
+def quoted(value):
+    """A YAML scalar, in double quotes where it holds special characters or outer spaces."""
+    special = value.rlike(r"[:\[\]{},&*#?|<>=!%@`\"']") | value.rlike(r"^\s|\s$") | (value == "")
+    escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.when(special, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(value)
+
+
+def _section(start: str, body, end: str):
+    text = F.coalesce(body, F.lit(""))
+    return F.when(text == "", F.lit(f"{start}\n\n{end}")).otherwise(F.concat(F.lit(f"{start}\n\n"), text, F.lit(f"\n\n{end}")))
+
+
+def topic_files(log: DataFrame) -> DataFrame:
+    """(slug, text) of every topic with metadata: front matter, curated layer, source layer. One pass for all topics."""
+    from ..sources.markdown import MARKERS
+
+    t = topics(log).where(F.col("meta_k").isNotNull())
+    first = writes(log).groupBy("slug").agg(F.date_format(F.min_by("ts", "pos"), "yyyy-MM-dd").alias("created"))
+    two, three = layer2(log).withColumnRenamed("text", "two"), layer3(log).withColumnRenamed("text", "three")
+    rows = t.join(first, "slug", "left").join(two, "slug", "left").join(three, "slug", "left")
+    count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(F.split(c, "\n"))).cast("string")
+    kb = F.format_string("%.1f", F.round(F.octet_length(F.coalesce("three", F.lit(""))) / 1024, 1))
+    status = F.when(F.col("meta_k") % 5 == 0, "archived").otherwise("active")
+    front = F.concat_ws(
+        "\n",
+        F.concat(F.lit("topic: "), quoted(F.col("slug"))),
+        F.lit("type: reference"),
+        F.concat(F.lit("status: "), status),
+        F.concat(F.lit("created: "), F.coalesce("created", F.lit("2026-04-22"))),
+        F.concat(F.lit("curated_lines: "), count("two")),
+        F.concat(F.lit("source_lines: "), count("three")),
+        F.concat(F.lit("source_kb: "), kb),
+        F.concat(F.lit("summary: >\n  Topic "), F.col("slug"), F.lit(" has "), F.col("n_writes").cast("string"), F.lit(" entries.")),
+        F.lit(""),
+    )
+    text = F.concat_ws(
+        "\n", F.lit("---"), front, F.lit("---"), F.lit(""),
+        _section(MARKERS["curated"][0], F.col("two"), MARKERS["curated"][1]), F.lit(""),
+        _section(MARKERS["source"][0], F.col("three"), MARKERS["source"][1]), F.lit(""),
+    )
+    return rows.select("slug", text.alias("text"))
