@@ -407,6 +407,31 @@ def hybrid_retrieve(spark, d):
     return found.withColumn("score", F.round("score", 9))
 
 
+_TOPIC_SQL = (
+    "own AS (SELECT slug AS key, content FROM live JOIN acl USING (slug) WHERE list_contains(readers, 'p1')),\n"
+    + f"""post AS (SELECT key, term, count(*) AS tf FROM (SELECT key, unnest({_tok('content')}) AS term FROM own) GROUP BY ALL),
+len AS (SELECT key, sum(len({_tok('content')})) AS length FROM own GROUP BY key),
+st AS (SELECT count(*) AS n, greatest(sum(length) / count(*), 1.0) AS mean FROM len),
+hits AS (SELECT * FROM post JOIN len USING (key) WHERE term IN ('{"', '".join(QUERY)}')),
+df AS (SELECT term, count(*) AS df FROM hits GROUP BY term),
+sc AS (SELECT key, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.3 + 0.7 * length / mean)) + 0.5)) AS score FROM hits JOIN df USING (term), st GROUP BY key)"""
+)
+
+
+@query(_TOPIC_SQL + " SELECT key AS slug, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, key) AS rank FROM sc ORDER BY rank LIMIT 10")
+def exact_lookup(spark, d):
+    u = _units(spark, d)
+    return retrieval.exact_lookup(u, adapters.acl(u), PRINCIPAL, QUERY).withColumn("score", F.round("score", 6))
+
+
+@query("""w AS (SELECT key FROM live), h AS (SELECT key FROM units WHERE doc_id % 3 > 0)
+SELECT count(*) FILTER (h.key IS NULL) AS missing, count(*) FILTER (w.key IS NULL) AS orphaned, CASE WHEN count(*) FILTER (h.key IS NULL) > 0 THEN 'partial' WHEN count(*) FILTER (w.key IS NULL) > 0 THEN 'stale' ELSE 'fresh' END AS status
+FROM w FULL JOIN h ON w.key = h.key""")
+def cache_status(spark, d):
+    u = _units(spark, d)
+    return retrieval.cache_status(retrieval.live(u), u.where("doc_id % 3 > 0"))
+
+
 # similarity -----------------------------------------------------------------------------------
 
 @query(f"""s AS (SELECT doc_id, list_sort(list_distinct({_tok('text')})) AS t FROM documents),
@@ -535,6 +560,41 @@ def support_overlap(spark, d):
     return proposals.overlapping(proposals.proposals(log), log).withColumn("overlap", F.round("overlap", 9))
 
 
+@query("""n AS (SELECT slug, count(*) AS n FROM log WHERE type = 'write_event' AND tag <> 'CURATED' AND (epoch_us(ts) // 1000) >= (SELECT max((epoch_us(ts) // 1000)) FROM log) - 7 * 86400000::BIGINT GROUP BY slug)
+SELECT slug, n FROM n WHERE n >= 3 AND slug IN (SELECT slug FROM topics WHERE meta_k IS NOT NULL)""")
+def curate_targets(spark, d):
+    log = _log(spark, d)
+    return proposals.curate_targets(log, _now_ms(log))
+
+
+@query("""a AS (SELECT slug, max((epoch_us(resolved_ts) // 1000)) AS ms FROM suggested WHERE status = 'accepted' GROUP BY slug)
+SELECT slug FROM a WHERE ms >= (SELECT max((epoch_us(ts) // 1000)) FROM log) - 60 * 86400000::BIGINT AND slug IN (SELECT slug FROM topics WHERE meta_k IS NOT NULL)
+  AND slug NOT IN (SELECT l.slug FROM log l WHERE tag = 'CURATED' AND l.k % 2 = 0 AND NOT EXISTS (SELECT 1 FROM retired r WHERE r.effective AND r.slug = l.slug AND r.superseded_seq = l.seq))""")
+def bootstrap_eligible(spark, d):
+    """Of the curated writes every other one counts, so that some topics are left without."""
+    log = _log(spark, d)
+    half = log.where((F.col("tag").isNull()) | (F.col("tag") != "CURATED") | (F.col("k") % 2 == 0))
+    retired = state.retired_seqs(log)
+    curated = state.writes(half).where("tag = 'CURATED'").select("slug", "seq").join(retired, ["slug", "seq"], "left_anti")
+    young = proposals.bootstrap_eligible(log.where((F.col("tag").isNull()) | (F.col("tag") != "CURATED")), _now_ms(log))
+    return young.join(curated, "slug", "left_anti")
+
+
+@query(f"""w AS (SELECT slug, seq, tag, list_distinct({_tok('content')}) AS t FROM log WHERE type = 'write_event')
+SELECT DISTINCT b.slug, b.seq FROM w b JOIN w o ON b.slug = o.slug AND o.seq > b.seq AND b.tag = 'CURATED' AND o.tag <> 'CURATED'
+WHERE len(b.t) >= 2 AND len(list_intersect(b.t, o.t)) / (len(b.t) + len(o.t) - len(list_intersect(b.t, o.t))) >= 0.3""")
+def repeated_bullets(spark, d):
+    return proposals.repeated_bullets(_log(spark, d), threshold=0.3, least=2)
+
+
+@query("""SELECT seq, 'FACT' AS tag, 'TENTATIVE' AS confidence, slug, content FROM log WHERE tag = 'FACT' AND k % 5 <> 0""")
+def extracted_entries(spark, d):
+    """Model output lines, a fifth of them malformed, parsed by the entry grammar."""
+    bad = F.when(F.col("k") % 5 == 0, F.concat(F.lit("[FACT] "), "content")).otherwise(F.concat(F.lit("  [AUTO-FACT:TENTATIVE] "), "slug", F.lit(" : "), "content"))
+    lines = _log(spark, d).where("tag = 'FACT'").select("seq", bad.alias("line"))
+    return proposals.extracted(lines).drop("line")
+
+
 # transcripts, evaluation, liveness ----------------------------------------------------------
 
 _DELTA = r"""delta AS (SELECT conv_id, turn, role, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '...[truncated]' ELSE text END AS text

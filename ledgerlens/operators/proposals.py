@@ -72,3 +72,48 @@ def overlapping(proposed: DataFrame, log: DataFrame, threshold: float = OVERLAP)
     other = pending.select("suggestion_seq", F.size("seqs").alias("m"), F.explode("seqs").alias("seq"))
     both = own.join(other, "seq").groupBy("slug", "suggestion_seq", "n", "m").agg(F.count("*").alias("both"))
     return both.withColumn("overlap", F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).where(F.col("overlap") >= threshold).select("slug", "suggestion_seq", "overlap")
+
+
+def curate_targets(log: DataFrame, now_ms: int, days: int = 7, min_events: int = 3) -> DataFrame:
+    """(slug, n): topics with metadata and at least ``min_events`` recent writes that aren't curated ones."""
+    recent = F.unix_millis(F.col("ts").cast("timestamp")) >= now_ms - days * 86_400_000
+    n = writes(log).where(recent & (F.col("tag") != "CURATED")).groupBy("slug").agg(F.count("*").alias("n")).where(F.col("n") >= min_events)
+    return n.join(topics(log).where(F.col("meta_k").isNotNull()).select("slug"), "slug", "left_semi")
+
+
+def bootstrap_eligible(log: DataFrame, now_ms: int, max_days: int = 60) -> DataFrame:
+    """Topics with metadata and a recently accepted suggestion, but no curated write that is still live."""
+    from .state import retired_seqs
+
+    accepted = suggestions(log).where("status = 'accepted'").groupBy("slug").agg(F.max(F.unix_millis(F.col("resolved_ts").cast("timestamp"))).alias("ms"))
+    young = accepted.where(F.col("ms") >= now_ms - max_days * 86_400_000)
+    curated = writes(log).where(F.col("tag") == "CURATED").select("slug", "seq").join(retired_seqs(log), ["slug", "seq"], "left_anti")
+    typed = topics(log).where(F.col("meta_k").isNotNull()).select("slug")
+    return young.join(typed, "slug", "left_semi").join(curated, "slug", "left_anti").select("slug")
+
+
+def repeated_bullets(log: DataFrame, threshold: float = 0.35, least: int = 3) -> DataFrame:
+    """(slug, seq): curated writes that a later write of the topic resembles, by equi-join on shared tokens."""
+    from ..functions.text import tokens
+
+    t = F.array_distinct(tokens(F.col("content")))
+    w = writes(log).select("slug", "seq", "tag", "content")
+    bullets = w.where(F.col("tag") == "CURATED").select("slug", F.col("seq").alias("b"), F.size(t).alias("n"), F.explode(t).alias("term")).where(F.col("n") >= least)
+    # equal texts of a topic meet a bullet once, as their last
+    other = w.where(F.col("tag") != "CURATED").groupBy("slug", "content").agg(F.max("seq").alias("o"))
+    other = other.select("slug", "o", F.size(t).alias("m"), F.explode(t).alias("term"))
+    shared = bullets.join(other, ["slug", "term"]).where(F.col("o") > F.col("b")).groupBy("slug", "b", "o", "n", "m").agg(F.count("*").alias("both"))
+    near = shared.where(F.col("both") / (F.col("n") + F.col("m") - F.col("both")) >= threshold)
+    return near.select("slug", F.col("b").alias("seq")).distinct()
+
+
+# The grammar of extracted entries.
+ENTRY = r"^\[AUTO-(FACT|DECISION|CHANGED|PROCEDURE|TODO|EVENT):(CONFIRMED|TENTATIVE|CONTEXT)\]\s+([a-z0-9]+(?:-[a-z0-9]+)*)\s*:\s*(.+)$"
+
+
+def extracted(lines: DataFrame, line: str = "line") -> DataFrame:
+    """(.., tag, confidence, slug, content) of the lines that are well-formed entries."""
+    t = F.trim(F.col(line))
+    part = lambda i: F.regexp_extract(t, ENTRY, i)
+    rows = lines.where(t.rlike(ENTRY)).select("*", part(1).alias("tag"), part(2).alias("confidence"), part(3).alias("slug"), F.trim(part(4)).alias("content"))
+    return rows.where(slug_ok(F.col("slug")))

@@ -38,9 +38,13 @@ def authorized(asked: DataFrame, acl: DataFrame, principal: str) -> DataFrame:
 
 
 def postings(units: DataFrame) -> DataFrame:
-    """(key, term, tf, length) over the units' content."""
-    t = units.select("key", tokens(F.col("content")).alias("t"))
-    return t.select("key", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("key", "length", "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf) over the content of each key's rows."""
+    return units.select("key", F.explode(tokens(F.col("content"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+
+
+def lengths(units: DataFrame) -> DataFrame:
+    """(key, length): tokens of each key's rows."""
+    return units.groupBy("key").agg(F.sum(F.size(tokens(F.col("content")))).alias("length"))
 
 
 def expanded(vocabulary: DataFrame, query: DataFrame, fuzzy: float = 0.3) -> DataFrame:
@@ -61,14 +65,15 @@ def lexical(units: DataFrame, query: list[str], fuzzy: float | None = None, mode
     spark = units.sparkSession
     q = spark.createDataFrame([(x,) for x in dict.fromkeys(query)], "q string")
     p = postings(units)
-    stats = p.groupBy("key").agg(F.sum("tf").alias("length")).agg(F.sum("length").alias("total")).first()
-    n = units.count()
+    size = lengths(units)
+    stats = size.agg(F.count("*").alias("n"), F.sum("length").alias("total")).first()
+    n = stats["n"]
     mean = max((stats["total"] or 0) / max(n, 1), 1.0)
     if fuzzy is None:
         terms = q.select("q", F.col("q").alias("term"), F.lit(1.0).alias("weight"))
     else:
         terms = expanded(p.select("term").distinct(), q, fuzzy)
-    hits = p.join(terms, "term")
+    hits = p.join(terms, "term").join(size, "key")
     df = hits.groupBy("term").agg(F.countDistinct("key").alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean))) + DELTA
@@ -87,6 +92,34 @@ def lexical(units: DataFrame, query: list[str], fuzzy: float | None = None, mode
     return ranked(top)
 
 
+def exact_lookup(units: DataFrame, acl: DataFrame, principal: str, query: list[str], limit: int = 10) -> DataFrame:
+    """(slug, score, rank) of whole topics: the live units of a topic count as one text; access comes before scoring."""
+    own = readable(live(units), acl, principal).select(F.col("slug").alias("key"), "content")
+    top = lexical(own, query, mode="or", limit=limit)
+    return top.select(F.col("key").alias("slug"), "score", "rank")
+
+
+def confidence(best: Column) -> Column:
+    return F.when(best >= 4, "high").when(best >= 1.5, "medium").otherwise("low")
+
+
+def context_pack(found: DataFrame, topics: DataFrame, max_topics: int = 3) -> DataFrame:
+    """(slug, rank, confidence, excerpt): each topic's best hit, with an excerpt of its curated layer."""
+    best = found.groupBy("slug").agg(F.min("rank").alias("rank"), F.max("score").alias("score")).orderBy("rank").limit(max_topics)
+    excerpt = F.when(F.length("text") > 1500, F.concat(F.substring("text", 1, 1500), F.lit("…"))).otherwise(F.col("text"))
+    return topics.join(F.broadcast(best), "slug").select("slug", "rank", confidence(F.col("score")).alias("confidence"), excerpt.alias("excerpt"))
+
+
+def cache_status(live_keys: DataFrame, cached: DataFrame | None) -> DataFrame:
+    """(missing, orphaned, status) of a vector cache: missing, partial, stale or fresh."""
+    if cached is None:
+        return live_keys.agg(F.count("*").alias("missing"), F.lit(0).cast("long").alias("orphaned"), F.lit("missing").alias("status"))
+    both = live_keys.select("key", F.lit(1).alias("l")).join(cached.select("key", F.lit(1).alias("c")), "key", "full_outer")
+    counts = both.agg(F.count_if(F.col("c").isNull()).alias("missing"), F.count_if(F.col("l").isNull()).alias("orphaned"))
+    status = F.when(F.col("missing") > 0, "partial").when(F.col("orphaned") > 0, "stale").otherwise("fresh")
+    return counts.withColumn("status", status)
+
+
 def ranked(top: DataFrame) -> DataFrame:
     """A bounded list (key, score) with ranks from 1."""
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "key")))
