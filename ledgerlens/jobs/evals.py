@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def collapsed(rankings: DataFrame) -> DataFrame:
     """Each session's best hit, ranked anew."""
     best = rankings.groupBy("qid", "session").agg(F.min("rank").alias("rank"))
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "session")))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "session")).cast("long"))
 
 
 def recall(sessions: DataFrame, gold: DataFrame, ks=(1, 3, 5, 10)) -> DataFrame:

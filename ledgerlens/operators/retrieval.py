@@ -122,7 +122,7 @@ def cache_status(live_keys: DataFrame, cached: DataFrame | None) -> DataFrame:
 
 def ranked(top: DataFrame) -> DataFrame:
     """A bounded list (key, score) with ranks from 1."""
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "key")))
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "key")).cast("long"))
 
 
 def cosine(vectors: DataFrame, query: list[float], floor: float = FLOOR, limit: int = N_PRE) -> DataFrame:
