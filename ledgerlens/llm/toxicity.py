@@ -111,14 +111,16 @@ def fitted(rows: list[tuple[int, np.ndarray]], ratios: np.ndarray, prior_shift:
     # the rarer class counts for more, by the square root of the odds
     share = np.where(y == 1, np.sqrt((len(y) - y.sum()) / y.sum()), 1.0)
     counts = np.array([len(r[1]) for r in rows])
-    cols = np.concatenate([r[1] for r in rows]) if len(rows) else np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(rows)), counts)
+    cols = np.concatenate([r[1] for r in rows])
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), counts)
+    parts = [slice(i, i + (1 << 19)) for i in range(0, len(cols), 1 << 19)]
     w, b = np.zeros(len(ratios)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(doc, weights=(w * ratios)[cols], minlength=len(rows)) + b
+        scaled = w * ratios
+        z = sum((np.bincount(doc[p], weights=scaled[cols[p]], minlength=len(rows)) for p in parts), np.full(len(rows), b))
         e = share * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / share.sum()
-        g = np.bincount(cols, weights=e[doc], minlength=len(w)) * ratios + penalty * w
+        g = sum((np.bincount(cols[p], weights=e[doc[p]], minlength=len(w)) for p in parts), np.zeros_like(w)) * ratios + penalty * w
         gb = e.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -173,7 +175,7 @@ def train(
 
     r = F.log(((F.col("c1") + 1) / (n1 + 2)) / ((F.col("c0") + 1) / (n0 + 2)))
     sure = F.abs("ratio") / F.sqrt(1 / (F.col("c1") + 1) + 1 / (F.col("c0") + 1))
-    top = (
+    chosen_rows = (
         texts.mapInArrow(count, "bucket int, c1 int, c0 int")
         .groupBy("bucket")
         .agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
@@ -183,11 +185,10 @@ def train(
         .orderBy(F.desc("sure"), "bucket")
         .limit(max_features)
         .select("bucket", "ratio")
-        .collect()
+        .toArrow()
+        .sort_by("bucket")
     )
-    top.sort()
-    buckets = np.array([x.bucket for x in top], dtype=np.int64)
-    ratios = np.array([x.ratio for x in top])
+    buckets, ratios = np.asarray(chosen_rows["bucket"]).astype(np.int64), np.asarray(chosen_rows["ratio"])
 
     def extract(batches):
         chosen = np.zeros(1 << BITS, dtype=bool)
@@ -196,10 +197,12 @@ def train(
             ts, rows = batch.column(1).to_pylist(), []
             for a, b in chunks_of(ts):
                 doc, bucket = features(ts[a:b], chosen)
-                rows += np.split(np.searchsorted(buckets, bucket).astype(np.int32), np.searchsorted(doc, np.arange(1, b - a)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], [label, "cols"])
+                cols = np.split(np.searchsorted(buckets, bucket).astype("<i4"), np.searchsorted(doc, np.arange(1, b - a)))
+                rows += [c.tobytes() for c in cols]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], [label, "cols"])
 
-    rows = [(x[label], np.array(x["cols"], dtype=np.int64)) for x in texts.mapInArrow(extract, f"{label} int, cols array<int>").collect()]
+    found = texts.mapInArrow(extract, f"{label} int, cols binary").toLocalIterator()
+    rows = [(x[label], np.frombuffer(bytes(x["cols"]), dtype="<i4")) for x in found]
     shift = np.log((total[1] / total[0]) / (n1 / n0))
     weights, intercept = fitted(rows, ratios, float(shift), penalty, steps)
     return Model(buckets, weights, float(intercept))
