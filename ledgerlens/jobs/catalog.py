@@ -185,7 +185,7 @@ def log_tail(spark, d):
     return state.tail(_log(spark, d))
 
 
-@query("""cut AS (SELECT * FROM log WHERE pos < (SELECT min(pos) FROM log WHERE seq > 5000))
+@query("""cut AS (SELECT * FROM log WHERE pos < coalesce((SELECT min(pos) FROM log WHERE seq > 5000), 1000000000000))
 SELECT slug, count(*) AS n_writes, max(seq) AS last_seq FROM cut WHERE type = 'write_event' GROUP BY slug""")
 def as_of_state(spark, d):
     return state.writes(state.as_of(_log(spark, d), 5000)).groupBy("slug").agg(F.count("*").alias("n_writes"), F.max("seq").alias("last_seq"))
