@@ -23,7 +23,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, text_or_empty
@@ -48,9 +48,8 @@ def shingle_hashes(ws: list[bytes], width: int, seed: int = 42) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], seed) for a, b in at), dtype="<u8", count=k)
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
-    """The SimHash of a UTF-8 text over its lower-cased ``width``-word shingles."""
-    hashes = shingle_hashes(text.lower().split(), width, seed)  # of bytes: A-Z and the six ASCII spaces alone
+def simhash(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of these hashes, as a signed number; zero where there are none."""
     k = len(hashes)
     if not k:
         return 0
@@ -61,6 +60,16 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > k, bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
+    """The SimHash of a UTF-8 text over its lower-cased ``width``-word shingles, repeated ones as often as they stand."""
+    return simhash(shingle_hashes(text.lower().split(), width, seed))  # of bytes: A-Z and the six ASCII spaces alone
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The distinct hashes of a UTF-8 text's lower-cased shingles, sorted."""
+    return np.unique(shingle_hashes(text.lower().split(), width))
+
+
 def fingerprints(docs: DataFrame, doc_col="doc_id", text_col="text", width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp): 64 bits as a signed long."""
     small_batches(docs.sparkSession)
@@ -232,7 +241,7 @@ def shingle_sets(docs: DataFrame, width: int, doc_col="doc_id", text_col="text")
 
     def run(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.lower().split(), width)).tobytes() for t in batch.column(1).to_pylist()]
+            sets = [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
     return docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.encode(text_or_empty(text_col), "UTF-8")).mapInArrow(
@@ -276,7 +285,7 @@ def minhash_bits(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, width: int, doc_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, fp, m0, m1): a SimHash and one-bit minhashes over ``width``-word shingles."""
+    """(doc_id, fp, m0, m1): a SimHash and one-bit minhashes of the set of ``width``-word shingles."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -284,8 +293,9 @@ def sketched(docs: DataFrame, width: int, doc_col="doc_id", text_col="text") ->
         for batch in batches:
             fps, bits = [], []
             for t in batch.column(1).to_pylist():
-                fps.append(fingerprint(t, width))
-                bits.append(minhash_bits(shingle_hashes(t.lower().split(), width), factors))
+                hashes = shingle_set(t, width)
+                fps.append(simhash(hashes))
+                bits.append(minhash_bits(hashes, factors))
             m = np.array(bits, dtype=np.int64).reshape(len(fps), len(SKETCH))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(fps, pa.int64()), *(pa.array(m[:, i]) for i in range(len(SKETCH)))], ["doc_id", "fp", *SKETCH]
@@ -322,14 +332,92 @@ def star_links(live: DataFrame, distance: int, most: int, parts: int = 4) -> Dat
     return values.join(center, met).select(F.col("c.doc_id").alias("a_id"), F.col("doc_id").alias("b_id")).distinct()
 
 
+#: Documents whose shingles are counted to tell common ones, and common shingles kept at most.
+SAMPLED, COMMON = 20_000, 100_000
+
+
+def common_shingles(docs: DataFrame, width: int, doc_col="doc_id", text_col="text") -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of three or more of a sample of documents, sorted, and in how many they stand."""
+    every = max(1, docs.count() // SAMPLED)
+    sample = docs.where(F.pmod(F.xxhash64(F.col(doc_col)), F.lit(every)) == 0)
+
+    def run(batches):
+        for batch in batches:
+            for s in batch.column(1).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s, "<i8"))], ["x"])
+
+    counts = shingle_sets(sample, width, doc_col, text_col).mapInArrow(run, "x long").groupBy("x").agg(F.count("*").alias("n"))
+    found = counts.where("n > 2").orderBy(F.desc("n"), "x").limit(COMMON).toArrow()
+    x, n = (found.column(c).to_numpy().astype("<i8") for c in ("x", "n"))
+    order = np.argsort(x.view("<u8"))
+    return x.view("<u8")[order], n[order]
+
+
+def rarest_first(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A set in the one order that all sets share: by count in the sample, then by hash."""
+    n = np.zeros(len(hashes), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        n = np.where(common[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, n))]
+
+
+def prefixes(docs: DataFrame, width: int, similarity: float, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(doc_id, x, at, size) of a set's first shingles, rarest first: sets of ``similarity`` or more have one in common.
+
+    Such sets share ``similarity`` of the larger one at least, so all but that many, and one, are listed.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            xs, lengths, sizes = [np.zeros(0, dtype="<u8")], [], []
+            for t in batch.column(1).to_pylist():
+                hashes = rarest_first(shingle_set(t, width), common, counts)
+                n = len(hashes)
+                xs.append(hashes[: n - math.ceil(similarity * n - 1e-6) + 1])
+                lengths.append(len(xs[-1]))
+                sizes.append(n)
+            lengths = np.array(lengths, dtype=np.int64)
+            at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            doc = np.repeat(np.asarray(batch.column(0)), lengths)
+            size = np.repeat(np.array(sizes, dtype=np.int32), lengths)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc), pa.array(np.concatenate(xs).view("<i8")), pa.array(at.astype(np.int32)), pa.array(size)], ["doc_id", "x", "at", "size"]
+            )
+
+    return docs.select("doc_id", F.encode(text_or_empty("text"), "UTF-8")).mapInArrow(run, "doc_id long, x long, at int, size int")
+
+
+def prefix_links(texts: DataFrame, labels: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a_id, b_id): all pairs of ``texts`` (doc_id, text) that can have ``similarity``, but those of equal ``labels`` (doc_id, label).
+
+    Exact: of two such sets the smaller has one of its first shingles, up to 2s / (1 + s) of it from
+    the end, among the larger one's first. What two sets with a shingle at these places share at most
+    is bounded by what stands before and after it.
+    """
+    common, counts = common_shingles(texts, width)
+    rows = prefixes(texts, width, similarity, common, counts).join(labels, "doc_id")
+    whole = Window.partitionBy("x")
+    rows = rows.select("*", F.min("label").over(whole).alias("least"), F.max("label").over(whole).alias("most"))
+    rows = materialize(rows.where("least < most").drop("least", "most"), "simhash-prefixes")
+    a, b = (rows.select("x", *[F.col(c).alias(f"{end}_{c}") for c in ("doc_id", "at", "size", "label")]) for end in "ab")
+    share = similarity / (1 + similarity)
+    first = F.struct("a_size", "a_doc_id") < F.struct("b_size", "b_doc_id")
+    early = F.col("a_at") <= F.col("a_size") * (1 - 2 * share) + 1e-6
+    bound = F.least("a_at", "b_at") + F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
+    met = first & early & (F.col("a_label") != F.col("b_label")) & (bound >= share * (F.col("a_size") + F.col("b_size")) - 1e-6)
+    pairs = a.join(b, (a.x == b.x) & met)
+    return pairs.select(F.least("a_doc_id", "b_doc_id").alias("a_id"), F.greatest("a_doc_id", "b_doc_id").alias("b_id")).distinct()
+
+
 def groups(docs: DataFrame, doc_col="doc_id", text_col="text", width: int = 5, similarity: float = 0.8, distance: int = 10, stars: int = 2) -> DataFrame:
     """(doc_id, group_id) of every document: group_id is the smallest doc_id of its near duplicates.
 
     Dense groups are first joined by ``stars`` rounds of links to the smallest document that
-    shares a part of a fingerprint; then all pairs within ``distance`` bits are probed among the
-    smallest documents of the groups so far. Every link is verified on whole shingle sets.
-    Sketches of one-bit minhashes keep pairs apart whose fingerprints are close but whose sets
-    are not; about one pair in a hundred at the very bound of similarity is missed for it.
+    shares a part of a fingerprint, within ``distance`` bits and with a close sketch; then the
+    smallest documents of the groups so far are joined on the rare shingles of their sets, which
+    misses no pair. Every link is verified on whole shingle sets.
     """
     most = sketch_bound(similarity)
     fps = materialize(sketched(docs, width, doc_col, text_col), "simhash-fps")
@@ -341,9 +429,9 @@ def groups(docs: DataFrame, doc_col="doc_id", text_col="text", width: int = 5, s
         if step < stars:
             ends = materialize(star_links(live, distance, most), "simhash-ends")
         else:
-            near = links(live.select("fp", *SKETCH), distance, SKETCH, most)
-            id_of = lambda end, live=live: live.select(F.col("fp").alias(end), F.col("doc_id").alias(f"{end}_id"))
-            ends = materialize(near.join(id_of("a"), "a").join(id_of("b"), "b").select("a_id", "b_id"), "simhash-ends")
+            texts = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(live.select("doc_id"), "doc_id")
+            labels = live.select("doc_id", F.col("doc_id").alias("label"))
+            ends = materialize(prefix_links(texts, labels, width, similarity), "simhash-ends")
         wanted = ends.select(F.col("a_id").alias("doc_id")).union(ends.select("b_id")).distinct()
         texts = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col)).join(wanted, "doc_id")
         sets = materialize(shingle_sets(texts, width, "doc_id", text_col).groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "simhash-sets")
