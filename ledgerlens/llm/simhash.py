@@ -415,9 +415,10 @@ def groups(docs: DataFrame, doc_col="doc_id", text_col="text", width: int = 5, s
     """(doc_id, group_id) of every document: group_id is the smallest doc_id of its near duplicates.
 
     Dense groups are first joined by ``stars`` rounds of links to the smallest document that
-    shares a part of a fingerprint, within ``distance`` bits and with a close sketch; then the
-    smallest documents of the groups so far are joined on the rare shingles of their sets, which
-    misses no pair. Every link is verified on whole shingle sets.
+    shares a part of a fingerprint, within ``distance`` bits and with a close sketch; a member
+    leaves the later rounds, but not the join that follows: there all documents meet on the rare
+    shingles of their sets, which misses no pair, and only pairs already in one group are
+    skipped. Every link is verified on whole shingle sets.
     """
     most = sketch_bound(similarity)
     fps = materialize(sketched(docs, width, doc_col, text_col), "simhash-fps")
@@ -425,19 +426,20 @@ def groups(docs: DataFrame, doc_col="doc_id", text_col="text", width: int = 5, s
     lead = materialize(fps.groupBy("fp").agg(first).select("fp", F.col("first.doc_id").alias("lead"), *[f"first.{c}" for c in SKETCH]), "simhash-leads")
     node = lead.select(F.col("lead").alias("node"), F.col("lead").alias("label"))
     live = lead.select("fp", F.col("lead").alias("doc_id"), *SKETCH)
+    whole = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     for step in range(stars + 1):
         if step < stars:
             ends = materialize(star_links(live, distance, most), "simhash-ends")
         else:
-            texts = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(live.select("doc_id"), "doc_id")
-            labels = live.select("doc_id", F.col("doc_id").alias("label"))
+            texts, labels = whole.join(lead.select(F.col("lead").alias("doc_id")), "doc_id"), node.withColumnRenamed("node", "doc_id")
             ends = materialize(prefix_links(texts, labels, width, similarity), "simhash-ends")
         wanted = ends.select(F.col("a_id").alias("doc_id")).union(ends.select("b_id")).distinct()
-        texts = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col)).join(wanted, "doc_id")
-        sets = materialize(shingle_sets(texts, width, "doc_id", text_col).groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "simhash-sets")
+        texts = whole.join(wanted, "doc_id")
+        sets = materialize(shingle_sets(texts, width).groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "simhash-sets")
         of = lambda end, sets=sets: sets.select(F.col("doc_id").alias(f"{end}_id"), F.col("shingles").alias(f"s{end}"))
         true = similar(ends.join(of("a"), "a_id").join(of("b"), "b_id").select("a_id", "b_id", "sa", "sb"), similarity)
-        labels = components(true)
+        label_of = lambda end, node=node: node.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+        labels = components(true.join(label_of("a"), "a").join(label_of("b"), "b"), "a_label", "b_label")
         joined = labels.select(F.col("node").alias("label"), F.col("label").alias("joined"))
         node = materialize(
             node.join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("label")), "simhash-groups"

@@ -52,3 +52,15 @@ def test_no_pair_at_the_bound_is_lost(spark):
     want = plain_groups(rows)
     assert sum(i != g for i, g in want.items()) == 150
     assert got_groups(spark, rows) == want
+
+
+def test_links_of_joined_documents_count(spark):
+    rng, rows = random.Random(2), []
+    for i in range(60):  # A like B, B like C, A unlike C: a chain of three
+        a = some_words(rng, 400)
+        b = a[:-40] + some_words(rng, 40)
+        rows += [(10 * i, " ".join(a)), (10 * i + 1, " ".join(b)), (10 * i + 2, " ".join(some_words(rng, 40) + b[40:]))]
+    want = plain_groups(rows)
+    assert jaccard(sets_of(rows[0][1]), sets_of(rows[2][1])) < 0.7
+    assert all(want[i] == i // 10 * 10 for i in want)
+    assert got_groups(spark, rows) == want
