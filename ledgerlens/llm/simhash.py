@@ -285,24 +285,26 @@ def minhash_bits(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, width: int, doc_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, fp, m0, m1): a SimHash and one-bit minhashes of the set of ``width``-word shingles."""
+    """(doc_id, fp, content, m0, m1): a SimHash, a 128-bit hash and one-bit minhashes of the set of ``width``-word shingles."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         factors = _multipliers()
         for batch in batches:
-            fps, bits = [], []
+            fps, contents, bits = [], [], []
             for t in batch.column(1).to_pylist():
                 hashes = shingle_set(t, width)
                 fps.append(simhash(hashes))
+                contents.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                 bits.append(minhash_bits(hashes, factors))
             m = np.array(bits, dtype=np.int64).reshape(len(fps), len(SKETCH))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps, pa.int64()), *(pa.array(m[:, i]) for i in range(len(SKETCH)))], ["doc_id", "fp", *SKETCH]
+                [batch.column(0), pa.array(fps, pa.int64()), pa.array(contents, pa.binary()), *(pa.array(m[:, i]) for i in range(len(SKETCH)))],
+                ["doc_id", "fp", "content", *SKETCH],
             )
 
     return docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.encode(text_or_empty(text_col), "UTF-8")).mapInArrow(
-        run, "doc_id long, fp long, " + ", ".join(f"{c} long" for c in SKETCH)
+        run, "doc_id long, fp long, content binary, " + ", ".join(f"{c} long" for c in SKETCH)
     )
 
 
@@ -414,7 +416,7 @@ def prefix_links(texts: DataFrame, labels: DataFrame, width: int, similarity: fl
 def groups(docs: DataFrame, doc_col="doc_id", text_col="text", width: int = 5, similarity: float = 0.8, distance: int = 10, stars: int = 2) -> DataFrame:
     """(doc_id, group_id) of every document: group_id is the smallest doc_id of its near duplicates.
 
-    Dense groups are first joined by ``stars`` rounds of links to the smallest document that
+    Documents of equal shingle sets are one node; equal fingerprints alone join nothing. Dense groups are first joined by ``stars`` rounds of links to the smallest document that
     shares a part of a fingerprint, within ``distance`` bits and with a close sketch; a member
     leaves the later rounds, but not the join that follows: there all documents meet on the rare
     shingles of their sets, which misses no pair, and only pairs already in one group are
@@ -422,8 +424,9 @@ def groups(docs: DataFrame, doc_col="doc_id", text_col="text", width: int = 5, s
     """
     most = sketch_bound(similarity)
     fps = materialize(sketched(docs, width, doc_col, text_col), "simhash-fps")
-    first = F.min(F.struct("doc_id", *SKETCH)).alias("first")
-    lead = materialize(fps.groupBy("fp").agg(first).select("fp", F.col("first.doc_id").alias("lead"), *[f"first.{c}" for c in SKETCH]), "simhash-leads")
+    first = F.min(F.struct("doc_id", "fp", *SKETCH)).alias("first")
+    lead = fps.groupBy("content").agg(first).select("content", F.col("first.doc_id").alias("lead"), "first.fp", *[f"first.{c}" for c in SKETCH])
+    lead = materialize(lead, "simhash-leads")
     node = lead.select(F.col("lead").alias("node"), F.col("lead").alias("label"))
     live = lead.select("fp", F.col("lead").alias("doc_id"), *SKETCH)
     whole = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -446,8 +449,8 @@ def groups(docs: DataFrame, doc_col="doc_id", text_col="text", width: int = 5, s
         )
         gone = labels.where("node <> label").select(F.col("node").alias("doc_id"))
         live = materialize(live.join(gone, "doc_id", "left_anti").select("fp", "doc_id", *SKETCH), "simhash-leads")
-    of_fp = lead.join(node, lead.lead == node.node).select("fp", F.col("label").alias("group_id"))
-    return fps.join(of_fp, "fp").select("doc_id", "group_id")
+    of_content = lead.join(node, lead.lead == node.node).select("content", F.col("label").alias("group_id"))
+    return fps.join(of_content, "content").select("doc_id", "group_id")
 
 
 def hex_of(fp: str = "fp"):

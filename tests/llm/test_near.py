@@ -64,3 +64,17 @@ def test_links_of_joined_documents_count(spark):
     assert jaccard(sets_of(rows[0][1]), sets_of(rows[2][1])) < 0.7
     assert all(want[i] == i // 10 * 10 for i in want)
     assert got_groups(spark, rows) == want
+
+
+def test_equal_fingerprints_of_different_sets_join_nothing(spark, monkeypatch):
+    # 200 x 'spam' outweighs the rest where repeats count; sets of one and the same fingerprint are forced by a constant one
+    rng = random.Random(3)
+    rows = [(i, " ".join(["spam"] * 200 + some_words(rng, 90))) for i in range(4)]
+    near = rows[0][1].split()
+    rows.append((4, " ".join([*near, "last"])))
+    want = plain_groups(rows)
+    assert want == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0}
+    assert got_groups(spark, rows) == want
+    monkeypatch.setattr(simhash, "simhash", lambda hashes: 0)
+    assert simhash.fingerprint(b"a b c d e f", 5) == 0
+    assert got_groups(spark, rows) == want
