@@ -38,10 +38,10 @@ def normalized(text_col: str = "text") -> Column:
     return F.regexp_replace(text_or_empty(text_col), _RUN, " ")
 
 
-def _blocks(docs: DataFrame, doc_col: str, text_col: str, block_bytes: int) -> DataFrame:
+def _blocks(docs: DataFrame, doc_col: str, text_col: str, block_bytes: int, key_col: str | None = None) -> DataFrame:
     """Rows (row_id, idx, n_blocks, first_equal, content, doc_id, sha256).
 
-    ``content`` is null where an earlier block of the task, ``first_equal``, has it;
+    ``row_id`` is ``key_col``, or the row's place. ``content`` is null where an earlier block of the task, ``first_equal``, has it;
     ``doc_id`` and ``sha256`` stand in a document's first row only.
     """
     small_batches(docs.sparkSession)
@@ -49,12 +49,13 @@ def _blocks(docs: DataFrame, doc_col: str, text_col: str, block_bytes: int) -> D
     def run(batches):
         from pyspark import TaskContext
 
-        row_id = block_id = TaskContext.get().partitionId() << 40
+        place = block_id = TaskContext.get().partitionId() << 40
         seen: dict[bytes, int] = {}
         held = 0
         for batch in batches:
             rows = []
-            for doc, sha, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, sha, text, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row_id = place if key is None else key
                 n = max(1, -(-len(text) // block_bytes))
                 for i in range(n):
                     block = text[i * block_bytes : (i + 1) * block_bytes]
@@ -68,15 +69,16 @@ def _blocks(docs: DataFrame, doc_col: str, text_col: str, block_bytes: int) -> D
                         held += len(block) + 100
                         block_id += 1
                     rows.append((row_id, i, n, first, block if new else None, None if i else doc, None if i else sha))
-                row_id += 1
+                place += 1
             names = ["row_id", "idx", "n_blocks", "first_equal", "content", "doc_id", "sha256"]
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     text = normalized(text_col)
+    key = (F.col(key_col) if key_col else F.lit(None)).cast("long").alias("key")
     return docs.select(
-        F.col(doc_col).cast("long").alias("doc_id"), F.sha2(F.encode(text, "UTF-8"), 256).alias("sha256"), F.encode(text, "UTF-8")
+        F.col(doc_col).cast("long").alias("doc_id"), F.sha2(F.encode(text, "UTF-8"), 256).alias("sha256"), F.encode(text, "UTF-8"), key
     ).mapInArrow(run, "row_id long, idx int, n_blocks int, first_equal long, content binary, doc_id long, sha256 string")
 
 
@@ -88,9 +90,9 @@ def _named(rows: DataFrame, by: list[str], count: int) -> DataFrame:
     return rows.withColumn("bucket", bucket).withColumn("name", rank.cast("long") * buckets + F.col("bucket"))
 
 
-def identities(docs: DataFrame, doc_col="doc_id", text_col="text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def identities(docs: DataFrame, doc_col="doc_id", text_col="text", block_bytes: int = BLOCK_BYTES, key_col: str | None = None) -> DataFrame:
     """(row_id, doc_id, sha256, rounds, name) for each row: equal (rounds, name), equal normalised text."""
-    blocks = materialize(_blocks(docs, doc_col, text_col, block_bytes), "dedup-blocks")
+    blocks = materialize(_blocks(docs, doc_col, text_col, block_bytes, key_col), "dedup-blocks")
     fat = blocks.where(F.col("content").isNotNull()).select("first_equal", "content")
     names = _named(fat, ["content"], fat.count()).select("first_equal", "name")
     level = materialize(
@@ -121,13 +123,20 @@ def identities(docs: DataFrame, doc_col="doc_id", text_col="text", block_bytes:
     return blocks.where("idx = 0").select("row_id", "doc_id", "sha256").join(found, "row_id")
 
 
+def _with_first(ids: DataFrame) -> DataFrame:
+    """Rows of ``identities`` with ``group_size`` and ``first``, the (doc_id, row_id) that stays of those with equal text."""
+    groups = ids.groupBy("rounds", "name").agg(F.min(F.struct("doc_id", "row_id")).alias("first"), F.count("*").alias("group_size"))
+    return ids.join(groups, ["rounds", "name"])
+
+
+def repeated(docs: DataFrame, key_col: str, doc_col="doc_id", text_col="text") -> DataFrame:
+    """(row_id): keys of the rows whose text an earlier row has."""
+    return _with_first(identities(docs, doc_col, text_col, key_col=key_col)).where("row_id <> first.row_id").select("row_id")
+
+
 def dedup(docs: DataFrame, doc_col="doc_id", text_col="text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row for each row of ``docs``."""
-    ids = identities(docs, doc_col, text_col, block_bytes)
-    groups = ids.groupBy("rounds", "name").agg(
-        F.min(F.struct("doc_id", "row_id")).alias("first"), F.count("*").alias("group_size")
-    )
-    return ids.join(groups, ["rounds", "name"]).select(
+    return _with_first(identities(docs, doc_col, text_col, block_bytes)).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         "group_size",

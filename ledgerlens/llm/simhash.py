@@ -413,9 +413,13 @@ def prefix_links(texts: DataFrame, labels: DataFrame, width: int, similarity: fl
     return pairs.select(F.least("a_doc_id", "b_doc_id").alias("a_id"), F.greatest("a_doc_id", "b_doc_id").alias("b_id")).distinct()
 
 
-def groups(docs: DataFrame, doc_col="doc_id", text_col="text", width: int = 5, similarity: float = 0.8, distance: int = 10, stars: int = 2) -> DataFrame:
-    """(doc_id, group_id) of every document: group_id is the smallest doc_id of its near duplicates.
+def groups(
+    docs: DataFrame, doc_col="doc_id", text_col="text", width: int = 5, similarity: float = 0.8, distance: int = 10, stars: int = 2, key_col: str | None = None
+) -> DataFrame:
+    """(row_key, doc_id, group_id, kept) of every row: group_id is the smallest doc_id of its near duplicates.
 
+    Rows are told apart by ``key_col``, a long that must not change when ``docs`` is read again, or
+    by numbers of their own; the one with the smallest (doc_id, key) of a group is kept.
     Documents of equal shingle sets are one node; equal fingerprints alone join nothing. Dense groups are first joined by ``stars`` rounds of links to the smallest document that
     shares a part of a fingerprint, within ``distance`` bits and with a close sketch; a member
     leaves the later rounds, but not the join that follows: there all documents meet on the rare
@@ -423,13 +427,18 @@ def groups(docs: DataFrame, doc_col="doc_id", text_col="text", width: int = 5, s
     skipped. Every link is verified on whole shingle sets.
     """
     most = sketch_bound(similarity)
-    fps = materialize(sketched(docs, width, doc_col, text_col), "simhash-fps")
+    if key_col is None:
+        key_col = "row_key"
+        docs = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias(key_col))
+        docs, doc_col, text_col = materialize(docs, "simhash-rows"), "doc_id", "text"
+    # from here on a row's key stands for its doc_id
+    fps = materialize(sketched(docs, width, key_col, text_col), "simhash-fps")
     first = F.min(F.struct("doc_id", "fp", *SKETCH)).alias("first")
     lead = fps.groupBy("content").agg(first).select("content", F.col("first.doc_id").alias("lead"), "first.fp", *[f"first.{c}" for c in SKETCH])
     lead = materialize(lead, "simhash-leads")
     node = lead.select(F.col("lead").alias("node"), F.col("lead").alias("label"))
     live = lead.select("fp", F.col("lead").alias("doc_id"), *SKETCH)
-    whole = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    whole = docs.select(F.col(key_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     for step in range(stars + 1):
         if step < stars:
             ends = materialize(star_links(live, distance, most), "simhash-ends")
@@ -438,7 +447,7 @@ def groups(docs: DataFrame, doc_col="doc_id", text_col="text", width: int = 5, s
             ends = materialize(prefix_links(texts, labels, width, similarity), "simhash-ends")
         wanted = ends.select(F.col("a_id").alias("doc_id")).union(ends.select("b_id")).distinct()
         texts = whole.join(wanted, "doc_id")
-        sets = materialize(shingle_sets(texts, width).groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "simhash-sets")
+        sets = materialize(shingle_sets(texts, width), "simhash-sets")
         of = lambda end, sets=sets: sets.select(F.col("doc_id").alias(f"{end}_id"), F.col("shingles").alias(f"s{end}"))
         true = similar(ends.join(of("a"), "a_id").join(of("b"), "b_id").select("a_id", "b_id", "sa", "sb"), similarity)
         label_of = lambda end, node=node: node.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
@@ -449,8 +458,13 @@ def groups(docs: DataFrame, doc_col="doc_id", text_col="text", width: int = 5, s
         )
         gone = labels.where("node <> label").select(F.col("node").alias("doc_id"))
         live = materialize(live.join(gone, "doc_id", "left_anti").select("fp", "doc_id", *SKETCH), "simhash-leads")
-    of_content = lead.join(node, lead.lead == node.node).select("content", F.col("label").alias("group_id"))
-    return fps.join(of_content, "content").select("doc_id", "group_id")
+    of_content = lead.join(node, lead.lead == node.node).select("content", "label")
+    rows = fps.select(F.col("doc_id").alias("row_key"), "content").join(of_content, "content").select("row_key", "label")
+    ids = docs.select(F.col(key_col).cast("long").alias("row_key"), F.col(doc_col).cast("long").alias("doc_id"))
+    rows = materialize(rows.join(ids, "row_key"), "simhash-labels")
+    least = rows.groupBy("label").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
+    kept = (F.col("row_key") == F.col("first.row_key")).alias("kept")
+    return rows.join(least, "label").select("row_key", "doc_id", F.col("first.doc_id").alias("group_id"), kept)
 
 
 def hex_of(fp: str = "fp"):

@@ -78,3 +78,19 @@ def test_equal_fingerprints_of_different_sets_join_nothing(spark, monkeypatch):
     monkeypatch.setattr(simhash, "simhash", lambda hashes: 0)
     assert simhash.fingerprint(b"a b c d e f", 5) == 0
     assert got_groups(spark, rows) == want
+
+
+def test_pipeline_decides_by_row(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    a, b, c, d = (some_words(rng, 200) for _ in range(4))
+    rows = [(1, a), (1, a), (2, a), (2, b), (3, [*b, "last"]), (3, c), (4, d), (4, d)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    found = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+    one = lambda *want: sorted((i, " ".join(t)) for i, t in want)
+    exact = corpus_pipeline.exact(spark, docs, "")
+    assert exact.columns == docs.columns
+    assert found(exact) == one((1, a), (2, b), (3, [*b, "last"]), (3, c), (4, d))
+    assert found(corpus_pipeline.near(spark, exact, "")) == one((1, a), (2, b), (3, c), (4, d))
+    assert found(corpus_pipeline.near(spark, docs, "")) == one((1, a), (2, b), (3, c), (4, d))
