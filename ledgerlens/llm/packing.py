@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import encoder
-from .common import chunks_of, materialize, small_batches, text_or_empty
+from .common import materialize, small_batches, text_or_empty
 
 #: Pieces that one task ranks: a bucket of one length holds about this many at most.
 BUCKET_ROWS = 20_000
@@ -35,8 +35,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None, doc_co
     def run(batches):
         enc = encoder(tokenizer_path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids = [x + end for a, b in chunks_of(texts) for x in enc.encode(texts[a:b])]
+            ids = [x.tobytes() + end for x in enc.encode(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                 ["doc_id", "n_tokens", "ids"],

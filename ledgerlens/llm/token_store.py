@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import encoder
-from .common import chunks_of, small_batches, text_or_empty
+from .common import small_batches, text_or_empty
 
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
@@ -36,20 +36,18 @@ def write(
 ) -> None:
     """Write every document of ``docs`` to ORC files under ``path``, ranges of doc_id in order."""
     small_batches(docs.sparkSession)
-    end = end_id.to_bytes(4, "little")
+    end = np.array([end_id], dtype="<i4")
 
     def run(batches):
         from pyspark import TaskContext
 
         enc, part, start = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids = [x + end for a, b in chunks_of(texts) for x in enc.encode(texts[a:b])]
-            n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            ids = enc.encode(batch.column(1))
+            n = np.array([len(x) + 1 for x in ids], dtype=np.int64)
             ends = np.concatenate(([0], np.cumsum(n)))
-            lists = pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-            )
+            flat = np.concatenate([x for own in ids for x in (own, end)]) if ids else end[:0]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
