@@ -23,8 +23,8 @@ SLUG = r"^[a-z0-9]+(-[a-z0-9]+)*$"
 def tokens(text: Column) -> Column:
     """Lower-cased words of over two characters that are no stop words, in order."""
     clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"[^{WORD_CHARS}\s]", " ")
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(PT_STOP + EN_STOP)])
-    return F.filter(F.split(clean, r"\s+"), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    stop = list(dict.fromkeys(PT_STOP + EN_STOP))
+    return F.filter(F.split(clean, r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*stop))
 
 
 def normalized_query(query: Column) -> Column:
@@ -62,6 +62,45 @@ def positional_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+|[^\s]"), 0)
 
 
+# A token by position, and stretches of 64 of them with the white space after each, which windows begin and end at.
+TOKEN = r"(?:[\p{L}\p{N}_]+|[^\s])"
+STRETCH = rf"(?s)^\s+|(?:{TOKEN}\s*){{1,64}}"
+
+
+def chunks(text: Column, size: int = 256, overlap: int = 64, ceiling: int = 512) -> Column:
+    """(chunk_index, char_start, char_end, content) of a text's token windows; one whole chunk up to the ceiling.
+
+    ``size`` and ``overlap`` are multiples of 64: windows are runs of stretches, so their texts
+    and places are exact.
+    """
+    def cut(s: Column) -> Column:
+        lead = F.when(F.get(s, F.lit(0)).rlike(r"^\s"), F.lit(1)).otherwise(F.lit(0))
+        count = F.size(s) - lead
+        n = F.when(count > 0, (count - 1) * 64 + F.size(positional_tokens(F.get(s, F.size(s) - 1)))).otherwise(F.lit(0))
+        before = lambda w: lead + F.floor(w["token_start"] / 64).cast("int")
+        length = lambda a: F.aggregate(a, F.lit(0), lambda k, x: k + F.length(x))
+        part = lambda w: F.array_join(F.slice(s, before(w) + 1, F.ceil((w["token_end"] - w["token_start"]) / 64).cast("int")), "")
+        many = F.transform(
+            windows(n, size, overlap, ceiling),
+            lambda w: F.struct(
+                w["chunk_index"].cast("int").alias("chunk_index"),
+                length(F.slice(s, F.lit(1), before(w))).alias("char_start"),
+                F.regexp_replace(part(w), r"\s+$", "").alias("content"),
+            ),
+        )
+        one = F.array(F.struct(F.lit(0).alias("chunk_index"), F.lit(0).alias("char_start"), text.alias("content")))
+        return F.when(n <= ceiling, one).otherwise(many)
+
+    found = F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit(STRETCH), 0)), cut), 1)
+    return F.transform(
+        found,
+        lambda c: F.struct(
+            c["chunk_index"].alias("chunk_index"), c["char_start"].alias("char_start"),
+            (c["char_start"] + F.length(c["content"])).alias("char_end"), c["content"].alias("content"),
+        ),
+    )
+
+
 def windows(n: Column, size: int = 256, overlap: int = 64, ceiling: int = 512) -> Column:
     """(chunk_index, token_start, token_end) of a unit of ``n`` tokens: one up to the ceiling, else overlapping windows."""
     step = size - overlap

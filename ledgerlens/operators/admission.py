@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slug_ok
+from ..schema import MODES
 
 # Tags and lengths of write payloads.
 EVENT_TAGS = ("FACT", "DECISION", "CHANGED", "PROCEDURE", "TODO", "EVENT", "SECURITY", "CURATION")
@@ -18,8 +19,9 @@ ORIGIN_MARK = "retrieval_origin"
 
 def by_matrix(log: DataFrame, matrix: DataFrame) -> DataFrame:
     """Every entry with each socket and mode it might be written in: admitted or the reason why not."""
-    # the matrix has a row for each type, socket and mode: fixed, under a thousand
-    found = log.select("seq", "type").join(F.broadcast(matrix), "type", "left")
+    places = F.array(*[F.struct(F.lit(socket).alias("socket"), F.lit(mode).alias("mode")) for socket in ("standard", "admin") for mode in MODES])
+    # the matrix is fixed: under a thousand rows, one for each type, socket and mode
+    found = log.select("seq", "type", F.inline(places)).join(F.broadcast(matrix), ["type", "socket", "mode"], "left")
     code = F.when(F.col("admissible").isNull(), "UNKNOWN_EVENT_TYPE_NOT_REGISTERED").when(~F.col("admissible"), "EVENT_NOT_ADMISSIBLE")
     return found.withColumn("reject_code", code)
 

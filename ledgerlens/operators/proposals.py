@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascending, slug_key, slug_ok
+from .admission import MAX_SUPPORT
 from .state import cooldowns, suggestions, topics, writes
 
 OVERLAP = 0.65
 LINE_CHARS = 32
 
 
-def scan(log: DataFrame, slugs: list[str], now_ms: int, days: int = 30) -> DataFrame:
-    """Writes of these topics within the last ``days``."""
+def scan(log: DataFrame, slugs: DataFrame, now_ms: int, days: int = 30) -> DataFrame:
+    """Writes of these topics (slug) within the last ``days``."""
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    return writes(log).where(F.col("slug").isin(*slugs) & (ms >= now_ms - days * 86_400_000)).select("seq", "slug", "tag", "content", "ts")
+    recent = writes(log).where(ms >= now_ms - days * 86_400_000)
+    return recent.join(slugs.select("slug").distinct(), "slug", "left_semi").select("seq", "slug", "tag", "content", "ts")
 
 
 def sampled(events: DataFrame, max_chars: int) -> DataFrame:
@@ -34,9 +36,9 @@ def sampled(events: DataFrame, max_chars: int) -> DataFrame:
 
 
 def proposals(log: DataFrame) -> DataFrame:
-    """One proposal for each topic that asks for a cluster: its first three writes as support."""
+    """One proposal for each topic that asks for a cluster: its first writes as support, as many as a suggestion may cite."""
     first = F.row_number().over(Window.partitionBy("slug").orderBy("pos"))
-    support = writes(log).withColumn("rn", first).where("rn <= 3").groupBy("slug").agg(F.array_sort(F.collect_list("seq")).alias("seqs"))
+    support = writes(log).withColumn("rn", first).where(F.col("rn") <= MAX_SUPPORT).groupBy("slug").agg(F.array_sort(F.collect_list("seq")).alias("seqs"))
     return support.select(F.concat("slug", F.lit("-x")).alias("slug"), F.col("slug").alias("origin"), "seqs")
 
 
@@ -63,13 +65,21 @@ def validated(proposed: DataFrame, log: DataFrame, now_ms: int) -> DataFrame:
     return rows.select("slug", reason.alias("reason"))
 
 
+def supports(log: DataFrame) -> DataFrame:
+    """(suggestion_seq, m, seq): the writes that each suggestion cites - its topic's latest before it, as many as it may - and how many they are."""
+    own = Window.partitionBy("slug").orderBy("pos")
+    numbered = log.withColumn("wn", F.count_if(F.col("type") == "write_event").over(own))
+    held = numbered.where(F.col("type") == "write_event").select("slug", "wn", "seq")
+    asked = numbered.where((F.col("type") == "TOPIC_SUGGESTED") & (F.col("wn") > 0)).select("slug", F.col("seq").alias("suggestion_seq"), F.col("wn").alias("last"))
+    first = F.greatest(F.col("last") - MAX_SUPPORT + 1, F.lit(1))
+    cited = asked.select("slug", "suggestion_seq", (F.col("last") - first + 1).alias("m"), F.explode(F.sequence(first, F.col("last"))).alias("wn"))
+    return cited.join(held, ["slug", "wn"]).select("suggestion_seq", "m", "seq")
+
+
 def overlapping(proposed: DataFrame, log: DataFrame, threshold: float = OVERLAP) -> DataFrame:
     """(slug, suggestion_seq, overlap): proposals whose support overlaps a pending suggestion's, by equi-join on support."""
     own = proposed.select("slug", F.size("seqs").alias("n"), F.explode("seqs").alias("seq"))
-    before = F.collect_list(F.when(F.col("type") == "write_event", F.col("seq"))).over(Window.partitionBy("slug").orderBy("pos").rowsBetween(-3, -1))
-    support = log.withColumn("seqs", before).where(F.col("type") == "TOPIC_SUGGESTED").select(F.col("seq").alias("suggestion_seq"), "seqs")
-    pending = suggestions(log).where("status = 'pending'").select("suggestion_seq").join(support, "suggestion_seq")
-    other = pending.select("suggestion_seq", F.size("seqs").alias("m"), F.explode("seqs").alias("seq"))
+    other = supports(log).join(suggestions(log).where("status = 'pending'").select("suggestion_seq"), "suggestion_seq", "left_semi")
     both = own.join(other, "seq").groupBy("slug", "suggestion_seq", "n", "m").agg(F.count("*").alias("both"))
     return both.withColumn("overlap", F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).where(F.col("overlap") >= threshold).select("slug", "suggestion_seq", "overlap")
 

@@ -1,15 +1,28 @@
-"""Access-controlled, tiered retrieval: lexical and cosine arms fused by reciprocal rank."""
+"""Access-controlled, tiered retrieval: lexical and cosine arms fused by reciprocal rank, for many queries at once.
+
+Queries are tables: (qid, text) for words, (qid, vector) for vectors. Words are looked up in
+written postings; everything that a query may not see goes before anything is scored.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import chunks, tokens
+from ..sources.storage import materialize
+from .blocks import crossed, nearest, top
 
-#: BM25 with a lower bound on term frequency; the reference's own constants aren't published.
+# BM25 with a lower bound on term frequency, weights of terms that extend or nearly spell
+# a query's, as a published search library has them, and the bounds of both arms.
 K1, B, DELTA = 1.2, 0.7, 0.5
+PREFIX, FUZZY, MAX_EDITS = 0.375, 0.45, 6
 RRF_K, LEXICAL_WEIGHT, N_PRE, FLOOR = 60, 0.5, 100, 0.30
+#: Weights of fields and share of a term's letters that may differ, in searches of units and of whole topics.
+UNIT_BOOSTS, UNIT_FUZZY = {"content": 1.0, "slug": 2.0}, 0.3
+TOPIC_BOOSTS, TOPIC_FUZZY = {"slug": 5.0, "tags": 2.0, "content": 0.5}, 0.1
 
 
 def tier(tag: Column, retired: Column) -> Column:
@@ -22,8 +35,15 @@ def in_scope(tier_col: Column, scope: str = "curated") -> Column:
 
 
 def live(units: DataFrame) -> DataFrame:
-    """Units that are not retired, with their tier."""
-    return units.where(~F.col("retired")).withColumn("tier", tier(F.col("tag"), F.col("retired")))
+    """Units with their tier; retired curated ones have none and go."""
+    return units.withColumn("tier", tier(F.col("tag"), F.col("retired"))).where("tier is not null")
+
+
+def chunked(units: DataFrame) -> DataFrame:
+    """Units (key ending in the chunk's number, .., content) cut into chunks, each a unit of its own."""
+    rest = [c for c in units.columns if c not in ("key", "content")]
+    rows = units.select("key", *rest, F.inline(chunks(F.col("content"))))
+    return rows.withColumn("key", F.concat(F.regexp_replace("key", r"::0$", "::"), F.col("chunk_index").cast("string")))
 
 
 def readable(units: DataFrame, acl: DataFrame, principal: str) -> DataFrame:
@@ -37,66 +57,83 @@ def authorized(asked: DataFrame, acl: DataFrame, principal: str) -> DataFrame:
     return asked.join(open_, "slug", "left").groupBy("ask_id").agg((F.count("open") == F.count("*")).alias("allowed"))
 
 
-def postings(units: DataFrame) -> DataFrame:
-    """(key, term, tf) over the content of each key's rows."""
-    return units.select("key", F.explode(tokens(F.col("content"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+@dataclass
+class Index:
+    """postings (key, field, term, tf), lengths (key, field, length) in distinct terms, and means (field, n, mean)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    means: DataFrame
+
+
+def fields(units: DataFrame, names=("content", "slug")) -> DataFrame:
+    """(key, field, text) of these columns."""
+    return units.select("key", F.inline(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("text")) for n in names])))
+
+
+def index(rows: DataFrame) -> Index:
+    """The index of rows (key, field, text), tokenised once; a field's rows of one key count as one text."""
+    each = rows.select("key", "field", F.explode_outer(tokens(F.col("text"))).alias("term"))
+    p = materialize(each.groupBy("key", "field", "term").agg(F.count("*").alias("tf")), "postings")
+    lengths = materialize(p.groupBy("key", "field").agg(F.count("term").alias("length")), "lengths")
+    means = lengths.groupBy("field").agg(F.count("*").alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("mean"))
+    return Index(p.where("term is not null"), lengths, means)
 
 
-def lengths(units: DataFrame) -> DataFrame:
-    """(key, length): tokens of each key's rows."""
-    return units.groupBy("key").agg(F.sum(F.size(tokens(F.col("content")))).alias("length"))
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(qid, q): the distinct tokens of each query (qid, text); the text itself, lower-cased, where it has none."""
+    t = F.array_distinct(tokens(F.col("text")))
+    return queries.select("qid", F.explode(F.when(F.size(t) > 0, t).otherwise(F.array(F.lower("text")))).alias("q"))
 
 
-def expanded(vocabulary: DataFrame, query: DataFrame, fuzzy: float = 0.3) -> DataFrame:
-    """(q, term, weight): vocabulary terms that equal, extend or nearly spell a query term. ``query`` holds a few terms (q)."""
+def expanded(vocabulary: DataFrame, asked: DataFrame, fuzzy: float = UNIT_FUZZY) -> DataFrame:
+    """(q, term, weight): terms of ``vocabulary`` (term) that equal, extend or nearly spell an asked (q). Both are written before they meet in tiles."""
+    v, a = materialize(vocabulary.select("term").distinct(), "terms"), materialize(asked.select("q").distinct(), "asked")
     distance = F.levenshtein("q", "term")
-    most = F.round(F.length("q") * fuzzy)
+    most = F.least(F.round(F.length("q") * fuzzy), F.lit(MAX_EDITS))
+    longer = F.length("term") - F.length("q")
+    close = F.startswith("term", "q") | ((F.abs(longer) <= most) & (distance <= most))
     weight = (
         F.when(F.col("q") == F.col("term"), 1.0)
-        .when(F.startswith("term", "q"), 0.375 * F.length("q") / F.length("term") + 0.1)
-        .when(distance <= most, 0.45 * F.length("q") / (F.length("q") + distance))
+        .when(F.startswith("term", "q"), PREFIX * F.length("term") / (F.length("term") + 0.3 * longer))
+        .otherwise(FUZZY * F.length("term") / (F.length("term") + distance))
     )
-    close = F.startswith("term", "q") | ((F.abs(F.length("q") - F.length("term")) <= most) & (distance <= most))
-    return vocabulary.select("term").join(F.broadcast(query), close).select("q", "term", weight.alias("weight"))
-
-
-def lexical(units: DataFrame, query: list[str], fuzzy: float | None = None, mode: str = "auto", limit: int = N_PRE) -> DataFrame:
-    """(key, score, rank): the best ``limit`` units. ``auto``: all query terms, or any where no unit has all."""
-    spark = units.sparkSession
-    q = spark.createDataFrame([(x,) for x in dict.fromkeys(query)], "q string")
-    p = postings(units)
-    size = lengths(units)
-    stats = size.agg(F.count("*").alias("n"), F.sum("length").alias("total")).first()
-    n = stats["n"]
-    mean = max((stats["total"] or 0) / max(n, 1), 1.0)
-    if fuzzy is None:
-        terms = q.select("q", F.col("q").alias("term"), F.lit(1.0).alias("weight"))
-    else:
-        terms = expanded(p.select("term").distinct(), q, fuzzy)
-    hits = p.join(terms, "term").join(size, "key")
-    df = hits.groupBy("term").agg(F.countDistinct("key").alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean))) + DELTA
-    scored = (
-        hits.join(df, "term")
-        .groupBy("key")
-        .agg(F.sum(F.col("weight") * idf * tf).alias("score"), F.countDistinct("q").alias("matched"))
-    )
-    wanted = len(dict.fromkeys(query))
-    if mode == "and":
-        scored = scored.where(F.col("matched") == wanted)
-    elif mode == "auto":
-        most = scored.agg(F.max("matched")).first()[0]
-        scored = scored.where(F.col("matched") == wanted) if most == wanted else scored
-    top = scored.select("key", "score").orderBy(F.desc(F.round("score", 9)), "key").limit(limit)
-    return ranked(top)
-
-
-def exact_lookup(units: DataFrame, acl: DataFrame, principal: str, query: list[str], limit: int = 10) -> DataFrame:
-    """(slug, score, rank) of whole topics: the live units of a topic count as one text; access comes before scoring."""
-    own = readable(live(units), acl, principal).select(F.col("slug").alias("key"), "content")
-    top = lexical(own, query, mode="or", limit=limit)
-    return top.select(F.col("key").alias("slug"), "score", "rank")
+    return crossed(v, a, "term", "q", close).select("q", "term", weight.alias("weight"))
+
+
+def lexical(index: Index, queries: DataFrame, boosts: dict[str, float] = UNIT_BOOSTS, fuzzy: float | None = UNIT_FUZZY, mode: str = "auto", limit: int = N_PRE) -> DataFrame:
+    """(qid, key, score, rank): each query's best ``limit`` keys. ``auto``: all terms, or any where no key has all.
+
+    Without ``fuzzy`` only equal terms count. Only postings of asked terms are read further than
+    their filter; a score is the sum over terms and fields times the query terms met.
+    """
+    asked = materialize(query_terms(queries), "query-terms")
+    exact = asked.select("q", F.col("q").alias("term"), F.lit(1.0).alias("weight")).distinct()
+    terms = exact if fuzzy is None else materialize(expanded(index.postings, asked, fuzzy), "expanded")
+    hits = materialize(index.postings.join(terms, "term"), "hits")
+    df = hits.select("key", "field", "term").distinct().groupBy("field", "term").agg(F.count("*").alias("df"))
+    boost = F.create_map(*[F.lit(x) for pair in boosts.items() for x in pair])
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))) + DELTA
+    each = (
+        hits.join(index.lengths, ["key", "field"]).join(df, ["field", "term"]).join(F.broadcast(index.means), "field")  # a row for each field
+        .groupBy("q", "key").agg(F.sum(F.element_at(boost, F.col("field")) * F.col("weight") * idf * tf).alias("s"))
+    )
+    scored = each.join(asked, "q").groupBy("qid", "key").agg((F.sum("s") * F.count("*")).alias("score"), F.count("*").alias("matched"))
+    if mode != "or":
+        scored = materialize(scored, "scored")
+        wanted = asked.groupBy("qid").agg(F.count("*").alias("wanted")).join(scored.groupBy("qid").agg(F.max("matched").alias("most")), "qid")
+        whole = F.col("matched") == F.col("wanted")
+        scored = scored.join(wanted, "qid").where(whole if mode == "and" else whole | (F.col("most") < F.col("wanted")))
+    return top(scored.select("qid", "key", "score"), limit)
+
+
+def exact_lookup(units: DataFrame, acl: DataFrame, principal: str, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """(qid, slug, score, rank) of whole topics by slug, tags and content: live units of a topic count as one text; access comes first."""
+    own = readable(live(units), acl, principal).select(F.col("slug").alias("key"), "content", "tag")
+    once = lambda name, c: own.select("key", F.lit(name).alias("field"), F.col(c).alias("text")).distinct()
+    rows = own.select("key", F.lit("content").alias("field"), F.col("content").alias("text")).union(once("slug", "key")).union(once("tags", "tag"))
+    return lexical(index(rows), queries, TOPIC_BOOSTS, TOPIC_FUZZY, "or", limit).withColumnRenamed("key", "slug")
 
 
 def confidence(best: Column) -> Column:
@@ -120,43 +157,49 @@ def cache_status(live_keys: DataFrame, cached: DataFrame | None) -> DataFrame:
     return counts.withColumn("status", status)
 
 
-def ranked(top: DataFrame) -> DataFrame:
-    """A bounded list (key, score) with ranks from 1."""
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "key")).cast("long"))
-
-
-def cosine(vectors: DataFrame, query: list[float], floor: float = FLOOR, limit: int = N_PRE) -> DataFrame:
-    """(key, score, rank): units whose normalised vector has a dot product of ``floor`` or more, the best ``limit``."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    dot = F.aggregate(F.zip_with(F.col("embedding").cast("array<double>"), q, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    sim = F.when(F.size("embedding") == len(query), dot).otherwise(F.lit(0.0))
-    top = vectors.select("key", sim.alias("score")).where(F.col("score") >= floor)
-    return ranked(top.orderBy(F.desc(F.round("score", 9)), "key").limit(limit))
-
-
 def fused(arms: dict[str, DataFrame], weights: dict[str, float] | None = None, k: int = RRF_K) -> DataFrame:
-    """(key, score): sum of weight / (k + rank) over the arms that hold a key; an absent arm adds nothing."""
+    """(qid, key, score): sum of weight / (k + rank) over the arms that hold a key; an absent arm adds nothing."""
     parts = None
     for name, arm in arms.items():
         w = (weights or {}).get(name, 1.0)
-        one = arm.select("key", (F.lit(w) / (k + F.col("rank"))).alias("s"))
+        one = arm.select("qid", "key", (F.lit(w) / (k + F.col("rank"))).alias("s"))
         parts = one if parts is None else parts.unionByName(one)
-    return parts.groupBy("key").agg(F.sum("s").alias("score"))
+    return parts.groupBy("qid", "key").agg(F.sum("s").alias("score"))
+
+
+def cosine(vectors: DataFrame, asked: DataFrame, floor: float = FLOOR, limit: int = N_PRE) -> DataFrame:
+    """(qid, key, score, rank): keys whose normalised vector has a dot product of ``floor`` or more with the asked one."""
+    return nearest(materialize(vectors.select("key", "embedding"), "vectors"), materialize(asked.select("qid", "vector"), "asked"), floor, limit)
 
 
 def retrieve(
-    units: DataFrame, acl: DataFrame, principal: str, query: list[str], vector: list[float] | None = None,
+    units: DataFrame, acl: DataFrame, principal: str, queries: DataFrame, asked: DataFrame | None = None,
     vectors: DataFrame | None = None, scope: str = "curated", limit: int = 10,
 ) -> DataFrame:
-    """(key, slug, tier, score, rank, preview). Access and scope come before scoring, so nothing hidden shapes a rank."""
-    own = readable(live(units), acl, principal).where(in_scope(F.col("tier"), scope))
-    arms = {"L": lexical(own, query)}
-    weights = None
-    if vector is not None and vectors is not None:
-        arms["S"] = cosine(vectors.join(own.select("key"), "key", "left_semi"), vector)
+    """(qid, key, slug, tier, score, rank, preview, lexical_rank, semantic_rank, tier_outranks_curated) over chunks.
+
+    Access and scope come before scoring, so nothing hidden shapes a rank. Without vectors the
+    lexical arm stands alone.
+    """
+    own = materialize(chunked(readable(live(units), acl, principal).where(in_scope(F.col("tier"), scope))), "own-chunks")
+    arms, weights = {"L": lexical(index(fields(own)), queries)}, None
+    if asked is not None and vectors is not None:
+        arms["S"] = cosine(vectors.join(own.select("key"), "key", "left_semi"), asked)
         weights = {"L": LEXICAL_WEIGHT, "S": 1.0}
-    top = ranked(fused(arms, weights).orderBy(F.desc(F.round("score", 9)), "key").limit(limit))
-    return own.join(F.broadcast(top), "key").select("key", "slug", "tier", "score", "rank", F.substring("content", 1, 240).alias("preview"))
+    arms = {name: materialize(arm, "arm") for name, arm in arms.items()}
+    whole = top(fused(arms, weights), 2 * N_PRE)  # all that the arms can hold
+    rows = own.join(whole, "key")
+    for name, column in (("L", "lexical_rank"), ("S", "semantic_rank")):
+        if name in arms:
+            rows = rows.join(arms[name].select("qid", "key", F.col("rank").alias(column)), ["qid", "key"], "left")
+        else:
+            rows = rows.withColumn(column, F.lit(None).cast("long"))
+    best = F.min(F.when(F.col("tier") == "curated", F.col("rank"))).over(Window.partitionBy("qid"))  # 200 rows a query at most
+    outranks = (F.col("tier") != "curated") & (F.col("rank") < F.coalesce(best, F.lit(1 << 30)))
+    return (
+        rows.withColumn("tier_outranks_curated", outranks).where(F.col("rank") <= limit)
+        .select("qid", "key", "slug", "tier", "score", "rank", F.substring("content", 1, 240).alias("preview"), "lexical_rank", "semantic_rank", "tier_outranks_curated")
+    )
 
 
 def orientation(topics: DataFrame, n: int = 20) -> DataFrame:

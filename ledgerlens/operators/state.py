@@ -119,6 +119,19 @@ def principals(log: DataFrame) -> DataFrame:
     return declared.join(last, "principal", "left").select("principal", "declared_pos", F.coalesce("status", F.lit("active")).alias("status"))
 
 
+def flags(control: DataFrame) -> DataFrame:
+    """(feature, active): the last entry about a feature decides."""
+    own = control.where(F.col("type").isin("FEATURE_ACTIVE", "FEATURE_ROLLED_BACK"))
+    return own.groupBy("feature").agg((F.max_by("type", "pos") == "FEATURE_ACTIVE").alias("active"))
+
+
+def mode(control: DataFrame) -> DataFrame:
+    """(mode), one row: recovery from an entry into it to one out of it, else normal."""
+    own = control.where(F.col("type").isin("RECOVERY_MODE_ENTERED", "RECOVERY_MODE_EXITED"))
+    last = F.max_by("type", "pos")
+    return own.agg(F.when(last == "RECOVERY_MODE_ENTERED", "recovery").otherwise("normal").alias("mode"))
+
+
 def tail(log: DataFrame) -> DataFrame:
     return log.agg(F.max("pos").alias("pos"), F.max_by("seq", "pos").alias("last_seq"))
 

@@ -4,64 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# By event type its family, whether it bears state, and the modes that admit it,
-# in the order standard, admin, install_freeze, read_only, recovery.
-ADMISSION = {
-    "write_event": ("topic", True, "YYNNN"),
-    "observation_read": ("observation", True, "YYNNN"),
-    "observation_write": ("observation", True, "YYNNN"),
-    "MEMORY_PROMOTED": ("memory", True, "YYNNN"),
-    "MEMORY_RETIRED": ("memory", True, "YYNNN"),
-    "PROCEDURE_PUBLISHED": ("procedure", True, "YYNNN"),
-    "PROCEDURE_RETIRED": ("procedure", True, "YYNNN"),
-    "COHORT_SPLIT": ("cohort", True, "YYNNN"),
-    "TOPIC_VERIFIED": ("topic", True, "YYNNN"),
-    "TOPIC_CURATED": ("topic", True, "YYNNN"),
-    "TOPIC_BULLETS_RETIRED": ("topic", True, "YYNNN"),
-    "TOPIC_METADATA_SET": ("topic", True, "YYNNN"),
-    "TOPIC_SUGGESTED": ("topic", True, "YYNNN"),
-    "TOPIC_SUGGESTION_ACCEPTED": ("topic", True, "YYNNN"),
-    "TOPIC_SUGGESTION_DISMISSED": ("topic", True, "YYNNN"),
-    "ACL_SEALED": ("acl", True, "NYNNN"),
-    "PRINCIPAL_DECLARED": ("identity", True, "NYYNY"),
-    "PRINCIPAL_RENAME": ("identity", True, "NYYNY"),
-    "PRINCIPAL_TOMBSTONE": ("identity", True, "NYYNY"),
-    "PRINCIPAL_UID_BOUND": ("identity", True, "NYYNY"),
-    "PRINCIPAL_UID_UNBOUND": ("identity", True, "NYYNY"),
-    "PRINCIPAL_KEY_BOUND": ("identity", True, "NYYNY"),
-    "PRINCIPAL_KEY_UNBOUND": ("identity", True, "NYYNY"),
-    "PRINCIPAL_ACCESS_ENABLED": ("identity", True, "NYYNY"),
-    "PRINCIPAL_ACCESS_DISABLED": ("identity", True, "NYYNY"),
-    "INSTALL_STARTED": ("install", True, "NYYNN"),
-    "INSTALL_STEP_COMPLETED": ("install", True, "NYYNN"),
-    "INSTALL_STEP_HEARTBEAT": ("install", False, "NYYNN"),
-    "INSTALL_STEP_FORCE_RESUME": ("install", True, "NYYNN"),
-    "INSTALL_COMPLETED": ("install", True, "NYYNN"),
-    "INSTALL_ABORTED": ("install", True, "NYYNN"),
-    "INSTALL_TIMEOUT": ("install", True, "NYYNN"),
-    "INSTALL_ROLLED_BACK": ("install", True, "NYYNN"),
-    "FEATURE_PROPOSED": ("feature", True, "NYYNY"),
-    "FEATURE_ACTIVE": ("feature", True, "NYYNY"),
-    "FEATURE_ROLLED_BACK": ("feature", True, "NYYNY"),
-    "FEATURE_INSTALL_FAILED": ("feature", True, "NYYNY"),
-    "TAG_SCHEMA_PROPOSED": ("tag", True, "NYYNN"),
-    "TAG_SCHEMA_ACTIVE": ("tag", True, "NYYNN"),
-    "RECOVERY_MODE_ENTERED": ("recovery", True, "NYNYN"),
-    "RECOVERY_MODE_EXITED": ("recovery", True, "NYNNY"),
-    "RECOVERY_ACCEPTED": ("recovery", True, "NNNNY"),
-    "RECOVERY_REPUDIATED": ("recovery", True, "NNNNY"),
-    "BROKER_KEY_ROTATED": ("broker", True, "NYYNY"),
-    "REGISTER_EVENT_TYPE": ("broker", True, "NYYNY"),
-}
-COLUMNS = ("standard", "admin", "install_freeze", "read_only", "recovery")
+# Event types by where they may be written - by the standard socket, which works in normal
+# mode alone, or by the admin socket in normal mode ("admin") and in each other mode named.
+ADMITTED = (
+    (
+        ("standard", "admin"),
+        "write_event observation_read observation_write MEMORY_PROMOTED MEMORY_RETIRED PROCEDURE_PUBLISHED PROCEDURE_RETIRED COHORT_SPLIT"
+        " TOPIC_VERIFIED TOPIC_CURATED TOPIC_BULLETS_RETIRED TOPIC_METADATA_SET TOPIC_SUGGESTED TOPIC_SUGGESTION_ACCEPTED TOPIC_SUGGESTION_DISMISSED",
+    ),
+    (("admin",), "ACL_SEALED"),
+    (
+        ("admin", "install_freeze", "recovery"),
+        "PRINCIPAL_DECLARED PRINCIPAL_RENAME PRINCIPAL_TOMBSTONE PRINCIPAL_UID_BOUND PRINCIPAL_UID_UNBOUND PRINCIPAL_KEY_BOUND PRINCIPAL_KEY_UNBOUND"
+        " PRINCIPAL_ACCESS_ENABLED PRINCIPAL_ACCESS_DISABLED FEATURE_PROPOSED FEATURE_ACTIVE FEATURE_ROLLED_BACK FEATURE_INSTALL_FAILED"
+        " BROKER_KEY_ROTATED REGISTER_EVENT_TYPE",
+    ),
+    (
+        ("admin", "install_freeze"),
+        "INSTALL_STARTED INSTALL_STEP_COMPLETED INSTALL_STEP_HEARTBEAT INSTALL_STEP_FORCE_RESUME INSTALL_COMPLETED INSTALL_ABORTED INSTALL_TIMEOUT"
+        " INSTALL_ROLLED_BACK TAG_SCHEMA_PROPOSED TAG_SCHEMA_ACTIVE",
+    ),
+    (("admin", "read_only"), "RECOVERY_MODE_ENTERED"),
+    (("admin", "recovery"), "RECOVERY_MODE_EXITED"),
+    (("recovery",), "RECOVERY_ACCEPTED RECOVERY_REPUDIATED"),
+)
+MODES = ("normal", "install_freeze", "read_only", "recovery")
 
 
 def matrix(spark: SparkSession) -> DataFrame:
-    """(type, socket, mode, admissible): the standard socket works in normal mode alone."""
+    """(type, socket, mode, admissible) of every registered type."""
     rows = []
-    for kind, (_, _, flags) in ADMISSION.items():
-        allowed = dict(zip(COLUMNS, flags, strict=True))
-        for mode in ("normal", "install_freeze", "read_only", "recovery"):
-            rows.append((kind, "standard", mode, mode == "normal" and allowed["standard"] == "Y"))
-            rows.append((kind, "admin", mode, allowed["admin" if mode == "normal" else mode] == "Y"))
+    for allowed, kinds in ADMITTED:
+        for kind in kinds.split():
+            for mode in MODES:
+                rows.append((kind, "standard", mode, mode == "normal" and "standard" in allowed))
+                rows.append((kind, "admin", mode, ("admin" if mode == "normal" else mode) in allowed))
     return spark.createDataFrame(rows, "type string, socket string, mode string, admissible boolean")

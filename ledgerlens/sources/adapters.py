@@ -44,6 +44,19 @@ def log(events: DataFrame) -> DataFrame:
     )
 
 
+def control(events: DataFrame) -> DataFrame:
+    """(pos, seq, type, feature): entries about features and modes, and some of a type that nobody registered."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    e = events.where("event_type = 'signup'").withColumn("k", k)
+    kinds = F.array(*[F.lit(x) for x in ("FEATURE_ACTIVE", "FEATURE_ROLLED_BACK", "RECOVERY_MODE_ENTERED", "RECOVERY_MODE_EXITED", "NOVEL")])
+    return e.select(
+        F.col("event_id").alias("pos"),
+        (F.col("event_id") + 1).alias("seq"),
+        F.get(kinds, (F.col("k") % 5).cast("int")).alias("type"),
+        F.concat(F.lit("feature-"), F.col("k").cast("string")).alias("feature"),
+    )
+
+
 def units(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents as searchable entries: labelled good ones are curated, other labelled ones notes, the rest source."""
     tag = F.when(F.col("quality") == 1, "CURATED").when(F.col("quality") == 0, "FACT").otherwise("SOURCE")
