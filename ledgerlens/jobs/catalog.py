@@ -280,29 +280,72 @@ def extract_reroute(spark, d):
     return admission.rerouted(state.writes(log), ok).groupBy("slug", "rerouted").agg(F.count("*").alias("n"))
 
 
-@query("SELECT pos, sha256(concat_ws('|', seq, type, slug, k)) AS self_hash, coalesce(lag(sha256(concat_ws('|', seq, type, slug, k))) OVER (ORDER BY pos), repeat('0', 64)) AS hash_prev FROM log")
+def _line_sql(prev: str, t: str = "") -> str:
+    """An entry's canonical line: its keys in order."""
+    parts = [
+        '{"hash_prev":"', prev, '","intent_id":"', f"{t}slug", ":", f"{t}pos", '","is_state_bearing":true,"payload":{"content":"', f"{t}content", '","slug":"', f"{t}slug",
+        '","tag":"', f"coalesce({t}tag, 'NONE')", '"},"principal":"', f"{t}principal", '","schema_version":"v12.5.0","seq":', f"{t}i", ',"ts":"', f"strftime({t}ts, '%Y-%m-%dT%H:%M:%S')",
+        'Z","type":"', f"{t}type", '"}',
+    ]
+    return " || ".join(x if i % 2 else f"'{x}'" for i, x in enumerate(parts))
+
+
+_CHAIN = f"""n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY pos) AS i FROM log),
+chain AS (WITH RECURSIVE c AS (
+  SELECT slug, pos, i, repeat('0', 64) AS hash_prev, sha256({_line_sql("repeat('0', 64)")}) AS self_hash FROM n WHERE i = 1
+  UNION ALL
+  SELECT n.slug, n.pos, n.i, c.self_hash, sha256({_line_sql("c.self_hash", "n.")}) FROM c JOIN n ON n.slug = c.slug AND n.i = c.i + 1) SELECT * FROM c)"""
+
+
+def _written(spark, d):
+    """Each topic's entries as a log of its own, chained."""
+    payload = F.to_json(F.struct("slug", F.coalesce("tag", F.lit("NONE")).alias("tag"), "content"))
+    ts = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("ts")
+    intent = F.concat_ws(":", "slug", "pos").alias("intent_id")
+    return chain.written(_log(spark, d).select(F.col("slug").alias("log"), "pos", "type", intent, "principal", ts, payload.alias("payload")))
+
+
+@query(_CHAIN + " SELECT slug AS log, pos, i AS seq, hash_prev, self_hash FROM chain")
 def chain_links(spark, d):
-    return chain.chained(_log(spark, d)).select("pos", "self_hash", "hash_prev")
+    return _written(spark, d).select("log", "pos", "seq", "hash_prev", "self_hash")
 
 
-_TAMPERED = """h AS (SELECT pos, sha256(concat_ws('|', seq, type, slug, k)) AS self_hash, coalesce(lag(sha256(concat_ws('|', seq, type, slug, k))) OVER (ORDER BY pos), repeat('0', 64)) AS hash_prev FROM log),
-t AS (SELECT pos, self_hash, CASE WHEN pos % 997 = 500 THEN 'tampered' ELSE hash_prev END AS hash_prev FROM h)"""
+# every 97th line is changed after it was written, every 89th is lost
+_DAMAGED = _CHAIN + """, d AS (SELECT slug AS log, pos, hash_prev, CASE WHEN pos % 97 = 50 THEN 'changed' ELSE self_hash END AS self_hash, i FROM chain WHERE pos % 89 <> 40)"""
 
 
-def _tampered(spark, d):
-    bad = F.when(F.col("pos") % 997 == 500, F.lit("tampered")).otherwise(F.col("hash_prev"))
-    return chain.chained(_log(spark, d)).withColumn("hash_prev", bad)
+def _damaged(spark, d):
+    changed = F.when(F.col("pos") % 97 == 50, F.lit("changed")).otherwise(F.col("self_hash"))
+    return _written(spark, d).where("pos % 89 <> 40").withColumn("self_hash", changed)
 
 
-@query(_TAMPERED + " SELECT pos FROM t WHERE hash_prev = 'tampered'")
+@query(_DAMAGED + """, p AS (SELECT *, lag(self_hash) OVER (PARTITION BY log ORDER BY pos) AS before FROM d)
+SELECT log, pos FROM p WHERE hash_prev <> coalesce(before, repeat('0', 64))""")
 def chain_breaks(spark, d):
-    r = chain.previous(_tampered(spark, d), "self_hash", "before", 64, F.lit(chain.GENESIS))
-    return r.where("hash_prev <> before").select("pos")
+    r = chain.previous(_damaged(spark, d), "self_hash", "before")
+    return r.where(F.col("hash_prev") != F.coalesce("before", F.lit(chain.GENESIS))).select("log", "pos")
 
 
-@query(_TAMPERED + " SELECT count(*) AS n, max(pos) AS last FROM t WHERE pos < coalesce((SELECT min(pos) FROM t WHERE hash_prev = 'tampered'), 1000000000000)")
+@query(_DAMAGED + """, w AS (WITH RECURSIVE a AS (
+  SELECT log, min(pos) AS pos, min_by(self_hash, pos) AS self_hash FROM d WHERE hash_prev = repeat('0', 64) GROUP BY log
+  UNION ALL
+  SELECT d.log, min(d.pos), min_by(d.self_hash, d.pos) FROM a JOIN d ON d.log = a.log AND d.hash_prev = a.self_hash AND d.pos > a.pos GROUP BY d.log) SELECT * FROM a)
+SELECT log, count(*) AS n, max(pos) AS last FROM w GROUP BY log""")
 def chain_verify(spark, d):
-    return chain.accepted(_tampered(spark, d)).agg(F.count("*").alias("n"), F.max("pos").alias("last"))
+    held = chain.accepted(_damaged(spark, d).select("log", "pos", "hash_prev", "self_hash"))
+    return held.groupBy("log").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
+
+
+@query(_DAMAGED + """, w AS (WITH RECURSIVE a AS (
+  SELECT log, min(pos) AS pos, min_by(self_hash, pos) AS self_hash FROM d WHERE hash_prev = repeat('0', 64) GROUP BY log
+  UNION ALL
+  SELECT d.log, min(d.pos), min_by(d.self_hash, d.pos) FROM a JOIN d ON d.log = a.log AND d.hash_prev = a.self_hash AND d.pos > a.pos GROUP BY d.log) SELECT * FROM a),
+t AS (SELECT log, max_by(i, pos) AS tail_seq FROM d GROUP BY log), l AS (SELECT w.log, max_by(d.i, d.pos) AS last_seq FROM w JOIN d USING (log, pos) GROUP BY w.log)
+SELECT log, coalesce(last_seq, 0) AS last_seq, tail_seq, coalesce(last_seq, 0) = tail_seq AS safe FROM t LEFT JOIN l USING (log)""")
+def tail_safety(spark, d):
+    """Whether each damaged log may be appended to."""
+    rows = _damaged(spark, d)
+    return chain.tail_safe(rows, chain.accepted(rows.select("log", "pos", "hash_prev", "self_hash")))
 
 
 @query("""g AS (SELECT slug, list(seq ORDER BY seq) AS seqs FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY pos) AS rn FROM log WHERE type = 'write_event') WHERE rn <= 100 GROUP BY slug)
@@ -832,17 +875,16 @@ def event_lines_context(spark, d):
     return markdown.with_context(parsed).select("date", F.col("line_no").cast("long").alias("line_no"), "ts")
 
 
-@query("SELECT strftime(ts, '%Y-%m') AS month, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq, true AS ok FROM log GROUP BY 1")
+@query(_CHAIN + """ SELECT strftime(ts, '%Y-%m') || '.jsonl' AS log_file, count(*) AS n, sum(n.i)::BIGINT AS seqs, true AS ok, min(chain.self_hash) AS least
+FROM chain JOIN n USING (slug, pos) GROUP BY 1""")
 def jsonl_roundtrip(spark, d):
-    """The log written as month files of JSON lines and read back."""
-    log = _log(spark, d)
-    zero = F.lit(chain.GENESIS)
-    entries = log.select("type", F.lit("v1").alias("schema_version"), F.lit(True).alias("is_state_bearing"), "seq", zero.alias("hash_prev"), F.col("slug").alias("intent_id"), "principal", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"))
+    """Chained lines written as month files and read back: hashes are computed anew from the lines."""
     path = scratch_path(spark, "jsonl")
-    jsonl.write(entries, path)
-    lines = spark.read.text(path).select(F.col("month").cast("string").alias("log_file"), F.struct(F.lit(0).alias("block")).alias("place"), F.col("value").alias("raw"))
-    back = jsonl.parsed(lines)
-    return back.groupBy(F.col("log_file").alias("month")).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.bool_and("shape_ok").alias("ok"))
+    rows = _written(spark, d)
+    jsonl.write(rows.select("seq", F.get_json_object("raw", "$.ts").alias("ts"), "raw"), path, line="raw")
+    back = jsonl.parsed(jsonl.read(spark, path))
+    ok = F.bool_and(F.col("shape_ok")).alias("ok")
+    return back.groupBy("log_file").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"), ok, F.min("self_hash").alias("least"))
 
 
 @query("""SELECT doc_id, CASE WHEN trim(content, ' ') = '' THEN 'name:must_be_nonblank' WHEN length(content) > 80 THEN 'name:length_out_of_range'

@@ -1,75 +1,115 @@
-"""Acceptance of hash-chained entries.
+"""Hash chains: entries written in order, and which entries of a log its chain accepts.
 
-A row is accepted if it follows the last accepted one: its ``hash_prev`` is that
-row's hash. Rows that chain to the row just before form runs, found by one window
-over hashes alone; only the ends of runs are chased further, by an equi-join to
-the first later row that follows them.
+An entry's hash covers the whole entry, ``hash_prev`` included. A log is walked from
+genesis: an entry is accepted if its ``hash_prev`` is the hash of the last accepted one.
+Entries that chain to the one just before form runs, found by windows over hashes alone.
+From a run's end the walk jumps to the first later entry that names the end's hash, an
+equi-join; which runs the walk meets is found by doubling the jumps.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import of_json
+from ..sources.storage import materialize
+
 GENESIS = "0" * 64
+VERSION = "v12.5.0"
+#: Ranges of positions that a log is cut into for its windows.
+PARTS = 64
+
+
+def written(entries: DataFrame) -> DataFrame:
+    """(log, pos, seq, hash_prev, self_hash, raw): entries (log, pos, type, intent_id, principal, ts, payload) as canonical lines, chained.
 
+    A chain is made one entry after another, so a log is written by one task; logs are written
+    side by side. ``payload`` is JSON.
+    """
+
+    def write(log: pd.DataFrame) -> pd.DataFrame:
+        before, rows = GENESIS, []
+        for seq, e in enumerate(log.sort_values("pos").itertuples(), 1):
+            entry = {
+                "type": e.type, "schema_version": VERSION, "is_state_bearing": True, "seq": seq, "hash_prev": before,
+                "intent_id": e.intent_id, "principal": e.principal, "ts": e.ts, "payload": json.loads(e.payload or "{}"),
+            }
+            raw = of_json(json.dumps(entry))
+            own = hashlib.sha256(raw.encode()).hexdigest()
+            rows.append((e.log, e.pos, seq, before, own, raw))
+            before = own
+        return pd.DataFrame(rows, columns=["log", "pos", "seq", "hash_prev", "self_hash", "raw"])
 
-def chained(log: DataFrame, parts: int = 64) -> DataFrame:
-    """(pos, self_hash, hash_prev): a chain over the entries' own lines, for tables that hold no hashes."""
-    line = F.concat_ws("|", "seq", "type", "slug", "k")
-    h = log.select("pos", F.sha2(line, 256).alias("self_hash"))
-    return previous(h, "self_hash", "hash_prev", parts, F.lit(GENESIS))
+    columns = entries.select("log", "pos", "type", "intent_id", "principal", "ts", "payload")
+    return columns.groupBy("log").applyInPandas(write, "log string, pos long, seq long, hash_prev string, self_hash string, raw string")
 
 
-def previous(rows: DataFrame, value: str, name: str, parts: int, first) -> DataFrame:
-    """``rows`` with the value of the row before by ``pos``, without one task for all rows.
+def previous(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """``rows`` (log, pos, ..) with the value of the log's row before, without one task for all rows of a log.
 
-    Rows are cut into ranges of ``pos``; each range's first row takes the last value of the
-    ranges before, of which there are at most ``parts``.
+    A log's positions are cut into ranges; a range's first row takes the last value of the ranges before.
     """
     ends = rows.agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).first()
-    width = max(1, ((ends["hi"] or 0) - (ends["lo"] or 0)) // parts + 1)
-    cut = rows.withColumn("part", F.floor((F.col("pos") - (ends["lo"] or 0)) / width))
-    last = cut.groupBy("part").agg(F.max_by(value, "pos").alias("last"))
-    carried = last.select("part", F.lag("last").over(Window.orderBy("part")).alias("carried"))
-    inside = F.lag(value).over(Window.partitionBy("part").orderBy("pos"))
-    return (
-        cut.withColumn("inside", inside)
-        .join(F.broadcast(carried), "part")  # at most ``parts`` rows
-        .withColumn(name, F.coalesce("inside", "carried", first))
-        .drop("part", "inside", "carried")
-    )
-
-
-def accepted(rows: DataFrame, parts: int = 64) -> DataFrame:
-    """The rows (pos, self_hash, hash_prev) that the chain accepts."""
-    r = previous(rows.select("pos", "self_hash", "hash_prev"), "self_hash", "before", parts, F.lit(None).cast("string"))
-    r = r.withColumn("follows", F.coalesce(F.col("hash_prev") == F.col("before"), F.lit(False)))
-    breaks = r.where(~F.col("follows")).select("pos")
-    starts = [x.pos for x in breaks.orderBy("pos").collect()]  # one row for each break in the chain
-    if not starts:
-        return rows.limit(0)
-    heads = rows.sparkSession.createDataFrame(
-        [(i, a, b) for i, (a, b) in enumerate(zip(starts, [*starts[1:], None], strict=True))], "run int, lo long, hi long"
-    )
-    tails = (
-        r.join(F.broadcast(heads), (F.col("pos") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("pos") < F.col("hi"))))
-        .groupBy("run", "lo", "hi")
-        .agg(F.max("pos").alias("tail"), F.max_by("self_hash", "pos").alias("hash"))
-    )
-    later = rows.select(F.col("pos").alias("land"), F.col("hash_prev").alias("hash"))
-    jumps = {
-        x["run"]: (x["tail"], x["land"])
-        for x in tails.join(later, "hash", "left").where("land is null or land > tail").groupBy("run", "tail").agg(F.min("land").alias("land")).collect()
-    }
-    first = rows.where(F.col("hash_prev") == GENESIS).agg(F.min("pos")).first()[0]
-    spans, at = [], first
-    while at is not None:
-        run = max(i for i, a in enumerate(starts) if a <= at)
-        end, land = jumps.get(run, (starts[run + 1] - 1 if run + 1 < len(starts) else None, None))
-        spans.append((at, end))
-        at = land
-    if not spans:
-        return rows.limit(0)
-    kept = rows.sparkSession.createDataFrame(spans, "lo long, hi long")
-    return rows.join(F.broadcast(kept), (F.col("pos") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("pos") <= F.col("hi")))).drop("lo", "hi")
+    width = max(1, ((ends["hi"] or 0) - (ends["lo"] or 0)) // PARTS + 1)
+    cut = rows.withColumn("part", F.floor((F.col("pos") - F.lit(ends["lo"] or 0)) / width))
+    last = cut.groupBy("log", "part").agg(F.max_by(value, "pos").alias("last"))
+    carried = last.select("log", "part", F.lag("last").over(Window.partitionBy("log").orderBy("part")).alias("carried"))
+    inside = F.lag(value).over(Window.partitionBy("log", "part").orderBy("pos"))
+    return cut.withColumn("inside", inside).join(carried, ["log", "part"]).withColumn(name, F.coalesce("inside", "carried")).drop("inside", "carried")
+
+
+def runs(rows: DataFrame) -> DataFrame:
+    """``rows`` (log, pos, hash_prev, self_hash) with their run's number: a new one begins where an entry does not name the one before."""
+    r = previous(rows, "self_hash", "before")
+    r = materialize(r.withColumn("head", (~F.coalesce(F.col("hash_prev") == F.col("before"), F.lit(False))).cast("long")), "chain-heads")
+    heads = r.groupBy("log", "part").agg(F.sum("head").alias("heads"))
+    earlier = Window.partitionBy("log").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = heads.select("log", "part", F.coalesce(F.sum("heads").over(earlier), F.lit(0)).alias("earlier"))
+    within = F.sum("head").over(Window.partitionBy("log", "part").orderBy("pos"))
+    numbered = r.withColumn("within", within).join(before, ["log", "part"])
+    return numbered.withColumn("run", F.col("earlier") + F.col("within")).select("log", "pos", "run", "hash_prev", "self_hash")
+
+
+def accepted(rows: DataFrame) -> DataFrame:
+    """(log, pos): the rows (log, pos, hash_prev, self_hash) that each log's chain accepts; give rows of good shape."""
+    r = materialize(runs(rows), "chain-runs")
+    tails = r.groupBy("log", "run").agg(F.max("pos").alias("tail"), F.max_by("self_hash", "pos").alias("hash_prev"))
+    later = r.select("log", F.col("pos").alias("land"), F.col("run").alias("to"), "hash_prev")
+    jumps = tails.join(later, ["log", "hash_prev"]).where("land > tail").groupBy("log", "run").agg(F.min_by(F.struct("to", "land"), "land").alias("j"))
+    jumps = materialize(jumps.select("log", "run", F.col("j.to").alias("to"), F.col("j.land").alias("land")), "chain-jumps")
+    start = r.where(F.col("hash_prev") == GENESIS).groupBy("log").agg(F.min_by(F.struct("run", "pos"), "pos").alias("s"))
+    # the runs met so far, with where they are entered, and jumps of 1, 2, 4 .. runs
+    met = materialize(start.select("log", F.col("s.run").alias("run"), F.col("s.pos").alias("entered")), "chain-met")
+    far = jumps
+    while not far.isEmpty():
+        reached = met.join(far, ["log", "run"]).select("log", F.col("to").alias("run"), F.col("land").alias("entered"))
+        met = materialize(met.unionByName(reached).groupBy("log", "run").agg(F.min("entered").alias("entered")), "chain-met")
+        next_ = far.select("log", F.col("run").alias("to"), F.col("to").alias("onward"), F.col("land").alias("landed"))
+        far = materialize(far.join(next_, ["log", "to"]).select("log", "run", F.col("onward").alias("to"), F.col("landed").alias("land")), "chain-far")
+    return r.join(met, ["log", "run"]).where("pos >= entered").select("log", "pos")
+
+
+def skipped(rows: DataFrame, shape_ok: str = "shape_ok") -> DataFrame:
+    """(log, pos, reason): malformed_entry_shape, or hash_chain_break for rows of good shape that the chain doesn't accept."""
+    good = rows.where(F.col(shape_ok))
+    held = accepted(good.select("log", "pos", "hash_prev", "self_hash"))
+    broken = good.select("log", "pos").join(held, ["log", "pos"], "left_anti").withColumn("reason", F.lit("hash_chain_break"))
+    return rows.where(~F.col(shape_ok)).select("log", "pos", F.lit("malformed_entry_shape").alias("reason")).unionByName(broken)
+
+
+def strict(skips: DataFrame) -> DataFrame:
+    """(log, n, refused): whether a log may not be projected, as some entry of it was skipped."""
+    return skips.groupBy("log").agg(F.count("*").alias("n")).withColumn("refused", F.col("n") > 0)
+
+
+def tail_safe(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """(log, last_seq, tail_seq, safe): whether the last physical row (log, pos, seq) is the last one accepted (log, pos)."""
+    physical = rows.groupBy("log").agg(F.max_by("seq", "pos").alias("tail_seq"))
+    folded = rows.join(held, ["log", "pos"], "left_semi").groupBy("log").agg(F.max_by("seq", "pos").alias("last_seq"))
+    both = physical.join(folded, "log", "left").withColumn("last_seq", F.coalesce("last_seq", F.lit(0)))
+    return both.select("log", "last_seq", "tail_seq", (F.col("last_seq") == F.col("tail_seq")).alias("safe"))

@@ -1,45 +1,68 @@
-"""Operation logs as JSON lines: month files in order, torn tails left out."""
+"""Operation logs as JSON lines: month files in order, torn tails left out.
+
+A month is one file ``YYYY-MM.jsonl``, or a folder ``log_file=YYYY-MM.jsonl`` of parts in order,
+as ``write`` makes it. Lines end with a line feed; a carriage return before it is part of the line.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.canonical import entry_hash
+from .storage import materialize
+
 ENTRY = "type string, schema_version string, is_state_bearing boolean, seq long, hash_prev string, intent_id string, principal string, ts string"
-MONTH_FILE = r"[^/]*?(\d{4}-\d{2}\.jsonl)$"
+MONTH_FILE = r"(?:^|/)(?:log_file=)?(\d{4}-\d{2}\.jsonl)(?:/[^/]*)?$"
 
 
-def read(spark: SparkSession, path: str, months: list[str] | None = None) -> DataFrame:
-    """(log_file, place, raw) of the lines of month files under ``path``; blank lines and a last line without line feed are dropped.
+def _lines(spark: SparkSession, path: str, months: list[str] | None) -> DataFrame:
+    """(log_file, place, raw, torn): every line, written once so that places stay.
 
-    Lines are read in splits. A file's last line lacks its line feed exactly if the file is
-    one byte shorter than its lines and their line feeds.
+    A file's last line lacks its line feed exactly if the file is one byte shorter than its
+    lines and their line feeds.
     """
-    lines = spark.read.text(path, recursiveFileLookup=True).select(
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path).select(
         F.regexp_extract("_metadata.file_path", MONTH_FILE, 1).alias("log_file"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place"),
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place"),
         F.col("_metadata.file_size").alias("size"),
         F.col("value").alias("raw"),
     ).where("log_file <> ''")
     if months is not None:
         lines = lines.where(F.substring("log_file", 1, 7).isin(*months))
-    files = lines.groupBy("log_file").agg(
-        F.max("size").alias("bytes"), F.sum(F.octet_length("raw") + 1).alias("read"), F.max("place").alias("last")
-    )
-    torn = files.where(F.col("read") > F.col("bytes")).select("log_file", F.col("last").alias("place"))
-    return lines.join(torn, ["log_file", "place"], "left_anti").where("raw <> ''").select("log_file", "place", "raw")
+    lines = materialize(lines, "log-lines")
+    files = lines.groupBy("place.file").agg(F.max("size").alias("bytes"), F.sum(F.octet_length("raw") + 1).alias("read"), F.max("place").alias("place"))
+    torn = files.where("read > bytes").select("place", F.lit(True).alias("torn"))
+    return lines.join(torn, "place", "left").select("log_file", "place", "raw", F.coalesce("torn", F.lit(False)).alias("torn"))
+
+
+def read(spark: SparkSession, path: str, months: list[str] | None = None) -> DataFrame:
+    """(log_file, place, raw) of the lines of month files under ``path``; blank lines and a last line without line feed are dropped."""
+    return _lines(spark, path, months).where("not torn and raw <> ''").select("log_file", "place", "raw")
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """Lines as entries, with ``shape_ok``; lines that are no JSON are dropped."""
-    e = F.from_json("raw", ENTRY)
-    rows = lines.where(F.try_parse_json("raw").isNotNull()).withColumn("e", e).select("log_file", "place", "raw", "e.*", F.get_json_object("raw", "$.payload").alias("payload_raw"))
+    """Lines as entries, with ``payload_raw``, ``self_hash`` and ``shape_ok``; lines that are no JSON are dropped."""
+    rows = lines.where(F.try_parse_json("raw").isNotNull()).withColumn("e", F.from_json("raw", ENTRY))
+    rows = rows.select("log_file", "place", "raw", "e.*", F.get_json_object("raw", "$.payload").alias("payload_raw"), entry_hash(F.col("raw")).alias("self_hash"))
     ok = F.col("seq").isNotNull() & F.col("type").isNotNull() & F.col("principal").isNotNull() & F.col("intent_id").isNotNull() & (F.length("hash_prev") == 64)
     return rows.withColumn("shape_ok", F.coalesce(ok, F.lit(False)))
 
 
-def write(entries: DataFrame, path: str) -> None:
-    """Entries (ts and the fields of a line) as month files, ordered by seq within each."""
-    line = F.to_json(F.struct(*[c for c in entries.columns if c != "month"]))
-    rows = entries.withColumn("month", F.date_format("ts", "yyyy-MM")).select("month", "seq", line.alias("value"))
-    rows.repartition("month").sortWithinPartitions("month", "seq").drop("seq").write.partitionBy("month").text(path)
+def tail(spark: SparkSession, path: str) -> DataFrame:
+    """(log_file, seq, self_hash) of the last line that is an entry with a number, one without its line feed included; no row for none."""
+    seq = F.expr("try_cast(get_json_object(raw, '$.seq') as long)")
+    valid = _lines(spark, path, None).withColumn("seq", seq).where(F.try_parse_json("raw").isNotNull() & (F.col("seq") >= 1))
+    last = valid.agg(F.max_by(F.struct("log_file", "seq", "raw"), F.struct("log_file", "place")).alias("l")).where("l is not null")
+    return last.select("l.log_file", "l.seq", entry_hash(F.col("l.raw")).alias("self_hash"))
+
+
+def write(entries: DataFrame, path: str, line: str | None = None) -> None:
+    """Entries (ts, seq and the fields of a line, or the line itself in ``line``) as month files, ordered by seq within each.
+
+    Rows are dealt out by ranges of month and seq, so a large month is several parts in order.
+    """
+    raw = F.col(line) if line else F.to_json(F.struct(*entries.columns))
+    month = F.concat(F.substring(F.col("ts").cast("string"), 1, 7), F.lit(".jsonl"))
+    rows = entries.select(month.alias("log_file"), "seq", raw.alias("value"))
+    rows.repartitionByRange("log_file", "seq").sortWithinPartitions("log_file", "seq").drop("seq").write.partitionBy("log_file").text(path)

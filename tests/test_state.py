@@ -73,20 +73,64 @@ def test_retired_only_where_an_earlier_curated_write_bears_the_number(spark):
 
 
 def test_rrf_leaves_absent_arms_out(spark):
-    a = spark.createDataFrame([("x", 1), ("y", 2)], "key string, rank int")
-    b = spark.createDataFrame([("y", 1)], "key string, rank int")
-    got = {r.key: r.score for r in retrieval.fused({"L": a, "S": b}, {"L": 0.5, "S": 1.0}).collect()}
-    assert got["x"] == pytest.approx(0.5 / 61) and got["y"] == pytest.approx(0.5 / 62 + 1 / 61)
+    a = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (2, "x", 1)], "qid long, key string, rank int")
+    b = spark.createDataFrame([(1, "y", 1)], "qid long, key string, rank int")
+    got = {(r.qid, r.key): r.score for r in retrieval.fused({"L": a, "S": b}, {"L": 0.5, "S": 1.0}).collect()}
+    assert got[1, "x"] == got[2, "x"] == pytest.approx(0.5 / 61) and got[1, "y"] == pytest.approx(0.5 / 62 + 1 / 61)
+
+
+UNITS = "key string, slug string, seq long, tag string, retired boolean, content string"
+
+
+def asked(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "qid long, text string")
 
 
 def test_hidden_units_shape_no_rank(spark):
-    units = spark.createDataFrame(
-        [("a::1::0", "a", 1, "CURATED", False, "alpha beta gamma"), ("b::2::0", "b", 2, "CURATED", False, "alpha alpha alpha")],
-        "key string, slug string, seq long, tag string, retired boolean, content string",
-    )
+    units = spark.createDataFrame([("a::1::0", "a", 1, "CURATED", False, "alpha beta gamma"), ("b::2::0", "b", 2, "CURATED", False, "alpha alpha alpha")], UNITS)
     acl = spark.createDataFrame([("a", ["me"]), ("b", ["you"])], "slug string, readers array<string>")
-    got = retrieval.retrieve(units, acl, "me", ["alpha"]).collect()
-    assert [(r.key, r.rank) for r in got] == [("a::1::0", 1)]
+    got = retrieval.retrieve(units, acl, "me", asked(spark, "the alpha", "none")).collect()
+    assert [(r.qid, r.key, r.rank, r.tier_outranks_curated) for r in got] == [(0, "a::1::0", 1, False)]
+
+
+def test_fields_prefixes_and_misspellings(spark):
+    rows = [
+        ("health::1::0", "health", 1, "CURATED", False, "notes about running"), ("other::2::0", "other", 2, "CURATED", False, "health appears in the text"),
+        ("other::3::0", "other", 3, "FACT", True, "runnning twice"), ("other::4::0", "other", 4, "CURATED", True, "running retired"), ("other::5::0", "other", 5, "SOURCE", False, ""),
+    ]
+    units = spark.createDataFrame(rows, UNITS)
+    live = retrieval.live(units)
+    assert {r.key: r.tier for r in live.collect()} == {"health::1::0": "curated", "other::2::0": "curated", "other::3::0": "note", "other::5::0": "source"}
+    found = retrieval.lexical(retrieval.index(retrieval.fields(live)), asked(spark, "health", "runn", "runing"))
+    keys = {}
+    for r in sorted(found.collect(), key=lambda r: (r.qid, r.rank)):
+        keys.setdefault(r.qid, []).append(r.key)
+    assert keys[0] == ["health::1::0", "other::2::0"]  # a slug counts twice
+    assert set(keys[1]) == {"health::1::0", "other::3::0"} and set(keys[2]) == {"health::1::0", "other::3::0"}
+    both = retrieval.lexical(retrieval.index(retrieval.fields(live)), asked(spark, "health running", "appears twice"), fuzzy=None)
+    assert sorted((r.qid, r.key) for r in both.collect()) == [(0, "health::1::0"), (1, "other::2::0"), (1, "other::3::0")]  # all terms, or any where none has all
+
+
+def test_chunks_keep_their_text_and_places(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    texts = ["", "  ", "short text", " \n" + " ".join(f"w{i}," for i in range(700)) + "  ", "".join(r.choice(["ab ", "c,d\n", "é_1  ", "日"]) for _ in range(900))]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", F.inline(T.chunks(F.col("t")))).collect()
+    import regex
+
+    for i, t in enumerate(texts):
+        own = sorted((x for x in got if x.i == i), key=lambda x: x.chunk_index)
+        places = [m.span() for m in regex.finditer(r"[\p{L}\p{N}_]+|[^\s]", t)]
+        n = len(places)
+        if n <= 512:
+            assert [(x.char_start, x.char_end, x.content) for x in own] == [(0, len(t), t)]
+            continue
+        spans = [(k, min(k + 256, n)) for k in range(0, n, 192) if k == 0 or k - 192 + 256 < n]
+        assert [(x.char_start, x.char_end) for x in own] == [(places[a][0], places[b - 1][1]) for a, b in spans]
+        assert all(t[x.char_start : x.char_end] == x.content for x in own)
 
 
 def test_text_functions(spark):
