@@ -200,36 +200,63 @@ def _values(i: int, mask: int, bits: list[int], t: int) -> list[Column]:
     return [F.struct(F.lit(i).alias("i"), value.bitwiseXOR(F.lit(x)).alias("v")) for x in flips]
 
 
-def links(distinct: DataFrame, distance: int = 3, sketch: tuple[str, ...] = (), most: int = 0) -> DataFrame:
+def links(distinct: DataFrame, distance: int = 3, plan: list[tuple[int, list[int], int]] | None = None) -> DataFrame:
     """(a, b), a < b: pairs of different fingerprints that differ in ``distance`` bits at most.
 
     Values within t bits meet halfway: one side lists its values within t // 2 bits, the
-    other within the rest. Where ``distinct`` has ``sketch`` columns, only pairs that differ
-    in ``most`` of their bits at most come out.
+    other within the rest. Where ``distinct`` has a ``label``, pairs of equal labels don't come out.
     """
-    plan = probe_plan(distinct.select("fp"), distance)
+    plan = plan or probe_plan(distinct.select("fp"), distance)
+    own = ["label"] if "label" in distinct.columns else []
     sides = []
     for end, half in (("a", lambda t: t - t // 2), ("b", lambda t: t // 2)):
         values = F.explode(F.array(*[x for i, (m, b, t) in enumerate(plan) for x in _values(i, m, b, half(t))]))
-        named = [F.col("fp").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in sketch]]
-        rows = distinct.select(*named, values.alias("k"))
-        sides.append(rows.select(end, *[f"{end}_{c}" for c in sketch], F.col("k.i").alias(f"{end}_i"), F.col("k.v").alias(f"{end}_v")))
-    differ = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-    met = (F.col("a_i") == F.col("b_i")) & (F.col("a_v") == F.col("b_v")) & (F.col("a") < F.col("b")) & (differ("a", "b") <= distance)
-    if sketch:
-        met = met & (sum((differ(f"a_{c}", f"b_{c}") for c in sketch), F.lit(0)) <= most)
+        rows = distinct.select(F.col("fp").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in own], values.alias("k"))
+        sides.append(rows.select(end, *[f"{end}_{c}" for c in own], F.col("k.i").alias(f"{end}_i"), F.col("k.v").alias(f"{end}_v")))
+    met = (F.col("a_i") == F.col("b_i")) & (F.col("a_v") == F.col("b_v")) & (F.col("a") < F.col("b"))
+    if own:
+        met = met & (F.col("a_label") != F.col("b_label"))
     probe, index = sides
-    return probe.join(index, met).select("a", "b").distinct()
+    return probe.join(index, met & (_differ("a", "b") <= distance)).select("a", "b").distinct()
+
+
+def _differ(x: str, y: str) -> Column:
+    """Bits in which two fingerprints differ."""
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+
+
+def spokes(distinct: DataFrame, distance: int, plan: list[tuple[int, list[int], int]]) -> DataFrame:
+    """(a, b): fingerprints linked to the smallest one that has the same value in a probed part, where that is near enough.
+
+    As many links as fingerprints and parts at most: they join a dense group before its pairs are looked at.
+    """
+    values = distinct.select("fp", F.explode(F.array(*[_values(i, m, b, 0)[0] for i, (m, b, _) in enumerate(plan)])).alias("k"))
+    values = values.select("fp", "k.i", "k.v")
+    hubs = values.groupBy("i", "v").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").select("i", "v", "hub")
+    met = values.join(hubs, ["i", "v"]).where((F.col("fp") != F.col("hub")) & (_differ("fp", "hub") <= distance))
+    return met.select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
+
+
+def _relabelled(nodes: DataFrame, joined: DataFrame) -> DataFrame:
+    """``nodes`` (fp, label) with labels replaced by those of ``joined`` (node, label)."""
+    new = joined.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return nodes.join(new, "label", "left").select("fp", F.coalesce("new", "label").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, doc_col="doc_id", text_col="text", distance: int = 3, width: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id of those linked, directly or through others."""
+    """(doc_id, fp, component_id): component_id is the smallest doc_id of those linked, directly or through others.
+
+    Dense groups are first joined by ``spokes``; the probes that follow find every link between
+    fingerprints of different groups, and components of groups join those.
+    """
     fps = materialize(fingerprints(docs, doc_col, text_col, width), "simhash-fps")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    labels = components(links(distinct.select("fp"), distance))
-    labelled = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("label", "fp").alias("label")
-    )
+    own = distinct.select("fp")
+    plan = probe_plan(own, distance)
+    nodes = materialize(_relabelled(own.select("fp", F.col("fp").alias("label")), components(spokes(own, distance, plan))), "simhash-groups")
+    label_of = lambda end: nodes.select(F.col("fp").alias(end), F.col("label").alias(f"{end}_label"))
+    met = links(nodes, distance, plan).join(label_of("a"), "a").join(label_of("b"), "b")
+    labelled = distinct.join(_relabelled(nodes, components(met, "a_label", "b_label")), "fp")
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     of_fp = labelled.join(least, "label").select("fp", "component_id")
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
