@@ -58,6 +58,23 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
 
 
+#: A key with more than one in so many rows is hot: there are fewer of them than this.
+HOT_SHARE = 1000
+
+
+def joined(rows: DataFrame, keyed: DataFrame, by: list[str], n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row for each key in ``by`` and in ``n`` how many rows have it.
+
+    Keys of over a thousandth of all ``total`` rows are under a thousand, whatever the table: they are
+    broadcast and their rows stay where they are; the other rows are shuffled, and no key has many of
+    them. Both sides are read twice: give written tables.
+    """
+    hot = F.broadcast(keyed.where(F.col(n) > total / HOT_SHARE))
+    cold = keyed.where(F.col(n) <= total / HOT_SHARE)
+    columns = [*rows.columns, *[c for c in keyed.columns if c not in by]]
+    return rows.join(hot, by).select(columns).unionByName(rows.join(hot.select(by), by, "left_anti").join(cold, by).select(columns))
+
+
 def small_batches(spark: SparkSession, rows: int = 1024, size: str = "8m") -> None:
     """Whole texts travel in Arrow batches of so many rows and bytes at most (or of one row)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

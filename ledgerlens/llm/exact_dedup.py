@@ -8,7 +8,9 @@ the same number of rounds and the same last name; no hash decides anything
 (hashes only deal blocks out to buckets, within which contents are sorted).
 
 A text block crosses the network once for each map task that holds it: within a
-task equal blocks point to the first one. Later rounds move integers only.
+task equal blocks point to the first one. Later rounds move integers only. Names
+that over a thousandth of all rows bear, as of a text with very many copies, reach
+them by broadcast, so such rows aren't gathered in one task.
 
 Null texts count as empty and equal one another. Rows are told apart by their
 place, so repeated rows and repeated ids are documents of their own; among rows
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, small_batches, text_or_empty
+from .common import discard, joined, materialize, small_batches, text_or_empty
 
 BLOCK_BYTES = 4096
 #: Names that one bucket sorts: about this many.
@@ -94,10 +96,11 @@ def identities(docs: DataFrame, doc_col="doc_id", text_col="text", block_bytes:
     """(row_id, doc_id, sha256, rounds, name) for each row: equal (rounds, name), equal normalised text."""
     blocks = materialize(_blocks(docs, doc_col, text_col, block_bytes, key_col), "dedup-blocks")
     fat = blocks.where(F.col("content").isNotNull()).select("first_equal", "content")
-    names = _named(fat, ["content"], fat.count()).select("first_equal", "name")
-    level = materialize(
-        blocks.select("row_id", "idx", "n_blocks", "first_equal").join(names, "first_equal").drop("first_equal"), "dedup-names"
-    )
+    uses = blocks.groupBy("first_equal").agg(F.count("*").alias("uses"))
+    names = materialize(_named(fat, ["content"], fat.count()).select("first_equal", "name").join(uses, "first_equal"), "dedup-block-names")
+    pieces = blocks.select("row_id", "idx", "n_blocks", "first_equal")
+    level = materialize(joined(pieces, names, ["first_equal"], "uses", blocks.count()).drop("first_equal", "uses"), "dedup-names")
+    discard(names)
     done, longest, rounds = [], level.agg(F.max("n_blocks")).first()[0] or 0, 0
     while True:
         done.append(level.where("n_blocks = 1").select("row_id", F.lit(rounds).alias("rounds"), "name"))
@@ -112,10 +115,12 @@ def identities(docs: DataFrame, doc_col="doc_id", text_col="text", block_bytes:
             .withColumn("n_blocks", F.ceil(F.col("n_blocks") / 2).cast("int")),
             "dedup-pairs",
         )
-        distinct = pairs.select("a", "b").distinct()
-        names = _named(distinct, ["a", "b"], pairs.count()).select("a", "b", "name")
-        level = materialize(pairs.join(names, ["a", "b"]).drop("a", "b"), "dedup-names")
+        total = pairs.count()
+        distinct = pairs.groupBy("a", "b").agg(F.count("*").alias("uses"))
+        names = materialize(_named(distinct, ["a", "b"], total).select("a", "b", "name", "uses"), "dedup-pair-names")
+        level = materialize(joined(pairs, names, ["a", "b"], "uses", total).drop("a", "b", "uses"), "dedup-names")
         discard(pairs)
+        discard(names)
         longest, rounds = -(-longest // 2), rounds + 1
     found = done[0]
     for x in done[1:]:
@@ -125,8 +130,9 @@ def identities(docs: DataFrame, doc_col="doc_id", text_col="text", block_bytes:
 
 def _with_first(ids: DataFrame) -> DataFrame:
     """Rows of ``identities`` with ``group_size`` and ``first``, the (doc_id, row_id) that stays of those with equal text."""
+    ids = materialize(ids, "dedup-identities")
     groups = ids.groupBy("rounds", "name").agg(F.min(F.struct("doc_id", "row_id")).alias("first"), F.count("*").alias("group_size"))
-    return ids.join(groups, ["rounds", "name"])
+    return joined(ids, materialize(groups, "dedup-groups"), ["rounds", "name"], "group_size", ids.count())
 
 
 def repeated(docs: DataFrame, key_col: str, doc_col="doc_id", text_col="text") -> DataFrame:
