@@ -24,23 +24,29 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import SPACE, joined, materialize, text_or_empty
 from .toxicity import sample
 
 
 def form(text: Column) -> list[Column]:
-    """Features of a text's form, each a rate bounded by 1 or the logarithm of a length."""
-    n = F.greatest(F.length(text), F.lit(1))
-    spaces = F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]+")) + 1
-    rate = lambda pattern, over: F.least(F.regexp_count(text, F.lit(pattern)) / over, F.lit(1.0))
+    """Features of a text's form, each a rate bounded by 1 or the logarithm of a length.
+
+    Frequent characters are counted by what is left without the others, rare matches one by one.
+    """
+    length = F.length(text)
+    n = F.greatest(length, F.lit(1))
+    spaces = F.size(F.split(text, SPACE))  # runs of white space, and one
+    left = lambda others: F.length(F.regexp_replace(text, others, ""))
+    gone = lambda mark: length - F.length(F.replace(text, F.lit(mark)))
+    rate = lambda count, over: F.least(count / over, F.lit(1.0))
     return [
-        rate("[#*$%&<>]", n),
-        rate("!!", spaces),
-        rate(r"\|", spaces),
-        rate(r"\p{Lu}", n),
-        rate(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D](?=\1(?![^\x20\x09-\x0D]))", spaces),
-        rate(r"[.!?](?![^\x20\x09-\x0D])", spaces),
-        F.log1p(F.length(text)) / 10,
+        rate(left("[^#*$%&<>]+"), n),
+        rate(gone("!!") / 2, spaces),
+        rate(gone("|"), spaces),
+        rate(left(r"\P{Lu}+"), n),
+        rate(F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D](?=\1(?![^\x20\x09-\x0D]))")), spaces),
+        rate(F.regexp_count(text, F.lit(r"[.!?](?![^\x20\x09-\x0D])")), spaces),
+        F.log1p(length) / 10,
     ]
 
 
@@ -113,8 +119,8 @@ def _between(groups: DataFrame, mean: str) -> tuple[float, float]:
     return max((r["d2"] - (r["k"] - 1) * within) / r["n"], 0.0), within
 
 
-def sites(evidence: DataFrame) -> tuple[DataFrame, float]:
-    """((host, path, host_mean, path_mean), global mean) from rows of (host, path, evidence)."""
+def sites(evidence: DataFrame) -> tuple[DataFrame, float, int]:
+    """((host, path, n, host_mean, path_mean), global mean, rows) from rows of (host, path, evidence)."""
     sums = [F.count("*").alias("n"), F.sum("evidence").alias("s"), F.sum(F.col("evidence") * F.col("evidence")).alias("q")]
     paths = materialize(evidence.groupBy("host", "path").agg(*sums), "quality-paths")
     hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
@@ -125,7 +131,8 @@ def sites(evidence: DataFrame) -> tuple[DataFrame, float]:
     under = paths.join(host_means, "host")
     k_path = strength(mean, *_between(under, "host_mean"))
     path_mean = (F.lit(k_path) * F.col("host_mean") + F.col("s")) / (F.lit(k_path) + F.col("n"))
-    return materialize(under.select("host", "path", "host_mean", path_mean.alias("path_mean")), "quality-sites"), mean
+    means = under.select("host", "path", F.col("n").alias("site_rows"), "host_mean", path_mean.alias("path_mean"))
+    return materialize(means, "quality-sites"), mean, row["n"] or 0
 
 
 def posterior(mean: float, max_pull: float = 4.0) -> Column:
@@ -137,12 +144,24 @@ def posterior(mean: float, max_pull: float = 4.0) -> Column:
     return o / (1 + o)
 
 
-def rated(docs: DataFrame, labels: DataFrame, host="source", path="lang", text_col="text", doc_col="doc_id", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with evidence, host_mean, path_mean, posterior and kept."""
+#: Columns that ``rated`` adds.
+RESULTS = ("evidence", "host_mean", "path_mean", "posterior", "kept")
+
+
+def rated(
+    docs: DataFrame, labels: DataFrame, host="source", path="lang", text_col="text", doc_col="doc_id", threshold: float = 0.5,
+    columns: list[str] | None = None,
+) -> DataFrame:
+    """``docs``, or those ``columns`` of it, with evidence, host_mean, path_mean, posterior and kept.
+
+    Texts are read for their evidence once: it is written with the columns that pass through.
+    """
     model = fit(docs, labels, doc_col=doc_col, text_col=text_col)
-    names = ["evidence", "host_mean", "path_mean", "posterior", "kept"]
-    rest = [c for c in docs.columns if c not in names]
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), *site_keys(host, path), model.column(text_or_empty(text_col)).alias("evidence"))
-    means, mean = sites(own.select("host", "path", "evidence"))
-    out = own.join(means, ["host", "path"]).withColumn("posterior", posterior(mean))
-    return out.withColumn("kept", F.col("posterior") >= threshold).select("row.*", *names)
+    rest = [c for c in (docs.columns if columns is None else columns) if c not in RESULTS]
+    own = materialize(
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), *site_keys(host, path), model.column(text_or_empty(text_col)).alias("evidence")),
+        "quality-evidence",
+    )
+    means, mean, total = sites(own.select("host", "path", "evidence"))
+    out = joined(own, means, ["host", "path"], "site_rows", total).withColumn("posterior", posterior(mean))
+    return out.withColumn("kept", F.col("posterior") >= threshold).select("row.*", *RESULTS)

@@ -32,7 +32,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts are sources, paths the languages within them."""
-    found = quality_sites.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = quality_sites.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id"])
     return found.select("doc_id", "evidence", "host_mean", "path_mean", "posterior", "kept")
 
 
