@@ -3,10 +3,14 @@
 Base kinds are matched as written: ``assign``, ``access``, ``hex``. Structural
 confirmation adds spans only where a candidate decodes and its contents parse:
 
-``jwt``  a signed token: a JSON header that names an algorithm, and a JSON payload
-``pem``  an armoured private key whose body decodes
-``der``  base64 or hex of a key in DER: nested tags whose lengths add up exactly
-``ssh``  base64 of a key in SSH's wire format: a length-prefixed key type
+``jwt``  a signed token: a JSON header that names an algorithm, a JSON payload and a signature
+``pem``  an armoured private key whose body parses as one; encrypted bodies and escaped line ends count too
+``der``  base64 or hex of a private key in DER (PKCS#1, PKCS#8, SEC1, DSA, encrypted PKCS#8), also
+         wrapped over lines: its own nested lengths say where it ends
+``ssh``  base64 of a private key container in SSH's wire format, all of whose lengths add up
+
+Public keys, certificates and signatures have other fields and are not reported.
+A ``der`` or ``ssh`` body inside a ``pem`` span is part of that span.
 
 Offsets are code points, ends exclusive. Null texts count as empty. Texts are
 scanned whole and one by one, so repeated rows and ties are of no account; an
@@ -36,11 +40,21 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-_HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
-_SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-", b"sk-ssh-", b"sk-ecdsa-")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+_BREAK = r"(?:\r?\n|\\r|\\n)"
+_PEM = re.compile(
+    rf"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:{_BREAK}[ \t]*[A-Za-z-]+: [^\r\n\\]*)*)((?:[A-Za-z0-9+/=\s]|\\[rn])*)-----END \1-----"
+)
+# the first bytes of a DER sequence, and of SSH's container, in base64 and hex
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9+/_-]{22,}")
+_REST = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/_-]+)")
+_HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
+_SSH_MAGIC = b"openssh-key-v1\0"
+#: A structure of more bytes is no key: RSA keys of 16,384 bits have under 10,000.
+MAX_KEY = 1 << 16
+# Tags of DER, and what the identifiers of password-based encryption begin with.
+INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+ENCRYPTIONS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c"))
 
 
 def decoded64(text: str) -> bytes | None:
@@ -52,63 +66,140 @@ def decoded64(text: str) -> bytes | None:
         return None
 
 
-def der_tags(raw: bytes, at: int, end: int, depth: int = 0) -> list[int] | None:
-    """The tags of consecutive DER values that fill ``raw[at:end]`` exactly; None where lengths don't add up."""
-    tags: list[int] = []
-    while at < end:
-        if depth > 16 or at + 2 > end:
+def der_header(raw: bytes, at: int) -> tuple[int, int, int] | None:
+    """(tag, where the value begins, where it ends) of the DER value at ``at``; None where its length isn't well-formed."""
+    if at + 2 > len(raw):
+        return None
+    tag, size, at = raw[at], raw[at + 1], at + 2
+    if size & 0x80:
+        n = size & 0x7F
+        if not 1 <= n <= 4 or at + n > len(raw) or raw[at] == 0:
+            return None
+        size, at = int.from_bytes(raw[at : at + n], "big"), at + n
+        if size < 0x80:
             return None
-        tag, size, at = raw[at], raw[at + 1], at + 2
-        if size & 0x80:
-            n = size & 0x7F
-            if not 1 <= n <= 4 or at + n > end or raw[at] == 0:
-                return None
-            size, at = int.from_bytes(raw[at : at + n], "big"), at + n
-            if size < 0x80:
-                return None
-        if at + size > end:
+    return tag, at, at + size
+
+
+def der_fields(raw: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The headers of consecutive DER values that fill ``raw[at:end]`` exactly; None where lengths don't add up."""
+    fields = []
+    while at < end:
+        header = der_header(raw, at)
+        if header is None or header[2] > end:
             return None
-        tags.append(tag)
-        if tag & 0x20:
-            inner = der_tags(raw, at, at + size, depth + 1)
-            if inner is None:
-                return None
-            tags += inner
-        at += size
-    return tags
+        fields.append(header)
+        at = header[2]
+    return fields
 
 
 def is_der_key(raw: bytes) -> bool:
-    """A sequence, whole and exact, that holds an integer, bit string or octet string."""
-    if len(raw) < 24 or raw[0] != 0x30:
+    """One sequence, whole and exact, with the fields of a private key."""
+    whole = der_fields(raw, 0, len(raw))
+    if not whole or len(whole) != 1 or whole[0][0] != SEQUENCE:
+        return False
+    fields = der_fields(raw, *whole[0][1:])
+    if not fields or len(fields) < 2:
         return False
-    tags = der_tags(raw, 0, len(raw))
-    return tags is not None and tags.count(0x30) + len(tags) >= 3 and any(t in (0x02, 0x03, 0x04) for t in tags)
+    tags = [f[0] for f in fields]
+    value = lambda f: raw[f[1] : f[2]]
+    inner = lambda f: der_fields(raw, f[1], f[2]) or [(0, 0, 0)]
+    if tags[0] == SEQUENCE:  # encrypted PKCS#8: algorithm, octets
+        kind = inner(fields[0])[0]
+        return tags == [SEQUENCE, OCTETS] and kind[0] == OID and value(kind).startswith(ENCRYPTIONS)
+    if tags[0] != INTEGER or value(fields[0]) not in (b"\0", b"\1"):
+        return False
+    if tags[1] == SEQUENCE:  # PKCS#8: version, algorithm, octets, attributes
+        return tags[2:3] == [OCTETS] and inner(fields[1])[0][0] == OID and all(t in (0xA0, 0x81, 0xA1) for t in tags[3:])
+    if tags[1] == OCTETS:  # SEC1: version 1, octets, curve, point
+        return value(fields[0]) == b"\1" and fields[1][2] - fields[1][1] >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])
+    numbers = len(tags) - (tags[-1] == SEQUENCE)  # PKCS#1, and the six numbers of DSA
+    return numbers in (6, 9) and all(t == INTEGER for t in tags[:numbers])
 
 
-def is_ssh_key(raw: bytes) -> bool:
-    """The private key container, or fields of which the first names a key type and all lengths add up."""
-    if raw.startswith(b"openssh-key-v1\0"):
-        return True
-    at, n = 0, 0
-    while at + 4 <= len(raw):
+def ssh_size(raw: bytes) -> int | None:
+    """Bytes of the private key container that ``raw`` begins with, as its lengths say; None where they can't be read.
+
+    Fields: cipher, key derivation and its options, a count, as many public keys, the private part.
+    """
+    at, n, keys = len(_SSH_MAGIC), 0, 1
+    if not raw.startswith(_SSH_MAGIC):
+        return None
+    while n < 5 + keys:
+        if at + 4 > len(raw):
+            return None
         size = int.from_bytes(raw[at : at + 4], "big")
-        if at == 0 and not raw[4 : 4 + size].startswith(_SSH_TYPES):
-            return False
-        at, n = at + 4 + size, n + 1
-    return at == len(raw) and n >= 2
+        at += 4
+        if n == 3:
+            keys = size
+        else:
+            at += size
+        if keys > 64 or at > MAX_KEY or (n == 4 + keys and not size):
+            return None
+        n += 1
+    return at
+
+
+def is_ssh_key(raw: bytes) -> bool:
+    """The private key container, whole and exact."""
+    return ssh_size(raw) == len(raw)
 
 
-def is_jwt(header: str, payload: str) -> bool:
-    """The header names an algorithm and the payload is an object."""
+def is_jwt(header: str, payload: str, signature: str) -> bool:
+    """The header names an algorithm that signs, the payload is an object and the signature decodes."""
     raw, body = decoded64(header), decoded64(payload)
     try:
         head = json.loads(raw) if raw else None
-        return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(json.loads(body or b""), dict)
+        signed = isinstance(head, dict) and isinstance(head.get("alg"), str) and head["alg"].lower() != "none"
+        return signed and isinstance(json.loads(body or b""), dict) and bool(decoded64(signature))
     except (ValueError, RecursionError):
         return False
 
 
+def is_pem_key(label: str, headers: str, body: str) -> bool:
+    """The body decodes to a private key, or to whole cipher blocks where the headers say that it is encrypted."""
+    raw = decoded64(re.sub(r"\\[rn]|\s", "", body))
+    if not raw:
+        return False
+    if "DEK-Info:" in headers:
+        return len(raw) >= 32 and len(raw) % 8 == 0
+    return is_ssh_key(raw) if label.startswith("OPENSSH") else is_der_key(raw)
+
+
+def lines_at(text: str, start: int, end: int, wanted: int) -> tuple[str, int]:
+    """At least ``wanted`` base64 characters from ``start`` on, to ``end`` and from the lines that follow, and where they end."""
+    parts, size = [text[start:end]], end - start
+    while size < wanted and (more := _REST.match(text, end)):
+        parts.append(more[1])
+        size, end = size + len(more[1]), more.end()
+    return "".join(parts), end
+
+
+def key_at(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """(kind's number, end) of the key whose base64 begins at ``start`` and runs on its line to ``end``, and over later ones.
+
+    How many characters it has comes from its own lengths; the last line must end with it.
+    """
+    head = decoded64(text[start : start + 24])
+    if head and head.startswith(_SSH_MAGIC):
+        some, _ = lines_at(text, start, end, MAX_KEY * 4 // 3)
+        size = ssh_size(decoded64(some[: len(some) // 4 * 4]) or b"") or ssh_size(decoded64(some) or b"")
+    else:
+        header = der_header(head, 0) if head else None
+        size = header[2] if header else None
+    if not size or size > MAX_KEY:
+        return None
+    wanted = -(-size * 4 // 3)
+    body, end = lines_at(text, start, end, wanted)
+    raw = decoded64(body) if len(body) == wanted else None
+    if not raw or not (is_der_key(raw) or is_ssh_key(raw)):
+        return None
+    pad = 0
+    while pad < -len(body) % 4 and text[end : end + 1] == "=":
+        end, pad = end + 1, pad + 1
+    return (5 if is_der_key(raw) else 6), end
+
+
 def spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end), in that order."""
     found: list[tuple[int, int, int]] = []
@@ -118,16 +209,16 @@ def spans(text: str) -> list[tuple[int, int, int]]:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     if "eyJ" in text:
-        found += [(m.start(), 3, m.end()) for m in _JWT.finditer(text) if is_jwt(m[1], m[2])]
+        found += [(m.start(), 3, m.end()) for m in _JWT.finditer(text) if is_jwt(m[1], m[2], m[3])]
+    armoured = []
     if "PRIVATE KEY-----" in text:
-        found += [(m.start(), 4, m.end()) for m in _PEM.finditer(text) if decoded64("".join(m[2].split()))]
-    for m in _BASE64.finditer(text):
-        raw = decoded64(m[0])
-        if raw and (is_der_key(raw) or is_ssh_key(raw)):
-            found.append((m.start(), 5 if is_der_key(raw) else 6, m.end()))
+        armoured = [(m.start(), 4, m.end()) for m in _PEM.finditer(text) if is_pem_key(m[1], m[2], m[3])]
+    bodies = [(m.start(), key_at(text, m.start(), m.end())) for m in _BASE64.finditer(text)]
+    bare = [(a, *found_at) for a, found_at in bodies if found_at]
     for m in _HEX_KEY.finditer(text):
         if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            found.append((m.start(), 5, m.end()))
+            bare.append((m.start(), 5, m.end()))
+    found += armoured + [x for x in bare if not any(a <= x[0] < b for a, _, b in armoured)]
     return sorted(set(found))
 
 
