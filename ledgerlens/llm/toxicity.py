@@ -30,6 +30,8 @@ BITS = 21
 SIZES = (3, 4, 5, 6)
 #: Spaces after each text, so that no n-gram spans two.
 GAP = max(SIZES)
+#: Cells of a matrix of texts by chosen buckets.
+CELLS = 1 << 23
 
 _letters: list[np.ndarray] = []
 
@@ -58,26 +60,53 @@ def _grams(texts: list[str]):
             yield ((h ^ np.uint32(size * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS), ends
 
 
-def _doc_of(places: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The text of each place, and whether the place is inside it (one space after it counts)."""
-    doc = np.searchsorted(ends, places, side="right")
-    return doc, places < ends[doc] - GAP + 1
+def _doc_of(ends: np.ndarray) -> np.ndarray:
+    """By place the text that it is inside (one space after it counts), or -1."""
+    starts = np.concatenate(([0], ends[:-1]))
+    doc = np.repeat(np.arange(len(ends), dtype=np.int32), ends - starts)
+    doc[(ends[:, None] - np.arange(1, GAP)).ravel()] = -1
+    return doc
 
 
-def features(texts: list[str], chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) pairs, each once, ordered; only of the ``chosen`` buckets where a mask is given."""
-    found = []
+def features(texts: list[str], number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) pairs, each once, ordered.
+
+    With ``number``, which gives the chosen buckets numbers from 0 and others -1, (text, number) pairs, repeated ones as often as they stand.
+    """
+    docs, found, doc_of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], None
     for buckets, ends in _grams(texts):
-        if chosen is None:
-            places = np.arange(len(buckets))
-        else:
-            places = np.flatnonzero(chosen[buckets])
-        doc, inside = _doc_of(places, ends)
-        found.append((doc[inside].astype(np.int64) << BITS) | buckets[places[inside]].astype(np.int64))
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        doc_of = _doc_of(ends) if doc_of is None else doc_of
+        kind = buckets if number is None else number[buckets]
+        doc = doc_of[: len(kind)]
+        places = np.flatnonzero(doc >= 0 if number is None else (kind >= 0) & (doc >= 0))
+        docs.append(doc[places])
+        found.append(kind[places])
+    doc, kind = np.concatenate(docs).astype(np.int64), np.concatenate(found).astype(np.int64)
+    if number is not None:
+        return doc, kind
+    pairs = np.unique(doc << BITS | kind)
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
+def numbered(buckets: np.ndarray) -> np.ndarray:
+    """By bucket its number in ``buckets``, or -1."""
+    number = np.full(1 << BITS, -1, dtype=np.int32)
+    number[buckets] = np.arange(len(buckets))
+    return number
+
+
+def held(texts: list[str], number: np.ndarray, n: int):
+    """(from, matrix): which of the ``n`` chosen buckets each text has, for texts from that place on, as many as fit ``CELLS``."""
+    most = max(1, CELLS // max(n, 1))
+    for a, b in chunks_of(texts):
+        for i in range(a, b, most):
+            some = texts[i : min(i + most, b)]
+            doc, kind = features(some, number)
+            has = np.zeros(len(some) * n, dtype=bool)
+            has[doc * n + kind] = True
+            yield i, has.reshape(len(some), n)
+
+
 @dataclass
 class Model:
     """Weights by bucket and an intercept."""
@@ -88,15 +117,10 @@ class Model:
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Probability of toxicity, for each text."""
-        chosen = np.zeros(1 << BITS, dtype=bool)
-        chosen[self.buckets] = True
-        weight = np.zeros(1 << BITS)
-        weight[self.buckets] = self.weights
-        out = np.zeros(len(texts))
-        for a, b in chunks_of(texts):
-            doc, bucket = features(texts[a:b], chosen)
-            out[a:b] = np.bincount(doc, weights=weight[bucket], minlength=b - a)
-        return 1 / (1 + np.exp(-np.clip(out + self.intercept, -40, 40)))
+        number, out = numbered(self.buckets), np.full(len(texts), self.intercept)
+        for a, has in held(texts, number, len(self.buckets)):
+            out[a : a + len(has)] += has @ self.weights.astype(np.float32)
+        return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
 def sample(labelled: DataFrame, label: str, max_per_class: int) -> DataFrame:
@@ -112,15 +136,20 @@ def fitted(rows: list[tuple[int, np.ndarray]], ratios: np.ndarray, prior_shift:
     share = np.where(y == 1, np.sqrt((len(y) - y.sum()) / y.sum()), 1.0)
     counts = np.array([len(r[1]) for r in rows])
     cols = np.concatenate([r[1] for r in rows])
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), counts)
-    parts = [slice(i, i + (1 << 19)) for i in range(0, len(cols), 1 << 19)]
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], 1 << 19)), len(rows)))
+    parts = list(zip(cuts[:-1], cuts[1:], strict=True))  # of rows, with about so many features each
     w, b = np.zeros(len(ratios)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        scaled = w * ratios
-        z = sum((np.bincount(doc[p], weights=scaled[cols[p]], minlength=len(rows)) for p in parts), np.full(len(rows), b))
+        scaled, z, g = w * ratios, np.full(len(rows), b), np.zeros_like(w)
+        for i, j in parts:
+            d = np.repeat(np.arange(j - i), counts[i:j])
+            z[i:j] += np.bincount(d, weights=scaled[cols[ends[i] : ends[j]]], minlength=j - i)
         e = share * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / share.sum()
-        g = sum((np.bincount(cols[p], weights=e[doc[p]], minlength=len(w)) for p in parts), np.zeros_like(w)) * ratios + penalty * w
+        for i, j in parts:
+            g += np.bincount(cols[ends[i] : ends[j]], weights=np.repeat(e[i:j], counts[i:j]), minlength=len(w))
+        g = g * ratios + penalty * w
         gb = e.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -130,12 +159,40 @@ def fitted(rows: list[tuple[int, np.ndarray]], ratios: np.ndarray, prior_shift:
     return w * ratios, b + prior_shift
 
 
+def ratios(texts: DataFrame, n1: int, n0: int, label: str = "toxic") -> DataFrame:
+    """(bucket, ratio, sure) of every bucket that some of ``texts`` (label, text) have; n1 and n0 are how many there are of each class.
+
+    ``sure`` is the ratio over its standard error.
+    """
+
+    def count(batches):
+        counts = np.zeros((2, 1 << BITS), dtype=np.int32)
+        for batch in batches:
+            y, ts = np.asarray(batch.column(0)), batch.column(1).to_pylist()
+            for a, b in chunks_of(ts):
+                doc, bucket = features(ts[a:b])
+                for k in (0, 1):
+                    counts[k] += np.bincount(bucket[y[a:b][doc] == k], minlength=1 << BITS).astype(np.int32)
+        some = np.flatnonzero(counts.sum(axis=0))
+        for i in range(0, len(some), 1 << 16):
+            part = some[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part.astype(np.int32)), pa.array(counts[1][part]), pa.array(counts[0][part])], ["bucket", "c1", "c0"]
+            )
+
+    r = F.log(((F.col("c1") + 1) / (n1 + 2)) / ((F.col("c0") + 1) / (n0 + 2)))
+    sure = F.abs("ratio") / F.sqrt(1 / (F.col("c1") + 1) + 1 / (F.col("c0") + 1))
+    sums = texts.select(label, "text").mapInArrow(count, "bucket int, c1 int, c0 int").groupBy("bucket").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+    return sums.withColumn("ratio", r).withColumn("sure", sure).select("bucket", "ratio", "sure")
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
     label: str = "toxic",
     max_per_class: int = 6000,
     max_features: int = 20_000,
+    min_sure: float = 2.5,
     penalty: float = 1e-4,
     steps: int = 150,
     doc_col="doc_id",
@@ -158,53 +215,27 @@ def train(
     if not n1 or not n0:
         return Model(np.zeros(0, np.int64), np.zeros(0), -40.0)
 
-    def count(batches):
-        counts = np.zeros((2, 1 << BITS), dtype=np.int32)
-        for batch in batches:
-            y, ts = np.asarray(batch.column(0)), batch.column(1).to_pylist()
-            for a, b in chunks_of(ts):
-                doc, bucket = features(ts[a:b])
-                for k in (0, 1):
-                    counts[k] += np.bincount(bucket[y[a:b][doc] == k], minlength=1 << BITS).astype(np.int32)
-        some = np.flatnonzero(counts.sum(axis=0))
-        for i in range(0, len(some), 1 << 16):
-            part = some[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part.astype(np.int32)), pa.array(counts[1][part]), pa.array(counts[0][part])], ["bucket", "c1", "c0"]
-            )
-
-    r = F.log(((F.col("c1") + 1) / (n1 + 2)) / ((F.col("c0") + 1) / (n0 + 2)))
-    sure = F.abs("ratio") / F.sqrt(1 / (F.col("c1") + 1) + 1 / (F.col("c0") + 1))
     chosen_rows = (
-        texts.mapInArrow(count, "bucket int, c1 int, c0 int")
-        .groupBy("bucket")
-        .agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
-        .withColumn("ratio", r)
-        .withColumn("sure", sure)
-        .where("sure >= 2.5")
+        ratios(texts, n1, n0, label)
+        .where(F.col("sure") >= min_sure)
         .orderBy(F.desc("sure"), "bucket")
         .limit(max_features)
         .select("bucket", "ratio")
         .toArrow()
         .sort_by("bucket")
     )
-    buckets, ratios = np.asarray(chosen_rows["bucket"]).astype(np.int64), np.asarray(chosen_rows["ratio"])
+    buckets, found_ratios = np.asarray(chosen_rows["bucket"]).astype(np.int64), np.asarray(chosen_rows["ratio"])
 
     def extract(batches):
-        chosen = np.zeros(1 << BITS, dtype=bool)
-        chosen[buckets] = True
+        number = numbered(buckets)
         for batch in batches:
-            ts, rows = batch.column(1).to_pylist(), []
-            for a, b in chunks_of(ts):
-                doc, bucket = features(ts[a:b], chosen)
-                cols = np.split(np.searchsorted(buckets, bucket).astype("<i4"), np.searchsorted(doc, np.arange(1, b - a)))
-                rows += [c.tobytes() for c in cols]
+            rows = [np.flatnonzero(x).astype("<i4").tobytes() for _, has in held(batch.column(1).to_pylist(), number, len(buckets)) for x in has]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], [label, "cols"])
 
     found = texts.mapInArrow(extract, f"{label} int, cols binary").toLocalIterator()
     rows = [(x[label], np.frombuffer(bytes(x["cols"]), dtype="<i4")) for x in found]
     shift = np.log((total[1] / total[0]) / (n1 / n0))
-    weights, intercept = fitted(rows, ratios, float(shift), penalty, steps)
+    weights, intercept = fitted(rows, found_ratios, float(shift), penalty, steps)
     return Model(buckets, weights, float(intercept))
 
 
