@@ -5,8 +5,10 @@ integers. Row indexes and Bloom filters on ``doc_id`` let a reader skip stripes
 and row groups. Each row also holds where it stands in its file, so offsets over
 all documents need only the files' totals.
 
-Null texts count as empty (the end id alone); rows with equal ids lie next to
-each other, ordered by text; an empty table gives an empty store.
+Null texts count as empty (the end id alone). Rows with equal ids, or none, lie
+next to each other, ordered by a hash of their text, then by place; ranges are cut
+between any two rows, so an id with very many rows fills as many files as it needs.
+An empty table gives an empty store; other columns are not read.
 """
 
 from __future__ import annotations
@@ -62,8 +64,10 @@ def write(
 
     (
         docs.select(F.col(doc_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        .withColumns({"h": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+        .repartitionByRange("doc_id", "h", "place")
+        .sortWithinPartitions("doc_id", "h", "place")
+        .select("doc_id", "text")
         .mapInArrow(run, SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
