@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import admission, blocks, chain, projection, proposals, retrieval, similarity, state
+from ..operators import admission, blocks, chain, preconditions, projection, proposals, retrieval, similarity, state
 from ..schema import matrix
 from ..sources import adapters, jsonl, markdown
 from ..sources.storage import scratch_path
@@ -656,21 +656,127 @@ def stratified_sample(spark, d):
     return proposals.sampled(state.writes(_log(spark, d)).select("seq", "slug", "content"), 1000)
 
 
-@query("""prop AS (SELECT slug || '-x' AS slug, slug AS origin FROM log WHERE type = 'write_event' GROUP BY slug),
-cool AS (SELECT DISTINCT slug_key FROM dismissed WHERE cleared_by_accept_seq IS NULL AND until_ms > (SELECT max((epoch_us(ts) // 1000)) FROM log))
-SELECT p.slug, CASE WHEN t.slug IS NOT NULL THEN 'slug_collision_with_topic_index' WHEN c.slug_key IS NOT NULL THEN 'cooldown_active' END AS reason
-FROM prop p LEFT JOIN topics t ON t.slug = p.origin AND t.meta_k IS NOT NULL LEFT JOIN cool c ON c.slug_key = replace(lower(p.origin), '-', '')""")
-def cluster_validate(spark, d):
-    log = _log(spark, d)
-    return proposals.validated(proposals.proposals(log), log, _now_ms(log))
-
-
 _SUPPORTS = """w AS (SELECT slug, seq, pos, row_number() OVER (PARTITION BY slug ORDER BY pos) AS wn FROM log WHERE type = 'write_event'),
 prop AS (SELECT slug || '-x' AS slug, seq FROM w WHERE wn <= 100),
 sup AS (SELECT s.seq AS suggestion_seq, w.seq FROM (SELECT *, (SELECT count(*) FROM w WHERE w.slug = log.slug AND w.pos < log.pos) AS n FROM log WHERE type = 'TOPIC_SUGGESTED') s
         JOIN w ON w.slug = s.slug AND w.wn <= s.n AND w.wn > s.n - 100)"""
 
 
+_PROPOSED = """fit AS (SELECT slug AS origin, list(seq ORDER BY seq) AS seqs, max(seq) AS m FROM w WHERE wn <= 100 GROUP BY slug),
+made AS (SELECT CASE m % 7 WHEN 0 THEN origin WHEN 1 THEN upper(origin) ELSE origin || '-x' END AS slug, CASE WHEN m % 11 = 0 THEN '' ELSE 'About ' || origin END AS name,
+  CASE WHEN m % 13 = 0 THEN NULL ELSE 'About ' || origin END AS description, origin, m,
+  CASE m % 5 WHEN 0 THEN list_append(seqs, seqs[1]) WHEN 1 THEN list_prepend(0, seqs) WHEN 2 THEN list_append(seqs, 1000000000) ELSE seqs END AS seqs FROM fit)"""
+
+
+def _proposed(log):
+    """Each topic's proposal, some of them spoilt in ways that its latest support gives."""
+    p = proposals.proposals(log).withColumn("m", F.array_max("seqs"))
+    slug = F.when(F.col("m") % 7 == 0, F.col("origin")).when(F.col("m") % 7 == 1, F.upper("origin")).otherwise(F.col("slug"))
+    seqs = F.when(F.col("m") % 5 == 0, F.array_append("seqs", F.get("seqs", F.lit(0)))).when(F.col("m") % 5 == 1, F.array_prepend("seqs", F.lit(0).cast("long")))
+    seqs = seqs.when(F.col("m") % 5 == 2, F.array_append("seqs", F.lit(1_000_000_000).cast("long"))).otherwise(F.col("seqs"))
+    name = F.when(F.col("m") % 11 == 0, "").otherwise(F.col("name"))
+    return p.select(slug.alias("slug"), name.alias("name"), F.when(F.col("m") % 13 != 0, F.col("description")).alias("description"), "rationale", seqs.alias("seqs"), "m")
+
+
+_NOW = "(SELECT max((epoch_us(ts) // 1000)) FROM log)"
+_VERDICTS = _SUPPORTS + ",\n" + _PROPOSED + f""",
+each AS (SELECT slug, i - 1 AS i, seqs[i] AS seq, list_position(seqs, seqs[i]) < i AS again FROM (SELECT slug, seqs, unnest(range(1, len(seqs) + 1)) AS i FROM made)),
+cited AS (SELECT slug, min_by(x, i) AS cited FROM (SELECT e.slug, i, CASE WHEN e.seq < 1 THEN 'supporting_seq_invalid' WHEN again THEN 'supporting_seq_duplicate' WHEN w.seq IS NULL THEN 'supporting_seq_not_found'
+  WHEN w.slug NOT IN (SELECT slug FROM topics WHERE meta_k IS NOT NULL) THEN 'supporting_seq_wrong_slug' END AS x FROM each e LEFT JOIN w ON w.seq = e.seq) WHERE x IS NOT NULL GROUP BY slug),
+msup AS (SELECT suggestion_seq, count(*) OVER (PARTITION BY suggestion_seq) AS m, seq FROM sup),
+sim AS (SELECT slug, suggestion_seq, count(*) AS shared, min(n) AS n, min(msup.m) AS m FROM (SELECT slug, len(seqs) AS n, unnest(seqs) AS seq FROM made) JOIN msup USING (seq) GROUP BY ALL),
+near AS (SELECT * FROM sim WHERE shared / (n + m - shared) >= 0.65),
+rep AS (SELECT near.slug, min(suggestion_seq) AS repeats FROM near JOIN suggested s USING (suggestion_seq) WHERE s.status = 'pending' GROUP BY near.slug),
+gone AS (SELECT near.slug, min_by(slug_key, dismissal_seq) AS gone FROM near JOIN dismissed USING (suggestion_seq) WHERE cleared_by_accept_seq IS NULL AND until_ms > {_NOW} GROUP BY near.slug),
+cool AS (SELECT DISTINCT slug_key FROM dismissed WHERE cleared_by_accept_seq IS NULL AND until_ms > {_NOW}),
+verdicts AS (SELECT made.slug, CASE WHEN coalesce(name, '') = '' THEN 'name_missing' WHEN coalesce(description, '') = '' THEN 'description_missing'
+  WHEN NOT regexp_matches(made.slug, '^[a-z0-9]+(-[a-z0-9]+)*$') THEN 'slug_invalid_regex' WHEN t.slug IS NOT NULL THEN 'slug_collision_with_topic_index' WHEN c.slug_key IS NOT NULL THEN 'cooldown_active'
+  WHEN cited IS NOT NULL THEN cited WHEN repeats IS NOT NULL THEN 'support_overlap_pending_seq_' || repeats WHEN gone IS NOT NULL THEN 'support_overlap_cooldown_active_' || gone END AS reason, made.m, seqs
+  FROM made LEFT JOIN topics t ON t.slug = made.slug AND t.meta_k IS NOT NULL LEFT JOIN cool c ON c.slug_key = replace(lower(made.slug), '-', '')
+  LEFT JOIN cited ON cited.slug = made.slug LEFT JOIN rep ON rep.slug = made.slug LEFT JOIN gone ON gone.slug = made.slug)"""
+
+
+def _verdicts(log):
+    scan = state.topics(log).where("meta_k is not null").select("slug")
+    return proposals.validated(_proposed(log), log, _now_ms(log), scan)
+
+
+@query(_VERDICTS + " SELECT slug, reason FROM verdicts")
+def cluster_validate(spark, d):
+    return _verdicts(_log(spark, d))
+
+
+@query(_VERDICTS + " SELECT slug, m AS place FROM verdicts WHERE reason IS NULL ORDER BY m LIMIT 3")
+def cluster_emit(spark, d):
+    """A run's suggestions: the first three that break no rule."""
+    log = _log(spark, d)
+    return proposals.emitted(_verdicts(log), _proposed(log).select("slug", F.col("m").alias("place")))
+
+
+@query("""g AS (SELECT slug, strftime(ts, '%Y-%m-%d') AS day, min(seq) AS place, list(DISTINCT seq // 7 ORDER BY seq // 7) AS seqs FROM log WHERE type = 'write_event' GROUP BY ALL),
+i AS (SELECT *, 'intent:silo-detect:' || day || ':cluster-' || substr(sha256('[' || array_to_string(seqs, ',') || ']'), 1, 16) AS intent_id FROM g)
+SELECT intent_id, min(place) AS place, min_by(slug, place) AS slug FROM i GROUP BY intent_id""")
+def cluster_intents(spark, d):
+    """Ids of a day's clusters: those of equal support are one intent."""
+    w = state.writes(_log(spark, d)).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    made = w.groupBy("slug", "day").agg(F.min("seq").alias("place"), F.array_sort(F.collect_set(F.floor(F.col("seq") / 7))).alias("seqs"))
+    return proposals.intents(made).select("intent_id", "place", "slug")
+
+
+@query("""asks AS (SELECT pos AS ask_id, slug AS topic, unnest(list_distinct([coalesce(last_curated, 0), seq - 1, k])) AS seq FROM refs WHERE type = 'TOPIC_BULLETS_RETIRED'),
+gone AS (SELECT DISTINCT slug, superseded_seq FROM retired WHERE effective),
+codes AS (SELECT ask_id, a.seq, CASE WHEN a.seq < 1 THEN 'INVALID_RETIRE_SEQ' WHEN w.seq IS NULL THEN 'SEQ_NOT_FOUND' WHEN w.slug <> topic THEN 'SEQ_NOT_ON_TOPIC' WHEN w.tag <> 'CURATED' THEN 'SEQ_NOT_CURATED'
+  WHEN g.slug IS NOT NULL THEN 'SEQ_ALREADY_RETIRED' END AS code FROM asks a LEFT JOIN (SELECT * FROM log WHERE type = 'write_event') w ON w.seq = a.seq LEFT JOIN gone g ON g.slug = topic AND g.superseded_seq = a.seq)
+SELECT ask_id, CASE WHEN bool_or(seq < 1) THEN 'INVALID_RETIRE_SEQ' WHEN count(code) = 0 THEN NULL WHEN count(*) = 1 THEN min(code) ELSE 'RETIRE_INVALID_SEQS' END AS code, count(*) AS n, count(code) AS n_invalid FROM codes GROUP BY ask_id""")
+def retire_preconditions(spark, d):
+    """Each retirement of the log asked again at its end, with two more numbers."""
+    log = _log(spark, d)
+    return preconditions.retire(state.retire_asks(log), log)
+
+
+@query(_SUPPORTS + """,
+asks AS (SELECT pos AS ask_id, coalesce(last_suggested, k) AS suggestion_seq, CASE WHEN k % 4 = 0 THEN slug ELSE slug || '-y' END AS slug FROM refs WHERE type = 'TOPIC_SUGGESTION_ACCEPTED' OR (type = 'TOPIC_SUGGESTED' AND k % 2 = 0)),
+wrong AS (SELECT suggestion_seq, min_by(x, seq) AS x FROM (SELECT suggestion_seq, sup.seq, CASE WHEN w.slug NOT IN (SELECT slug FROM topics WHERE meta_k IS NOT NULL) THEN 'SUPPORTING_SEQ_WRONG_SLUG' END AS x FROM sup JOIN w USING (seq)) WHERE x IS NOT NULL GROUP BY suggestion_seq)
+SELECT ask_id, CASE WHEN s.status IS NULL THEN 'SUGGESTION_NOT_FOUND' WHEN s.status <> 'pending' THEN 'SUGGESTION_NOT_PENDING' WHEN t.slug IS NOT NULL THEN 'SLUG_COLLISION' ELSE x END AS code
+FROM asks a LEFT JOIN suggested s USING (suggestion_seq) LEFT JOIN topics t ON t.slug = a.slug AND t.meta_k IS NOT NULL LEFT JOIN wrong USING (suggestion_seq)""")
+def accept_preconditions(spark, d):
+    log = _log(spark, d)
+    scan = state.topics(log).where("meta_k is not null").select("slug")
+    kind = (F.col("type") == "TOPIC_SUGGESTION_ACCEPTED") | ((F.col("type") == "TOPIC_SUGGESTED") & (F.col("k") % 2 == 0))
+    named = state.with_last_suggested(log).where(kind)
+    slug = F.when(F.col("k") % 4 == 0, F.col("slug")).otherwise(F.concat("slug", F.lit("-y")))
+    asked = named.select(F.col("pos").alias("ask_id"), F.coalesce("last_suggested", "k").alias("suggestion_seq"), slug.alias("slug"))
+    return preconditions.accept(asked, log, proposals.supports(log), scan)
+
+
+@query("""asks AS (SELECT pos AS ask_id, unnest(list_distinct([coalesce(last_suggested, 0), k])) AS suggestion_seq FROM refs WHERE type = 'TOPIC_SUGGESTION_DISMISSED'),
+r AS (SELECT ask_id, suggestion_seq, CASE WHEN status IS NULL THEN 'not_found' WHEN status <> 'pending' THEN 'not_pending_' || status END AS reason FROM asks LEFT JOIN suggested USING (suggestion_seq))
+SELECT ask_id, CASE WHEN count(reason) > 0 THEN 'DISMISS_INVALID_SEQS' END AS code, count(*) AS n, coalesce(string_agg(suggestion_seq || ':' || reason, ',' ORDER BY suggestion_seq) FILTER (reason IS NOT NULL), '') AS invalid FROM r GROUP BY ask_id""")
+def dismiss_preconditions(spark, d):
+    log = _log(spark, d)
+    named = state.with_last_suggested(log).where("type = 'TOPIC_SUGGESTION_DISMISSED'")
+    return preconditions.dismiss(named.select(F.col("pos").alias("ask_id"), F.array(F.coalesce("last_suggested", F.lit(0)), "k").alias("seqs")), log)
+
+
+@query(f"""asks AS (SELECT pos AS ask_id, CASE k % 4 WHEN 0 THEN slug WHEN 1 THEN replace(slug, '-', '') WHEN 2 THEN slug || '_' ELSE slug || '-z' END AS slug FROM log WHERE type = 'TOPIC_SUGGESTED')
+SELECT ask_id, CASE WHEN NOT regexp_matches(a.slug, '^[a-z0-9]+(-[a-z0-9]+)*$') THEN 'INVALID_SLUG' WHEN t.slug IS NOT NULL THEN 'SLUG_COLLISION'
+  WHEN replace(a.slug, '-', '') IN (SELECT replace(slug, '-', '') FROM suggested WHERE status = 'pending') THEN 'PENDING_SUGGESTION_EXISTS'
+  WHEN replace(a.slug, '-', '') IN (SELECT slug_key FROM dismissed WHERE cleared_by_accept_seq IS NULL AND until_ms > {_NOW}) THEN 'COOLDOWN_ACTIVE' END AS code
+FROM asks a LEFT JOIN topics t ON t.slug = a.slug AND t.meta_k IS NOT NULL""")
+def create_preconditions(spark, d):
+    log = _log(spark, d)
+    kinds = F.array("slug", F.replace("slug", F.lit("-"), F.lit("")), F.concat("slug", F.lit("_")), F.concat("slug", F.lit("-z")))
+    asked = log.where("type = 'TOPIC_SUGGESTED'").select(F.col("pos").alias("ask_id"), F.get(kinds, (F.col("k") % 4).cast("int")).alias("slug"))
+    return preconditions.create(asked, log, _now_ms(log))
+
+
+@query("""SELECT bool_or(type = 'TOPIC_SUGGESTED') AS had_suggestion, bool_or(type = 'write_event' AND slug = 'system' AND contains(content, 'first run deferred')) AS marked,
+  count(*) FILTER (type = 'write_event' AND slug IN (SELECT slug FROM topics WHERE meta_k IS NOT NULL)) AS n, false AS deferred FROM log""")
+def first_run_deferral(spark, d):
+    log = _log(spark, d)
+    return preconditions.deferred(log, state.topics(log).where("meta_k is not null").select("slug"))
+
+
 @query(_SUPPORTS + """,
 pend AS (SELECT suggestion_seq, count(*) OVER (PARTITION BY suggestion_seq) AS m, seq FROM sup JOIN suggested USING (suggestion_seq) WHERE status = 'pending'),
 b AS (SELECT slug, suggestion_seq, m, count(*) AS shared FROM prop JOIN pend USING (seq) GROUP BY ALL),

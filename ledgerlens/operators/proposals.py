@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ascending, slug_key, slug_ok
+from ..functions.text import slug_key, slug_ok, support_fingerprint
 from .admission import MAX_SUPPORT
-from .state import cooldowns, suggestions, topics, writes
+from .state import cooldowns, dismissals, suggestions, topics, writes
 
 OVERLAP = 0.65
 LINE_CHARS = 32
@@ -39,32 +39,79 @@ def proposals(log: DataFrame) -> DataFrame:
     """One proposal for each topic that asks for a cluster: its first writes as support, as many as a suggestion may cite."""
     first = F.row_number().over(Window.partitionBy("slug").orderBy("pos"))
     support = writes(log).withColumn("rn", first).where(F.col("rn") <= MAX_SUPPORT).groupBy("slug").agg(F.array_sort(F.collect_list("seq")).alias("seqs"))
-    return support.select(F.concat("slug", F.lit("-x")).alias("slug"), F.col("slug").alias("origin"), "seqs")
+    text = F.concat(F.lit("About "), F.col("slug"))
+    return support.select(
+        F.concat("slug", F.lit("-x")).alias("slug"), text.alias("name"), text.alias("description"), text.alias("rationale"), "seqs", F.col("slug").alias("origin")
+    )
 
 
-def validated(proposed: DataFrame, log: DataFrame, now_ms: int) -> DataFrame:
-    """(slug, reason): the first rule that a proposal breaks, or null."""
-    known = topics(log).where(F.col("meta_k").isNotNull()).select(F.col("slug").alias("taken"))
+def _similar(own: DataFrame, other: DataFrame, threshold: float) -> DataFrame:
+    """(slug, suggestion_seq, overlap) of sets of numbers (slug, n, seq) and (suggestion_seq, m, seq), by equi-join on shared numbers."""
+    both = own.join(other, "seq").groupBy("slug", "suggestion_seq", "n", "m").agg(F.count("*").alias("both"))
+    return both.withColumn("overlap", F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).where(F.col("overlap") >= threshold).select("slug", "suggestion_seq", "overlap")
+
+
+def validated(proposed: DataFrame, log: DataFrame, now_ms: int, scan: DataFrame, detector: DataFrame | None = None, threshold: float = OVERLAP) -> DataFrame:
+    """(slug, reason): the first rule that a proposal (slug, name, description, rationale, seqs) breaks, or null.
+
+    Slugs tell proposals apart. Support must be writes of the scanned topics (slug) that are not the ``detector``'s own
+    (seq), and must not largely repeat that of a pending suggestion or of one dismissed not long ago.
+    """
+    known = topics(log).where(F.col("meta_k").isNotNull()).select("slug", F.lit(True).alias("taken"))
     cooling = cooldowns(log).where(F.col("until_ms") > now_ms).select("slug_key", F.lit(True).alias("cooling"))
-    each = proposed.select("slug", "origin", F.explode("seqs").alias("seq"))
-    held = writes(log).select("seq", F.col("slug").alias("held_slug"))
-    support = each.join(held, "seq", "left").groupBy("slug").agg(
-        F.count_if(F.col("held_slug").isNull()).alias("missing"), F.count_if(F.col("held_slug") != F.col("origin")).alias("wrong")
+    each = proposed.select("slug", F.posexplode("seqs").alias("i", "seq"))
+    each = each.withColumn("again", F.row_number().over(Window.partitionBy("slug", "seq").orderBy("i")) > 1)
+    held = writes(log).select("seq", F.col("slug").alias("held"))
+    inside = scan.select(F.col("slug").alias("held"), F.lit(True).alias("inside")).distinct()
+    own = (detector if detector is not None else held.select("seq").limit(0)).select("seq", F.lit(True).alias("own")).distinct()
+    wrong = (
+        F.when(F.col("seq") < 1, "supporting_seq_invalid")
+        .when(F.col("again"), "supporting_seq_duplicate")
+        .when(F.col("held").isNull(), "supporting_seq_not_found")
+        .when(F.col("inside").isNull(), "supporting_seq_wrong_slug")
+        .when(F.col("own"), "supporting_seq_self_citation")
     )
-    p = proposed.withColumn("slug_key", slug_key(F.col("origin")))
-    rows = p.join(support, "slug", "left").join(known, F.col("origin") == F.col("taken"), "left").join(cooling, "slug_key", "left")
+    cited = each.join(held, "seq", "left").join(inside, "held", "left").join(own, "seq", "left").withColumn("wrong", wrong)
+    first = cited.groupBy("slug").agg(F.min_by("wrong", F.when(F.col("wrong").isNotNull(), F.col("i"))).alias("cited"))
+    sets = proposed.select("slug", F.size("seqs").alias("n"), F.explode("seqs").alias("seq"))
+    made = supports(log)
+    pending = made.join(suggestions(log).where("status = 'pending'").select("suggestion_seq"), "suggestion_seq", "left_semi")
+    repeats = _similar(sets, pending, threshold).groupBy("slug").agg(F.min("suggestion_seq").alias("repeats"))
+    open_ = dismissals(log).where(F.col("cleared_by_accept_seq").isNull() & (F.col("until_ms") > now_ms)).select("slug_key", "suggestion_seq", "dismissal_seq")
+    gone = _similar(sets, made.join(open_.select("suggestion_seq"), "suggestion_seq", "left_semi"), threshold).join(open_, "suggestion_seq")
+    gone = gone.groupBy("slug").agg(F.min_by("slug_key", "dismissal_seq").alias("gone"))
+    rows = proposed.withColumn("slug_key", slug_key(F.col("slug"))).join(known, "slug", "left").join(cooling, "slug_key", "left")
+    for found in (first, repeats, gone):
+        rows = rows.join(found, "slug", "left")
+    blank = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
     reason = (
-        F.when(F.size("seqs") == 0, "supporting_seqs_missing")
+        F.when(F.col("slug").isNull(), "slug_missing")
+        .when(blank("name"), "name_missing")
+        .when(blank("description"), "description_missing")
+        .when(blank("rationale"), "rationale_missing")
+        .when(F.coalesce(F.size("seqs"), F.lit(0)) <= 0, "supporting_seqs_missing")
         .when(~slug_ok(F.col("slug")), "slug_invalid_regex")
-        .when(F.col("taken").isNotNull(), "slug_collision_with_topic_index")
-        .when(F.coalesce("cooling", F.lit(False)), "cooldown_active")
-        .when(F.col("missing") > 0, "supporting_seq_not_found")
-        .when(F.col("wrong") > 0, "supporting_seq_wrong_slug")
-        .when(~ascending(F.col("seqs")), "supporting_seqs_not_strictly_ascending")
+        .when(F.col("taken"), "slug_collision_with_topic_index")
+        .when(F.col("cooling"), "cooldown_active")
+        .when(F.col("cited").isNotNull(), F.col("cited"))
+        .when(F.col("repeats").isNotNull(), F.concat(F.lit("support_overlap_pending_seq_"), F.col("repeats").cast("string")))
+        .when(F.col("gone").isNotNull(), F.concat(F.lit("support_overlap_cooldown_active_"), F.col("gone")))
     )
     return rows.select("slug", reason.alias("reason"))
 
 
+def emitted(verdicts: DataFrame, order: DataFrame, most: int = 3) -> DataFrame:
+    """(slug, place): the first ``most`` proposals without a reason, in the order (slug, place) in which they were made; the bound is the feature."""
+    return verdicts.where("reason is null").join(order, "slug").orderBy("place").limit(most).select("slug", "place")
+
+
+def intents(made: DataFrame, day: str = "day") -> DataFrame:
+    """(intent_id, ..): suggestions (day, seqs, ..) under an id that their day and support give; of equal ones the first by ``place``."""
+    intent = F.concat(F.lit("intent:silo-detect:"), F.col(day), F.lit(":cluster-"), support_fingerprint(F.col("seqs")))
+    first = F.row_number().over(Window.partitionBy("intent_id").orderBy("place"))
+    return made.withColumn("intent_id", intent).withColumn("rn", first).where("rn = 1").drop("rn")
+
+
 def supports(log: DataFrame) -> DataFrame:
     """(suggestion_seq, m, seq): the writes that each suggestion cites - its topic's latest before it, as many as it may - and how many they are."""
     own = Window.partitionBy("slug").orderBy("pos")
@@ -80,8 +127,7 @@ def overlapping(proposed: DataFrame, log: DataFrame, threshold: float = OVERLAP)
     """(slug, suggestion_seq, overlap): proposals whose support overlaps a pending suggestion's, by equi-join on support."""
     own = proposed.select("slug", F.size("seqs").alias("n"), F.explode("seqs").alias("seq"))
     other = supports(log).join(suggestions(log).where("status = 'pending'").select("suggestion_seq"), "suggestion_seq", "left_semi")
-    both = own.join(other, "seq").groupBy("slug", "suggestion_seq", "n", "m").agg(F.count("*").alias("both"))
-    return both.withColumn("overlap", F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).where(F.col("overlap") >= threshold).select("slug", "suggestion_seq", "overlap")
+    return _similar(own, other, threshold)
 
 
 def curate_targets(log: DataFrame, now_ms: int, days: int = 7, min_events: int = 3) -> DataFrame:

@@ -59,6 +59,18 @@ def retirements(log: DataFrame) -> DataFrame:
     return found.select("pos", "slug", "superseded_seq", F.coalesce(F.col("w_pos") < F.col("pos"), F.lit(False)).alias("effective"))
 
 
+def retire_asks(log: DataFrame) -> DataFrame:
+    """(ask_id, topic, seqs): the numbers that each retirement names - the topic's last curated write, the entry before, and one more."""
+    curated = F.max(F.when(F.col("tag") == "CURATED", F.col("seq"))).over(_earlier())
+    named = log.withColumn("last_curated", curated).where(F.col("type") == "TOPIC_BULLETS_RETIRED")
+    return named.select(F.col("pos").alias("ask_id"), F.col("slug").alias("topic"), F.array(F.coalesce("last_curated", F.lit(0)), F.col("seq") - 1, "k").alias("seqs"))
+
+
+def with_last_suggested(log: DataFrame) -> DataFrame:
+    """``log`` with last_suggested: the number of the topic's latest earlier suggestion."""
+    return log.withColumn("last_suggested", F.max(F.when(F.col("type") == "TOPIC_SUGGESTED", F.col("seq"))).over(_earlier()))
+
+
 def retired_seqs(log: DataFrame) -> DataFrame:
     return retirements(log).where("effective").select("slug", F.col("superseded_seq").alias("seq")).distinct()
 
