@@ -11,7 +11,7 @@ from ..schema import matrix
 from ..sources import adapters, jsonl, markdown
 from ..sources.storage import scratch_path
 from ..streaming import incremental
-from . import evals, liveness, transcripts
+from . import evals, imports, liveness, transcripts
 
 PRINCIPAL = "p1"
 
@@ -942,29 +942,63 @@ def star_broadcast_join(spark, d):
 _LAYERS = """kept AS (SELECT l.* FROM log l WHERE tag = 'CURATED' AND NOT EXISTS (SELECT 1 FROM retired r WHERE r.effective AND r.slug = l.slug AND r.superseded_seq = l.seq)),
 two AS (SELECT slug, string_agg(trim(content), chr(10) || chr(10) ORDER BY pos) AS two FROM kept GROUP BY slug),
 three AS (SELECT slug, string_agg(trim(content), chr(10) || chr(10) ORDER BY ts DESC, seq DESC) AS three FROM log WHERE tag = 'SOURCE' GROUP BY slug),
-firsts AS (SELECT slug, strftime(min_by(ts, pos), '%Y-%m-%d') AS created FROM log WHERE type = 'write_event' GROUP BY slug)"""
+dates AS (SELECT slug, strftime(min_by(ts, pos) FILTER (type = 'write_event'), '%Y-%m-%d') AS first, strftime(max_by(ts, pos) FILTER (type = 'TOPIC_VERIFIED'), '%Y-%m-%d') AS verified,
+  strftime(max_by(ts, pos) FILTER (type = 'TOPIC_CURATED'), '%Y-%m-%d') AS curated, strftime(max_by(ts, pos), '%Y-%m-%d') AS last
+  FROM log WHERE type IN ('write_event', 'TOPIC_METADATA_SET', 'TOPIC_CURATED', 'TOPIC_VERIFIED') GROUP BY slug),
+meta AS (SELECT slug, ['reference', 'project', 'feedback', 'personal', 'archive', 'business', 'hobby'][meta_k % 7 + 1] AS kind, 'user, tag-' || (meta_k % 3) AS tags, 'Entity: ' || (meta_k % 4) AS entity,
+  CASE WHEN meta_k % 5 = 0 THEN 'archived' ELSE 'active' END AS status, CASE WHEN meta_k % 9 = 0 THEN 'private' END AS sensitivity, coalesce(first, '2026-04-22') AS created,
+  coalesce(verified, first, '2026-04-22') AS last_verified, coalesce(curated, last) AS last_curated, 'Topic ' || slug || ' has ' || n_writes || ' entries.' AS summary, two, three
+  FROM topics JOIN dates USING (slug) LEFT JOIN two USING (slug) LEFT JOIN three USING (slug) WHERE meta_k IS NOT NULL)"""
 
 
 @query(_LAYERS + """
-SELECT slug, md5('---' || chr(10) || 'topic: ' || slug || chr(10) || 'type: reference' || chr(10) || 'status: ' || CASE WHEN meta_k % 5 = 0 THEN 'archived' ELSE 'active' END
-  || chr(10) || 'created: ' || coalesce(created, '2026-04-22') || chr(10) || 'curated_lines: ' || coalesce(len(string_split(two, chr(10))), 0)
+SELECT slug, md5('---' || chr(10) || 'topic: ' || slug || chr(10) || 'type: ' || kind || chr(10) || 'tags: [' || tags || ']' || chr(10) || 'entities: ["' || entity || '"]' || chr(10) || 'status: ' || status
+  || coalesce(chr(10) || 'sensitivity: ' || sensitivity, '') || chr(10) || 'created: ' || created || chr(10) || 'last_verified: ' || last_verified || chr(10) || 'last_curated: ' || last_curated
+  || chr(10) || 'curated_lines: ' || coalesce(len(string_split(two, chr(10))), 0)
   || chr(10) || 'source_lines: ' || coalesce(len(string_split(three, chr(10))), 0) || chr(10) || 'source_kb: ' || format('{:.1f}', round(strlen(coalesce(three, '')) / 1024.0, 1))
-  || chr(10) || 'summary: >' || chr(10) || '  Topic ' || slug || ' has ' || n_writes || ' entries.' || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+  || chr(10) || 'summary: >' || chr(10) || '  ' || summary || chr(10) || chr(10) || '---' || chr(10) || chr(10)
   || '<!-- CURATED_START -->' || chr(10) || chr(10) || coalesce(two || chr(10) || chr(10), '') || '<!-- CURATED_END -->' || chr(10) || chr(10)
   || '<!-- SOURCE_START -->' || chr(10) || chr(10) || coalesce(three || chr(10) || chr(10), '') || '<!-- SOURCE_END -->' || chr(10)) AS text_md5
-FROM topics LEFT JOIN firsts USING (slug) LEFT JOIN two USING (slug) LEFT JOIN three USING (slug) WHERE meta_k IS NOT NULL""")
+FROM meta""")
 def topic_file_text(spark, d):
     return projection.topic_files(_log(spark, d)).select("slug", F.md5("text").alias("text_md5"))
 
 
 @query(_LAYERS + """
-SELECT slug, slug AS topic, CASE WHEN meta_k % 5 = 0 THEN 'archived' ELSE 'active' END AS status, coalesce(created, '2026-04-22') AS created,
-       'Topic ' || slug || ' has ' || n_writes || ' entries.' AS summary, md5(coalesce(two, '')) AS curated_md5, md5(coalesce(three, '')) AS source_md5
-FROM topics LEFT JOIN firsts USING (slug) LEFT JOIN two USING (slug) LEFT JOIN three USING (slug) WHERE meta_k IS NOT NULL""")
+SELECT slug, slug AS topic, kind, tags, entity AS entities, status, sensitivity, created, last_verified, last_curated, summary, true AS trailing_blank, md5(coalesce(two, '')) AS curated_md5, md5(coalesce(three, '')) AS source_md5 FROM meta""")
 def topic_file_parse(spark, d):
     """Topic files as written, taken apart again."""
     t = markdown.topic_files(projection.topic_files(_log(spark, d)))
-    return t.select("slug", "topic", "status", "created", "summary", F.md5("curated").alias("curated_md5"), F.md5("source").alias("source_md5"))
+    own = ["slug", "topic", "kind", "status", "sensitivity", "created", "last_verified", "last_curated", "summary", "trailing_blank"]
+    lists = [F.array_join(c, ", ").alias(c) for c in ("tags", "entities")]
+    return t.select(*own, *lists, F.md5("curated").alias("curated_md5"), F.md5("source").alias("source_md5"))
+
+
+@query(_LAYERS + """,
+e AS (SELECT slug, 0 AS g, 'TOPIC_METADATA_SET' AS type, NULL AS tag, created || 'T00:00:00Z' AS ts, NULL AS content FROM meta
+  UNION ALL SELECT slug, 1, 'TOPIC_VERIFIED', NULL, last_verified || 'T00:00:00Z', NULL FROM meta
+  UNION ALL SELECT slug, 2, 'TOPIC_CURATED', NULL, last_curated || 'T00:00:00Z', NULL FROM meta
+  UNION ALL SELECT slug, 3, 'write_event', 'FACT', created || 'T00:00:00Z', summary FROM meta
+  UNION ALL SELECT slug, 4, 'write_event', 'CURATED', created || 'T00:00:00Z', two FROM meta WHERE two <> ''
+  UNION ALL SELECT slug, 5, 'ACL_SEALED', NULL, created || 'T00:00:00Z', NULL FROM meta WHERE sensitivity = 'private')
+SELECT 'topics/' || slug || '.md' AS source_file, row_number() OVER (PARTITION BY slug ORDER BY g) - 1 AS at, slug, type, tag, ts, md5(content) AS text_md5 FROM e""")
+def import_topics(spark, d):
+    """Topic files as written, imported as new log entries."""
+    files = projection.topic_files(_log(spark, d)).select(F.concat(F.lit("topics/"), "slug", F.lit(".md")).alias("path"), "text")
+    e = imports.topic_entries(files, "me", "2026-01-01T00:00:00Z")
+    return e.select("source_file", F.col("at").cast("long").alias("at"), "slug", "type", "tag", "ts", F.md5("content").alias("text_md5"))
+
+
+@query("""w AS (SELECT *, strftime(ts, '%Y-%m-%d') AS date, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY seq) - 1 AS i FROM log WHERE type = 'write_event'),
+made AS (SELECT slug, min(struct_pack(date := date, i := i)) AS f FROM w WHERE slug NOT IN (SELECT slug FROM log WHERE type = 'TOPIC_METADATA_SET') GROUP BY slug)
+SELECT date || '.md' AS source_file, i + 1000000 AS at, 'write_event' AS type, slug, tag, date || 'T12:' || lpad(least(i // 60, 23)::VARCHAR, 2, '0') || ':' || lpad((i % 60)::VARCHAR, 2, '0') || 'Z' AS ts, content FROM w
+UNION ALL SELECT f.date || '.md', f.i, 'TOPIC_METADATA_SET', slug, NULL, f.date || 'T12:00:00Z', NULL FROM made""")
+def import_logs(spark, d):
+    """Dated logs as written, imported where only topics with metadata are known."""
+    log = _log(spark, d)
+    files = projection.event_logs(log).select(F.concat("date", F.lit(".md")).alias("path"), "text")
+    e = imports.log_entries(files, log.where("type = 'TOPIC_METADATA_SET'").select("slug").distinct())
+    return e.select("source_file", F.col("at").cast("long").alias("at"), "type", "slug", "tag", "ts", "content")
 
 
 @query("""SELECT strftime(ts, '%Y-%m-%d') AS date, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY seq) - 1 AS line_no, tag, slug, content FROM log WHERE type = 'write_event'""")

@@ -88,27 +88,65 @@ def _section(start: str, body, end: str):
     return F.when(text == "", F.lit(f"{start}\n\n{end}")).otherwise(F.concat(F.lit(f"{start}\n\n"), text, F.lit(f"\n\n{end}")))
 
 
+def _inline(items):
+    """An array as an inline list of scalars."""
+    return F.concat(F.lit("["), F.array_join(F.transform(items, quoted), ", "), F.lit("]"))
+
+
+def metadata(log: DataFrame) -> DataFrame:
+    """(slug, n_writes, kind, tags, entities, status, sensitivity, created, last_verified, last_curated, summary) of topics with metadata.
+
+    Dates fall back: created to the first write's, last_verified to created, last_curated to the last entry's.
+    """
+    from .admission import KINDS
+
+    day = lambda when: F.date_format(F.max_by(F.when(when, F.col("ts")), F.when(when, F.col("pos"))), "yyyy-MM-dd")
+    named = log.where(F.col("type").isin("write_event", "TOPIC_METADATA_SET", "TOPIC_CURATED", "TOPIC_VERIFIED"))
+    write = F.col("type") == "write_event"
+    first = F.date_format(F.min_by(F.when(write, F.col("ts")), F.when(write, F.col("pos"))), "yyyy-MM-dd")
+    dates = named.groupBy("slug").agg(first.alias("first"), day(F.col("type") == "TOPIC_VERIFIED").alias("verified"), day(F.col("type") == "TOPIC_CURATED").alias("curated"), day(F.lit(True)).alias("last"))
+    t = topics(log).where(F.col("meta_k").isNotNull()).join(dates, "slug")
+    number = lambda n: (F.col("meta_k") % n).cast("string")
+    created = F.coalesce("first", F.lit("2026-04-22"))
+    return t.select(
+        "slug",
+        "n_writes",
+        F.get(F.array(*[F.lit(k) for k in KINDS]), (F.col("meta_k") % len(KINDS)).cast("int")).alias("kind"),
+        F.array(F.lit("user"), F.concat(F.lit("tag-"), number(3))).alias("tags"),
+        F.array(F.concat(F.lit("Entity: "), number(4))).alias("entities"),
+        F.when(F.col("meta_k") % 5 == 0, "archived").otherwise("active").alias("status"),
+        F.when(F.col("meta_k") % 9 == 0, "private").alias("sensitivity"),
+        created.alias("created"),
+        F.coalesce("verified", created).alias("last_verified"),
+        F.coalesce("curated", "last", created).alias("last_curated"),
+        F.concat(F.lit("Topic "), F.col("slug"), F.lit(" has "), F.col("n_writes").cast("string"), F.lit(" entries.")).alias("summary"),
+    )
+
+
 def topic_files(log: DataFrame) -> DataFrame:
     """(slug, text) of every topic with metadata: front matter, curated layer, source layer. One pass for all topics."""
     from ..sources.markdown import MARKERS
 
-    t = topics(log).where(F.col("meta_k").isNotNull())
-    first = writes(log).groupBy("slug").agg(F.date_format(F.min_by("ts", "pos"), "yyyy-MM-dd").alias("created"))
     two, three = layer2(log).withColumnRenamed("text", "two"), layer3(log).withColumnRenamed("text", "three")
-    rows = t.join(first, "slug", "left").join(two, "slug", "left").join(three, "slug", "left")
+    rows = metadata(log).join(two, "slug", "left").join(three, "slug", "left")
     count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(F.split(c, "\n"))).cast("string")
     kb = F.format_string("%.1f", F.round(F.octet_length(F.coalesce("three", F.lit(""))) / 1024, 1))
-    status = F.when(F.col("meta_k") % 5 == 0, "archived").otherwise("active")
+    field = lambda name, value: F.concat(F.lit(f"{name}: "), value)
     front = F.concat_ws(
         "\n",
-        F.concat(F.lit("topic: "), quoted(F.col("slug"))),
-        F.lit("type: reference"),
-        F.concat(F.lit("status: "), status),
-        F.concat(F.lit("created: "), F.coalesce("created", F.lit("2026-04-22"))),
-        F.concat(F.lit("curated_lines: "), count("two")),
-        F.concat(F.lit("source_lines: "), count("three")),
-        F.concat(F.lit("source_kb: "), kb),
-        F.concat(F.lit("summary: >\n  Topic "), F.col("slug"), F.lit(" has "), F.col("n_writes").cast("string"), F.lit(" entries.")),
+        field("topic", quoted(F.col("slug"))),
+        field("type", quoted(F.col("kind"))),
+        field("tags", _inline("tags")),
+        field("entities", _inline("entities")),
+        field("status", quoted(F.col("status"))),
+        field("sensitivity", quoted(F.col("sensitivity"))),  # left out where there is none
+        field("created", F.col("created")),
+        field("last_verified", F.col("last_verified")),
+        field("last_curated", F.col("last_curated")),
+        field("curated_lines", count("two")),
+        field("source_lines", count("three")),
+        field("source_kb", kb),
+        F.concat(F.lit("summary: >\n"), F.regexp_replace("summary", r"(?m)^", "  ")),
         F.lit(""),
     )
     text = F.concat_ws(

@@ -40,19 +40,26 @@ def event_lines(rows: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
-def with_context(parsed: DataFrame, file: str = "date") -> DataFrame:
-    """Events with the comment they stand under, the blank lines before them, and a time by their place in the day."""
+def with_context(parsed: DataFrame, file: str = "date", date: str = "date") -> DataFrame:
+    """Events with the comment they stand under, the blank lines before them, the file's first header, their place and a time by it.
+
+    Blank lines before a comment count for the event after it; a header or an unrecognized line ends them.
+    """
     w = Window.partitionBy(file).orderBy("line_no")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    text_before = F.last(F.when(F.col("kind") != "blank", F.col("line_no")), ignorenulls=True).over(before)
+    blank, stop = F.col("kind") == "blank", F.col("kind").isin("event", "header", "unrecognized")
+    blanks = F.count_if(blank).over(before)
     rows = (
         parsed.withColumn("context_comment", F.last("comment", ignorenulls=True).over(w))
-        .withColumn("prefix_blanks", F.col("line_no") - F.coalesce(text_before, F.lit(-1)) - 1)
+        .withColumn("blanks", blanks)
+        .withColumn("prefix_blanks", blanks - F.coalesce(F.last(F.when(stop, F.col("blanks")), ignorenulls=True).over(before), F.lit(0)))
+        .withColumn("date_header", F.first(F.when(F.col("kind") == "header", F.trim("line")), ignorenulls=True).over(before))
         .where("kind = 'event'")
+        .drop("blanks")
     )
-    i = F.row_number().over(w) - 1
-    minute, second = F.least(F.floor(i / 60), F.lit(23)), i % 60
-    ts = F.concat(F.col(file), F.lit("T12:"), F.lpad(minute.cast("string"), 2, "0"), F.lit(":"), F.lpad(second.cast("string"), 2, "0"), F.lit("Z"))
+    rows = rows.withColumn("ordinal", F.row_number().over(w) - 1)
+    minute, second = F.least(F.floor(F.col("ordinal") / 60), F.lit(23)), F.col("ordinal") % 60
+    ts = F.concat(F.col(date), F.lit("T12:"), F.lpad(minute.cast("string"), 2, "0"), F.lit(":"), F.lpad(second.cast("string"), 2, "0"), F.lit("Z"))
     return rows.withColumn("ts", ts)
 
 
@@ -66,20 +73,50 @@ def between(text: Column, layer: str) -> Column:
     return F.when(at > 0, F.regexp_replace(inner, r"^\s+|\s+$", "")).otherwise("")
 
 
+def scalar(value: Column) -> Column:
+    """A YAML scalar without its quotes."""
+    inner = F.regexp_extract(value, r'^"(.*)"$', 1)
+    plain = F.replace(F.replace(inner, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+    return F.when(value.rlike(r'^".*"$'), plain).when(value.rlike("^'.*'$"), F.regexp_extract(value, "^'(.*)'$", 1)).otherwise(value)
+
+
+def inline(value: Column) -> Column:
+    """The items of an inline list ``[a, "b, c"]``."""
+    items = F.regexp_extract_all(F.regexp_extract(value, r"^\[(.*)\]$", 1), F.lit(r'"(?:[^"\\]|\\.)*"|[^,\s][^,]*'), 0)
+    return F.transform(items, lambda x: scalar(F.trim(x)))
+
+
+def iso_timestamp(value: Column) -> Column:
+    """A date as midnight UTC, a longer time as it is in UTC; null where it is neither."""
+    whole = F.date_format(F.try_to_timestamp(value), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(value, F.lit("T00:00:00Z"))).otherwise(whole)
+
+
 def topic_files(files: DataFrame, text: str = "text") -> DataFrame:
-    """``files`` with topic, kind, status, created, summary, curated and source of their text."""
+    """``files`` with the fields of their front matter, the layers of their text, and ``error`` where there is no front matter.
+
+    The summary keeps its lines as written; ``trailing_blank`` says whether an empty line follows it.
+    """
     front = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---\n", 1)
-    field = lambda k: F.nullif(F.regexp_extract(front, rf"(?m)^{k}: (.*)$", 1), F.lit(""))
-    summary = F.regexp_replace(F.regexp_extract(front, r"(?s)(?:^|\n)summary: >\n((?:  [^\n]*(?:\n|$))+)", 1), r"(?m)^  |\s+$", "")
+    has = F.col(text).rlike(r"(?s)\A---\n.*?\n---\n")
+    field = lambda k: scalar(F.nullif(F.trim(F.regexp_extract(front, rf"(?m)^{k}: *(.*)$", 1)), F.lit("")))
+    block = F.regexp_extract(F.concat(front, F.lit("\n")), r"(?m)^summary: *[>|][-+]? *\n((?:[ \t]+[^\n]*\n?)*)", 1)
+    body = F.regexp_replace(F.regexp_replace(block, r"(?m)^(?:  |\t)", ""), r"^\n+|\n+$", "")
+    summary = F.when(front.rlike(r"(?m)^summary: *[>|][-+]? *$"), body).otherwise(field("summary"))
+    blank = F.regexp_extract(text, r"(?m)^summary: *[>|][-+]? *\n(?:[ \t]+[^\n]*\n)+(\n?)---\n", 0)
+    names = ["status", "sensitivity", "created", "last_verified", "last_curated"]
     return files.select(
         *[c for c in files.columns if c != text],
         field("topic").alias("topic"),
         field("type").alias("kind"),
-        field("status").alias("status"),
-        field("created").alias("created"),
+        inline(F.regexp_extract(front, r"(?m)^tags: *(.*)$", 1)).alias("tags"),
+        inline(F.regexp_extract(front, r"(?m)^entities: *(.*)$", 1)).alias("entities"),
+        *[field(k).alias(k) for k in names],
         summary.alias("summary"),
+        ((blank == "") | blank.rlike(r"\n\n---\n$")).alias("trailing_blank"),
         between(F.col(text), "curated").alias("curated"),
         between(F.col(text), "source").alias("source"),
+        F.when(~has, "no front matter").alias("error"),
     )
 
 
