@@ -16,6 +16,11 @@ EN_STOP = (
     "of in on at to for and or but not this that we i you he she they it "
     "from with by as do does did"
 ).split()
+READER_STOP = (
+    "de a o e do da em um uma para com que na no os as se ao dos das por "
+    "the a an is are was were be been have has had do does did will would could should may might can shall not and or but if "
+    "then than so at by for in of on to with from up out into over after"
+).split()
 WORD_CHARS = "0-9A-Za-z_àáâãéêíóôõúç"
 SLUG = r"^[a-z0-9]+(-[a-z0-9]+)*$"
 
@@ -27,6 +32,12 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(clean, r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*stop))
 
 
+def reader_tokens(text: Column) -> Column:
+    """The second tokenizer, of readers: lower-cased runs between white space and punctuation, of over one character and no stop words, each once."""
+    stop = list(dict.fromkeys(READER_STOP))
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{P}]+"), lambda w: (F.length(w) > 1) & ~w.isin(*stop)))
+
+
 def normalized_query(query: Column) -> Column:
     """The query's tokens joined by spaces; the query itself where none is left."""
     joined = F.array_join(tokens(query), " ")
@@ -34,9 +45,10 @@ def normalized_query(query: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
-    """Similarity of two arrays as sets."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(both_empty)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Similarity of two arrays as sets; what two empty ones are worth differs from use to use."""
+    both = F.size(F.array_intersect(a, b))
+    union = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - both
+    return F.when(union == 0, F.lit(both_empty)).otherwise(both / union)
 
 
 def slug_ok(slug: Column) -> Column:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import canonical
 from ..functions import text as T
 from ..operators import admission, blocks, chain, preconditions, projection, proposals, retrieval, similarity, state
 from ..schema import matrix
 from ..sources import adapters, jsonl, markdown
 from ..sources.storage import scratch_path
 from ..streaming import incremental
-from . import evals, imports, liveness, transcripts
+from . import answers, evals, imports, liveness, reading, transcripts
 
 PRINCIPAL = "p1"
 
@@ -73,6 +74,9 @@ def _tok(x: str) -> str:
     )
 
 
+_READER_TOK = "list_distinct(list_filter(regexp_split_to_array(lower(content), '[\\s\\p{P}]+'), lambda w: length(w) > 1 AND w NOT IN (" + ", ".join(f"'{w}'" for w in dict.fromkeys(T.READER_STOP)) + ")))"
+
+
 COMMON = [
     r"""log AS (
   SELECT event_id AS pos, event_id + 1 AS seq, 'user-' || user_id AS slug, 'p' || (user_id % 7) AS principal, ts, value,
@@ -567,7 +571,7 @@ def near_dup_classes(spark, d):
     return similarity.token_sets(adapters.table(spark, d, "documents"), "doc_id", "text")[1]
 
 
-@query(f"""w AS (SELECT seq, slug, ts::DATE AS day, content, list_distinct({_tok('content')}) AS t FROM log WHERE type = 'write_event'),
+@query(f"""w AS (SELECT seq, slug, ts::DATE AS day, content, {_READER_TOK} AS t FROM log WHERE type = 'write_event'),
 p AS (SELECT a.seq, CASE WHEN len(a.t) + len(b.t) = 0 THEN 1.0 ELSE len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) END AS sim
       FROM w a JOIN w b ON a.slug = b.slug AND a.day = b.day AND b.seq < a.seq)
 SELECT seq, CASE WHEN max(sim) >= 0.8 THEN 'reject' ELSE 'warn' END AS verdict FROM p GROUP BY seq HAVING max(sim) >= 0.6""")
@@ -595,8 +599,11 @@ def mech_fields(spark, d):
     return m.select("slug", F.col("lines").cast("long").alias("lines"), F.col("kb").cast("double").alias("kb"))
 
 
-@query("""SELECT slug, slug || ' | reference |  | active | Topic ' || slug || ' has ' || n_writes || ' entries.' AS line
-FROM topics WHERE meta_k IS NOT NULL AND meta_k % 5 <> 0""")
+_INDEX = """idx AS (SELECT slug, ['reference', 'project', 'feedback', 'personal', 'archive', 'business', 'hobby'][meta_k % 7 + 1] AS kind, 'user, tag-' || (meta_k % 3) AS tags, 'active' AS status,
+  'Topic ' || slug || ' has ' || n_writes || ' entries.' AS summary FROM topics WHERE meta_k IS NOT NULL AND meta_k % 5 <> 0)"""
+
+
+@query(_INDEX + " SELECT slug, slug || ' | ' || kind || ' | ' || tags || ' | ' || status || ' | ' || summary AS line FROM idx")
 def topic_index_lines(spark, d):
     return projection.topic_index(_log(spark, d))
 
@@ -714,7 +721,7 @@ def cluster_emit(spark, d):
 
 
 @query("""g AS (SELECT slug, strftime(ts, '%Y-%m-%d') AS day, min(seq) AS place, list(DISTINCT seq // 7 ORDER BY seq // 7) AS seqs FROM log WHERE type = 'write_event' GROUP BY ALL),
-i AS (SELECT *, 'intent:silo-detect:' || day || ':cluster-' || substr(sha256('[' || array_to_string(seqs, ',') || ']'), 1, 16) AS intent_id FROM g)
+i AS (SELECT *, 'intent:detect:' || day || ':cluster-' || substr(sha256('[' || array_to_string(seqs, ',') || ']'), 1, 16) AS intent_id FROM g)
 SELECT intent_id, min(place) AS place, min_by(slug, place) AS slug FROM i GROUP BY intent_id""")
 def cluster_intents(spark, d):
     """Ids of a day's clusters: those of equal support are one intent."""
@@ -887,6 +894,11 @@ def ndcg(spark, d):
 @query(_RANKINGS + """ SELECT tier, count(*) AS n, round(avg((top.session = gold.session)::INT), 9) AS precision
 FROM top JOIN gold USING (qid) JOIN live ON live.doc_id = top.key WHERE rank <= 5 GROUP BY tier""")
 def precision_by_tier(spark, d):
+    return evals.precision_by_tier(_vector_hits(spark, d)).withColumn("precision", F.round("precision", 9))
+
+
+def _vector_hits(spark, d):
+    """(qid, tier, rank, relevant): each query's five nearest vectors that are live units."""
     v = adapters.table(spark, d, "embeddings")
     key = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
     best = retrieval.cosine(v.select(key("vec_id").alias("key"), "embedding"), _asked_vectors(spark, d), floor=-2.0, limit=6)
@@ -895,7 +907,7 @@ def precision_by_tier(spark, d):
     sessions = v.select(F.col("vec_id").alias("key"), F.col("label").cast("long").alias("session"))
     gold = _gold(spark, d).withColumnRenamed("session", "wanted")
     hits = best.withColumn("key", F.col("key").cast("long")).join(sessions, "key").join(gold, "qid").join(tiers, "key")
-    return evals.precision_by_tier(hits.withColumn("relevant", F.col("session") == F.col("wanted"))).withColumn("precision", F.round("precision", 9))
+    return hits.withColumn("relevant", F.col("session") == F.col("wanted"))
 
 
 _RUNS = "runs AS (SELECT slug, seq, CASE k % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'failed' ELSE 'started' END AS kind FROM log)"
@@ -1049,6 +1061,252 @@ def metadata_rejects(spark, d):
     return u.select("doc_id", reason.alias("reason"))
 
 
+# readers, answers of models --------------------------------------------------------------------
+
+@query(_INDEX + " SELECT slug, kind, tags, status, summary FROM idx")
+def topic_index_scan(spark, d):
+    """The topic index as written among headings and fences, read back."""
+    lines = projection.topic_index(_log(spark, d)).select(F.explode(F.array(F.lit("# Topics"), F.lit("```"), F.col("line"), F.lit("a | b"))).alias("line"))
+    return reading.index_rows(lines).withColumn("tags", F.array_join("tags", ", "))
+
+
+@query("""w AS (SELECT *, strftime(ts, '%Y-%m-%d') AS date, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY seq) - 1 AS line_no FROM log WHERE type = 'write_event')
+SELECT date, line_no, tag, slug, content FROM w WHERE date > strftime((SELECT max(ts) FROM log) - INTERVAL 7 DAY, '%Y-%m-%d') AND tag <> 'CURATED' AND tag <> 'SOURCE'""")
+def read_events(spark, d):
+    """A week of dated logs; lines with tags of layers are none of the readers' lines."""
+    log = _log(spark, d)
+    until = log.agg(F.date_format(F.max("ts"), "yyyy-MM-dd")).first()[0] or "1970-01-01"
+    found = reading.events(projection.event_logs(log), until, days=7)
+    return found.select("date", F.col("line_no").cast("long").alias("line_no"), "tag", "slug", "content")
+
+
+@query(_LAYERS + """,
+asks AS (SELECT pos AS ask_id, slug, k % 7 AS c, CASE k % 7 WHEN 0 THEN 'topic:' || slug WHEN 1 THEN 'topic:' || slug || '#layer-1' WHEN 2 THEN 'topic:' || slug || '#layer-2' WHEN 3 THEN 'event:2024-01-01:' || seq WHEN 4 THEN 'handoff:a-b.md'
+  WHEN 5 THEN 'topic:' || slug || '-none' ELSE 'topic:' || upper(slug) END AS id FROM log WHERE event_type = 'signup')
+SELECT ask_id, CASE WHEN c IN (0, 1, 2) AND meta.slug IS NOT NULL THEN 'topic:' || asks.slug || '#layer-' || CASE c WHEN 1 THEN 1 ELSE 2 END ELSE id END AS id,
+  md5(CASE WHEN meta.slug IS NULL THEN NULL WHEN c = 1 THEN 'type: ' || kind || chr(10) || 'status: ' || status || chr(10) || 'created: ' || created || chr(10) || 'summary: ' || summary WHEN c IN (0, 2) THEN coalesce(two, '') END) AS text_md5,
+  CASE WHEN c IN (3, 4) THEN 'FETCH_KIND_DEFERRED' WHEN c = 6 THEN 'FETCH_UNKNOWN_ID' WHEN c = 5 OR meta.slug IS NULL THEN 'FETCH_NOT_FOUND' END AS code
+FROM asks LEFT JOIN meta USING (slug)""")
+def fetch_by_id(spark, d):
+    log = _log(spark, d)
+    one = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    slug = F.col("slug")
+    ids = F.array(one("topic:", slug), one("topic:", slug, "#layer-1"), one("topic:", slug, "#layer-2"), one("event:2024-01-01:", F.col("seq").cast("string")), F.lit("handoff:a-b.md"), one("topic:", slug, "-none"), one("topic:", F.upper(slug)))
+    asked = log.where("type in ('TOPIC_METADATA_SET', 'TOPIC_CURATED', 'TOPIC_VERIFIED')").select(F.col("pos").alias("ask_id"), F.get(ids, (F.col("k") % 7).cast("int")).alias("id"))
+    files = projection.topic_files(log)
+    found = reading.fetched(asked, files, files.select("slug"))
+    return found.select("ask_id", "id", F.md5("text").alias("text_md5"), "code")
+
+
+@query("""a AS (SELECT slug, max(seq) AS m, count(*) AS n FROM log WHERE type = 'write_event' GROUP BY slug)
+SELECT slug AS answer_id, i, slug || '-' || i AS slug, 'Name ' || i AS name, m + i AS first_seq FROM (SELECT *, unnest(CASE m % 4 WHEN 0 THEN [0, 1] WHEN 1 THEN [0] ELSE [] END) AS i FROM a)""")
+def cluster_answers(spark, d):
+    """Answers of a detector - fenced, bare, empty and broken ones - taken apart."""
+    a = state.writes(_log(spark, d)).groupBy("slug").agg(F.max("seq").alias("m"))
+    item = lambda i: F.to_json(F.struct(F.concat("slug", F.lit(f"-{i}")).alias("slug"), F.lit(f"Name {i}").alias("name"), F.array(F.col("m") + i).alias("supporting_seqs")))
+    fenced = F.concat(F.lit("Here:\n```json\n["), item(0), F.lit(", "), item(1), F.lit("]\n```\nDone."))
+    raws = F.array(fenced, F.concat(F.lit(" ["), item(0), F.lit("]")), F.lit("NOTHING_TO_PROPOSE"), F.concat(F.lit("["), item(0)))
+    found = answers.clusters(a.select(F.col("slug").alias("answer_id"), F.get(raws, (F.col("m") % 4).cast("int")).alias("raw")))
+    return found.select("answer_id", F.col("i").cast("long").alias("i"), "slug", "name", F.get("supporting_seqs", F.lit(0)).alias("first_seq"))
+
+
+_ACTIVE = """act AS (SELECT slug, seq, row_number() OVER (PARTITION BY slug ORDER BY seq) AS n FROM log l WHERE tag = 'CURATED' AND NOT EXISTS (SELECT 1 FROM retired r WHERE r.effective AND r.slug = l.slug AND r.superseded_seq = l.seq)),
+ans AS (SELECT slug, max(seq) % 5 AS c FROM log WHERE type = 'write_event' GROUP BY slug)"""
+
+
+def _curation_answers(spark, d):
+    log = _log(spark, d)
+    c = F.max("seq") % 5
+    rows = state.writes(log).groupBy("slug").agg(c.alias("c"))
+    line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    n = F.col("c").cast("string")
+    raw = line("RETIRE: ", n, "\n retire: 2 \nRETIRE: 900\nREASON: ", F.repeat(F.lit("r"), (F.col("c") * 40).cast("int")), "\nREASON: second\n- bullet ", n, "\n-not one\n- ", F.repeat(F.lit("b"), (F.col("c") * 60).cast("int")), "\n- \nprose")
+    live = state.writes(log).where("tag = 'CURATED'").select("slug", "seq").join(state.retired_seqs(log), ["slug", "seq"], "left_anti")
+    active = live.withColumn("n", F.row_number().over(Window.partitionBy("slug").orderBy("seq")).cast("long")).withColumnRenamed("slug", "answer_id")
+    return answers.curation(rows.select(F.col("slug").alias("answer_id"), raw.alias("raw")), active)
+
+
+@query(_ACTIVE + """ SELECT ans.slug AS answer_id, coalesce((SELECT string_agg(seq, ',' ORDER BY seq) FROM act WHERE act.slug = ans.slug AND n IN (c, 2, 900)), '') AS seqs, CASE WHEN c BETWEEN 1 AND 3 THEN repeat('r', c * 40) ELSE 'second' END AS reason FROM ans""")
+def curation_retirements(spark, d):
+    gone, _ = _curation_answers(spark, d)
+    return gone.select("answer_id", F.array_join(F.transform("superseded_seqs", lambda x: x.cast("string")), ",").alias("seqs"), "reason")
+
+
+@query(_ACTIVE + """ SELECT slug AS answer_id, 'bullet ' || c AS bullet FROM ans UNION ALL SELECT slug, repeat('b', c * 60) FROM ans WHERE c BETWEEN 1 AND 3""")
+def curation_bullets(spark, d):
+    return _curation_answers(spark, d)[1].select("answer_id", "bullet")
+
+
+@query("""c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT conv_id AS answer_id, p AS place, 'point ' || p AS bullet FROM (SELECT conv_id, n, unnest(range(1, 13)) AS p FROM c) WHERE p <= n * 3 AND n % 5 <> 0""")
+def bootstrap_bullets(spark, d):
+    """Three bullets for each turn, of which the first twelve count."""
+    c = adapters.table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    lines = F.transform(F.sequence(F.lit(1), (F.col("n") * 3).cast("int")), lambda i: F.concat(F.lit(" - point "), i.cast("string")))
+    raw = F.when(F.col("n") % 5 == 0, "NOTHING_TO_ADD").otherwise(F.concat(F.lit("Facts:\n"), F.array_join(lines, "\n")))
+    return answers.bootstrap(c.select(F.col("conv_id").alias("answer_id"), raw.alias("raw")))
+
+
+@query(f"""c AS (SELECT source AS batch, doc_id AS i, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, list_distinct({_tok('text')}) AS t FROM documents),
+f AS (WITH RECURSIVE g AS (
+  SELECT batch, r, CASE WHEN len(t) > 0 THEN [t] ELSE CAST([] AS VARCHAR[][]) END AS held, i AS kept FROM c WHERE r = 1
+  UNION ALL
+  SELECT c.batch, c.r, CASE WHEN dup OR len(c.t) = 0 THEN held ELSE list_append(held, c.t) END, CASE WHEN dup THEN NULL ELSE c.i END
+  FROM (SELECT g.*, c.t, c.i, c.r AS next, len(list_filter(held, lambda h: len(list_intersect(h, c.t)) >= 0.8 * (len(h) + len(c.t) - len(list_intersect(h, c.t))))) > 0 AS dup FROM g JOIN c ON c.batch = g.batch AND c.r = g.r + 1) x JOIN c ON c.batch = x.batch AND c.r = x.next) SELECT * FROM g)
+SELECT batch, kept AS i FROM f WHERE kept IS NOT NULL""")
+def near_dup_survivors(spark, d):
+    """Each source's documents in order; those that resemble an earlier survivor go."""
+    docs = adapters.table(spark, d, "documents").select(F.col("source").alias("batch"), F.col("doc_id").alias("i"), F.col("text").alias("content"))
+    return answers.survivors(docs)
+
+
+# history, liveness, evaluation ------------------------------------------------------------------
+
+@query("SELECT slug, row_number() OVER (PARTITION BY slug ORDER BY pos) AS place, seq, tag, principal, content FROM log WHERE type = 'write_event'")
+def topic_history(spark, d):
+    return state.history(_log(spark, d)).drop("ts")
+
+
+@query("""SELECT slug, place, seq, tag, content FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY pos DESC) AS place FROM log WHERE type = 'write_event' AND tag <> 'CURATED') WHERE place <= 50""")
+def latest_writes(spark, d):
+    return state.latest_writes(_log(spark, d))
+
+
+_RUN_SQL = """run AS (SELECT seq, epoch_us(ts) // 1000 AS ms, CASE k % 3 WHEN 0 THEN 'curate' ELSE 'detect' END || ' ' || ['run started', 'run complete', 'run failed', 'first run deferred', 'insufficient events', 'note'][k % 6 + 1] AS content,
+  CASE WHEN k % 2 = 0 THEN 'curate' END AS source FROM log WHERE event_type = 'error')"""
+
+
+def _run_entries(spark, d):
+    what = F.get(F.array(*[F.lit(x) for x in ("run started", "run complete", "run failed", "first run deferred", "insufficient events", "note")]), (F.col("k") % 6).cast("int"))
+    own = _log(spark, d).where("type in ('TOPIC_BULLETS_RETIRED', 'TOPIC_SUGGESTED', 'TOPIC_SUGGESTION_ACCEPTED', 'TOPIC_SUGGESTION_DISMISSED')")
+    job = F.when(F.col("k") % 3 == 0, "curate").otherwise("detect")
+    return own.select("seq", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.concat_ws(" ", job, what).alias("content"), F.when(F.col("k") % 2 == 0, "curate").alias("source"))
+
+
+def _status_sql(job: str, own: bool) -> str:
+    kinds = "CASE WHEN contains(content, 'run started') THEN 'started' WHEN contains(content, 'run complete') THEN 'complete' WHEN contains(content, 'run failed') THEN 'failed'"
+    kinds += "" if own else " WHEN contains(content, 'first run deferred') THEN 'deferred' WHEN contains(content, 'insufficient events') THEN 'idle'"
+    return f"""{_RUN_SQL}, e AS (SELECT * FROM (SELECT *, {kinds} END AS kind FROM run WHERE starts_with(content, '{job}'){" AND source = '" + job + "'" if own else ""}) WHERE kind IS NOT NULL),
+g AS (SELECT max(seq) AS good_seq FROM e WHERE kind IN ('complete', 'idle'))
+SELECT max_by(ms, seq) AS last_run_ms, max_by(ms, seq) FILTER (kind IN ('complete', 'idle')) AS last_success_ms, count(*) FILTER (kind = 'failed' AND seq > coalesce(good_seq, -1)) AS consecutive_failures,
+  max_by(content, seq) FILTER (kind = 'failed' AND seq > coalesce(good_seq, -1)) AS last_failure, max_by(kind, seq) AS last_kind, bool_or(kind = 'deferred') AS deferred FROM e, g"""
+
+
+@query(_status_sql("curate", True))
+def curator_status(spark, d):
+    return liveness.status(_run_entries(spark, d), "curate", own_source=True)
+
+
+@query(_status_sql("detect", False))
+def detector_status(spark, d):
+    return liveness.status(_run_entries(spark, d), "detect", own_source=False)
+
+
+_JOBS_SQL = f"""now AS (SELECT max(epoch_us(ts) // 1000) AS now FROM log),
+j AS (SELECT slug AS job, max(epoch_us(ts) // 1000) FILTER (k % 3 = 0 AND k > 60) AS last_success_ms, max_by(CASE k % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'failed' ELSE 'started' END, pos) AS last_kind, max(k) % 2 = 0 AS was_stale,
+  min(epoch_us(ts) // 1000) AS first_seen_ms, max(epoch_us(ts) // 1000) AS computed_ms, max(epoch_us(ts) // 1000) FILTER (k = 7) AS emitted_ms FROM log GROUP BY slug),
+v AS (SELECT *, (now - last_success_ms) / 86400000.0 AS days, CASE WHEN last_success_ms IS NULL OR now < last_success_ms THEN false WHEN was_stale THEN (now - last_success_ms) / 86400000.0 > 1 ELSE (now - last_success_ms) / 86400000.0 > 3 END AS is_stale FROM j, now)"""
+
+
+def _job_verdicts(spark, d):
+    log = _log(spark, d)
+    ms, now = F.unix_millis(F.col("ts").cast("timestamp")), _now_ms(log)
+    kind = F.when(F.col("k") % 3 == 0, "complete").when(F.col("k") % 3 == 1, "failed").otherwise("started")
+    statuses = log.groupBy(F.col("slug").alias("job")).agg(
+        F.max(F.when((F.col("k") % 3 == 0) & (F.col("k") > 60), ms)).alias("last_success_ms"), F.max_by(kind, "pos").alias("last_kind"), (F.max("k") % 2 == 0).alias("was_stale"),
+        F.min(ms).alias("first_seen_ms"), F.max(ms).alias("computed_ms"), F.max(F.when(F.col("k") == 7, ms)).alias("emitted_ms"),
+    )
+    return liveness.verdict(statuses, now), now
+
+
+@query(_JOBS_SQL + " SELECT job, round(days, 6) AS days_since_success, last_kind = 'started' AS in_progress, is_stale FROM v")
+def liveness_verdicts(spark, d):
+    v, _ = _job_verdicts(spark, d)
+    return v.select("job", F.round("days_since_success", 6).alias("days_since_success"), "in_progress", "is_stale")
+
+
+@query(_JOBS_SQL + """ SELECT job, kind FROM (SELECT job, CASE WHEN now - computed_ms > 3 * 86400000 THEN 'curate_monitor_stale' WHEN last_success_ms IS NULL AND now - first_seen_ms > 2 * 86400000 THEN 'curate_never_succeeded'
+  WHEN is_stale THEN 'curate_liveness_stale' END AS kind FROM v WHERE emitted_ms IS NULL OR now - emitted_ms >= 6 * 3600000) WHERE kind IS NOT NULL""")
+def liveness_notices(spark, d):
+    v, now = _job_verdicts(spark, d)
+    return liveness.notices(v, now)
+
+
+@query(_DELTA.replace("WHERE turn > 0 AND", "WHERE turn > CASE WHEN conv_id % 2 = 0 THEN 2 ELSE -1 END AND") + r""",
+ends AS (SELECT conv_id, max(turn) AS last_turn FROM conversations WHERE turn > CASE WHEN conv_id % 2 = 0 THEN 2 ELSE -1 END GROUP BY conv_id),
+est AS (SELECT conv_id, round(sum(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))) * 0.75)::BIGINT AS n FROM delta GROUP BY conv_id)
+SELECT conv_id, last_turn, coalesce(n, 0) AS token_estimate, coalesce(n, 0) >= 200 AS ready FROM ends LEFT JOIN est USING (conv_id)""")
+def session_offsets(spark, d):
+    """Half of the sessions were read up to their third turn before."""
+    turns = adapters.table(spark, d, "conversations")
+    done = turns.where("conv_id % 2 = 0").select("conv_id", F.lit(2).cast("long").alias("last_turn")).distinct()
+    return transcripts.advanced(turns, done)
+
+
+@query(_RANKINGS + """, h AS (SELECT g.qid, g.qid // 100 % 3 AS type, bool_and(coalesce(rank <= 5, false)) AS whole FROM gold g LEFT JOIN s USING (qid, session) GROUP BY ALL)
+SELECT 'type ' || type AS type, count(*) AS n, round(avg(whole::INT), 9) AS recall_all FROM h GROUP BY ALL""")
+def recall_by_type(spark, d):
+    gold = _gold(spark, d).withColumn("type", F.concat(F.lit("type "), F.floor(F.col("qid") / 100) % 3))
+    return evals.recall_by_type(_sessions(spark, d), gold).withColumn("recall_all", F.round("recall_all", 9))
+
+
+@query("""t AS (SELECT conv_id % 20 AS qid, conv_id AS session, CASE WHEN conv_id % 20 < 15 THEN length(text) % 7 = 0 END AS has_answer FROM conversations),
+m AS (SELECT qid FROM t GROUP BY qid HAVING count(has_answer) = 0)
+SELECT DISTINCT qid, session FROM t WHERE has_answer UNION ALL SELECT DISTINCT qid, session FROM t WHERE qid IN (SELECT qid FROM m) AND session % 3 = 0""")
+def gold_sessions(spark, d):
+    """Questions with marked turns, and questions without, whose stated answers stand."""
+    marked = F.when(F.col("conv_id") % 20 < 15, F.length("text") % 7 == 0)
+    turns = adapters.table(spark, d, "conversations").select((F.col("conv_id") % 20).alias("qid"), F.col("conv_id").alias("session"), marked.alias("has_answer"))
+    return evals.gold_of(turns, turns.where("session % 3 = 0"))
+
+
+@query(_RANKINGS + """, h AS (SELECT g.qid, tier, rank, top.session = g.session AS relevant FROM top JOIN gold g USING (qid) JOIN live ON live.doc_id = top.key WHERE rank <= 5),
+p AS (SELECT avg(p) AS p FROM (SELECT avg(relevant::INT) AS p FROM h WHERE tier <> 'curated' GROUP BY qid, tier)),
+r AS (SELECT 100 * avg(whole::INT) AS r FROM (SELECT g.qid, bool_and(coalesce(rank <= 5, false)) AS whole FROM gold g LEFT JOIN s USING (qid, session) GROUP BY g.qid))
+SELECT r >= 50 + 5 AS recall_gain, p IS NULL OR p >= 0.5 AS advisory_precision_ok, 96 >= 95 AS trust_compliance, true AS no_regression, r >= 55 AND (p IS NULL OR p >= 0.5) AS promote FROM p, r""")
+def promotion_bar(spark, d):
+    """The bar for the vectors' ranking, against a lexical recall of 50 and full compliance."""
+    recall = evals.recall(_sessions(spark, d), _gold(spark, d)).select((F.col("recall_all_5") * 100).alias("hybrid_recall"))
+    precision = evals.advisory_precision(_vector_hits(spark, d)).withColumnRenamed("precision", "advisory_precision")
+    row = recall.join(F.broadcast(precision))  # one row each
+    return evals.promotion(row.withColumns({"lexical_recall": F.lit(50), "compliance": F.lit(96), "regressions": F.lit(0)}))
+
+
+@query("SELECT vec_id AS qid FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
+def remaining_questions(spark, d):
+    """Vectors as questions, of which the labelled are done."""
+    asked = adapters.table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"))
+    return evals.remaining(asked, adapters.table(spark, d, "labels").select(F.col("doc_id").alias("qid")))
+
+
+@query("SELECT item_id, sha256(to_json(nfc_normalize(text))::VARCHAR) AS digest FROM benchmark")
+def query_digest(spark, d):
+    return adapters.table(spark, d, "benchmark").select("item_id", canonical.key_of(F.col("text")).alias("digest"))
+
+
+@query(_DAMAGED + """, w AS (WITH RECURSIVE a AS (
+  SELECT log, min(pos) AS pos, min_by(self_hash, pos) AS self_hash FROM d WHERE hash_prev = repeat('0', 64) GROUP BY log
+  UNION ALL
+  SELECT d.log, min(d.pos), min_by(d.self_hash, d.pos) FROM a JOIN d ON d.log = a.log AND d.hash_prev = a.self_hash AND d.pos > a.pos GROUP BY d.log) SELECT * FROM a)
+SELECT log, count(*) AS n, true AS refused FROM d WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.log = d.log AND w.pos = d.pos) GROUP BY log""")
+def strict_regenerate(spark, d):
+    """Damaged logs that may not be projected."""
+    return chain.strict(chain.skipped(_damaged(spark, d).withColumn("shape_ok", F.lit(True))))
+
+
+@query("own AS (SELECT live.* FROM live JOIN acl USING (slug) WHERE list_contains(readers, 'p1')),\n"
+       + _lexical_sql("or", 0.1, _TOPIC_FIELDS, retrieval.TOPIC_BOOSTS, 10) + """,
+t AS (SELECT source AS slug, arg_max(text, doc_id) AS text FROM documents GROUP BY source),
+p AS (SELECT qid, key AS slug, score, rank, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM lex)
+SELECT qid, slug, rank, CASE WHEN score >= 4 THEN 'high' WHEN score >= 1.5 THEN 'medium' ELSE 'low' END AS confidence, md5(CASE WHEN length(text) > 1500 THEN substr(text, 1, 1500) || '…' ELSE text END) AS excerpt FROM p JOIN t USING (slug) WHERE place <= 3""")
+def context_pack(spark, d):
+    """The best topics of each query with an excerpt of their latest document."""
+    u = _units(spark, d)
+    found = retrieval.exact_lookup(u, adapters.acl(u), PRINCIPAL, _asked(spark, d))
+    texts = adapters.table(spark, d, "documents").groupBy(F.col("source").alias("slug")).agg(F.max_by("text", "doc_id").alias("text"))
+    return retrieval.context_pack(found, texts).withColumn("excerpt", F.md5("excerpt"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -33,3 +33,46 @@ def ndcg(sessions: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
 def precision_by_tier(hits: DataFrame, k: int = 5) -> DataFrame:
     """(tier, n, precision) over hits (qid, rank, tier, relevant) within the first ``k``."""
     return hits.where(F.col("rank") <= k).groupBy("tier").agg(F.count("*").alias("n"), F.avg(F.col("relevant").cast("double")).alias("precision"))
+
+
+def gold_of(turns: DataFrame, answers: DataFrame) -> DataFrame:
+    """(qid, session) from turns (qid, session, has_answer): sessions with a marked turn; the stated answers (qid, session) where no turn is marked either way."""
+    marked = turns.groupBy("qid").agg(F.count("has_answer").alias("marks"))
+    own = turns.where("has_answer").select("qid", "session").distinct()
+    without = marked.where("marks = 0").select("qid")
+    return own.unionByName(answers.select("qid", "session").distinct().join(without, "qid", "left_semi"))
+
+
+def recall_by_type(sessions: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
+    """(type, n, recall_all) over gold (qid, type, session): the share of questions whose every gold session is among the first ``k``."""
+    hits = gold.join(sessions, ["qid", "session"], "left").groupBy("qid", "type").agg(F.bool_and(F.coalesce(F.col("rank") <= k, F.lit(False))).alias("whole"))
+    return hits.groupBy("type").agg(F.count("*").alias("n"), F.avg(F.col("whole").cast("double")).alias("recall_all"))
+
+
+def regressions(lexical: DataFrame, hybrid: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
+    """(n), one row: gold (qid, slug) that the lexical arm has among its first ``k`` and the fused ranking hasn't."""
+    first = lambda hits: gold.join(hits.where(F.col("rank") <= k).select("qid", "slug").distinct(), ["qid", "slug"], "left_semi")
+    return first(lexical).join(first(hybrid), ["qid", "slug"], "left_anti").agg(F.count("*").alias("n"))
+
+
+def advisory_precision(hits: DataFrame, k: int = 5) -> DataFrame:
+    """(precision), one row: over queries and advisory tiers with a hit (qid, tier, rank, relevant) among the first ``k``, the mean of their precision."""
+    each = hits.where((F.col("rank") <= k) & (F.col("tier") != "curated")).groupBy("qid", "tier").agg(F.avg(F.col("relevant").cast("double")).alias("p"))
+    return each.agg(F.avg("p").alias("precision"))
+
+
+def promotion(metrics: DataFrame, gain: float = 5, precision: float = 0.5, trust: float = 95) -> DataFrame:
+    """The pre-registered bar over one row of percentages (lexical_recall, hybrid_recall, advisory_precision, compliance, regressions)."""
+    criteria = {
+        "recall_gain": F.col("hybrid_recall") >= F.col("lexical_recall") + gain,
+        "advisory_precision_ok": F.col("advisory_precision").isNull() | (F.col("advisory_precision") >= precision),
+        "trust_compliance": F.col("compliance") >= trust,
+        "no_regression": F.col("regressions") == 0,
+    }
+    rows = metrics.select(*[c.alias(n) for n, c in criteria.items()])
+    return rows.withColumn("promote", F.col("recall_gain") & F.col("advisory_precision_ok") & F.col("trust_compliance") & F.col("no_regression"))
+
+
+def remaining(asked: DataFrame, done: DataFrame) -> DataFrame:
+    """Questions (qid, ..) that an earlier run hasn't answered (qid)."""
+    return asked.join(done.select("qid").distinct(), "qid", "left_anti")

@@ -32,3 +32,15 @@ def estimate(messages: DataFrame) -> DataFrame:
     """(conv_id, n_messages, token_estimate)."""
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     return messages.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.round(F.sum(words) * TOKENS_PER_WORD).cast("long").alias("token_estimate"))
+
+
+def advanced(turns: DataFrame, offsets: DataFrame, min_tokens: int = 200) -> DataFrame:
+    """(conv_id, last_turn, token_estimate, ready): sessions with turns after their offset (conv_id, last_turn).
+
+    The offset moves on whether or not there is enough to read, so a short stretch isn't read again.
+    """
+    new = turns.join(offsets.withColumnRenamed("last_turn", "done"), "conv_id", "left").where(F.col("turn") > F.coalesce("done", F.lit(-1)))
+    ends = new.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
+    text = estimate(delta(new.select(*turns.columns)))
+    found = ends.join(text.select("conv_id", "token_estimate"), "conv_id", "left").withColumn("token_estimate", F.coalesce("token_estimate", F.lit(0)))
+    return found.withColumn("ready", F.col("token_estimate") >= min_tokens)

@@ -36,11 +36,9 @@ def mechanical(layer: DataFrame) -> DataFrame:
 
 
 def topic_index(log: DataFrame) -> DataFrame:
-    """(slug, line) for topics with metadata: slug, kind, tags, status, first sentence of the summary."""
-    status = F.when(F.col("meta_k") % 5 == 0, "archived").otherwise("active")
-    summary = F.concat(F.lit("Topic "), F.col("slug"), F.lit(" has "), F.col("n_writes").cast("string"), F.lit(" entries. Last by number "), F.col("last_updated_seq").cast("string"), F.lit("."))
-    t = topics(log).where(F.col("meta_k").isNotNull()).withColumn("status", status).where("status <> 'archived'")
-    return t.select("slug", F.concat_ws(" | ", "slug", F.lit("reference"), F.lit(""), "status", first_sentence(summary)).alias("line"))
+    """(slug, line) for topics with metadata that aren't archived: slug, kind, tags, status, first sentence of the summary."""
+    t = metadata(log).where("status <> 'archived'")
+    return t.select("slug", F.concat_ws(" | ", "slug", "kind", F.array_join("tags", ", "), "status", first_sentence(F.col("summary"))).alias("line"))
 
 
 def event_lines(log: DataFrame) -> DataFrame:

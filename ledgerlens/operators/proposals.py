@@ -105,9 +105,9 @@ def emitted(verdicts: DataFrame, order: DataFrame, most: int = 3) -> DataFrame:
     return verdicts.where("reason is null").join(order, "slug").orderBy("place").limit(most).select("slug", "place")
 
 
-def intents(made: DataFrame, day: str = "day") -> DataFrame:
+def intents(made: DataFrame, day: str = "day", job: str = "detect") -> DataFrame:
     """(intent_id, ..): suggestions (day, seqs, ..) under an id that their day and support give; of equal ones the first by ``place``."""
-    intent = F.concat(F.lit("intent:silo-detect:"), F.col(day), F.lit(":cluster-"), support_fingerprint(F.col("seqs")))
+    intent = F.concat(F.lit(f"intent:{job}:"), F.col(day), F.lit(":cluster-"), support_fingerprint(F.col("seqs")))
     first = F.row_number().over(Window.partitionBy("intent_id").orderBy("place"))
     return made.withColumn("intent_id", intent).withColumn("rn", first).where("rn = 1").drop("rn")
 

@@ -141,10 +141,12 @@ def confidence(best: Column) -> Column:
 
 
 def context_pack(found: DataFrame, topics: DataFrame, max_topics: int = 3) -> DataFrame:
-    """(slug, rank, confidence, excerpt): each topic's best hit, with an excerpt of its curated layer."""
-    best = found.groupBy("slug").agg(F.min("rank").alias("rank"), F.max("score").alias("score")).orderBy("rank").limit(max_topics)
+    """(qid, slug, rank, confidence, excerpt): each query's first topics by their best hit, with an excerpt of their text (slug, text); topics without one go."""
+    best = found.groupBy("qid", "slug").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
+    first = best.withColumn("place", place).where(F.col("place") <= min(max(max_topics, 1), 10)).drop("place")
     excerpt = F.when(F.length("text") > 1500, F.concat(F.substring("text", 1, 1500), F.lit("…"))).otherwise(F.col("text"))
-    return topics.join(F.broadcast(best), "slug").select("slug", "rank", confidence(F.col("score")).alias("confidence"), excerpt.alias("excerpt"))
+    return first.join(topics, "slug").select("qid", "slug", "rank", confidence(F.col("score")).alias("confidence"), excerpt.alias("excerpt"))
 
 
 def cache_status(live_keys: DataFrame, cached: DataFrame | None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import jaccard, reader_tokens, tokens
 from ..sources.storage import materialize
 
 
@@ -51,10 +51,9 @@ def same_day(log: DataFrame, reject: float = 0.8, warn: float = 0.6) -> DataFram
     """
     day = F.to_date("ts")
     w = log.where(F.col("type") == "write_event").withColumn("day", day)
-    first = w.groupBy("slug", "day", "content").agg(F.min("seq").alias("first_seq")).withColumn("t", F.array_distinct(tokens(F.col("content"))))
-    a = w.select("seq", "slug", "day", F.array_distinct(tokens(F.col("content"))).alias("ta"))
-    both = F.size(F.array_intersect("ta", "t"))
-    sim = F.when(F.size(F.array_union("ta", "t")) == 0, 1.0).otherwise(both / (F.size("ta") + F.size("t") - both))
+    first = w.groupBy("slug", "day", "content").agg(F.min("seq").alias("first_seq")).withColumn("t", reader_tokens(F.col("content")))
+    a = w.select("seq", "slug", "day", reader_tokens(F.col("content")).alias("ta"))
+    sim = jaccard(F.col("ta"), F.col("t"), both_empty=1.0)
     best = a.join(first, ["slug", "day"]).where(F.col("first_seq") < F.col("seq")).groupBy("seq").agg(F.max(sim).alias("best"))
     verdict = F.when(F.col("best") >= reject, "reject").when(F.col("best") >= warn, "warn")
     return best.select("seq", verdict.alias("verdict")).where("verdict is not null")

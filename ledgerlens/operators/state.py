@@ -36,6 +36,19 @@ def topics(log: DataFrame) -> DataFrame:
     )
 
 
+def history(log: DataFrame) -> DataFrame:
+    """(slug, place, seq, tag, principal, ts, content): each topic's writes in order, a row each, so no topic is gathered."""
+    place = F.row_number().over(Window.partitionBy("slug").orderBy("pos"))
+    return writes(log).withColumn("place", place.cast("long")).select("slug", "place", "seq", "tag", "principal", "ts", "content")
+
+
+def latest_writes(log: DataFrame, n: int = 50) -> DataFrame:
+    """(slug, place, seq, tag, content): each topic's last ``n`` writes that aren't curated ones, the latest first; the bound is the feature."""
+    place = F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("pos")))
+    own = writes(log).where(F.col("tag") != "CURATED").withColumn("place", place.cast("long"))
+    return own.where(F.col("place") <= n).select("slug", "place", "seq", "tag", "content")
+
+
 def ordered_tags(log: DataFrame) -> DataFrame:
     """Each topic's tags in order of first use: first uses are reduced before they are gathered."""
     first = writes(log).groupBy("slug", "tag").agg(F.min("pos").alias("first"))
