@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..sources.adapters import log
 from ..sources.storage import scratch_path
 
+STATE = "slug string, n_writes long, last_seq long, tags array<string>"
+
 
 def summed(entries: DataFrame) -> DataFrame:
     """(slug, n_writes, last_seq, tags): sums, maxima and sets, which merge."""
@@ -23,29 +25,45 @@ def merged(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def run(spark: SparkSession, events_path: str, files_per_batch: int = 1) -> DataFrame:
-    """Stream all event files through and return the last snapshot.
+def _snapshots(spark: SparkSession, root: str) -> dict[int, object]:
+    """Whole snapshots under ``root`` by batch number."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return {}
+    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("snapshot-")]
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return {int(p.getName().split("-")[1]): p for p in found if fs.exists(done(p, "_SUCCESS"))}
+
+
+def run(spark: SparkSession, events_path: str, files_per_batch: int = 1, root: str | None = None) -> DataFrame:
+    """Stream the event files that were not read before and return the latest snapshot.
 
-    Snapshots and stream progress lie in the shared folder: a batch that is run again after a
-    failure starts from the snapshot of the batch before it, so it counts once.
+    Snapshots and the stream's progress lie under ``root``, in the shared folder: a later run with the
+    same root goes on where the last one stopped. A batch that is run again after a failure starts
+    from the snapshot of the batch before it, so it counts once; older snapshots are deleted.
     """
-    root = scratch_path(spark, "topic-stream")
+    root = root or scratch_path(spark, "topic-stream")
     schema = spark.read.parquet(events_path).schema
     at = lambda n: f"{root}/snapshot-{n}"
-    last = {"n": -1}
 
     def merge(batch: DataFrame, n: int) -> None:
-        new = summed(log(batch))
-        if n > 0:
-            new = merged(new, batch.sparkSession.read.parquet(at(n - 1)))
+        session, new = batch.sparkSession, summed(log(batch))
+        held = _snapshots(session, root)
+        before = max((k for k in held if k < n), default=None)
+        if before is not None:
+            new = merged(new, session.read.schema(STATE).parquet(at(before)))
         new.write.mode("overwrite").parquet(at(n))
-        last["n"] = n
+        for k, path in held.items():
+            if k < n - 1:
+                path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     query = (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(events_path)
         .writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    if last["n"] < 0:
+    held = _snapshots(spark, root)
+    if not held:
         return summed(log(spark.createDataFrame([], schema)))
-    return spark.read.parquet(at(last["n"]))
+    return spark.read.schema(STATE).parquet(at(max(held)))
