@@ -78,3 +78,35 @@ def survivors(candidates: DataFrame, threshold: float = 0.8) -> DataFrame:
         open_ = materialize(open_.join(kept, ["batch", "i"], "left_anti").join(gone, ["batch", "i"], "left_anti"), "candidate-open")
     rows = candidates.select("batch", "i")
     return rows if dropped is None else rows.join(dropped, ["batch", "i"], "left_anti")
+
+
+def error_code(message):
+    """(code, status, retryable) of a provider's error message ``Name 429: ..``, as a struct."""
+    low = F.lower(message)
+    status = F.regexp_extract(message, r"^[A-Za-z]+\s+(\d{3}):", 1).try_cast("int")
+    has = lambda pattern: low.rlike(pattern)
+    code = (
+        F.when(has("timed out|etimedout"), "request_timeout")
+        .when(has("econnreset|enotfound|econnrefused|eai_again|getaddrinfo"), "network_error")
+        .when((F.coalesce(status, F.lit(0)) == 401) | has("invalid x-api-key|incorrect api key|authentication"), "auth_invalid")
+        .when((F.coalesce(status, F.lit(0)) == 402) | has("credit balance|quota|insufficient.*credit|billing|payment required"), "quota_exceeded")
+        .when(status == 429, "rate_limited")
+        .when(status.isin(400, 404), "request_invalid")
+        .when(status >= 500, "server_error")
+        .otherwise("unknown")
+    )
+    retryable = code.isin("request_timeout", "network_error", "rate_limited", "server_error")
+    return F.struct(code.alias("code"), F.when(code.isin("request_timeout", "network_error"), None).otherwise(status).alias("status"), retryable.alias("retryable"))
+
+
+def curation_prompts(bullets: DataFrame, recent: DataFrame) -> DataFrame:
+    """(slug, text): what a curator is asked about a topic - its live bullets (slug, n, content), numbered, and its recent writes (slug, place, day, tag, content).
+
+    Give bounded lists: the latest writes, not all.
+    """
+    lines = lambda rows, line, order: rows.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("line")))).alias("x")).select("slug", F.array_join("x.line", "\n").alias("text"))
+    one = lines(bullets, F.concat_ws(". ", F.col("n").cast("string"), "content"), F.col("n")).withColumnRenamed("text", "held")
+    two = lines(recent, F.format_string("[%s] [%s] %s", "day", F.coalesce("tag", F.lit("EVENT")), "content"), -F.col("place")).withColumnRenamed("text", "new")
+    rows = two.join(one, "slug", "left")
+    text = F.concat_ws("\n", F.concat(F.lit("Topic: "), "slug"), F.lit("Current bullets:"), F.coalesce("held", F.lit("(none)")), F.lit("Recent entries:"), "new")
+    return rows.select("slug", text.alias("text"))

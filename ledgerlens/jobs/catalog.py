@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import canonical
+from ..functions import canonical, vectors
 from ..functions import text as T
 from ..operators import admission, blocks, chain, preconditions, projection, proposals, retrieval, similarity, state
 from ..schema import matrix
@@ -1307,6 +1307,88 @@ def context_pack(spark, d):
     return retrieval.context_pack(found, texts).withColumn("excerpt", F.md5("excerpt"))
 
 
+_OFFERED = """every AS (SELECT pos, type, k, slug, k % 2 = 0 AS typed FROM log UNION ALL SELECT pos, type, k, slug || '-c', false FROM
+  (SELECT pos, k, slug, CASE k % 5 WHEN 0 THEN 'FEATURE_ACTIVE' WHEN 1 THEN 'FEATURE_ROLLED_BACK' WHEN 2 THEN 'RECOVERY_MODE_ENTERED' WHEN 3 THEN 'RECOVERY_MODE_EXITED' ELSE 'NOVEL' END AS type FROM log WHERE event_type = 'signup')),
+off AS (SELECT pos // 50 AS batch, pos * 2 + (type LIKE 'FEATURE%' OR type LIKE 'RECOVERY%' OR type = 'NOVEL')::INT AS i, type, CASE k % 10 WHEN 1 THEN 'admin' WHEN 2 THEN 'other' END AS socket, CASE k % 25 WHEN 3 THEN 'recovery' WHEN 4 THEN 'normal' END AS mode, slug, typed FROM every),
+ok AS (SELECT DISTINCT slug FROM log WHERE type = 'write_event' AND k < 20),
+codes AS (SELECT batch, i, CASE WHEN mode = 'recovery' THEN 'INVALID_WRITER_MODE' WHEN type = 'NOVEL' THEN 'UNKNOWN_EVENT_TYPE_NOT_REGISTERED'
+  WHEN socket = 'other' OR (coalesce(socket, 'standard') = 'standard' AND (type LIKE 'FEATURE%' OR type LIKE 'RECOVERY%')) THEN 'EVENT_NOT_ADMISSIBLE'
+  WHEN type = 'write_event' AND slug NOT IN (SELECT slug FROM ok) AND NOT EXISTS (SELECT 1 FROM off o WHERE o.batch = off.batch AND o.slug = off.slug AND o.i < off.i AND o.type = 'TOPIC_METADATA_SET' AND o.typed) THEN 'SLUG_NOT_ADMITTED' END AS code FROM off)"""
+
+
+def _offered(spark, d):
+    """The log's entries and those about features and modes, offered in batches by sockets and in modes of all sorts."""
+    log = _log(spark, d)
+    control = adapters.control(adapters.table(spark, d, "events")).select("pos", "type").join(log.select("pos", "k", "slug"), "pos")
+    sort = lambda n, named: F.get(F.array(*[F.lit(named.get(i)) for i in range(n)]), (F.col("k") % n).cast("int"))
+    rows = log.select("pos", "type", "k", "slug", (F.col("k") % 2 == 0).alias("typed"), F.lit(0).alias("c")).unionByName(
+        control.select("pos", "type", "k", F.concat("slug", F.lit("-c")).alias("slug"), F.lit(False).alias("typed"), F.lit(1).alias("c"))
+    )
+    return rows.select(
+        F.floor(F.col("pos") / 50).alias("batch"), (F.col("pos") * 2 + F.col("c")).alias("i"), "type", sort(10, {1: "admin", 2: "other"}).alias("socket"), sort(25, {3: "recovery", 4: "normal"}).alias("mode"), "slug", "typed"
+    )
+
+
+def _batch_codes(spark, d):
+    ok = state.writes(_log(spark, d)).where("k < 20").select("slug").distinct()
+    return admission.batch(_offered(spark, d), matrix(spark), ok)
+
+
+@query(_OFFERED + " SELECT batch, i, code FROM codes")
+def batch_admission(spark, d):
+    return _batch_codes(spark, d)
+
+
+@query(_OFFERED + " SELECT batch, min(i) FILTER (code IS NOT NULL) AS i, min_by(code, i) FILTER (code IS NOT NULL) AS code FROM codes GROUP BY batch")
+def batch_whole(spark, d):
+    """Which entry keeps each batch from being written."""
+    return admission.whole(_batch_codes(spark, d))
+
+
+@query("""m AS (SELECT pos, ['Prov 429: slow down', 'Prov 429: You exceeded your current quota', 'Prov 401: no', 'request timed out', 'read ECONNRESET', 'Prov 404: model', 'Prov 503: busy', 'Prov 402: pay', 'odd', 'Incorrect API key'][k % 10 + 1] AS t, k % 10 AS c FROM log WHERE event_type = 'error')
+SELECT pos, ['rate_limited', 'quota_exceeded', 'auth_invalid', 'request_timeout', 'network_error', 'request_invalid', 'server_error', 'quota_exceeded', 'unknown', 'auth_invalid'][c + 1] AS code, [429, 429, 401, NULL, NULL, 404, 503, 402, NULL, NULL][c + 1] AS status, c IN (0, 3, 4, 6) AS retryable FROM m""")
+def error_codes(spark, d):
+    texts = ("Prov 429: slow down", "Prov 429: You exceeded your current quota", "Prov 401: no", "request timed out", "read ECONNRESET", "Prov 404: model", "Prov 503: busy", "Prov 402: pay", "odd", "Incorrect API key")
+    own = _log(spark, d).where("type in ('TOPIC_BULLETS_RETIRED', 'TOPIC_SUGGESTED', 'TOPIC_SUGGESTION_ACCEPTED', 'TOPIC_SUGGESTION_DISMISSED')")
+    message = F.get(F.array(*[F.lit(t) for t in texts]), (F.col("k") % 10).cast("int"))
+    return own.select("pos", answers.error_code(message).alias("e")).select("pos", "e.*")
+
+
+@query(_ACTIVE + """, b AS (SELECT slug, string_agg(n || '. ' || content, chr(10) ORDER BY n) AS held FROM act JOIN log USING (slug, seq) GROUP BY slug),
+r AS (SELECT slug, string_agg('[' || strftime(ts, '%Y-%m-%d') || '] [' || tag || '] ' || content, chr(10) ORDER BY place DESC) AS new FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY pos DESC) AS place FROM log WHERE type = 'write_event' AND tag <> 'CURATED') WHERE place <= 50 GROUP BY slug)
+SELECT slug, md5('Topic: ' || slug || chr(10) || 'Current bullets:' || chr(10) || coalesce(held, '(none)') || chr(10) || 'Recent entries:' || chr(10) || new) AS text_md5 FROM r LEFT JOIN b USING (slug)""")
+def curation_prompts(spark, d):
+    log = _log(spark, d)
+    live = state.writes(log).where("tag = 'CURATED'").join(state.retired_seqs(log), ["slug", "seq"], "left_anti")
+    bullets = live.select("slug", F.row_number().over(Window.partitionBy("slug").orderBy("seq")).alias("n"), "content")
+    recent = state.latest_writes(log).join(log.select("seq", F.date_format("ts", "yyyy-MM-dd").alias("day")), "seq")
+    return answers.curation_prompts(bullets, recent).select("slug", F.md5("text").alias("text_md5"))
+
+
+@query("""o AS (SELECT key, CASE WHEN label % 2 = 0 THEN 'note' ELSE 'curated' END AS tier, sha256(content) AS vector_key FROM units JOIN embeddings ON vec_id = doc_id)
+SELECT live.key, coalesce(o.tier, live.tier) AS tier, vector_key FROM live LEFT JOIN o USING (key)""")
+def unit_occurrences(spark, d):
+    u = _units(spark, d)
+    v = adapters.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    held = u.join(v, "doc_id").select("key", F.when(F.col("label") % 2 == 0, "note").otherwise("curated").alias("tier"), F.sha2("content", 256).alias("vector_key"))
+    return retrieval.occurring(retrieval.live(u), held).select("key", "tier", "vector_key")
+
+
+@query("""n AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS s, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings) SELECT vec_id, round(s / n, 6) AS total FROM n""")
+def vectors_normalized(spark, d):
+    """The sum of each vector's components after it is given length 1, from three times the vector."""
+    v = F.transform("embedding", lambda x: x.cast("double") * 3)
+    total = F.aggregate(vectors.normalized(v), F.lit(0.0), lambda s, x: s + x)
+    return adapters.table(spark, d, "embeddings").select("vec_id", F.round(total, 6).alias("total"))
+
+
+@query("SELECT key, md5('passage: ' || content) AS text_md5 FROM live UNION ALL SELECT 'query ' || item_id, md5('query: ' || text) FROM benchmark")
+def embedding_inputs(spark, d):
+    u = retrieval.live(_units(spark, d)).select("key", F.md5(vectors.prefixed(F.col("content"), "passage", "e5-small")).alias("text_md5"))
+    q = adapters.table(spark, d, "benchmark").select(F.concat(F.lit("query "), F.col("item_id").cast("string")).alias("key"), F.md5(vectors.prefixed(F.col("text"), "query", "e5-small")).alias("text_md5"))
+    return u.unionByName(q)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

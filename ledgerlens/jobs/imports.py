@@ -6,7 +6,7 @@ read as a topic gives one row of ``errors`` instead.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import markdown
@@ -99,3 +99,14 @@ def counts(files: DataFrame) -> DataFrame:
     """(path, events, unrecognized) of dated logs."""
     lines = markdown.event_lines(markdown.lines(files.select("path", "text")))
     return lines.groupBy("path").agg(F.count_if(F.col("kind") == "event").alias("events"), F.count_if(F.col("kind") == "unrecognized").alias("unrecognized"))
+
+
+def directory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(topic files, dated logs) under a folder, each (path, text): its ``topics`` and ``events`` folders, or topic files in the folder itself."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    is_dir = lambda p: fs.exists(hadoop(p)) and fs.getFileStatus(hadoop(p)).isDirectory()
+    whole = lambda p: spark.read.text(p, wholetext=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    none = spark.createDataFrame([], "path string, text string")
+    parted = is_dir(f"{path}/topics")
+    return whole(f"{path}/topics" if parted else path), whole(f"{path}/events") if parted and is_dir(f"{path}/events") else none

@@ -140,3 +140,33 @@ def retired_reason(topic, seqs, reason, max_known=None) -> Column:
         _seqs_reason(seqs, "superseded_seqs", MAX_RETIRED, max_known),
         F.when(reason.isNotNull(), _line_reason(reason, "reason", 120)),
     )
+
+
+def batch(entries: DataFrame, matrix: DataFrame, admissible: DataFrame, tail_safe: bool = True) -> DataFrame:
+    """(batch, i, code): what a writer says to entries (batch, i, type, socket, mode, slug, typed) offered in order; null admits.
+
+    A write goes to a reserved topic, an admissible one (slug), or one that an earlier entry of its batch gives metadata
+    (``typed``). A batch is written whole or not at all: see ``whole``.
+    """
+    known = matrix.select("type").distinct().withColumn("known", F.lit(True))
+    normal = matrix.where("mode = 'normal' and admissible").select("type", F.col("socket").alias("at"), F.lit(True).alias("may"))
+    held = admissible.select("slug", F.lit(True).alias("held")).distinct()
+    socket = F.coalesce("socket", F.lit("standard"))
+    # the matrix is fixed: under a thousand rows
+    rows = entries.withColumn("at", socket).join(F.broadcast(known), "type", "left").join(F.broadcast(normal), ["type", "at"], "left").join(held, "slug", "left")
+    before = Window.partitionBy("batch", "slug").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    staged = F.coalesce(F.max((F.col("type") == "TOPIC_METADATA_SET") & F.col("typed")).over(before), F.lit(False))
+    code = (
+        F.when(~F.lit(tail_safe), "LOG_TAIL_NOT_INTERPRETABLE")
+        .when(F.col("mode").isNotNull() & (F.col("mode") != "normal"), "INVALID_WRITER_MODE")
+        .when(F.col("known").isNull(), "UNKNOWN_EVENT_TYPE_NOT_REGISTERED")
+        .when(F.col("may").isNull(), "EVENT_NOT_ADMISSIBLE")
+        .when((F.col("type") == "write_event") & F.col("held").isNull() & ~F.col("slug").isin(*RESERVED) & ~F.col("staged"), "SLUG_NOT_ADMITTED")
+    )
+    return rows.withColumn("staged", staged).select("batch", "i", code.alias("code"))
+
+
+def whole(codes: DataFrame) -> DataFrame:
+    """(batch, i, code): the first entry that keeps its batch from being written, or nulls."""
+    first = F.min_by(F.struct("i", "code"), F.when(F.col("code").isNotNull(), F.col("i")))
+    return codes.groupBy("batch").agg(first.alias("f")).select("batch", "f.i", "f.code")

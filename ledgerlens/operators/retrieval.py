@@ -204,6 +204,26 @@ def retrieve(
     )
 
 
+def occurring(chunks: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """``chunks`` with the tier and vector_key that a cache's occurrences (key, tier, vector_key) have for them, else their own coarse tier and no vector."""
+    held = occurrences.select("key", F.col("tier").alias("precise"), "vector_key")
+    return chunks.join(held, "key", "left").withColumn("tier", F.coalesce("precise", "tier")).drop("precise")
+
+
+def search(mode: str, units: DataFrame, acl: DataFrame, principal: str, queries: DataFrame | None = None, **how) -> DataFrame:
+    """One entry for the three ways to look: ``context_retrieval``, ``exact_lookup``, ``orientation_view``."""
+    if not principal:
+        raise ValueError("who asks must be known")
+    if mode == "context_retrieval":
+        return retrieve(units, acl, principal, queries, **how)
+    if mode == "exact_lookup":
+        return exact_lookup(units, acl, principal, queries, **how)
+    if mode == "orientation_view":
+        own = readable(live(units), acl, principal)
+        return orientation(own.groupBy("slug").agg(F.max("seq").alias("last_updated_seq"), F.count("*").alias("n_writes")), **how)
+    raise ValueError(f"no such mode: {mode}")
+
+
 def orientation(topics: DataFrame, n: int = 20) -> DataFrame:
     """The topics updated last, at most 50."""
     return topics.orderBy(F.desc("last_updated_seq"), "slug").limit(min(max(n, 1), 50))
