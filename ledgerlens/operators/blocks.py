@@ -56,12 +56,15 @@ def nearest(vectors: DataFrame, asked: DataFrame, floor: float, limit: int) -> D
     left, right = dealt(vectors.select("key", "embedding"), asked.select("qid", "vector"), "key", "qid")
 
     def tile(rows: pa.Table, some: pa.Table) -> pa.Table:
-        keys, found = np.array(rows["key"].to_pylist(), dtype=object), []
+        keys, found = rows["key"].to_pylist(), []
         sims = _similarities(rows, some)
         for j, qid in enumerate(some["qid"].to_pylist()):
             at = np.flatnonzero(sims[:, j] >= floor)
-            best = sorted(at.tolist(), key=lambda i: (-round(sims[i, j], 9), keys[i]))[:limit]
-            found += [(qid, keys[i], float(sims[i, j])) for i in best]
+            if len(at) > limit:  # the tile's best: all that may tie with the last of them, then by key
+                last = np.partition(sims[at, j], len(at) - limit)[len(at) - limit]
+                at = at[sims[at, j] >= last - 2e-9]
+                at = np.array(sorted(at.tolist(), key=lambda i: (-round(sims[i, j], 9), keys[i]))[:limit])
+            found += [(qid, keys[i], float(sims[i, j])) for i in at.tolist()]
         columns = list(zip(*found, strict=True)) or [[], [], []]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], ["qid", "key", "score"])
 
