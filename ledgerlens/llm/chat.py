@@ -7,11 +7,12 @@ that of a proper prefix of another goes by anti-join; of equal ones the smallest
 id stays, with the number of copies. The rest are rendered with a role template.
 
 Prefixes are built from chunks of turns, so a conversation of any length is
-spread over tasks, and rendered in parts of ``PART_TURNS`` turns; ordinary ones
-have one part. Null texts count as empty, a null role as ``unknown``, null turns
-come first, and rows without conv_id form one conversation. Repeated turns stay,
-ordered by role and text. An empty table gives an empty result; other columns are
-not read.
+spread over tasks, and every conversation is rendered in parts of ``PART_TURNS``
+turns, of which an ordinary one has one. Null texts count as empty, a null role
+as ``unknown``, null turns come first. A row without conv_id is a conversation of
+that one turn: equal ones are counted before anything is shuffled by a key.
+Repeated turns stay, ordered by role and text. An empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,15 +26,23 @@ CHUNK_TURNS = 256
 PART_TURNS = 512
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """(key, conv_id, rank, n_turns, role, text, pa, pb): each turn with the hash of the prefix it ends."""
-    t = turns.select(
-        F.col("conv_id"),
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("key"),
+def _clean(turns: DataFrame) -> DataFrame:
+    return turns.select(
+        "conv_id",
         F.coalesce(F.col("turn"), F.lit(-1)).cast("long").alias("turn"),
         F.coalesce("role", F.lit("unknown")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("chunk", F.floor(F.col("turn") / CHUNK_TURNS))
+    )
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """``rows`` (rank, role, text) with the two halves of each turn's hash."""
+    return rows.withColumn("ha", F.xxhash64(F.lit(1), "rank", "role", "text")).withColumn("hb", F.xxhash64(F.lit(2), "text", "role", "rank"))
+
+
+def prefixes(turns: DataFrame) -> DataFrame:
+    """(key, conv_id, rank, n_turns, role, text, pa, pb): each turn with the hash of the prefix it ends."""
+    t = _clean(turns.where("conv_id is not null")).withColumn("key", F.col("conv_id").cast("string")).withColumn("chunk", F.floor(F.col("turn") / CHUNK_TURNS))
     so_far = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = t.groupBy("key", "chunk").agg(F.count("*").alias("n"))
     places = counts.select(
@@ -43,13 +52,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
         F.sum("n").over(Window.partitionBy("key")).alias("n_turns"),
     )
     in_chunk = Window.partitionBy("key", "chunk").orderBy("turn", "role", "text")
-    ranked = (
-        t.withColumn("rn", F.row_number().over(in_chunk) - 1)
-        .join(places, ["key", "chunk"])
-        .withColumn("rank", F.col("before") + F.col("rn"))
-        .withColumn("ha", F.xxhash64(F.lit(1), "rank", "role", "text"))
-        .withColumn("hb", F.xxhash64(F.lit(2), "text", "role", "rank"))
-    )
+    ranked = _named(t.withColumn("rn", F.row_number().over(in_chunk) - 1).join(places, ["key", "chunk"]).withColumn("rank", F.col("before") + F.col("rn")))
     ranked = materialize(ranked.select("key", "chunk", "conv_id", "rank", "n_turns", "role", "text", "ha", "hb"), "chat-turns")
     whole = ranked.groupBy("key", "chunk").agg(F.bit_xor("ha").alias("ca"), F.bit_xor("hb").alias("cb"))
     earlier = whole.select(
@@ -71,22 +74,42 @@ def prefixes(turns: DataFrame) -> DataFrame:
     )
 
 
-def maximal(p: DataFrame) -> DataFrame:
-    """(key, copies) of the conversations that no other extends, one for each set of equal ones."""
-    whole = p.where("rank + 1 = n_turns").groupBy("n_turns", "pa", "pb").agg(
-        F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "key")).alias("first"), F.count("*").alias("copies")
-    )
+def loners(turns: DataFrame) -> DataFrame:
+    """(role, text, copies, n_turns, pa, pb) of the different turns without conv_id, each a conversation of its own."""
+    alone = _clean(turns.where("conv_id is null")).groupBy("role", "text").agg(F.count("*").alias("copies"))
+    rows = _named(alone.withColumn("rank", F.lit(0).cast("long")))
+    return rows.select("role", "text", "copies", F.lit(1).cast("long").alias("n_turns"), F.col("ha").alias("pa"), F.col("hb").alias("pb"))
+
+
+def maximal(p: DataFrame, alone: DataFrame) -> DataFrame:
+    """(key, copies, role, text) of the conversations that no other extends, one for each set of equal ones.
+
+    ``key`` is null where only turns without conv_id make up the set; role and text are those of such a turn.
+    """
+    whole = p.where("rank + 1 = n_turns").select(
+        "n_turns", "pa", "pb", F.struct("conv_id", "key").alias("own"), F.lit(1).cast("long").alias("copies"), F.lit(None).cast("struct<role:string,text:string>").alias("turn")
+    )
+    lone = alone.select("n_turns", "pa", "pb", F.lit(None).cast(whole.schema["own"].dataType).alias("own"), "copies", F.struct("role", "text").alias("turn"))
+    sets = whole.unionByName(lone).groupBy("n_turns", "pa", "pb").agg(F.min("own").alias("first"), F.sum("copies").alias("copies"), F.max("turn").alias("turn"))
     proper = p.where("rank + 1 < n_turns").select((F.col("rank") + 1).alias("n_turns"), "pa", "pb").distinct()
-    return whole.join(proper, ["n_turns", "pa", "pb"], "left_anti").select(F.col("first.key").alias("key"), "copies")
+    kept = sets.join(proper, ["n_turns", "pa", "pb"], "left_anti")
+    return kept.select(F.col("first.key").alias("key"), "copies", "turn.role", "turn.text")
+
+
+def _segment():
+    return F.concat(F.lit("<|"), F.lower("role"), F.lit("|>\n"), F.trim("text"), F.lit("\n<|end|>"))
 
 
 def render(turns: DataFrame) -> DataFrame:
     """(conv_id, part, n_turns, copies, rendered) of the maximal conversations."""
     p = materialize(prefixes(turns), "chat-prefixes")
-    segment = F.concat(F.lit("<|"), F.lower("role"), F.lit("|>\n"), F.trim("text"), F.lit("\n<|end|>"))
-    return (
-        p.join(maximal(p), "key")
+    kept = materialize(maximal(p, loners(turns)), "chat-maximal")
+    own = (
+        p.join(kept.where("key is not null").select("key", "copies"), "key")
         .groupBy("conv_id", F.floor(F.col("rank") / PART_TURNS).alias("part"), "n_turns", "copies")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", segment.alias("s")))).alias("turns"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", _segment().alias("s")))).alias("turns"))
         .select("conv_id", "part", "n_turns", "copies", F.array_join(F.col("turns.s"), "\n").alias("rendered"))
     )
+    one = lambda n: F.lit(n).cast("long")
+    lone = kept.where("key is null").select(F.lit(None).cast(own.schema["conv_id"].dataType).alias("conv_id"), one(0).alias("part"), one(1).alias("n_turns"), "copies", _segment().alias("rendered"))
+    return own.unionByName(lone)

@@ -141,18 +141,22 @@ ORACLES: dict[str, str] = {
     """,
     "op10_chat_format": r"""
         WITH t AS (
-          SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+          SELECT coalesce(conv_id::VARCHAR, 'row ' || row_number() OVER ()) AS key, conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+        ), r AS (
+          SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn, role, text) - 1 AS rank FROM t
         ), c AS (
-          SELECT conv_id, count(*) AS n_turns, list([role, text] ORDER BY turn, role, text) AS l,
-                 string_agg('<|' || lower(role) || '|>' || chr(10) || trim(text, ' ') || chr(10) || '<|end|>', chr(10) ORDER BY turn, role, text) AS rendered
-          FROM t GROUP BY conv_id
+          SELECT key, conv_id, count(*) AS n_turns, list([role, text] ORDER BY rank) AS l FROM r GROUP BY key, conv_id
         ), whole AS (
-          SELECT min(conv_id) AS conv_id, count(*) AS copies, n_turns, l FROM c GROUP BY n_turns, l
+          SELECT min_by(key, (conv_id IS NULL, conv_id, key)) AS key, count(*) AS copies, n_turns, l FROM c GROUP BY n_turns, l
         ), proper AS (
           SELECT DISTINCT k, l[1:k] AS l FROM (SELECT l, unnest(range(1, n_turns)) AS k FROM c)
+        ), parts AS (
+          SELECT key, conv_id, rank // 512 AS part,
+                 string_agg('<|' || lower(role) || '|>' || chr(10) || trim(text, ' ') || chr(10) || '<|end|>', chr(10) ORDER BY rank) AS rendered
+          FROM r GROUP BY key, conv_id, rank // 512
         )
-        SELECT whole.conv_id, 0::BIGINT AS part, whole.n_turns, copies, rendered
-        FROM whole JOIN c ON c.conv_id = whole.conv_id
+        SELECT parts.conv_id, part::BIGINT AS part, whole.n_turns, copies, rendered
+        FROM whole JOIN parts ON parts.key = whole.key
         WHERE NOT EXISTS (SELECT 1 FROM proper WHERE k = whole.n_turns AND proper.l = whole.l)
     """,
 }

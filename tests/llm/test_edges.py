@@ -130,6 +130,15 @@ def test_chat(spark):
     assert rows[1].copies == 2 and rows[1].rendered == "<|user|>\na\n<|end|>\n<|assistant|>\nb\n<|end|>"
     assert rows[5].n_turns == 2 and rows[4].rendered == "<|unknown|>\n\n<|end|>"
     assert chat.render(df.limit(0)).count() == 0
+    assert rows[None].rendered == "<|user|>\nz\n<|end|>" and rows[None].n_turns == 1
+
+
+def test_turns_without_a_conversation(spark):
+    turns = [(None, 3, "user", "a"), (None, 0, "user", "a"), (None, 1, "user", "b"), (None, 2, "user", "c"), (7, 0, "user", "b"), (8, 0, "user", "c"), (8, 1, "user", "d"), (9, 0, "user", "x" * 300_000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = sorted(((r.conv_id or 0), r.copies, r.n_turns, len(r.rendered)) for r in chat.render(df).collect())
+    assert got == [(0, 2, 1, 18), (7, 2, 1, 18), (8, 1, 2, 37), (9, 1, 1, 300_017)]  # c begins the conversation 8
+    assert chat.render(df.where("conv_id is null")).count() == 3 and chat.render(df.where("conv_id is not null")).count() == 3
 
 
 def test_long_conversations_are_rendered_in_parts(spark):
