@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +79,35 @@ def joined(rows: DataFrame, keyed: DataFrame, by: list[str], n: str, total: int)
     return rows.join(hot, by).select(columns).unionByName(rows.join(hot.select(by), by, "left_anti").join(cold, by).select(columns))
 
 
-def small_batches(spark: SparkSession, rows: int = 1024, size: str = "8m") -> None:
+#: Keys that are broadcast at most: 8 MB.
+BROADCAST_KEYS = 1_000_000
+
+
+def chosen(rows: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """The ``rows`` whose ``key`` is among ``keys``, a written column of longs, or with ``left_anti`` is not.
+
+    Keys that are counted and few are broadcast, so that texts stay where they are; more are joined by a shuffle.
+    """
+    keys = keys.select(key)
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key, how)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over a task's batches, after which the worker gives memory that it no longer needs back to the system.
+
+    Workers outlive tasks, and several share an executor's memory: what allocators keep would add up.
+    """
+
+    def work(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return work
+
+
+def small_batches(spark: SparkSession, rows: int = 1024, size: str = "4m") -> None:
     """Whole texts travel in Arrow batches of so many rows and bytes at most (or of one row)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

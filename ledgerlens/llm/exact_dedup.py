@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, joined, materialize, small_batches, text_or_empty
+from .common import discard, joined, lean, materialize, small_batches, text_or_empty
 
 BLOCK_BYTES = 4096
 #: Names that one bucket sorts: about this many.
 BUCKET_ROWS = 5_000
 #: Bytes of block contents that a task remembers at a time.
-REMEMBERED_BYTES = 32 << 20
+REMEMBERED_BYTES = 16 << 20
 #: A run of white space that differs from one space.
 _RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -81,7 +81,7 @@ def _blocks(docs: DataFrame, doc_col: str, text_col: str, block_bytes: int, key_
     key = (F.col(key_col) if key_col else F.lit(None)).cast("long").alias("key")
     return docs.select(
         F.col(doc_col).cast("long").alias("doc_id"), F.sha2(F.encode(text, "UTF-8"), 256).alias("sha256"), F.encode(text, "UTF-8"), key
-    ).mapInArrow(run, "row_id long, idx int, n_blocks int, first_equal long, content binary, doc_id long, sha256 string")
+    ).mapInArrow(lean(run), "row_id long, idx int, n_blocks int, first_equal long, content binary, doc_id long, sha256 string")
 
 
 def _named(rows: DataFrame, by: list[str], count: int) -> DataFrame:
@@ -100,7 +100,9 @@ def identities(docs: DataFrame, doc_col="doc_id", text_col="text", block_bytes:
     names = materialize(_named(fat, ["content"], fat.count()).select("first_equal", "name").join(uses, "first_equal"), "dedup-block-names")
     pieces = blocks.select("row_id", "idx", "n_blocks", "first_equal")
     level = materialize(joined(pieces, names, ["first_equal"], "uses", blocks.count()).drop("first_equal", "uses"), "dedup-names")
+    heads = materialize(blocks.where("idx = 0").select("row_id", "doc_id", "sha256"), "dedup-heads")
     discard(names)
+    discard(blocks)  # contents are needed no more
     done, longest, rounds = [], level.agg(F.max("n_blocks")).first()[0] or 0, 0
     while True:
         done.append(level.where("n_blocks = 1").select("row_id", F.lit(rounds).alias("rounds"), "name"))
@@ -125,7 +127,7 @@ def identities(docs: DataFrame, doc_col="doc_id", text_col="text", block_bytes:
     found = done[0]
     for x in done[1:]:
         found = found.unionByName(x)
-    return blocks.where("idx = 0").select("row_id", "doc_id", "sha256").join(found, "row_id")
+    return heads.join(found, "row_id")
 
 
 def _with_first(ids: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import encoder
-from .common import materialize, small_batches, text_or_empty
+from .common import lean, materialize, small_batches, text_or_empty
 
 #: Pieces that one task ranks: a bucket of one length holds about this many at most.
 BUCKET_ROWS = 20_000
@@ -42,7 +42,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None, doc_co
             )
 
     return docs.select(F.col(doc_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids binary"
+        lean(run), "doc_id long, n_tokens long, ids binary"
     )
 
 

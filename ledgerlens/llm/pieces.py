@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import lean, small_batches, text_or_empty
 from .word_ids import WordIds, placed, raw, runs, slices
 
 SPACE_MARK = "▁"
@@ -370,6 +370,6 @@ def encode(docs: DataFrame, model_path: str, doc_col="doc_id", text_col="text",
             )
 
     return docs.select(F.col(doc_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(
-        run,
+        lean(run),
         "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded string, decoded_sha256 string, agrees boolean",
     )

@@ -154,14 +154,15 @@ def rated(
 ) -> DataFrame:
     """``docs``, or those ``columns`` of it, with evidence, host_mean, path_mean, posterior and kept.
 
-    Texts are read for their evidence once: it is written with the columns that pass through.
+    With ``columns`` evidence is written with them and texts are read for it once. Without, texts pass
+    through: they are read again, not copied, and sites join by their keys as the engine sees fit.
     """
     model = fit(docs, labels, doc_col=doc_col, text_col=text_col)
     rest = [c for c in (docs.columns if columns is None else columns) if c not in RESULTS]
-    own = materialize(
-        docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), *site_keys(host, path), model.column(text_or_empty(text_col)).alias("evidence")),
-        "quality-evidence",
-    )
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), *site_keys(host, path), model.column(text_or_empty(text_col)).alias("evidence"))
+    if columns is not None:
+        own = materialize(own, "quality-evidence")
     means, mean, total = sites(own.select("host", "path", "evidence"))
-    out = joined(own, means, ["host", "path"], "site_rows", total).withColumn("posterior", posterior(mean))
+    both = own.join(means, ["host", "path"]) if columns is None else joined(own, means, ["host", "path"], "site_rows", total)
+    out = both.withColumn("posterior", posterior(mean))
     return out.withColumn("kept", F.col("posterior") >= threshold).select("row.*", *RESULTS)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import lean, small_batches, text_or_empty
 
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh")
 BASE = KINDS[:3]
@@ -257,7 +257,7 @@ def scan(docs: DataFrame, doc_col="doc_id", text_col="text") -> DataFrame:
             )
 
     return docs.select(F.col(doc_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(
-        run,
+        lean(run),
         "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string",
     )
 
@@ -273,4 +273,4 @@ def redact(docs: DataFrame, text_col="text") -> DataFrame:
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, text_or_empty
+from .common import chosen, discard, lean, materialize, small_batches, text_or_empty
 from .components import components
 
 BITS = 64
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, doc_col="doc_id", text_col="text", width: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.encode(text_or_empty(text_col), "UTF-8")).mapInArrow(
-        run, "doc_id long, fp long"
+        lean(run), "doc_id long, fp long"
     )
 
 
@@ -99,7 +99,7 @@ def bit_counts(fps: DataFrame) -> np.ndarray:
         )
 
     out = np.zeros(BITS * BITS)
-    for r in fps.select("fp").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in fps.select("fp").mapInArrow(lean(run), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         out[r.cell] = r.n
     return out.reshape(BITS, BITS)
 
@@ -272,7 +272,7 @@ def shingle_sets(docs: DataFrame, width: int, doc_col="doc_id", text_col="text")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
     return docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.encode(text_or_empty(text_col), "UTF-8")).mapInArrow(
-        run, "doc_id long, shingles binary"
+        lean(run), "doc_id long, shingles binary"
     )
 
 
@@ -289,7 +289,7 @@ def similar(pairs: DataFrame, similarity: float) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(mask)
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(lean(run), "a long, b long")
 
 
 #: Columns of 64 one-bit minhashes each.
@@ -311,27 +311,60 @@ def minhash_bits(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return np.packbits((mixed >> np.uint64(33)).astype(np.uint8) & 1, bitorder="little").view("<i8")
 
 
+#: Bits of a set's parities.
+PARITIES = 2048
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """For each bit whether an odd number of the set's hashes falls on it: two sets differ in as many hashes, at least, as in bits."""
+    counts = np.bincount((hashes & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES)
+    return np.packbits(counts.astype(np.uint8) & 1).tobytes()
+
+
+def possible(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(a_id, b_id) of those rows (a_id, b_id, na, nb, pa, pb) whose sizes and parities allow a Jaccard similarity of ``similarity`` or more.
+
+    Sets of n and m hashes with similarity s differ in (1 - s) / (1 + s) of n + m at most, so this drops no similar pair.
+    """
+    share = (1 - similarity) / (1 + similarity)
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, PARITIES // 8) for i in (4, 5))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            n = np.asarray(batch.column(2)).astype(np.int64) + np.asarray(batch.column(3))
+            keep = pa.array(differ <= share * n + 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a_id", "b_id"]).filter(keep)
+
+    return pairs.mapInArrow(lean(run), "a_id long, b_id long")
+
+
 def sketched(docs: DataFrame, width: int, doc_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, fp, content, m0, m1): a SimHash, a 128-bit hash and one-bit minhashes of the set of ``width``-word shingles."""
+    """(doc_id, fp, content, size, parities, m0, m1): a SimHash, a 128-bit hash, the size, parities and one-bit minhashes of the set of ``width``-word shingles."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         factors = _multipliers()
         for batch in batches:
-            fps, contents, bits = [], [], []
+            fps, contents, sizes, odd, bits = [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 hashes = shingle_set(t, width)
                 fps.append(simhash(hashes))
                 contents.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                sizes.append(len(hashes))
+                odd.append(parities(hashes))
                 bits.append(minhash_bits(hashes, factors))
             m = np.array(bits, dtype=np.int64).reshape(len(fps), len(SKETCH))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps, pa.int64()), pa.array(contents, pa.binary()), *(pa.array(m[:, i]) for i in range(len(SKETCH)))],
-                ["doc_id", "fp", "content", *SKETCH],
+                [
+                    batch.column(0), pa.array(fps, pa.int64()), pa.array(contents, pa.binary()), pa.array(sizes, pa.int32()), pa.array(odd, pa.binary()),
+                    *(pa.array(m[:, i]) for i in range(len(SKETCH))),
+                ],
+                ["doc_id", "fp", "content", "size", "parities", *SKETCH],
             )
 
     return docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.encode(text_or_empty(text_col), "UTF-8")).mapInArrow(
-        run, "doc_id long, fp long, content binary, " + ", ".join(f"{c} long" for c in SKETCH)
+        lean(run), "doc_id long, fp long, content binary, size int, parities binary, " + ", ".join(f"{c} long" for c in SKETCH)
     )
 
 
@@ -344,7 +377,7 @@ def sketch_bound(similarity: float, sigmas: float = 2.3) -> int:
 def star_links(live: DataFrame, distance: int, most: int, parts: int = 4) -> DataFrame:
     """(a_id, b_id): rows (fp, doc_id, sketch) linked to the smallest doc_id among those that share a part of the fingerprint.
 
-    As many links as rows and parts at most: it joins a dense group without listing its pairs.
+    One link for each row at most, to the smallest of those documents: it joins a dense group without listing its pairs.
     """
     width = BITS // parts
     own = [
@@ -358,7 +391,8 @@ def star_links(live: DataFrame, distance: int, most: int, parts: int = 4) -> Dat
     differ = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"c.{c}")))
     met = (F.col("i") == F.col("c_i")) & (F.col("v") == F.col("c_v")) & (F.col("doc_id") != F.col("c.doc_id"))
     met = met & (differ("fp") <= distance) & (sum((differ(c) for c in SKETCH), F.lit(0)) <= most)
-    return values.join(center, met).select(F.col("c.doc_id").alias("a_id"), F.col("doc_id").alias("b_id")).distinct()
+    met = values.join(center, met).select(F.col("c.doc_id").alias("a_id"), F.col("doc_id").alias("b_id"))
+    return met.groupBy("b_id").agg(F.min("a_id").alias("a_id")).select("a_id", "b_id")
 
 
 #: Documents whose shingles are counted to tell common ones, and common shingles kept at most.
@@ -375,7 +409,7 @@ def common_shingles(docs: DataFrame, width: int, doc_col="doc_id", text_col="tex
             for s in batch.column(1).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s, "<i8"))], ["x"])
 
-    counts = shingle_sets(sample, width, doc_col, text_col).mapInArrow(run, "x long").groupBy("x").agg(F.count("*").alias("n"))
+    counts = shingle_sets(sample, width, doc_col, text_col).mapInArrow(lean(run), "x long").groupBy("x").agg(F.count("*").alias("n"))
     found = counts.where("n > 2").orderBy(F.desc("n"), "x").limit(COMMON).toArrow()
     x, n = (found.column(c).to_numpy().astype("<i8") for c in ("x", "n"))
     order = np.argsort(x.view("<u8"))
@@ -415,11 +449,11 @@ def prefixes(docs: DataFrame, width: int, similarity: float, common: np.ndarray,
                 [pa.array(doc), pa.array(np.concatenate(xs).view("<i8")), pa.array(at.astype(np.int32)), pa.array(size)], ["doc_id", "x", "at", "size"]
             )
 
-    return docs.select("doc_id", F.encode(text_or_empty("text"), "UTF-8")).mapInArrow(run, "doc_id long, x long, at int, size int")
+    return docs.select("doc_id", F.encode(text_or_empty("text"), "UTF-8")).mapInArrow(lean(run), "doc_id long, x long, at int, size int")
 
 
 def prefix_links(texts: DataFrame, labels: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a_id, b_id): all pairs of ``texts`` (doc_id, text) that can have ``similarity``, but those of equal ``labels`` (doc_id, label).
+    """(a_id, b_id), written: all pairs of ``texts`` (doc_id, text) that can have ``similarity``, but those of equal ``labels`` (doc_id, label) or of none.
 
     Exact: of two such sets the smaller has one of its first shingles, up to 2s / (1 + s) of it from
     the end, among the larger one's first. What two sets with a shingle at these places share at most
@@ -437,7 +471,10 @@ def prefix_links(texts: DataFrame, labels: DataFrame, width: int, similarity: fl
     bound = F.least("a_at", "b_at") + F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
     met = first & early & (F.col("a_label") != F.col("b_label")) & (bound >= share * (F.col("a_size") + F.col("b_size")) - 1e-6)
     pairs = a.join(b, (a.x == b.x) & met)
-    return pairs.select(F.least("a_doc_id", "b_doc_id").alias("a_id"), F.greatest("a_doc_id", "b_doc_id").alias("b_id")).distinct()
+    ends = pairs.select(F.least("a_doc_id", "b_doc_id").alias("a_id"), F.greatest("a_doc_id", "b_doc_id").alias("b_id")).distinct()
+    ends = materialize(ends, "simhash-ends")
+    discard(rows)
+    return ends
 
 
 def groups(
@@ -447,11 +484,15 @@ def groups(
 
     Rows are told apart by ``key_col``, a long that must not change when ``docs`` is read again, or
     by numbers of their own; the one with the smallest (doc_id, key) of a group is kept.
-    Documents of equal shingle sets are one node; equal fingerprints alone join nothing. Dense groups are first joined by ``stars`` rounds of links to the smallest document that
-    shares a part of a fingerprint, within ``distance`` bits and with a close sketch; a member
-    leaves the later rounds, but not the join that follows: there all documents meet on the rare
-    shingles of their sets, which misses no pair, and only pairs already in one group are
-    skipped. Every link is verified on whole shingle sets.
+    Documents of equal shingle sets are one node; equal fingerprints alone join nothing. Dense
+    groups are first joined by ``stars`` rounds of links to the smallest document that shares a
+    part of a fingerprint, within ``distance`` bits and with a close sketch; a member leaves the
+    later rounds, but not the join that follows: there all documents meet on the rare shingles of
+    their sets, which misses no pair, and only pairs already in one group are skipped. Parities
+    rule out pairs that can't be similar; every link is then verified on whole shingle sets.
+
+    Null and empty texts, and texts without words, are one empty set; null ids come first; an
+    empty table gives an empty result; other columns are not read.
     """
     most = sketch_bound(similarity)
     if key_col is None:
@@ -470,15 +511,21 @@ def groups(
         if step < stars:
             ends = materialize(star_links(live, distance, most), "simhash-ends")
         else:
-            texts, labels = whole.join(lead.select(F.col("lead").alias("doc_id")), "doc_id"), node.withColumnRenamed("node", "doc_id")
-            ends = materialize(prefix_links(texts, labels, width, similarity), "simhash-ends")
-        wanted = ends.select(F.col("a_id").alias("doc_id")).union(ends.select("b_id")).distinct()
-        texts = whole.join(wanted, "doc_id")
+            ends = prefix_links(whole, node.withColumnRenamed("node", "doc_id"), width, similarity)
+        marks = lambda end: fps.select(F.col("doc_id").alias(f"{end}_id"), F.col("size").alias(f"n{end}"), F.col("parities").alias(f"p{end}"))
+        met = ends.join(marks("a"), "a_id").join(marks("b"), "b_id").select("a_id", "b_id", "na", "nb", "pa", "pb")
+        met = materialize(possible(met, similarity), "simhash-possible")
+        discard(ends)
+        ends = met
+        wanted = materialize(ends.select(F.col("a_id").alias("doc_id")).union(ends.select("b_id")).distinct(), "simhash-wanted")
+        texts = chosen(whole, wanted, "doc_id")
         sets = materialize(shingle_sets(texts, width), "simhash-sets")
         of = lambda end, sets=sets: sets.select(F.col("doc_id").alias(f"{end}_id"), F.col("shingles").alias(f"s{end}"))
         true = similar(ends.join(of("a"), "a_id").join(of("b"), "b_id").select("a_id", "b_id", "sa", "sb"), similarity)
         label_of = lambda end, node=node: node.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
         labels = components(true.join(label_of("a"), "a").join(label_of("b"), "b"), "a_label", "b_label")
+        discard(sets)
+        discard(ends)
         joined = labels.select(F.col("node").alias("label"), F.col("label").alias("joined"))
         node = materialize(
             node.join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("label")), "simhash-groups"

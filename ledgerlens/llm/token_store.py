@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import encoder
-from .common import small_batches, text_or_empty
+from .common import lean, small_batches, text_or_empty
 
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
@@ -68,7 +68,7 @@ def write(
         .repartitionByRange("doc_id", "h", "place")
         .sortWithinPartitions("doc_id", "h", "place")
         .select("doc_id", "text")
-        .mapInArrow(run, SCHEMA)
+        .mapInArrow(lean(run), SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.stripe.size", str(stripe_bytes))
@@ -104,5 +104,5 @@ def with_crc32(store: DataFrame) -> DataFrame:
             )
 
     return store.select("doc_id", "start", "n_tokens", "ids").mapInArrow(
-        run, "doc_id long, start long, n_tokens long, ids_crc32 long"
+        lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long"
     )

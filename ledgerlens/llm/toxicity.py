@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks_of, materialize, small_batches, text_or_empty
+from .common import chunks_of, lean, materialize, small_batches, text_or_empty
 
 BITS = 21
 SIZES = (3, 4, 5, 6)
@@ -182,7 +182,7 @@ def ratios(texts: DataFrame, n1: int, n0: int, label: str = "toxic") -> DataFram
 
     r = F.log(((F.col("c1") + 1) / (n1 + 2)) / ((F.col("c0") + 1) / (n0 + 2)))
     sure = F.abs("ratio") / F.sqrt(1 / (F.col("c1") + 1) + 1 / (F.col("c0") + 1))
-    sums = texts.select(label, "text").mapInArrow(count, "bucket int, c1 int, c0 int").groupBy("bucket").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+    sums = texts.select(label, "text").mapInArrow(lean(count), "bucket int, c1 int, c0 int").groupBy("bucket").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
     return sums.withColumn("ratio", r).withColumn("sure", sure).select("bucket", "ratio", "sure")
 
 
@@ -232,7 +232,7 @@ def train(
             rows = [np.flatnonzero(x).astype("<i4").tobytes() for _, has in held(batch.column(1).to_pylist(), number, len(buckets)) for x in has]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], [label, "cols"])
 
-    found = texts.mapInArrow(extract, f"{label} int, cols binary").toLocalIterator()
+    found = texts.mapInArrow(lean(extract), f"{label} int, cols binary").toLocalIterator()
     rows = [(x[label], np.frombuffer(bytes(x["cols"]), dtype="<i4")) for x in found]
     shift = np.log((total[1] / total[0]) / (n1 / n0))
     weights, intercept = fitted(rows, found_ratios, float(shift), penalty, steps)
@@ -249,5 +249,5 @@ def score(docs: DataFrame, model: Model, doc_col="doc_id", text_col="text") -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
 
     return docs.select(F.col(doc_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, score double"
+        lean(run), "doc_id long, score double"
     )

@@ -54,7 +54,7 @@ class WordIds:
     beyond it, only the words of the latest batch stay, or none where they alone are more.
     """
 
-    def __init__(self, learn: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], remembered: int = 32 << 20):
+    def __init__(self, learn: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], remembered: int = 16 << 20):
         self.learn, self.remembered = learn, remembered
         self._keep(pa.array([], pa.binary()), np.zeros(0, dtype="<i4"), np.zeros(0, dtype=np.int64))
 

@@ -1,6 +1,9 @@
 """The near-duplicate stage against comparing all pairs."""
 
 import random
+import re
+
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import simhash
 
@@ -80,6 +83,74 @@ def test_equal_fingerprints_of_different_sets_join_nothing(spark, monkeypatch):
     assert got_groups(spark, rows) == want
 
 
+def test_parities_never_rule_out_a_similar_pair(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for i in range(400):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(0, 900), dtype=np.uint64))
+        b = np.unique(np.concatenate((a[: int(len(a) * rng.uniform(0.5, 1))], rng.integers(0, 1 << 63, rng.integers(0, 120), dtype=np.uint64))))
+        both = len(np.intersect1d(a, b))
+        rows.append((i, -i, len(a), len(b), simhash.parities(a), simhash.parities(b)))
+        want.append(both >= 0.8 * (len(a) + len(b) - both))
+    got = {r.a_id for r in simhash.possible(spark.createDataFrame(rows, "a_id long, b_id long, na int, nb int, pa binary, pb binary"), 0.8).collect()}
+    assert got >= {i for i, w in enumerate(want) if w} and 40 < len(got) < sum(want) + 60
+
+
+def test_recall_on_the_given_documents(spark):
+    """Every document that comparing all sets removes is removed, and no other."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets, held, shared = {i: sets_of(t) for i, t in rows}, {}, {}
+    for i, s in sets.items():
+        for x in s:
+            for j in held.setdefault(x, []):
+                shared[j, i] = shared.get((j, i), 0) + 1
+            held[x].append(i)
+    label = {i: i for i in sets}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for (i, j), n in shared.items():
+        if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+            a, b = find(i), find(j)
+            label[max(a, b)] = min(a, b)
+    empty = [i for i, s in sets.items() if s == sets_of("")]
+    want = {i: find(i) for i in sets if i not in empty} | {i: min(empty) for i in empty}
+    assert sum(i != g for i, g in want.items()) > 20
+    assert got_groups(spark, rows) == want
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, long texts, clashing columns and empty tables, written and reread as the stages are."""
+    import corpus_pipeline
+
+    long = " ".join(f"word{i % 977} and" for i in range(9000))
+    some = [(1, None), (2, ""), (3, " \t"), (4, "a b c d e f"), (4, "a b c d e f"), (5, long), (6, long + " end"), (None, "no id"), (None, "no id"), (7, "my token=abcdefgh12 here")]
+    clash = "row_key row_key_ kept evidence host_mean label name rounds path_mean posterior first ids fp content lead node".split()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in some], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.lit("own").alias(c) for c in clash])
+    labels = spark.createDataFrame([(4, 1, 0), (5, 1, 0), (7, 0, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for name, table in (("some", docs), ("none", docs.limit(0))):
+        read = table
+        for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{name}-{n}")
+            out = stage(spark, read, str(tmp_path))
+            if n < 4:
+                assert out.columns == docs.columns
+            out.write.parquet(path)
+            before, read = read, spark.read.parquet(path)
+            if n < 4 and name == "some":
+                assert {r[c] for r in read.collect() for c in clash} <= {"own"}
+            if n == 1 and name == "some":
+                assert read.count() == len({re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in before.collect()})
+        assert (read.count() == 0) == (name == "none")
+
+
 def test_pipeline_decides_by_row(spark):
     import corpus_pipeline
 
