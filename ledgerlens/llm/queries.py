@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, packing, pieces, quality_rules, quality_sites, secret_scan, simhash, token_store, toxicity
+from . import chat, exact_dedup, merkle, packing, pieces, quality_rules, quality_sites, secret_scan, simhash, token_store, toxicity
 from .common import scratch_path, table
 
 
@@ -74,6 +74,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 7 divides the id's checksum, one is added to n_chars after the manifest was made."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = merkle.manifest(table(spark, sf_dir, "documents"), tampered)
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
@@ -85,6 +92,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": r"""
@@ -159,4 +167,57 @@ ORACLES: dict[str, str] = {
         FROM whole JOIN parts ON parts.key = whole.key
         WHERE NOT EXISTS (SELECT 1 FROM proper WHERE k = whole.n_turns AND proper.l = whole.l)
     """,
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE bytes AS (  -- crc32 of the id's digits, bit by bit
+          SELECT doc_id, source, lang, n_chars, text,
+                 xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                   lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)),
+                     lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 7 = 0 AS hit
+          FROM documents
+        ), fields AS (
+          SELECT doc_id, lang, hit AND n_chars IS NOT NULL AS hit,
+                 coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                 coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS own,
+                 coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS more,
+                 coalesce(strlen(text) || ':' || text, '-') AS tail
+          FROM bytes
+        ), leaves AS (
+          SELECT doc_id, lang, sha256(head || own || tail) AS leaf,
+                 CASE WHEN hit THEN sha256(head || more || tail) ELSE sha256(head || own || tail) END AS found,
+                 row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS pos
+          FROM fields
+        ), t AS (
+          SELECT coalesce(':' || lang, '-') AS tree, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+          UNION ALL
+          SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2)
+          FROM t WHERE n > 1 GROUP BY tree, level, pos // 2
+        ), roots AS (
+          SELECT tree, h AS subroot, level AS height, row_number() OVER (ORDER BY tree) - 1 AS lang_pos FROM t WHERE n = 1
+        ), u AS (
+          SELECT 0 AS level, lang_pos AS pos, subroot AS h, count(*) OVER () AS n FROM roots
+          UNION ALL
+          SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2)
+          FROM u WHERE n > 1 GROUP BY level, pos // 2
+        ), own AS (
+          SELECT doc_id, leaf, found, pos, tree, subroot, height, lang_pos, root, top
+          FROM leaves JOIN roots ON tree = coalesce(':' || lang, '-'), (SELECT h AS root, level AS top FROM u WHERE n = 1)
+        ), steps AS (
+          SELECT doc_id, t.level AS step, ((own.pos >> t.level) & 1) = 1 AS at_left, t.h
+          FROM own JOIN t ON t.tree = own.tree AND t.level < own.height AND t.pos = xor(own.pos >> t.level, 1)
+          UNION ALL
+          SELECT doc_id, own.height + u.level, ((own.lang_pos >> u.level) & 1) = 1, u.h
+          FROM own JOIN u ON u.level < own.top AND u.pos = xor(own.lang_pos >> u.level, 1)
+        ), proofs AS (
+          SELECT doc_id, sha256(coalesce(string_agg(h, '' ORDER BY step) FILTER (h IS NOT NULL), '')) AS proof_sha256
+          FROM own LEFT JOIN steps USING (doc_id) GROUP BY doc_id
+        ), f AS (
+          SELECT doc_id, 0 AS step, found AS h, height + top AS last FROM own
+          UNION ALL
+          SELECT f.doc_id, f.step + 1, sha256(CASE WHEN s.at_left THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END), last
+          FROM f LEFT JOIN steps s ON s.doc_id = f.doc_id AND s.step = f.step WHERE f.step < last
+        )
+        SELECT doc_id, leaf, subroot, root, proof_sha256, f.h AS folded_root, f.h = root AS verified
+        FROM own JOIN proofs USING (doc_id) JOIN f USING (doc_id) WHERE f.step = f.last
+    """,
 }
