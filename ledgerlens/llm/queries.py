@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, merkle, packing, pieces, quality_rules, quality_sites, secret_scan, simhash, token_store, toxicity
+from . import alignment, chat, exact_dedup, merkle, packing, pieces, quality_rules, quality_sites, secret_scan, simhash, token_store, toxicity
 from .common import scratch_path, table
 
 
@@ -74,6 +74,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.aligned(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), with_groups=False
+    )
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where 7 divides the id's checksum, one is added to n_chars after the manifest was made."""
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
@@ -92,6 +99,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
+    "op11_token_alignment": op11_token_alignment,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
