@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, exact_dedup, merkle, packing, pieces, quality_rules, quality_sites, secret_scan, simhash, token_store, toxicity
+from . import alignment, chat, exact_dedup, merkle, packing, pieces, quality_rules, quality_sites, secret_scan, simhash, suffixes, token_store, toxicity
 from .common import scratch_path, table
 
 
@@ -88,6 +88,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
@@ -101,6 +105,7 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
     "op11_token_alignment": op11_token_alignment,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": r"""
