@@ -478,7 +478,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, doc_col="doc_id", text_co
     known = lexicon(dense)
     highest = known.groupBy("a").agg(F.max("n").alias("highest"))
     known = materialize(known.join(F.broadcast(highest), "a").select("key", "n", (F.col("n") == F.col("highest")).alias("best")), "pair-lexicon")
-    total = known.agg(F.sum("n")).first()[0]
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = joined(links, known, ["key"], "n", total).groupBy("row").agg(
         F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("times")).alias("count_sum")
     )
