@@ -92,9 +92,9 @@ def copies(node: str, path: str) -> list[str]:
     return out
 
 
-def height_of(size: int) -> int:
-    """Levels that a block of a tree of ``size`` nodes has: up to its root, or all of them if there are more blocks."""
-    return min(BITS, (size - 1).bit_length())
+def height_of(size: int, bits: int) -> int:
+    """Levels that a block of a tree of ``size`` nodes has: up to its root, or all ``bits`` of them if there are more blocks."""
+    return min(bits, (size - 1).bit_length())
 
 
 # ---- trees over blocks -----------------------------------------------------
@@ -122,21 +122,25 @@ def numbered(rows: DataFrame, tree: str, order: list[str], label: str) -> tuple[
     return found.select(*inner, (F.col("before") + F.col("at") - F.col("first")).alias("pos"), "size"), largest
 
 
-def _block(table: pa.Table) -> pa.Table:
-    """Each node of a block with its path to the block's root, and the version's node there."""
-    table = table.sort_by("pos")
-    nodes = table["node"].to_pylist()
-    tree = levels(nodes, height_of(table["size"][0].as_py()))
-    paths = [siblings(tree, i) for i in range(len(nodes))]
-    changed = [None if x is None else copies(x, p) for x, p in zip(table["changed"].to_pylist(), paths, strict=True)]
-    return pa.table(
-        {
-            "tree": table["tree"], "block": table["block"], "pos": table["pos"], "id": table["id"], "node": table["node"], "changed": table["changed"],
-            "path": pa.array(paths, pa.string()), "copied": pa.array(changed, pa.list_(pa.string())),
-            "top": pa.array([tree[-1][0]] * len(nodes), pa.string()), "blocks": pa.array([-(-table["size"][0].as_py() >> BITS)] * len(nodes), pa.int64()),
-            "foot": pa.array([i == 0 for i in range(len(nodes))], pa.bool_()),
-        }
-    )
+def _block(bits: int):
+    """Each node of a block with its path to the block's root, and what a version copies there."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        nodes = table["node"].to_pylist()
+        tree = levels(nodes, height_of(table["size"][0].as_py(), bits))
+        paths = [siblings(tree, i) for i in range(len(nodes))]
+        changed = [None if x is None else copies(x, p) for x, p in zip(table["changed"].to_pylist(), paths, strict=True)]
+        return pa.table(
+            {
+                "tree": table["tree"], "block": table["block"], "pos": table["pos"], "id": table["id"], "node": table["node"], "changed": table["changed"],
+                "path": pa.array(paths, pa.string()), "copied": pa.array(changed, pa.list_(pa.string())),
+                "top": pa.array([tree[-1][0]] * len(nodes), pa.string()), "blocks": pa.array([-(-table["size"][0].as_py() >> bits)] * len(nodes), pa.int64()),
+                "foot": pa.array([i == 0 for i in range(len(nodes))], pa.bool_()),
+            }
+        )
+
+    return run
 
 
 _BLOCK = (
@@ -144,29 +148,30 @@ _BLOCK = (
 )
 
 
-def grown(nodes: DataFrame, largest: int, label: str) -> DataFrame:
+def grown(nodes: DataFrame, largest: int, label: str, bits: int = BITS) -> DataFrame:
     """(tree, pos, id, node, changed, path, copied, top) of (tree, pos, size, id, node, changed): each node's path to its tree's root.
 
     ``top`` is that root, ``copied`` the ancestors that the version with ``changed`` in the node's
     place copies within its block.
     """
-    rows = nodes.withColumn("block", F.shiftright("pos", BITS)).groupBy("tree", "block").applyInArrow(_block, _BLOCK)
-    if largest <= 1 << BITS:
+    rows = nodes.withColumn("block", F.shiftright("pos", bits)).groupBy("tree", "block").applyInArrow(_block(bits), _BLOCK)
+    if largest <= 1 << bits:
         return rows.drop("block", "blocks", "foot")
     rows = materialize(rows, f"{label}-blocks")
     nothing = F.lit(None).cast("string")
     above = rows.where("foot").select("tree", F.col("block").alias("pos"), F.col("blocks").alias("size"), F.lit(None).cast("long").alias("id"), F.col("top").alias("node"), nothing.alias("changed"))
-    upper = grown(above, -(-largest >> BITS), label).select("tree", F.col("pos").alias("block"), F.col("path").alias("upper"), F.col("top").alias("upper_top"))
+    upper = grown(above, -(-largest >> bits), label, bits).select("tree", F.col("pos").alias("block"), F.col("path").alias("upper"), F.col("top").alias("upper_top"))
     found = rows.join(upper, ["tree", "block"])  # at most 1,024 rows of a key
     return found.select("tree", "pos", "id", "node", "changed", F.concat("path", "upper").alias("path"), "copied", F.col("upper_top").alias("top"))
 
 
-def manifest(docs: DataFrame, tampered: Column, tree_col: str = "lang", id_col: str = "doc_id", fields=FIELDS, touched: str = "n_chars") -> DataFrame:
+def manifest(docs: DataFrame, tampered: Column, tree_col: str = "lang", id_col: str = "doc_id", fields=FIELDS, touched: str = "n_chars", bits: int = BITS) -> DataFrame:
     """(id, leaf, subroot, root, path, proof_sha256, copied, folded_root, verified) for every row.
 
     Rows where ``tampered`` holds have 1 added to ``touched`` (null stays null): ``folded_root`` is the
     root of the version that this makes, ``copied`` the nodes that the version does not share, from the
-    leaf's parent to the root (null where nothing changed). ``path`` leads from leaf to root.
+    leaf's parent to the root (null where nothing changed). ``path`` leads from leaf to root. Blocks have
+    2 to the power ``bits`` nodes.
     """
     own = [F.col(f"`{c}`") for c in fields]
     more = [(F.col(f"`{c}`").cast("decimal(20,0)") + 1).cast("string") if c == touched else F.col(f"`{c}`") for c in fields]
@@ -179,12 +184,12 @@ def manifest(docs: DataFrame, tampered: Column, tree_col: str = "lang", id_col:
     )
     leaves = materialize(leaves, "merkle-leaves")
     nodes, largest = numbered(leaves, "tree", ["id", "node", "place"], "merkle")
-    rows = materialize(grown(nodes.drop("place"), largest, "merkle"), "merkle-rows")
+    rows = materialize(grown(nodes.drop("place"), largest, "merkle", bits), "merkle-rows")
     roots = rows.groupBy("tree").agg(F.count("*").alias("rows"), F.min("top").alias("node")).withColumn("all", F.lit("all"))
     roots, trees = numbered(materialize(roots, "merkle-roots"), "all", ["tree"], "merkle-roots")
     roots = materialize(roots.withColumnRenamed("tree", "name"), "merkle-numbered")
     nothing = F.lit(None)
-    last = grown(roots.select(F.col("all").alias("tree"), "pos", "size", nothing.cast("long").alias("id"), "node", nothing.cast("string").alias("changed")), trees, "merkle-roots")
+    last = grown(roots.select(F.col("all").alias("tree"), "pos", "size", nothing.cast("long").alias("id"), "node", nothing.cast("string").alias("changed")), trees, "merkle-roots", bits)
     upper = roots.join(last.select("pos", F.col("path").alias("upper"), F.col("top").alias("root")), "pos")
     upper = materialize(upper.select(F.col("name").alias("tree"), "rows", "upper", "root"), "merkle-upper")
     rows = joined(rows, upper, ["tree"], "rows", rows.count())

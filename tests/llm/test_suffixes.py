@@ -99,13 +99,29 @@ def test_hot_strings_and_joins_by_shuffle(docs):
     assert got(suffixes.deduplicated(df, hot=8, fan_in=2, broadcast_bytes=-1, unit_rows=16)) == plain(rows)
 
 
-def test_small_pieces(docs, monkeypatch):
+def test_many_parts(docs, monkeypatch):
     rows, df = docs
-    monkeypatch.setattr(suffixes, "PIECE", 128)
     monkeypatch.setattr(suffixes, "PART_BYTES", 4096)
+    monkeypatch.setattr(suffixes, "COUNTED", 16)
     assert got(suffixes.deduplicated(df)) == plain(rows)
 
 
+@pytest.mark.parametrize("piece", [1 << 17, 128, 1])
+def test_equal_strings_have_equal_anchors(monkeypatch, piece):
+    texts = [(t or "").encode() for _, t in planted()]
+    monkeypatch.setattr(suffixes, "PIECE", piece)
+    data, ends = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([len(t) for t in texts])
+    if piece == 1:
+        data, ends = data[: ends[3]], ends[:4]
+    whole, found, strings = data.tobytes(), {}, []
+    for h, anchor, first, last in zip(*(x.tolist() for x in suffixes.anchors(data, ends)), strict=True):
+        for p in range(first, last + 1):
+            assert found.setdefault(whole[p : p + 100], (h, anchor - p)) == (h, anchor - p)
+            strings.append(p)
+    starts = [0, *ends[:-1].tolist()]
+    assert strings == [p for a, b in zip(starts, ends.tolist(), strict=True) for p in range(a, b - 99)]
+
+
 def test_repeated_and_missing_ids(spark):
     own = " ".join(f"w{i}" for i in range(60))
     rows = [(None, own), (7, own), (7, own), (3, "short"), (None, None)]
