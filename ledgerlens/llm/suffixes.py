@@ -42,7 +42,7 @@ from .word_ids import raw
 SIZE, GRAM = 100, 24
 SPAN = SIZE - GRAM  # the farthest that an anchor is from its string's start
 #: Strings looked at together, and bytes of spans that one task sorts, about.
-PIECE, PART_BYTES = 1 << 17, 32 << 20
+PIECE, PART_BYTES = 1 << 17, 8 << 20
 #: Hashes that one task counts, about.
 COUNTED = 1 << 20
 #: Places of an anchor from which it is taken apart; units reduced together.
