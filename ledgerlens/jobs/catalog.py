@@ -1389,11 +1389,18 @@ def embedding_inputs(spark, d):
     return u.unionByName(q)
 
 
+def _registered() -> None:
+    """Modules that put queries of their own here."""
+    from . import kept  # noqa: F401
+
+
 def queries() -> dict:
+    _registered()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _registered()
     return dict(ORACLES)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_MESSAGE = 2000
@@ -10,16 +10,26 @@ TOKENS_PER_WORD = 0.75
 PING = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}"
 
 
-def delta(turns: DataFrame, after_turn: int = -1) -> DataFrame:
-    """User and assistant turns after ``after_turn`` without commands, envelopes, tool results and pings, cut at 2,000."""
-    t = F.col("text")
+def worth_reading(role: Column, text: Column) -> Column:
+    """User and assistant turns other than commands, envelopes, tool results and pings."""
+    t = text
     noise = (
         t.rlike(r"^[/<]") | (t.rlike(PING) & (F.length(t) < 30)) | F.contains(t, F.lit("<tool_result>"))
         | F.contains(t, F.lit("</tool_result>")) | F.startswith(t, F.lit("System:")) | F.startswith(t, F.lit("[system]"))
     )
-    cut = F.when(F.length(t) > MAX_MESSAGE, F.concat(F.substring(t, 1, MAX_MESSAGE), F.lit("...[truncated]"))).otherwise(t)
-    own = turns.where((F.col("turn") > after_turn) & F.col("role").isin("user", "assistant") & (t != "") & ~noise)
-    return own.select("conv_id", "turn", "role", cut.alias("text"))
+    return F.coalesce(role.isin("user", "assistant") & (t != "") & ~noise, F.lit(False))
+
+
+def cut(text: str) -> Column:
+    """A text cut at 2,000 characters, which it then says."""
+    t = F.col(text)
+    return F.when(F.length(t) > MAX_MESSAGE, F.concat(F.substring(t, 1, MAX_MESSAGE), F.lit("...[truncated]"))).otherwise(t)
+
+
+def delta(turns: DataFrame, after_turn: int = -1) -> DataFrame:
+    """Turns worth reading after ``after_turn``, each cut at 2,000 characters."""
+    own = turns.where((F.col("turn") > after_turn) & worth_reading(F.col("role"), F.col("text")))
+    return own.select("conv_id", "turn", "role", cut("text").alias("text"))
 
 
 def body(messages: DataFrame) -> DataFrame:

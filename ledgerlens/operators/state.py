@@ -107,22 +107,30 @@ def suggestions(log: DataFrame) -> DataFrame:
 
 def dismissals(log: DataFrame) -> DataFrame:
     """(slug_key, suggestion_seq, dismissal_seq, until_ms, cleared_by_accept_seq): cleared by the first later accept of the slug."""
-    s = suggestions(log).withColumn("slug_key", slug_key(F.col("slug")))
-    gone = s.where("status = 'dismissed'").select(
+    return dismissed(suggestions(log))
+
+
+def dismissed(suggested: DataFrame) -> DataFrame:
+    """``dismissals`` of resolved suggestions: numbers grow along the log, so the least number of the accepts that follow in a slug's order is the first one's."""
+    s = suggested.where("status <> 'pending'").withColumn("slug_key", slug_key(F.col("slug")))
+    following = Window.partitionBy("slug_key").orderBy("resolved_pos").rowsBetween(1, Window.unboundedFollowing)
+    s = s.withColumn("cleared_by_accept_seq", F.min(F.when(F.col("status") == "accepted", F.col("resolver_seq"))).over(following))
+    return s.where("status = 'dismissed'").select(
         "slug_key",
         "suggestion_seq",
         F.col("resolver_seq").alias("dismissal_seq"),
-        F.col("resolved_pos").alias("d_pos"),
         (F.unix_millis(F.col("resolved_ts").cast("timestamp")) + F.col("cooldown_days") * DAY_MS).alias("until_ms"),
+        "cleared_by_accept_seq",
     )
-    accepts = s.where("status = 'accepted'").select("slug_key", F.col("resolver_seq").alias("accept_seq"), F.col("resolved_pos").alias("a_pos"))
-    later = gone.join(accepts, (gone.slug_key == accepts.slug_key) & (accepts.a_pos > gone.d_pos) & (accepts.accept_seq > gone.dismissal_seq), "left")
-    return later.groupBy(gone.slug_key, "suggestion_seq", "dismissal_seq", "until_ms").agg(F.min("accept_seq").alias("cleared_by_accept_seq"))
 
 
 def cooldowns(log: DataFrame) -> DataFrame:
     """Each slug's uncleared dismissal that lasts longest, the first of equal ones."""
-    open_ = dismissals(log).where(F.col("cleared_by_accept_seq").isNull())
+    return longest_open(dismissals(log))
+
+
+def longest_open(gone: DataFrame) -> DataFrame:
+    open_ = gone.where(F.col("cleared_by_accept_seq").isNull())
     longest = F.max_by(F.struct("dismissal_seq", "until_ms"), F.struct("until_ms", -F.col("dismissal_seq")))
     return open_.groupBy("slug_key").agg(longest.alias("x")).select("slug_key", "x.dismissal_seq", "x.until_ms")
 

@@ -6,6 +6,9 @@ as ``write`` makes it. Lines end with a line feed; a carriage return before it i
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,23 +16,46 @@ from ..functions.canonical import entry_hash
 from .storage import materialize
 
 ENTRY = "type string, schema_version string, is_state_bearing boolean, seq long, hash_prev string, intent_id string, principal string, ts string"
+LINES = "log_file string, place struct<file:string, block:long, line:long>, raw string, torn boolean"
 MONTH_FILE = r"(?:^|/)(?:log_file=)?(\d{4}-\d{2}\.jsonl)(?:/[^/]*)?$"
 
 
+def month_files(spark: SparkSession, path: str) -> dict[str, list[tuple[str, int, int]]]:
+    """Files under ``path`` by month, ``YYYY-MM``: (file, bytes, time of its last change), in order.
+
+    Only names and sizes are asked for. Months are few; a month's parts are as many as its writer's tasks.
+    """
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[str, list[tuple[str, int, int]]] = {}
+    if fs.exists(top):
+        files = fs.listFiles(top, True)
+        while files.hasNext():
+            f = files.next()
+            name = f.getPath().toString()
+            month = re.search(MONTH_FILE, name)
+            if month and not os.path.basename(name).startswith(("_", ".")):
+                found.setdefault(month[1][:7], []).append((name, f.getLen(), f.getModificationTime()))
+    return {m: sorted(v) for m, v in sorted(found.items())}
+
+
 def _lines(spark: SparkSession, path: str, months: list[str] | None) -> DataFrame:
-    """(log_file, place, raw, torn): every line, written once so that places stay.
+    """(log_file, place, raw, torn): every line, written once so that places stay; of given months only their files are read.
 
     A file's last line lacks its line feed exactly if the file is one byte shorter than its
     lines and their line feeds.
     """
+    if months is not None:
+        files = month_files(spark, path)
+        path = [name for m in months for name, _, _ in files.get(m, [])]
+        if not path:
+            return spark.createDataFrame([], LINES)
     lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path).select(
         F.regexp_extract("_metadata.file_path", MONTH_FILE, 1).alias("log_file"),
         F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place"),
         F.col("_metadata.file_size").alias("size"),
         F.col("value").alias("raw"),
     ).where("log_file <> ''")
-    if months is not None:
-        lines = lines.where(F.substring("log_file", 1, 7).isin(*months))
     lines = materialize(lines, "log-lines")
     files = lines.groupBy("place.file").agg(F.max("size").alias("bytes"), F.sum(F.octet_length("raw") + 1).alias("read"), F.max("place").alias("place"))
     torn = files.where("read > bytes").select("place", F.lit(True).alias("torn"))
