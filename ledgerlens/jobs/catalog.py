@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical, vectors
 from ..functions import text as T
-from ..operators import admission, blocks, chain, preconditions, projection, proposals, retrieval, similarity, state
+from ..operators import admission, blocks, chain, expansion, preconditions, projection, proposals, retrieval, similarity, state
 from ..schema import matrix
 from ..sources import adapters, jsonl, markdown
 from ..sources.storage import scratch_path
@@ -469,7 +469,7 @@ def lexical_and_or(spark, d):
 SELECT q, term, round(weight, 9) AS weight FROM {_close(0.3)}""")
 def fuzzy_prefix_terms(spark, d):
     rows = retrieval.live(_units(spark, d)).select("key", F.lit("content").alias("field"), F.col("content").alias("text"))
-    found = retrieval.expanded(retrieval.index(rows).postings, retrieval.query_terms(_asked(spark, d)))
+    found = expansion.expanded(retrieval.index(rows).postings, retrieval.query_terms(_asked(spark, d)), retrieval.UNIT_FUZZY)
     return found.withColumn("weight", F.round("weight", 9))
 
 

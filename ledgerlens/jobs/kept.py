@@ -1,15 +1,15 @@
-"""Queries over what is kept between runs: folds by month, streams by key."""
+"""Queries over what is kept between runs: folds by month, streams by key, stored indexes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import state
+from ..operators import block_max, retrieval, state
 from ..sources import adapters, jsonl
 from ..sources.storage import scratch_path
 from ..streaming import fold, keyed
-from .catalog import _DELTA, _log, query
+from .catalog import _DELTA, _asked, _lexical_sql, _log, _units, query
 
 # incremental fold ---------------------------------------------------------------------------
 
@@ -129,3 +129,13 @@ def stream_offsets(spark, d):
     turns, root = adapters.table(spark, d, "conversations"), scratch_path(spark, "offsets")
     turns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     return keyed.in_parts(turns, [F.col("turn") < 3, F.col("turn") >= 3], f"{root}/in", lambda s: keyed.offsets(s, f"{root}/stream"))
+
+
+# stored indexes -----------------------------------------------------------------------------
+
+
+@query(_lexical_sql("or") + " SELECT qid, key, round(score, 6) AS score, rank FROM lex")
+def lexical_blocks(spark, d):
+    """The best hits from stored postings, blocks that cannot reach them left unread."""
+    index = block_max.build(retrieval.fields(retrieval.live(_units(spark, d))), scratch_path(spark, "block-index"))
+    return block_max.best(index, _asked(spark, d)).found.withColumn("score", F.round("score", 6))

@@ -26,12 +26,6 @@ def dealt(rows: DataFrame, asked: DataFrame, by: str, asked_by: str, per_rows: i
     )
 
 
-def crossed(rows: DataFrame, asked: DataFrame, by: str, asked_by: str, where, per_rows: int = 20_000) -> DataFrame:
-    """Pairs of a row and an asked row for which ``where`` holds."""
-    left, right = dealt(rows, asked, by, asked_by, per_rows)
-    return left.join(right, ["row_block", "asked_block"]).where(where).drop("row_block", "asked_block")
-
-
 def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Vectors as rows, padded with zeros, and their lengths; null ones have length 0."""
     lists = [np.asarray(x, dtype=float) if x is not None else np.zeros(0) for x in column.to_pylist()]

@@ -13,12 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import chunks, tokens
 from ..sources.storage import materialize
-from .blocks import crossed, nearest, top
+from .blocks import nearest, top
+from .expansion import expanded
 
-# BM25 with a lower bound on term frequency, weights of terms that extend or nearly spell
-# a query's, as a published search library has them, and the bounds of both arms.
+# BM25 with a lower bound on term frequency, as a published search library has it, and the bounds of both arms.
 K1, B, DELTA = 1.2, 0.7, 0.5
-PREFIX, FUZZY, MAX_EDITS = 0.375, 0.45, 6
 RRF_K, LEXICAL_WEIGHT, N_PRE, FLOOR = 60, 0.5, 100, 0.30
 #: Weights of fields and share of a term's letters that may differ, in searches of units and of whole topics.
 UNIT_BOOSTS, UNIT_FUZZY = {"content": 1.0, "slug": 2.0}, 0.3
@@ -86,21 +85,6 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.when(F.size(t) > 0, t).otherwise(F.array(F.lower("text")))).alias("q"))
 
 
-def expanded(vocabulary: DataFrame, asked: DataFrame, fuzzy: float = UNIT_FUZZY) -> DataFrame:
-    """(q, term, weight): terms of ``vocabulary`` (term) that equal, extend or nearly spell an asked (q). Both are written before they meet in tiles."""
-    v, a = materialize(vocabulary.select("term").distinct(), "terms"), materialize(asked.select("q").distinct(), "asked")
-    distance = F.levenshtein("q", "term")
-    most = F.least(F.round(F.length("q") * fuzzy), F.lit(MAX_EDITS))
-    longer = F.length("term") - F.length("q")
-    close = F.startswith("term", "q") | ((F.abs(longer) <= most) & (distance <= most))
-    weight = (
-        F.when(F.col("q") == F.col("term"), 1.0)
-        .when(F.startswith("term", "q"), PREFIX * F.length("term") / (F.length("term") + 0.3 * longer))
-        .otherwise(FUZZY * F.length("term") / (F.length("term") + distance))
-    )
-    return crossed(v, a, "term", "q", close).select("q", "term", weight.alias("weight"))
-
-
 def lexical(index: Index, queries: DataFrame, boosts: dict[str, float] = UNIT_BOOSTS, fuzzy: float | None = UNIT_FUZZY, mode: str = "auto", limit: int = N_PRE) -> DataFrame:
     """(qid, key, score, rank): each query's best ``limit`` keys. ``auto``: all terms, or any where no key has all.
 
