@@ -301,12 +301,17 @@ chain AS (WITH RECURSIVE c AS (
   SELECT n.slug, n.pos, n.i, c.self_hash, sha256({_line_sql("c.self_hash", "n.")}) FROM c JOIN n ON n.slug = c.slug AND n.i = c.i + 1) SELECT * FROM c)"""
 
 
-def _written(spark, d):
-    """Each topic's entries as a log of its own, chained."""
+def _entries(spark, d):
+    """Entries of each topic as a log of its own."""
     payload = F.to_json(F.struct("slug", F.coalesce("tag", F.lit("NONE")).alias("tag"), "content"))
     ts = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("ts")
     intent = F.concat_ws(":", "slug", "pos").alias("intent_id")
-    return chain.written(_log(spark, d).select(F.col("slug").alias("log"), "pos", "type", intent, "principal", ts, payload.alias("payload")))
+    return _log(spark, d).select(F.col("slug").alias("log"), "pos", "type", intent, "principal", ts, payload.alias("payload"))
+
+
+def _written(spark, d):
+    """Each topic's entries, chained."""
+    return chain.written(_entries(spark, d))
 
 
 @query(_CHAIN + " SELECT slug AS log, pos, i AS seq, hash_prev, self_hash FROM chain")
@@ -352,11 +357,10 @@ def tail_safety(spark, d):
     return chain.tail_safe(rows, chain.accepted(rows.select("log", "pos", "hash_prev", "self_hash")))
 
 
-@query("""g AS (SELECT slug, list(seq ORDER BY seq) AS seqs FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY pos) AS rn FROM log WHERE type = 'write_event') WHERE rn <= 100 GROUP BY slug)
+@query("""g AS (SELECT slug, list(seq ORDER BY seq) AS seqs FROM log WHERE type = 'write_event' GROUP BY slug)
 SELECT slug, substr(sha256('[' || array_to_string(seqs, ',') || ']'), 1, 16) AS fingerprint, true AS ascends FROM g""")
 def support_fingerprint(spark, d):
-    rn = F.row_number().over(Window.partitionBy("slug").orderBy("pos"))
-    g = state.writes(_log(spark, d)).withColumn("rn", rn).where(F.col("rn") <= admission.MAX_SUPPORT).groupBy("slug").agg(F.array_sort(F.collect_list("seq")).alias("seqs"))
+    g = state.writes(_log(spark, d)).groupBy("slug").agg(F.array_sort(F.collect_list("seq")).alias("seqs"))
     return g.select("slug", T.support_fingerprint(F.col("seqs")).alias("fingerprint"), T.ascending(F.col("seqs")).alias("ascends"))
 
 
@@ -635,11 +639,11 @@ def pending_envelope(spark, d):
     return projection.pending(log, _now_ms(log))
 
 
-@query("""w AS (SELECT DISTINCT sha256(content) AS vector_key FROM live), h AS (SELECT DISTINCT sha256(content) AS vector_key FROM units JOIN embeddings ON vec_id = doc_id)
+@query("""w AS (SELECT DISTINCT sha256(to_json(nfc_normalize(content))::VARCHAR) AS vector_key FROM live), h AS (SELECT DISTINCT sha256(to_json(nfc_normalize(content))::VARCHAR) AS vector_key FROM units JOIN embeddings ON vec_id = doc_id)
 SELECT CASE WHEN h.vector_key IS NULL THEN 'embed' WHEN w.vector_key IS NULL THEN 'prune' ELSE 'reuse' END AS action, count(*) AS n FROM w FULL JOIN h ON w.vector_key = h.vector_key GROUP BY 1""")
 def vector_store_delta(spark, d):
     u = _units(spark, d)
-    key = F.sha2("content", 256).alias("vector_key")
+    key = canonical.key_of(F.col("content")).alias("vector_key")
     held = u.join(adapters.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
     return projection.vector_delta(retrieval.live(u).select(key), held.select(key))
 
@@ -1365,12 +1369,12 @@ def curation_prompts(spark, d):
     return answers.curation_prompts(bullets, recent).select("slug", F.md5("text").alias("text_md5"))
 
 
-@query("""o AS (SELECT key, CASE WHEN label % 2 = 0 THEN 'note' ELSE 'curated' END AS tier, sha256(content) AS vector_key FROM units JOIN embeddings ON vec_id = doc_id)
+@query("""o AS (SELECT key, CASE WHEN label % 2 = 0 THEN 'note' ELSE 'curated' END AS tier, sha256(to_json(nfc_normalize(content))::VARCHAR) AS vector_key FROM units JOIN embeddings ON vec_id = doc_id)
 SELECT live.key, coalesce(o.tier, live.tier) AS tier, vector_key FROM live LEFT JOIN o USING (key)""")
 def unit_occurrences(spark, d):
     u = _units(spark, d)
     v = adapters.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    held = u.join(v, "doc_id").select("key", F.when(F.col("label") % 2 == 0, "note").otherwise("curated").alias("tier"), F.sha2("content", 256).alias("vector_key"))
+    held = u.join(v, "doc_id").select("key", F.when(F.col("label") % 2 == 0, "note").otherwise("curated").alias("tier"), canonical.key_of(F.col("content")).alias("vector_key"))
     return retrieval.occurring(retrieval.live(u), held).select("key", "tier", "vector_key")
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import block_max, retrieval, state
+from ..operators import block_max, chain, retrieval, state
 from ..sources import adapters, jsonl
-from ..sources.storage import scratch_path
+from ..sources.storage import materialize, scratch_path
 from ..streaming import fold, keyed
-from .catalog import _DELTA, _asked, _lexical_sql, _log, _units, query
+from . import append, vector_store
+from .catalog import _CHAIN, _DAMAGED, _DELTA, _asked, _chunk_sql, _damaged, _entries, _lexical_sql, _log, _units, query
 
 # incremental fold ---------------------------------------------------------------------------
 
@@ -139,3 +140,70 @@ def lexical_blocks(spark, d):
     """The best hits from stored postings, blocks that cannot reach them left unread."""
     index = block_max.build(retrieval.fields(retrieval.live(_units(spark, d))), scratch_path(spark, "block-index"))
     return block_max.best(index, _asked(spark, d)).found.withColumn("score", F.round("score", 6))
+
+
+# vectors ------------------------------------------------------------------------------------
+
+# a text's key is the hash of its canonical form, quotes included
+_KEYED = _chunk_sql("live") + """, keyed AS (SELECT *, sha256(to_json(nfc_normalize(content))::VARCHAR) AS vector_key FROM chunk)"""
+
+
+def _builds(spark, d):
+    """A store made of the first half of the units, then of all, then of all but curated ones, then of these again."""
+    units, root = _units(spark, d), scratch_path(spark, "vectors")
+    half = (units.agg(F.max("seq")).first()[0] or 0) // 2
+    rest = units.where("tag <> 'CURATED'")
+    return [vector_store.build(u, root, vector_store.COUNTING, half) for u in (units.where(F.col("seq") <= half), units, rest, rest)]
+
+
+@query(_KEYED + """ SELECT DISTINCT vector_key, (length(content) + 9)::DOUBLE AS length, length(regexp_replace(content, '[^ ]', '', 'g')) + 1.0::DOUBLE AS spaces,
+  length(regexp_replace(content, '[^e]', '', 'g')) + 1.0::DOUBLE AS e FROM keyed WHERE tier <> 'curated'""")
+def vector_store_vectors(spark, d):
+    """The vectors left after four builds: what no unit needs any more is gone."""
+    v = F.col("vector")
+    return _builds(spark, d)[-1].vectors.select("vector_key", v[0].alias("length"), v[1].alias("spaces"), v[2].alias("e"))
+
+
+@query(_KEYED + """ SELECT slug, doc_id + 1 AS seq, chunk_index, tier, vector_key, char_start, char_start + length(content) AS char_end FROM keyed WHERE tier <> 'curated'""")
+def vector_store_occurrences(spark, d):
+    found = _builds(spark, d)[-1].occurrences
+    return found.select("slug", "seq", "tier", "vector_key", *[F.col(c).cast("long").alias(c) for c in ("chunk_index", "char_start", "char_end")])
+
+
+@query(_KEYED + """, half AS (SELECT max(doc_id + 1) // 2 AS h FROM units),
+b AS (SELECT 1 AS build, vector_key FROM keyed, half WHERE doc_id + 1 <= h UNION ALL SELECT 2, vector_key FROM keyed UNION ALL SELECT 3, vector_key FROM keyed WHERE tier <> 'curated' UNION ALL SELECT 4, vector_key FROM keyed WHERE tier <> 'curated'),
+k AS (SELECT build, vector_key, count(*) AS chunks FROM b GROUP BY ALL)
+SELECT build, count(*) AS vectors, sum(chunks)::BIGINT AS chunks, count(*) FILTER (NOT EXISTS (SELECT 1 FROM k p WHERE p.build = k.build - 1 AND p.vector_key = k.vector_key)) AS embedded_new,
+  (SELECT count(*) FROM k p WHERE p.build = k.build - 1 AND NOT EXISTS (SELECT 1 FROM k q WHERE q.build = k.build AND q.vector_key = p.vector_key)) AS pruned
+FROM k GROUP BY build""")
+def vector_store_manifest(spark, d):
+    """What each of the four builds embedded and dropped: the last embeds nothing."""
+    rows = [(k + 1, m["vectors"], m["chunks"], m["embedded_new"], m["pruned"]) for k, m in enumerate(s.manifest for s in _builds(spark, d))]
+    return spark.createDataFrame(rows, "build long, vectors long, chunks long, embedded_new long, pruned long")
+
+
+# appends ------------------------------------------------------------------------------------
+
+
+@query(_CHAIN + " SELECT slug AS log, pos, i AS seq, hash_prev, self_hash FROM chain")
+def append_resume(spark, d):
+    """Each topic's log made by three appends, each chained to the tails that it finds."""
+    entries, root = _entries(spark, d), scratch_path(spark, "logs")
+    last = entries.agg(F.max("pos")).first()[0] or 0
+    for part in (F.col("pos") <= last // 3, F.col("pos").between(last // 3 + 1, last * 3 // 4), F.col("pos") > last * 3 // 4):
+        found = append.append(entries.where(part), root)
+    return found.lines.select("log", "pos", "seq", "hash_prev", "self_hash")
+
+
+@query(_DAMAGED + """, w AS (WITH RECURSIVE a AS (
+  SELECT log, min(pos) AS pos, min_by(self_hash, pos) AS self_hash FROM d WHERE hash_prev = repeat('0', 64) GROUP BY log
+  UNION ALL
+  SELECT d.log, min(d.pos), min_by(d.self_hash, d.pos) FROM a JOIN d ON d.log = a.log AND d.hash_prev = a.self_hash AND d.pos > a.pos GROUP BY d.log) SELECT * FROM a)
+SELECT log, pos FROM w""")
+def chain_resume(spark, d):
+    """A damaged log walked to its half, and on from there."""
+    rows = materialize(_damaged(spark, d).select("log", "pos", "hash_prev", "self_hash"), "damaged")
+    half = (rows.agg(F.max("pos")).first()[0] or 0) // 2
+    early = rows.where(F.col("pos") <= half)
+    held = chain.accepted(early)
+    return held.unionByName(chain.accepted(rows, chain.anchors(early, held)))

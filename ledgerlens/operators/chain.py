@@ -21,20 +21,22 @@ from ..sources.storage import materialize
 
 GENESIS = "0" * 64
 VERSION = "v12.5.0"
-#: Ranges of positions that a log is cut into for its windows.
-PARTS = 64
+#: Rows of a range that a log is cut into for its windows, about, and ranges at least.
+PART_ROWS, PARTS = 1_000_000, 64
 
 
-def written(entries: DataFrame) -> DataFrame:
+def written(entries: DataFrame, tails: DataFrame | None = None) -> DataFrame:
     """(log, pos, seq, hash_prev, self_hash, raw): entries (log, pos, type, intent_id, principal, ts, payload) as canonical lines, chained.
 
-    A chain is made one entry after another, so a log is written by one task; logs are written
-    side by side. ``payload`` is JSON.
+    A log goes on where ``tails`` (log, seq, hash) says it ended, or begins. A chain is made one
+    entry after another, so a log's new entries are written by one task; logs are written side by
+    side. ``payload`` is JSON.
     """
 
     def write(log: pd.DataFrame) -> pd.DataFrame:
-        before, rows = GENESIS, []
-        for seq, e in enumerate(log.sort_values("pos").itertuples(), 1):
+        rows, first = [], log.iloc[0]
+        before, start = (GENESIS, 1) if pd.isna(first.tail_hash) else (first.tail_hash, int(first.tail_seq) + 1)
+        for seq, e in enumerate(log.sort_values("pos").itertuples(), start):
             entry = {
                 "type": e.type, "schema_version": VERSION, "is_state_bearing": True, "seq": seq, "hash_prev": before,
                 "intent_id": e.intent_id, "principal": e.principal, "ts": e.ts, "payload": json.loads(e.payload or "{}"),
@@ -46,16 +48,23 @@ def written(entries: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["log", "pos", "seq", "hash_prev", "self_hash", "raw"])
 
     columns = entries.select("log", "pos", "type", "intent_id", "principal", "ts", "payload")
+    if tails is None:
+        columns = columns.withColumns({"tail_seq": F.lit(None).cast("long"), "tail_hash": F.lit(None).cast("string")})
+    else:
+        columns = columns.join(tails.select("log", F.col("seq").alias("tail_seq"), F.col("hash").alias("tail_hash")), "log", "left")
     return columns.groupBy("log").applyInPandas(write, "log string, pos long, seq long, hash_prev string, self_hash string, raw string")
 
 
 def previous(rows: DataFrame, value: str, name: str) -> DataFrame:
     """``rows`` (log, pos, ..) with the value of the log's row before, without one task for all rows of a log.
 
-    A log's positions are cut into ranges; a range's first row takes the last value of the ranges before.
+    A log's positions are cut into ranges, as many as rows ask for; a range's first row takes the last
+    value of the ranges before. The rows are written first, as they are read for their bounds, for the
+    ranges and for the carried values.
     """
-    ends = rows.agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).first()
-    width = max(1, ((ends["hi"] or 0) - (ends["lo"] or 0)) // PARTS + 1)
+    rows = materialize(rows, "chain-rows")
+    ends = rows.agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count("*").alias("n")).first()
+    width = max(1, ((ends["hi"] or 0) - (ends["lo"] or 0)) // max(PARTS, ends["n"] // PART_ROWS) + 1)
     cut = rows.withColumn("part", F.floor((F.col("pos") - F.lit(ends["lo"] or 0)) / width))
     last = cut.groupBy("log", "part").agg(F.max_by(value, "pos").alias("last"))
     carried = last.select("log", "part", F.lag("last").over(Window.partitionBy("log").orderBy("part")).alias("carried"))
@@ -75,14 +84,25 @@ def runs(rows: DataFrame) -> DataFrame:
     return numbered.withColumn("run", F.col("earlier") + F.col("within")).select("log", "pos", "run", "hash_prev", "self_hash")
 
 
-def accepted(rows: DataFrame) -> DataFrame:
-    """(log, pos): the rows (log, pos, hash_prev, self_hash) that each log's chain accepts; give rows of good shape."""
+def accepted(rows: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """(log, pos): the rows (log, pos, hash_prev, self_hash) that each log's chain accepts; give rows of good shape.
+
+    A walk begins at genesis, or goes on from ``anchors`` (log, pos, hash), the last row accepted by an
+    earlier one: then only rows after it are looked at and returned.
+    """
+    if anchors is not None:
+        known = anchors.select("log", F.col("pos").alias("anchor"), "hash")
+        rows = rows.join(known, "log", "left").where(F.col("anchor").isNull() | (F.col("pos") > F.col("anchor"))).select(*rows.columns)
     r = materialize(runs(rows), "chain-runs")
     tails = r.groupBy("log", "run").agg(F.max("pos").alias("tail"), F.max_by("self_hash", "pos").alias("hash_prev"))
     later = r.select("log", F.col("pos").alias("land"), F.col("run").alias("to"), "hash_prev")
     jumps = tails.join(later, ["log", "hash_prev"]).where("land > tail").groupBy("log", "run").agg(F.min_by(F.struct("to", "land"), "land").alias("j"))
     jumps = materialize(jumps.select("log", "run", F.col("j.to").alias("to"), F.col("j.land").alias("land")), "chain-jumps")
-    start = r.where(F.col("hash_prev") == GENESIS).groupBy("log").agg(F.min_by(F.struct("run", "pos"), "pos").alias("s"))
+    begin = F.lit(GENESIS)
+    from_ = r
+    if anchors is not None:
+        from_, begin = r.join(anchors.select("log", "hash"), "log", "left"), F.coalesce("hash", F.lit(GENESIS))
+    start = from_.where(F.col("hash_prev") == begin).groupBy("log").agg(F.min_by(F.struct("run", "pos"), "pos").alias("s"))
     # the runs met so far, with where they are entered, and jumps of 1, 2, 4 .. runs
     met = materialize(start.select("log", F.col("s.run").alias("run"), F.col("s.pos").alias("entered")), "chain-met")
     far = jumps
@@ -94,6 +114,12 @@ def accepted(rows: DataFrame) -> DataFrame:
     return r.join(met, ["log", "run"]).where("pos >= entered").select("log", "pos")
 
 
+def anchors(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """(log, pos, hash): where a walk over rows (log, pos, self_hash) that accepted ``held`` (log, pos) can go on."""
+    own = rows.join(held, ["log", "pos"], "left_semi")
+    return own.groupBy("log").agg(F.max("pos").alias("pos"), F.max_by("self_hash", "pos").alias("hash"))
+
+
 def skipped(rows: DataFrame, shape_ok: str = "shape_ok") -> DataFrame:
     """(log, pos, reason): malformed_entry_shape, or hash_chain_break for rows of good shape that the chain doesn't accept."""
     good = rows.where(F.col(shape_ok))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..operators.state import dismissed, longest_open
 from ..sources import jsonl
 from ..sources.storage import materialize
+from ..sources.versions import exists, latest, publish, whole
 
 #: What a line of the log says, as far as state depends on it.
 LINE = (
@@ -143,30 +144,6 @@ def fingerprint(files: list[tuple[str, int, int]]) -> str:
     return hashlib.sha256("\n".join(f"{name}\t{size}\t{time}" for name, size, time in files).encode()).hexdigest()
 
 
-def _hadoop(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _whole(spark: SparkSession, path: str) -> bool:
-    fs, p = _hadoop(spark, f"{path}/_SUCCESS")
-    return fs.exists(p)
-
-
-def _manifest(spark: SparkSession, root: str) -> tuple[int, dict[str, dict]]:
-    """The number of the last whole manifest under ``root``, and its months."""
-    fs, p = _hadoop(spark, root)
-    if not fs.exists(p):
-        return 0, {}
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    numbers = sorted((int(n.split("-")[1]) for n in names if n.startswith("manifest-")), reverse=True)
-    for n in numbers:
-        if _whole(spark, f"{root}/manifest-{n}"):
-            rows = spark.read.schema(MANIFEST).parquet(f"{root}/manifest-{n}").collect()  # a row for each month
-            return n, {r.month: r.asDict() for r in rows}
-    return 0, {}
-
-
 def _contents(spark: SparkSession, log_path: str, months: list[str]) -> dict[str, str]:
     """A sum of each month's lines' hashes."""
     lines = jsonl.read(spark, log_path, months)
@@ -189,7 +166,8 @@ def fold(spark: SparkSession, log_path: str, root: str, verify: bool = False) ->
         months = list(files)
         if not months:
             return Fold(spark.createDataFrame([], PART), [], [], False, False)
-        number, held = _manifest(spark, root)
+        number, rows = latest(spark, root, "manifest", MANIFEST)  # a row for each month
+        held = {r.month: r for r in rows}
         prints = {m: fingerprint(files[m]) for m in months}
         stale = {m for m in months[:-1] if m not in held or held[m]["fingerprint"] != prints[m]}
         if verify and (sealed := [m for m in months[:-1] if m not in stale]):
@@ -213,14 +191,14 @@ def fold(spark: SparkSession, log_path: str, root: str, verify: bool = False) ->
     if sealed:
         name = hashlib.sha256("\n".join(r[3] for r in sealed).encode()).hexdigest()[:32]
         at = f"{root}/sealed-{name}"
-        if not _whole(spark, at):
+        if not whole(spark, at):
             merged(_read_parts(spark, [r[3] for r in sealed])).write.mode("overwrite").parquet(at)
             again = True
         part = merged(spark.read.schema(PART).parquet(at).unionByName(part))
-    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(f"{root}/manifest-{number + 1}")  # fails if another writer was first
+    publish(spark.createDataFrame(rows, MANIFEST), root, "manifest", number + 1)
     return Fold(part, anew, [m for m in months if m not in anew], again, True)
 
 
 def _read_parts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    there = [p for p in paths if _hadoop(spark, p)[0].exists(_hadoop(spark, p)[1])]  # a month without entries has no part
+    there = [p for p in paths if exists(spark, p)]  # a month without entries has no part
     return spark.read.schema(PART).parquet(*there) if there else spark.createDataFrame([], PART)
