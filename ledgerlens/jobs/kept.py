@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import block_max, chain, retrieval, state
-from ..sources import adapters, jsonl
+from ..sources import adapters, json_array, jsonl
 from ..sources.storage import materialize, scratch_path
 from ..streaming import fold, keyed
 from . import append, vector_store
@@ -207,3 +207,15 @@ def chain_resume(spark, d):
     early = rows.where(F.col("pos") <= half)
     held = chain.accepted(early)
     return held.unionByName(chain.accepted(rows, chain.anchors(early, held)))
+
+
+# one large file -----------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, lang, n_chars, md5(text) AS text_md5 FROM documents")
+def json_array_split(spark, d):
+    """Documents as one JSON array in one file, read in ranges of a megabyte."""
+    path = scratch_path(spark, "json-array")
+    json_array.write(adapters.table(spark, d, "documents").select("doc_id", "lang", "n_chars", "text"), "doc_id", path)
+    found = json_array.read(spark, path, split_bytes=1 << 20)
+    return found.withColumn("x", F.from_json("raw", "doc_id long, lang string, n_chars long, text string")).select("x.doc_id", "x.lang", "x.n_chars", F.md5("x.text").alias("text_md5"))
