@@ -629,7 +629,8 @@ def event_log_by_date(spark, d):
 @query("""SELECT date, count(*) FILTER (changed) AS changes FROM (
   SELECT strftime(ts, '%Y-%m-%d') AS date, coalesce(principal <> lag(principal) OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY seq), true) AS changed FROM log WHERE type = 'write_event') GROUP BY date""")
 def context_change(spark, d):
-    return projection.context_changes(_log(spark, d))
+    """The day's writer stands for the comment its lines come under."""
+    return projection.context_changes(projection.event_lines(_log(spark, d)).withColumnRenamed("principal", "comment"))
 
 
 @query("""SELECT suggestion_seq, slug, floor(((SELECT max((epoch_us(ts) // 1000)) FROM log) - (epoch_us(ts) // 1000)) / 86400000)::BIGINT AS age_days

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import block_max, chain, retrieval, state
+from ..operators import block_max, chain, projection, retrieval, state
 from ..sources import adapters, json_array, jsonl
 from ..sources.storage import materialize, scratch_path
 from ..streaming import fold, keyed
-from . import append, vector_store
+from . import append, imports, vector_store
 from .catalog import _CHAIN, _DAMAGED, _DELTA, _asked, _chunk_sql, _damaged, _entries, _lexical_sql, _log, _units, query
 
 # incremental fold ---------------------------------------------------------------------------
@@ -219,3 +219,57 @@ def json_array_split(spark, d):
     json_array.write(adapters.table(spark, d, "documents").select("doc_id", "lang", "n_chars", "text"), "doc_id", path)
     found = json_array.read(spark, path, split_bytes=1 << 20)
     return found.withColumn("x", F.from_json("raw", "doc_id long, lang string, n_chars long, text string")).select("x.doc_id", "x.lang", "x.n_chars", F.md5("x.text").alias("text_md5"))
+
+
+# imports ------------------------------------------------------------------------------------
+
+_FIELD_SQL = "CASE {n} % 4 WHEN 1 THEN 'curated' WHEN 2 THEN 'source' WHEN 3 THEN 'events' END"
+
+
+def _field(n):
+    """Which part of a file an entry was imported from; null for one that wasn't imported."""
+    return F.when(n % 4 == 1, "curated").when(n % 4 == 2, "source").when(n % 4 == 3, "events")
+
+
+@query(f"""f AS (SELECT *, {_FIELD_SQL.format(n='doc_id')} AS field FROM units)
+SELECT key, CASE WHEN tag = 'CURATED' AND coalesce(field, 'curated') = 'curated' THEN 'curated' WHEN tag = 'SOURCE' AND coalesce(field, 'source') = 'source' THEN 'source' ELSE 'note' END AS tier
+FROM f WHERE NOT (tag = 'CURATED' AND retired)""")
+def imported_tiers(spark, d):
+    """Entries imported from another part of a file than their tag's are notes."""
+    return retrieval.live(_units(spark, d).withColumn("imported_field", _field(F.col("doc_id")))).select("key", "tier")
+
+
+@query(f"""w AS (SELECT *, {_FIELD_SQL.format(n='k')} AS field FROM log WHERE type = 'write_event' AND trim(content, ' ') <> ''),
+l2 AS (SELECT slug, string_agg(trim(content, ' '), chr(10) || chr(10) ORDER BY pos) AS text FROM w WHERE tag = 'CURATED' AND coalesce(field, 'curated') = 'curated'
+  AND NOT EXISTS (SELECT 1 FROM retired r WHERE r.effective AND r.slug = w.slug AND r.superseded_seq = w.seq) GROUP BY slug),
+l3 AS (SELECT slug, string_agg(trim(content, ' '), chr(10) || chr(10) ORDER BY ts DESC, seq DESC) AS text FROM w WHERE tag = 'SOURCE' AND coalesce(field, 'source') = 'source' GROUP BY slug)
+SELECT 2 AS layer, slug, md5(text) AS text_md5 FROM l2 UNION ALL SELECT 3, slug, md5(text) FROM l3""")
+def imported_layers(spark, d):
+    log = _log(spark, d).withColumn("imported_field", _field(F.col("k")))
+    row = lambda n, df: df.select(F.lit(n).alias("layer"), "slug", F.md5("text").alias("text_md5"))
+    return row(2, projection.layer2(log)).unionByName(row(3, projection.layer3(log)))
+
+
+def _authored(spark, d) -> DataFrame:
+    """(path, text): a log's days as an author might lay them out: a header, comments when the writer changes, lines in all forms."""
+    w = state.writes(_log(spark, d)).withColumn("date", F.date_format("ts", "yyyy-MM-dd"))
+    k, none = F.col("k"), F.lit(None).cast("string")
+    line = projection.written_line(F.col("tag"), F.col("slug"), F.col("content"), k % 7 == 0, F.when(k % 3 == 0, F.lit("HIGH")).otherwise(none), F.when(k % 5 == 0, F.col("principal")).otherwise(none))
+    changed = F.coalesce(F.col("principal") != F.lag("principal").over(Window.partitionBy("date").orderBy("seq")), F.lit(True))
+    row = F.concat(F.when(k % 11 == 0, F.lit("\n")).otherwise(""), F.when(changed, F.concat(F.lit("\n<!-- by "), "principal", F.lit(" -->\n"))).otherwise(""), line)
+    days = w.withColumn("row", row).groupBy("date").agg(F.array_sort(F.collect_list(F.struct("seq", "row"))).alias("rows"))
+    return days.select(F.concat("date", F.lit(".md")).alias("path"), F.concat(F.lit("# "), "date", F.lit("\n"), F.array_join("rows.row", "\n"), F.lit("\n")).alias("text"))
+
+
+@query("""w AS (SELECT *, strftime(ts, '%Y-%m-%d') AS date FROM log WHERE type = 'write_event'),
+r AS (SELECT date, seq, CASE WHEN k % 11 = 0 THEN chr(10) ELSE '' END
+  || CASE WHEN coalesce(principal <> lag(principal) OVER (PARTITION BY date ORDER BY seq), true) THEN chr(10) || '<!-- by ' || principal || ' -->' || chr(10) ELSE '' END
+  || '[' || CASE WHEN k % 7 = 0 THEN 'AUTO-' ELSE '' END || tag || CASE WHEN k % 3 = 0 THEN ':HIGH' ELSE '' END || '] ' || slug || ': ' || CASE WHEN k % 5 = 0 THEN '[' || principal || '] ' ELSE '' END || content AS row FROM w)
+SELECT date, md5('# ' || date || chr(10) || string_agg(row, chr(10) ORDER BY seq) || chr(10)) AS text_md5 FROM r GROUP BY date""")
+def log_roundtrip(spark, d):
+    """Dated logs imported line by line and written again from what the import kept."""
+    none = spark.createDataFrame([], "slug string")
+    entries = imports.log_entries(_authored(spark, d), none).where("type = 'write_event'")
+    hints = F.from_json("detail", projection.HINTS).alias("hints")
+    rows = entries.select(F.substring("source_file", 1, 10).alias("date"), F.col("at").alias("seq"), "tag", "slug", "principal", "content", hints)
+    return projection.regenerated(rows).select("date", F.md5("text").alias("text_md5"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_sentence
+from .retrieval import own_tag
 from .state import retired_seqs, suggestions, topics, writes
 
 
@@ -15,16 +16,22 @@ def _joined(rows: DataFrame, by: list, line, *order, sep: str = "\n\n") -> DataF
     return rows.groupBy(*by).agg(items.alias("items")).select(*by, F.array_join("items.line", sep).alias("text"))
 
 
+def _tagged(log: DataFrame, tag: str) -> DataFrame:
+    """Writes with a tag; those imported from another part of a file than the tag's don't count, where the log says so."""
+    own = writes(log).where(F.col("tag") == tag)
+    return own.where(own_tag(F.col("tag"), F.col("imported_field"))) if "imported_field" in log.columns else own
+
+
 def layer2(log: DataFrame) -> DataFrame:
     """(slug, text): a topic's curated writes that are not retired, in log order."""
-    own = writes(log).where(F.col("tag") == "CURATED")
+    own = _tagged(log, "CURATED")
     kept = own.join(retired_seqs(log), ["slug", "seq"], "left_anti").where(F.trim("content") != "")
     return _joined(kept, ["slug"], F.trim("content"), F.col("pos"))
 
 
 def layer3(log: DataFrame) -> DataFrame:
     """(slug, text): a topic's source writes, newest first."""
-    own = writes(log).where((F.col("tag") == "SOURCE") & (F.trim("content") != ""))
+    own = _tagged(log, "SOURCE").where(F.trim("content") != "")
     return _joined(own, ["slug"], F.trim("content"), -F.unix_micros(F.col("ts").cast("timestamp")), -F.col("seq"))
 
 
@@ -41,10 +48,19 @@ def topic_index(log: DataFrame) -> DataFrame:
     return t.select("slug", F.concat_ws(" | ", "slug", "kind", F.array_join("tags", ", "), "status", first_sentence(F.col("summary"))).alias("line"))
 
 
+def written_line(tag: Column, slug: Column, content: Column, auto=None, confidence=None, principal=None) -> Column:
+    """An entry as a tagged one-liner; line feeds in it are shown. ``auto`` (boolean), ``confidence`` and ``principal`` (null for none) are said if given."""
+    nothing = F.lit("")
+    said = lambda c, before, after: nothing if c is None else F.coalesce(F.concat(F.lit(before), c, F.lit(after)), nothing)
+    marked = nothing if auto is None else F.when(auto, "AUTO-").otherwise("")
+    flat = F.regexp_replace(F.coalesce(content, nothing), r"\r?\n", " ⏎ ")
+    return F.concat(F.lit("["), marked, F.coalesce(tag, F.lit("EVENT")), said(confidence, ":", ""), F.lit("] "), F.coalesce(slug, F.lit("general")), F.lit(": "), said(principal, "[", "] "), flat)
+
+
 def event_lines(log: DataFrame) -> DataFrame:
     """Writes as tagged one-liners with their UTC date."""
-    flat = F.regexp_replace("content", r"\r?\n", " ⏎ ")
-    return writes(log).select(F.date_format("ts", "yyyy-MM-dd").alias("date"), "seq", "principal", F.concat(F.lit("["), "tag", F.lit("] "), "slug", F.lit(": "), flat).alias("line"))
+    line = written_line(F.col("tag"), F.col("slug"), F.col("content"))
+    return writes(log).select(F.date_format("ts", "yyyy-MM-dd").alias("date"), "seq", "principal", line.alias("line"))
 
 
 def event_logs(log: DataFrame) -> DataFrame:
@@ -52,10 +68,40 @@ def event_logs(log: DataFrame) -> DataFrame:
     return _joined(event_lines(log), ["date"], F.col("line"), F.col("seq"), sep="\n").select("date", F.concat("text", F.lit("\n")).alias("text"))
 
 
-def context_changes(log: DataFrame) -> DataFrame:
-    """(date, changes): how often a day's writer differs from the line before, its first line included."""
-    before = F.lag("principal").over(Window.partitionBy("date").orderBy("seq"))
-    return event_lines(log).withColumn("changed", F.coalesce(F.col("principal") != before, F.lit(True))).groupBy("date").agg(F.count_if("changed").alias("changes"))
+def with_comment_changes(rows: DataFrame) -> DataFrame:
+    """``rows`` (date, seq, comment, ..) with changed: whether a row's comment is another than the last one of its day; empty ones are none."""
+    comment = F.when(F.col("comment") != "", F.col("comment"))
+    shown = F.last(comment, ignorenulls=True).over(Window.partitionBy("date").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("changed", F.coalesce(comment != F.coalesce(shown, F.lit("")), F.lit(False)))
+
+
+def context_changes(rows: DataFrame) -> DataFrame:
+    """(date, changes): how often a day's lines (date, seq, comment) come under another comment."""
+    return with_comment_changes(rows).groupBy("date").agg(F.count_if("changed").alias("changes"))
+
+
+#: What an import keeps of a dated log's line, so that it can be written again as it was.
+HINTS = "raw_line string, context_comment string, prefix_blanks int, date_header string, auto_extracted boolean, confidence string, principal_was_prefixed boolean"
+
+
+def regenerated(entries: DataFrame) -> DataFrame:
+    """(date, text): dated logs of entries (date, seq, tag, slug, principal, content, hints), as their author laid them out.
+
+    ``hints`` (a struct of HINTS, null for entries that were not imported) gives an entry's line, the comment
+    it stands under, blank lines before it and the day's header; without them lines are made from their parts,
+    and a comment that changes is set off by a blank line. Entries of a topic file's parts don't belong here.
+    """
+    h = F.col("hints")
+    by_day = Window.partitionBy("date").orderBy("seq")
+    own = with_comment_changes(entries.withColumn("comment", h["context_comment"]))
+    own = own.withColumn("first", F.row_number().over(by_day) == 1).withColumn("header", F.first(h["date_header"]).over(by_day))
+    blanks = F.coalesce(h["prefix_blanks"], F.when(F.col("first"), F.col("header").isNotNull().cast("int")).otherwise(F.col("changed").cast("int")))
+    principal = F.when(F.coalesce(h["principal_was_prefixed"], F.lit(False)), F.col("principal"))
+    made = written_line(F.col("tag"), F.col("slug"), F.col("content"), F.coalesce(h["auto_extracted"], F.lit(False)), h["confidence"], principal)
+    line = F.coalesce(F.when(h["raw_line"] != "", h["raw_line"]), made)
+    comment = F.when(F.col("changed"), F.concat(F.lit("<!-- "), "comment", F.lit(" -->\n"))).otherwise("")
+    whole = F.concat(F.when(F.col("first") & F.col("header").isNotNull(), F.concat("header", F.lit("\n"))).otherwise(""), F.repeat(F.lit("\n"), blanks), comment, line)
+    return _joined(own, ["date"], whole, F.col("seq"), sep="\n").select("date", F.concat("text", F.lit("\n")).alias("text"))
 
 
 def pending(log: DataFrame, now_ms: int, cap: int = 10) -> DataFrame:

@@ -24,9 +24,15 @@ UNIT_BOOSTS, UNIT_FUZZY = {"content": 1.0, "slug": 2.0}, 0.3
 TOPIC_BOOSTS, TOPIC_FUZZY = {"slug": 5.0, "tags": 2.0, "content": 0.5}, 0.1
 
 
-def tier(tag: Column, retired: Column) -> Column:
-    """curated, source or note; null for a retired curated unit."""
-    return F.when((tag == "CURATED") & retired, None).when(tag == "CURATED", "curated").when(tag == "SOURCE", "source").otherwise("note")
+def own_tag(tag: Column, imported_field: Column) -> Column:
+    """Whether an entry's tag stands for what it is: one that was imported (``imported_field`` says from which part of a file) must come from the part of that name."""
+    return imported_field.isNull() | (imported_field == F.lower(tag))
+
+
+def tier(tag: Column, retired: Column, imported_field: Column | None = None) -> Column:
+    """curated, source or note; null for a retired curated unit. A curated or source entry imported from elsewhere is a note."""
+    own = F.lit(True) if imported_field is None else own_tag(tag, imported_field)
+    return F.when((tag == "CURATED") & retired, None).when((tag == "CURATED") & own, "curated").when((tag == "SOURCE") & own, "source").otherwise("note")
 
 
 def in_scope(tier_col: Column, scope: str = "curated") -> Column:
@@ -34,8 +40,9 @@ def in_scope(tier_col: Column, scope: str = "curated") -> Column:
 
 
 def live(units: DataFrame) -> DataFrame:
-    """Units with their tier; retired curated ones have none and go."""
-    return units.withColumn("tier", tier(F.col("tag"), F.col("retired"))).where("tier is not null")
+    """Units with their tier; retired curated ones have none and go. Where they have an imported_field, it counts."""
+    field = F.col("imported_field") if "imported_field" in units.columns else None
+    return units.withColumn("tier", tier(F.col("tag"), F.col("retired"), field)).where("tier is not null")
 
 
 def chunked(units: DataFrame) -> DataFrame:
