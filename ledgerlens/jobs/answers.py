@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..operators.similarity import alike, named_sets
 from ..sources.storage import materialize
 
 CLUSTER = "array<struct<slug:string,name:string,description:string,rationale:string,supporting_seqs:array<bigint>>>"
@@ -58,14 +59,16 @@ def bootstrap(answers: DataFrame, key: str = "answer_id", most: int = MAX_BULLET
 def survivors(candidates: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(batch, i) of candidates (batch, i, content), each batch taken in order, that resemble no earlier one that survives.
 
-    Texts without tokens resemble nothing. Likeness is found by an equi-join on shared tokens; then rounds decide all whose earlier likenesses are decided.
+    Texts without tokens resemble nothing. Of equal sets of tokens the first stands for all: whatever becomes of
+    it, the others resemble an earlier survivor. Rounds then decide all whose earlier likenesses are decided.
     """
-    c = candidates.select("batch", "i", F.array_distinct(tokens(F.col("content"))).alias("t"))
-    each = materialize(c.select("batch", "i", F.size("t").alias("n"), F.explode("t").alias("term")), "candidate-tokens")
-    a, b = (each.select("batch", "term", *[F.col(x).alias(f"{end}_{x}") for x in ("i", "n")]) for end in "ab")
-    near = (F.col("a_i") < F.col("b_i")) & (F.col("a_n") >= F.col("b_n") * threshold) & (F.col("b_n") >= F.col("a_n") * threshold)
-    shared = a.join(b, ["batch", "term"]).where(near).groupBy("batch", "a_i", "b_i", "a_n", "b_n").agg(F.count("*").alias("both"))
-    like = materialize(shared.where(F.col("both") >= threshold * (F.col("a_n") + F.col("b_n") - F.col("both"))).select("batch", "a_i", "b_i"), "candidate-likeness")
+    c = candidates.select("batch", "i", F.array_distinct(tokens(F.col("content"))).alias("terms")).where(F.size("terms") > 0)
+    rows = materialize(named_sets(c, ["batch"]), "candidate-sets")
+    sets = materialize(rows.groupBy("batch", "name").agg(F.min("i").alias("i"), F.first("terms").alias("terms")), "candidate-names")
+    first = sets.select("name", "batch", "i")
+    ends = alike(sets, ["batch"], threshold).join(first.withColumnsRenamed({"name": "a", "i": "i_a"}), "a").join(first.select(F.col("name").alias("b"), F.col("i").alias("i_b")), "b")
+    like = materialize(ends.select("batch", F.least("i_a", "i_b").alias("a_i"), F.greatest("i_a", "i_b").alias("b_i")), "candidate-likeness")
+    copies = rows.join(first.select("name", F.col("i").alias("first")), "name").where(F.col("i") > F.col("first")).select("batch", "i")
     # only candidates that some likeness touches wait for a decision
     open_ = materialize(like.select("batch", F.col("a_i").alias("i")).union(like.select("batch", "b_i")).distinct(), "candidate-open")
     dropped = None
@@ -76,8 +79,8 @@ def survivors(candidates: DataFrame, threshold: float = 0.8) -> DataFrame:
         gone = materialize(gone.join(open_, ["batch", "i"], "left_semi"), "candidate-gone")
         dropped = gone if dropped is None else materialize(dropped.unionByName(gone), "candidate-dropped")
         open_ = materialize(open_.join(kept, ["batch", "i"], "left_anti").join(gone, ["batch", "i"], "left_anti"), "candidate-open")
-    rows = candidates.select("batch", "i")
-    return rows if dropped is None else rows.join(dropped, ["batch", "i"], "left_anti")
+    gone = copies if dropped is None else copies.unionByName(dropped)
+    return candidates.select("batch", "i").join(gone, ["batch", "i"], "left_anti")
 
 
 def error_code(message):

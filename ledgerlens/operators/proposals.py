@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slug_key, slug_ok, support_fingerprint
+from ..sources.storage import materialize
 from .admission import MAX_SUPPORT
+from .similarity import alike, both_ways, named_sets
 from .state import cooldowns, dismissals, suggestions, topics, writes
 
 OVERLAP = 0.65
@@ -149,18 +151,18 @@ def bootstrap_eligible(log: DataFrame, now_ms: int, max_days: int = 60) -> DataF
 
 
 def repeated_bullets(log: DataFrame, threshold: float = 0.35, least: int = 3) -> DataFrame:
-    """(slug, seq): curated writes that a later write of the topic resembles, by equi-join on shared tokens."""
+    """(slug, seq): curated writes that a later write of the topic, not a curated one, resembles.
+
+    Texts meet as sets of words, each set of a topic once, with the last write that has it.
+    """
     from ..functions.text import tokens
 
-    t = F.array_distinct(tokens(F.col("content")))
-    w = writes(log).select("slug", "seq", "tag", "content")
-    bullets = w.where(F.col("tag") == "CURATED").select("slug", F.col("seq").alias("b"), F.size(t).alias("n"), F.explode(t).alias("term")).where(F.col("n") >= least)
-    # equal texts of a topic meet a bullet once, as their last
-    other = w.where(F.col("tag") != "CURATED").groupBy("slug", "content").agg(F.max("seq").alias("o"))
-    other = other.select("slug", "o", F.size(t).alias("m"), F.explode(t).alias("term"))
-    shared = bullets.join(other, ["slug", "term"]).where(F.col("o") > F.col("b")).groupBy("slug", "b", "o", "n", "m").agg(F.count("*").alias("both"))
-    near = shared.where(F.col("both") / (F.col("n") + F.col("m") - F.col("both")) >= threshold)
-    return near.select("slug", F.col("b").alias("seq")).distinct()
+    w = writes(log).select("slug", "seq", (F.col("tag") == "CURATED").alias("bullet"), F.array_distinct(tokens(F.col("content"))).alias("terms"))
+    rows = materialize(named_sets(w.where((F.size("terms") > 0) & (~F.col("bullet") | (F.size("terms") >= least))), ["slug"]), "bullet-sets")
+    sets = materialize(rows.groupBy("slug", "name").agg(F.max(F.when(~F.col("bullet"), F.col("seq"))).alias("last"), F.first("terms").alias("terms")), "bullet-names")
+    near = both_ways(alike(sets, ["slug"], threshold), sets)
+    last = near.join(sets.where("last is not null").select(F.col("name").alias("b"), "last"), "b").groupBy("a").agg(F.max("last").alias("last"))
+    return rows.where("bullet").join(last.withColumnRenamed("a", "name"), "name").where(F.col("last") > F.col("seq")).select("slug", "seq").distinct()
 
 
 # The grammar of extracted entries.
