@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import block_max, chain, projection, retrieval, state
-from ..sources import adapters, json_array, jsonl
+from ..sources import adapters, json_array, jsonl, markdown
 from ..sources.storage import materialize, scratch_path
 from ..streaming import fold, keyed
-from . import append, imports, vector_store
-from .catalog import _CHAIN, _DAMAGED, _DELTA, _asked, _chunk_sql, _damaged, _entries, _lexical_sql, _log, _units, query
+from . import append, imports, publish, vector_store
+from .catalog import _CHAIN, _DAMAGED, _DELTA, _LAYERS, _asked, _chunk_sql, _damaged, _entries, _lexical_sql, _log, _units, query
 
 # incremental fold ---------------------------------------------------------------------------
 
@@ -273,3 +273,25 @@ def log_roundtrip(spark, d):
     hints = F.from_json("detail", projection.HINTS).alias("hints")
     rows = entries.select(F.substring("source_file", 1, 10).alias("date"), F.col("at").alias("seq"), "tag", "slug", "principal", "content", hints)
     return projection.regenerated(rows).select("date", F.md5("text").alias("text_md5"))
+
+
+# projections as files -----------------------------------------------------------------------
+
+
+@query(_LAYERS + """, half AS (SELECT max(pos) * 19 // 20 AS h FROM log)
+SELECT slug, (SELECT count(*) FROM log l, half WHERE l.slug = meta.slug AND l.pos > h) > 0 AS touched_again, md5(coalesce(two, '')) AS curated_md5 FROM meta""")
+def published_files(spark, d):
+    """Topic files published when most of the log was there, and again after the rest: which were made twice, and their curated part."""
+    log, root = _log(spark, d), scratch_path(spark, "published")
+    half = (log.agg(F.max("pos")).first()[0] or 0) * 19 // 20
+    first = publish.update(log.where(F.col("pos") <= half), root)
+    later = log.where(F.col("pos") > half).select("slug").distinct().withColumn("again", F.lit(True))
+    second = publish.update(log, root)
+    kept = second.index.where(F.col("since") == first.version).select("slug")
+    parts = markdown.topic_files(second.texts())
+    rows = second.index.select("slug").join(later, "slug", "left").join(parts.select("slug", "curated"), "slug")
+    # a topic without new entries keeps the file of the first version
+    stale = rows.where("again is null").join(kept, "slug", "left_anti")
+    if not stale.isEmpty():
+        raise AssertionError("a file was written again without need")
+    return rows.select("slug", F.coalesce("again", F.lit(False)).alias("touched_again"), F.md5("curated").alias("curated_md5"))
