@@ -1265,18 +1265,6 @@ def gold_sessions(spark, d):
     return evals.gold_of(turns, turns.where("session % 3 = 0"))
 
 
-@query(_RANKINGS + """, h AS (SELECT g.qid, tier, rank, top.session = g.session AS relevant FROM top JOIN gold g USING (qid) JOIN live ON live.doc_id = top.key WHERE rank <= 5),
-p AS (SELECT avg(p) AS p FROM (SELECT avg(relevant::INT) AS p FROM h WHERE tier <> 'curated' GROUP BY qid, tier)),
-r AS (SELECT 100 * avg(whole::INT) AS r FROM (SELECT g.qid, bool_and(coalesce(rank <= 5, false)) AS whole FROM gold g LEFT JOIN s USING (qid, session) GROUP BY g.qid))
-SELECT r >= 50 + 5 AS recall_gain, p IS NULL OR p >= 0.5 AS advisory_precision_ok, 96 >= 95 AS trust_compliance, true AS no_regression, r >= 55 AND (p IS NULL OR p >= 0.5) AS promote FROM p, r""")
-def promotion_bar(spark, d):
-    """The bar for the vectors' ranking, against a lexical recall of 50 and full compliance."""
-    recall = evals.recall(_sessions(spark, d), _gold(spark, d)).select((F.col("recall_all_5") * 100).alias("hybrid_recall"))
-    precision = evals.advisory_precision(_vector_hits(spark, d)).withColumnRenamed("precision", "advisory_precision")
-    row = recall.join(F.broadcast(precision))  # one row each
-    return evals.promotion(row.withColumns({"lexical_recall": F.lit(50), "compliance": F.lit(96), "regressions": F.lit(0)}))
-
-
 @query("SELECT vec_id AS qid FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
 def remaining_questions(spark, d):
     """Vectors as questions, of which the labelled are done."""

@@ -61,6 +61,20 @@ def advisory_precision(hits: DataFrame, k: int = 5) -> DataFrame:
     return each.agg(F.avg("p").alias("precision"))
 
 
+#: Tiers that an answer must not be written from.
+NO_WRITE = ("note", "source")
+
+
+def compliance(hits: DataFrame, cases: DataFrame) -> DataFrame:
+    """(compliance), one row, in per cent of cases (qid, correct_slug, wrong_tier): the right topic's curated entry is among hits (qid, slug, tier), and the wrong tier is none to write from.
+
+    Without cases there is nothing to comply with: 100.
+    """
+    right = hits.where("tier = 'curated'").select("qid", F.col("slug").alias("correct_slug")).distinct().withColumn("found", F.lit(True))
+    each = cases.join(right, ["qid", "correct_slug"], "left").select((F.col("found").isNotNull() & F.col("wrong_tier").isin(*NO_WRITE)).alias("ok"))
+    return each.agg(F.coalesce(100 * F.avg(F.col("ok").cast("double")), F.lit(100.0)).alias("compliance"))
+
+
 def promotion(metrics: DataFrame, gain: float = 5, precision: float = 0.5, trust: float = 95) -> DataFrame:
     """The pre-registered bar over one row of percentages (lexical_recall, hybrid_recall, advisory_precision, compliance, regressions)."""
     criteria = {

@@ -9,8 +9,8 @@ from ..operators import block_max, chain, projection, retrieval, state
 from ..sources import adapters, json_array, jsonl, markdown
 from ..sources.storage import materialize, scratch_path
 from ..streaming import fold, keyed
-from . import append, imports, publish, vector_store
-from .catalog import _CHAIN, _DAMAGED, _DELTA, _LAYERS, _asked, _chunk_sql, _damaged, _entries, _lexical_sql, _log, _units, query
+from . import append, evals, imports, publish, rankers, vector_store
+from .catalog import _CHAIN, _DAMAGED, _DELTA, _LAYERS, _RANKINGS, _vector_hits, _asked, _chunk_sql, _damaged, _entries, _lexical_sql, _log, _units, query
 
 # incremental fold ---------------------------------------------------------------------------
 
@@ -295,3 +295,58 @@ def published_files(spark, d):
     if not stale.isEmpty():
         raise AssertionError("a file was written again without need")
     return rows.select("slug", F.coalesce("again", F.lit(False)).alias("touched_again"), F.md5("curated").alias("curated_md5"))
+
+
+# rankers by session -------------------------------------------------------------------------
+
+_TURNS = "SELECT conv_id || ':' || turn AS key, 'content' AS field, coalesce(text, '') AS text FROM conversations WHERE role = 'user'"
+_COUNTED = "[length({p} || {t})::DOUBLE, length(regexp_replace({p} || {t}, '[^ ]', '', 'g'))::DOUBLE, length(regexp_replace({p} || {t}, '[^e]', '', 'g'))::DOUBLE]"
+_RANKED = _lexical_sql("auto", 0.3, fields=_TURNS, boosts={"content": 1.0}, limit=1_000_000_000) + """,
+by_words AS (SELECT qid, session, row_number() OVER (PARTITION BY qid ORDER BY best, session) AS rank FROM (SELECT qid, regexp_extract(key, '^(.*):', 1) AS session, min(rank) AS best FROM lex GROUP BY ALL)),
+texts AS (SELECT conv_id::VARCHAR AS session, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id),
+sv AS (SELECT session, """ + _COUNTED.format(p="'passage: '", t="t") + """ AS v FROM texts), qv AS (SELECT item_id AS qid, """ + _COUNTED.format(p="'query: '", t="text") + """ AS v FROM benchmark WHERE item_id % 100 = 0),
+cs AS (SELECT qid, session, list_sum(list_transform([1, 2, 3], lambda i: sv.v[i] * qv.v[i])) / sqrt(list_sum(list_transform(sv.v, lambda x: x * x)) * list_sum(list_transform(qv.v, lambda x: x * x))) AS c FROM sv, qv),
+by_vectors AS (SELECT qid, session, row_number() OVER (PARTITION BY qid ORDER BY round(c, 9) DESC, session) AS rank FROM cs),
+fu AS (SELECT qid, session, sum(w / (60 + rank)) AS score FROM (SELECT *, 0.5 AS w FROM by_words UNION ALL SELECT *, 1.0 FROM by_vectors) GROUP BY ALL),
+by_both AS (SELECT qid, session, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, session) AS rank FROM fu)"""
+
+
+def _ranked(spark, d):
+    passages = vector_store.COUNTING
+    return rankers.rank_all(adapters.table(spark, d, "conversations"), _asked(spark, d), passages, vector_store.Model(passages.identity, passages.load, "query: "))
+
+
+@query(_RANKED + """ SELECT 'lexical' AS ranker, qid, session, rank FROM by_words UNION ALL SELECT 'semantic', qid, session, rank FROM by_vectors UNION ALL SELECT 'hybrid', qid, session, rank FROM by_both""")
+def session_rankers(spark, d):
+    """Every session's place for each question, by words, by vectors and by both."""
+    found = [r.select(F.lit(name).alias("ranker"), "qid", "session", "rank") for name, r in _ranked(spark, d).items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(_RANKED + ",\n" + _RANKINGS.replace("gold AS", "vgold AS").replace("sims AS", "vsims AS").replace("FROM sims", "FROM vsims").replace("top AS", "vtop AS").replace("FROM top", "FROM vtop").replace("s AS (SELECT qid, session, row_number()", "vs AS (SELECT qid, session, row_number()") + """,
+g AS (SELECT item_id AS qid, (item_id // 100)::VARCHAR AS session FROM benchmark WHERE item_id % 100 = 0),
+m AS (SELECT 100 * avg((SELECT count(*) FROM by_words w WHERE w.qid = g.qid AND w.session = g.session AND w.rank <= 5)::DOUBLE) AS lexical, 100 * avg((SELECT count(*) FROM by_both b WHERE b.qid = g.qid AND b.session = g.session AND b.rank <= 5)::DOUBLE) AS hybrid,
+  count(*) FILTER (EXISTS (SELECT 1 FROM by_words w WHERE w.qid = g.qid AND w.session = g.session AND w.rank <= 5) AND NOT EXISTS (SELECT 1 FROM by_both b WHERE b.qid = g.qid AND b.session = g.session AND b.rank <= 5)) AS regressions FROM g),
+h AS (SELECT vgold.qid, tier, vtop.session = vgold.session AS relevant FROM vtop JOIN vgold USING (qid) JOIN live ON live.doc_id = vtop.key WHERE rank <= 5),
+p AS (SELECT avg(p) AS p FROM (SELECT avg(relevant::INT) AS p FROM h WHERE tier <> 'curated' GROUP BY qid, tier)),
+c AS (SELECT 100 * avg((EXISTS (SELECT 1 FROM h WHERE h.qid = vgold.qid AND tier = 'curated' AND relevant))::INT) AS c FROM vgold)
+SELECT hybrid >= lexical + 5 AS recall_gain, p IS NULL OR p >= 0.5 AS advisory_precision_ok, c >= 95 AS trust_compliance, regressions = 0 AS no_regression,
+  hybrid >= lexical + 5 AND (p IS NULL OR p >= 0.5) AND c >= 95 AND regressions = 0 AS promote, round(lexical, 6) AS lexical_recall, round(hybrid, 6) AS hybrid_recall, round(p, 6) AS advisory_precision, round(c, 6) AS compliance, regressions FROM m, p, c""")
+def promotion_bar(spark, d):
+    """The bar from measured inputs: both rankings of sessions, the precision of lower tiers, what was at hand to answer from, and what fusion lost."""
+    ranked = _ranked(spark, d)
+    gold = _asked(spark, d).select("qid", F.floor(F.col("qid") / 100).cast("string").alias("session"))
+    recall = lambda name: evals.recall(ranked[name], gold, (5,)).select((F.col("recall_all_5") * 100).alias(f"{name}_recall"))
+    as_slug = lambda df: df.withColumnRenamed("session", "slug")
+    lost = evals.regressions(as_slug(ranked["lexical"]), as_slug(ranked["hybrid"]), as_slug(gold)).withColumnRenamed("n", "regressions")
+    hits = _vector_hits(spark, d)
+    precision = evals.advisory_precision(hits).withColumnRenamed("precision", "advisory_precision")
+    asked = adapters.table(spark, d, "embeddings").where("vec_id % 100 = 0")
+    cases = asked.select(F.col("vec_id").alias("qid"), F.lit("right").alias("correct_slug"), F.lit("note").alias("wrong_tier"))
+    held = evals.compliance(hits.withColumn("slug", F.when(F.col("relevant"), "right").otherwise("other")), cases)
+    row = recall("lexical")
+    for one in (recall("hybrid"), lost, precision, held):  # one row each
+        row = row.join(F.broadcast(one))
+    row = materialize(row, "bar")
+    shown = [F.round(c, 6).alias(c) for c in ("lexical_recall", "hybrid_recall", "advisory_precision", "compliance")]
+    return evals.promotion(row).join(F.broadcast(row.select(*shown, "regressions")))
