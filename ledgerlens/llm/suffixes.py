@@ -81,6 +81,12 @@ def hashes(data: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Hashes evenly spread again, one to one: the least of many are all small."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, anchor, first, last): runs of strings that share an anchor, and where the first and last begin.
 
@@ -108,7 +114,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         new = np.ones(len(at), dtype=bool)
         new[1:] = (place[1:] != place[:-1]) | (np.diff(at) != 1)
         head = np.flatnonzero(new)
-        found.append((h[place[head]], start + place[head], at[head], at[np.append(head[1:], len(at)) - 1]))
+        found.append((_spread(h[place[head]]), start + place[head], at[head], at[np.append(head[1:], len(at)) - 1]))
     if not found:
         nothing = np.zeros(0, dtype=np.int64)
         return nothing.astype(np.uint64), nothing, nothing, nothing

@@ -136,3 +136,10 @@ def test_query_is_the_plain_one(spark):
     want = plain(rows)
     assert sum(r[2] > 0 for r in want) > 5
     assert got(queries.op13_suffix_dedup(spark, d)) == want
+
+
+def test_hashes_of_anchors_are_even():
+    data = np.random.default_rng(1).integers(0, 256, 400_000).astype(np.uint8)
+    h = suffixes.anchors(data, np.array([len(data)]))[0]
+    parts = np.bincount((h >> np.uint64(61)).astype(np.int64), minlength=8)
+    assert parts.min() > 0.8 * parts.mean() and parts.max() < 1.2 * parts.mean()
