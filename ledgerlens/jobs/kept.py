@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import block_max, chain, projection, retrieval, state
+from ..operators import admission, block_max, chain, projection, retrieval, state
 from ..sources import adapters, json_array, jsonl, markdown
 from ..sources.storage import materialize, scratch_path
 from ..streaming import fold, keyed
@@ -350,3 +350,27 @@ def promotion_bar(spark, d):
     row = materialize(row, "bar")
     shown = [F.round(c, 6).alias(c) for c in ("lexical_recall", "hybrid_recall", "advisory_precision", "compliance")]
     return evals.promotion(row).join(F.broadcast(row.select(*shown, "regressions")))
+
+
+# payloads as JSON ---------------------------------------------------------------------------
+
+
+@query("""p AS (SELECT seq, (CASE k % 8 WHEN 0 THEN '{"suggestion_seq":' || seq || ',"accepted_slug":"' || slug || '"}' WHEN 1 THEN '{"suggestion_seq":1,"note":"x","accepted_slug":"' || slug || '"}'
+  WHEN 2 THEN '{"accepted_slug":"' || slug || '"}' WHEN 3 THEN '{"suggestion_seq":"' || seq || '","accepted_slug":"' || slug || '"}' WHEN 4 THEN '{"suggestion_seq":' || (k - 50) || '.5,"accepted_slug":"a-b"}'
+  WHEN 5 THEN '{"suggestion_seq":' || (seq + k - 50) || ',"accepted_slug":"a-b"}' WHEN 6 THEN '{"suggestion_seq":1}' ELSE '{"suggestion_seq":1,"accepted_slug":"Bad ' || slug || '"}' END)::JSON AS j FROM log)
+SELECT seq, CASE WHEN len(list_filter(json_keys(j), lambda x: x NOT IN ('suggestion_seq', 'accepted_slug'))) > 0 THEN list_filter(json_keys(j), lambda x: x NOT IN ('suggestion_seq', 'accepted_slug'))[1] || ':unknown_field'
+  WHEN NOT list_contains(json_keys(j), 'suggestion_seq') THEN 'suggestion_seq:required'
+  WHEN json_type(j, '$.suggestion_seq') NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') OR (j->>'suggestion_seq')::DOUBLE <> floor((j->>'suggestion_seq')::DOUBLE) OR (j->>'suggestion_seq')::DOUBLE < 1 THEN 'suggestion_seq:must_be_safe_positive_integer'
+  WHEN (j->>'suggestion_seq')::DOUBLE > seq - 1 THEN 'suggestion_seq:future_or_unknown_seq' WHEN NOT list_contains(json_keys(j), 'accepted_slug') THEN 'accepted_slug:required'
+  WHEN length(j->>'accepted_slug') NOT BETWEEN 2 AND 40 THEN 'accepted_slug:length_out_of_range' WHEN NOT regexp_matches(j->>'accepted_slug', '^[a-z0-9]+(-[a-z0-9]+)*$') THEN 'accepted_slug:slug_regex_mismatch' END AS reason FROM p""")
+def accepted_rejects(spark, d):
+    """Payloads of accepted suggestions in eight forms, offered when the number before their own was the last."""
+    k, seq, slug = F.col("k"), F.col("seq").cast("string"), F.col("slug")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    payload = (
+        F.when(k % 8 == 0, text('{"suggestion_seq":', seq, ',"accepted_slug":"', slug, '"}')).when(k % 8 == 1, text('{"suggestion_seq":1,"note":"x","accepted_slug":"', slug, '"}'))
+        .when(k % 8 == 2, text('{"accepted_slug":"', slug, '"}')).when(k % 8 == 3, text('{"suggestion_seq":"', seq, '","accepted_slug":"', slug, '"}'))
+        .when(k % 8 == 4, text('{"suggestion_seq":', (k - 50).cast("string"), '.5,"accepted_slug":"a-b"}')).when(k % 8 == 5, text('{"suggestion_seq":', (F.col("seq") + k - 50).cast("string"), ',"accepted_slug":"a-b"}'))
+        .when(k % 8 == 6, F.lit('{"suggestion_seq":1}')).otherwise(text('{"suggestion_seq":1,"accepted_slug":"Bad ', slug, '"}'))
+    )
+    return _log(spark, d).select("seq", admission.accepted_reason(payload, F.col("seq") - 1).alias("reason"))

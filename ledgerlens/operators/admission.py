@@ -26,15 +26,23 @@ def by_matrix(log: DataFrame, matrix: DataFrame) -> DataFrame:
     return found.withColumn("reject_code", code)
 
 
-def write_payload_reason(slug: Column, content: Column, tag: Column, confidence: Column, source: Column) -> Column:
-    """``field:reason`` of the first rule that a write payload breaks; null where it breaks none."""
+def tainted(payload: Column, mark: str = ORIGIN_MARK) -> Column:
+    """Whether the mark that search results bear stands anywhere in a payload's JSON: in a key, in a nested value, inside a text."""
+    return F.coalesce(F.contains(payload, F.lit(mark)), F.lit(False))
+
+
+def write_payload_reason(slug: Column, content: Column, tag: Column, confidence: Column, source: Column, payload: Column | None = None, mark: str = ORIGIN_MARK) -> Column:
+    """``field:reason`` of the first rule that a write payload breaks; null where it breaks none.
+
+    ``payload`` is the whole payload as JSON, searched for ``mark``; without it the content alone is.
+    """
     effective = F.coalesce(tag, F.lit("FACT"))
     cap = F.when(effective == "SOURCE", MAX_SOURCE).when(effective == "CURATED", MAX_CURATED).otherwise(MAX_EVENT)
     return (
         F.when(slug.isNull(), "slug:required")
         .when(~slug_ok(slug), "slug:invalid_slug")
         .when(content.isNull() | (content == ""), "content:required")
-        .when(F.contains(content, F.lit(ORIGIN_MARK)), "payload:retrieval_origin")
+        .when(tainted(content if payload is None else payload, mark), "payload:retrieval_origin")
         .when(~effective.isin(*EVENT_TAGS, *LAYER_TAGS), "tag:enum_violation")
         .when(F.length(content) > cap, "content:length_out_of_range")
         .when(effective.isin(*EVENT_TAGS) & content.rlike(r"[\r\n]"), "content:must_be_single_line_for_tag")
@@ -124,6 +132,29 @@ def metadata_reason(topic, kind, status, tags, created, summary) -> Column:
     )
 
 
+def accepted_reason(payload: Column, max_known: Column | None = None) -> Column:
+    """First rule that the payload of an accepted suggestion, as JSON, breaks: known fields alone, a number that exists, a slug.
+
+    ``max_known`` is the highest number given out when it is offered.
+    """
+    v = F.try_parse_json(payload)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    has = lambda name: F.array_contains(F.json_object_keys(payload), name)
+    other = F.get(F.filter(F.json_object_keys(payload), lambda k: ~k.isin("suggestion_seq", "accepted_slug")), F.lit(0))
+    number = F.try_variant_get(v, "$.suggestion_seq", "double")
+    whole = kind("$.suggestion_seq").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (number == F.floor(number)) & number.between(1, 2**53 - 1)
+    slug = F.when(kind("$.accepted_slug") == "STRING", F.try_variant_get(v, "$.accepted_slug", "string"))
+    found = (
+        F.when(v.isNull() | ~F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), "payload:must_be_object")
+        .when(other.isNotNull(), F.concat(other, F.lit(":unknown_field")))
+        .when(~has("suggestion_seq"), "suggestion_seq:required")
+        .when(~F.coalesce(whole, F.lit(False)), "suggestion_seq:must_be_safe_positive_integer")
+    )
+    if max_known is not None:
+        found = found.when(number > max_known, "suggestion_seq:future_or_unknown_seq")
+    return found.when(~has("accepted_slug"), "accepted_slug:required").when(slug.isNull(), "accepted_slug:must_be_string").otherwise(_slug_reason(slug, "accepted_slug"))
+
+
 def dismissed_reason(seqs, cooldown_days, reason, max_known=None) -> Column:
     """First rule that a dismissal breaks."""
     return F.coalesce(
