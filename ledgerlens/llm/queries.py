@@ -233,4 +233,25 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, leaf, subroot, root, proof_sha256, f.h AS folded_root, f.h = root AS verified
         FROM own JOIN proofs USING (doc_id) JOIN f USING (doc_id) WHERE f.step = f.last
     """,
+    "op13_suffix_dedup": r"""
+        WITH d AS (
+          SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+        ), stretches AS (  -- 500 bytes and what the strings that begin there need
+          SELECT doc_id, n, c * 500 AS base, substr(h, 1000 * c + 1, 1198) AS h FROM (SELECT *, unnest(range((n + 499) // 500)) AS c FROM d)
+        ), bytes AS (
+          SELECT doc_id, base + i AS p, substr(h, 2 * i + 1, 2) AS byte, CASE WHEN base + i + 100 <= n THEN md5_number(substr(h, 2 * i + 1, 200)) END AS s
+          FROM (SELECT *, unnest(range(least(500, n - base))) AS i FROM stretches)
+        ), seen AS (
+          SELECT doc_id, p, byte, s IS NOT NULL AND row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1 AS again FROM bytes
+        ), gone AS (
+          SELECT doc_id, p, byte, max(again::INT) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) = 1 AS gone FROM seen
+        ), runs AS (
+          SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS head FROM gone
+        ), found AS (
+          SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (head) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (NOT gone) AS kept
+          FROM runs GROUP BY doc_id
+        )
+        SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM d LEFT JOIN found USING (doc_id)
+    """,
 }
