@@ -13,8 +13,10 @@ Public keys, certificates and signatures have other fields and are not reported.
 A ``der`` or ``ssh`` body inside a ``pem`` span is part of that span.
 
 Offsets are code points, ends exclusive. Null texts count as empty. Texts are
-scanned whole and one by one, so repeated rows and ties are of no account; an
-empty table gives an empty result; other columns are not read.
+scanned whole and one by one, so repeated rows and ties are of no account; keys
+may be of any size, and a key that says it is longer than the base64 around it is
+refused unread, so very long texts cost about their length. An empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -48,10 +50,9 @@ _PEM = re.compile(
 # the first bytes of a DER sequence, and of SSH's container, in base64 and hex
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9+/_-]{22,}")
 _REST = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/_-]+)")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+")
 _HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
 _SSH_MAGIC = b"openssh-key-v1\0"
-#: A structure of more bytes is no key: RSA keys of 16,384 bits have under 10,000.
-MAX_KEY = 1 << 16
 # Tags of DER, and what the identifiers of password-based encryption begin with.
 INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 ENCRYPTIONS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c"))
@@ -117,8 +118,8 @@ def is_der_key(raw: bytes) -> bool:
     return numbers in (6, 9) and all(t == INTEGER for t in tags[:numbers])
 
 
-def ssh_size(raw: bytes) -> int | None:
-    """Bytes of the private key container that ``raw`` begins with, as its lengths say; None where they can't be read.
+def ssh_size(raw: bytes) -> tuple[bool, int] | None:
+    """(True, bytes of the private key container that ``raw`` begins with), as its lengths say, or (False, bytes that are needed to tell); None where it is none.
 
     Fields: cipher, key derivation and its options, a count, as many public keys, the private part.
     """
@@ -127,22 +128,22 @@ def ssh_size(raw: bytes) -> int | None:
         return None
     while n < 5 + keys:
         if at + 4 > len(raw):
-            return None
+            return False, at + 4
         size = int.from_bytes(raw[at : at + 4], "big")
         at += 4
         if n == 3:
             keys = size
         else:
             at += size
-        if keys > 64 or at > MAX_KEY or (n == 4 + keys and not size):
+        if n == 4 + keys and not size:
             return None
         n += 1
-    return at
+    return True, at
 
 
 def is_ssh_key(raw: bytes) -> bool:
     """The private key container, whole and exact."""
-    return ssh_size(raw) == len(raw)
+    return ssh_size(raw) == (True, len(raw))
 
 
 def is_jwt(header: str, payload: str, signature: str) -> bool:
@@ -175,21 +176,36 @@ def lines_at(text: str, start: int, end: int, wanted: int) -> tuple[str, int]:
     return "".join(parts), end
 
 
-def key_at(text: str, start: int, end: int) -> tuple[int, int] | None:
-    """(kind's number, end) of the key whose base64 begins at ``start`` and runs on its line to ``end``, and over later ones.
+def ssh_size_at(text: str, start: int, end: int, run_end: int) -> int | None:
+    """Bytes of the container whose base64 begins at ``start``: as much is read as its lengths ask for, at least twice as much each time."""
+    need = 1024
+    while True:
+        wanted = -(-need * 4 // 3)
+        some, _ = lines_at(text, start, end, wanted)
+        found = ssh_size(decoded64(some) or decoded64(some[: len(some) // 4 * 4]) or b"")
+        if found is None or found[0]:
+            return found and found[1]
+        if len(some) < wanted or found[1] * 4 > (run_end - start) * 3:
+            return None
+        need = max(found[1], 2 * need)
+
+
+def key_at(text: str, start: int, end: int, run_end: int) -> tuple[int, int] | None:
+    """(kind's number, end) of the key whose base64 begins at ``start`` and runs on its line to ``end``, and over later ones to ``run_end`` at most.
 
     How many characters it has comes from its own lengths; the last line must end with it.
     """
     head = decoded64(text[start : start + 24])
     if head and head.startswith(_SSH_MAGIC):
-        some, _ = lines_at(text, start, end, MAX_KEY * 4 // 3)
-        size = ssh_size(decoded64(some[: len(some) // 4 * 4]) or b"") or ssh_size(decoded64(some) or b"")
+        size = ssh_size_at(text, start, end, run_end)
     else:
         header = der_header(head, 0) if head else None
-        size = header[2] if header else None
-    if not size or size > MAX_KEY:
+        first = der_header(head, header[1]) if header else None
+        # the first field is a version or an algorithm inside the sequence
+        size = header[2] if first and first[0] in (INTEGER, SEQUENCE) and first[2] <= header[2] else None
+    wanted = -(-(size or 0) * 4 // 3)
+    if not size or wanted > run_end - start:
         return None
-    wanted = -(-size * 4 // 3)
     body, end = lines_at(text, start, end, wanted)
     raw = decoded64(body) if len(body) == wanted else None
     if not raw or not (is_der_key(raw) or is_ssh_key(raw)):
@@ -200,6 +216,18 @@ def key_at(text: str, start: int, end: int) -> tuple[int, int] | None:
     return (5 if is_der_key(raw) else 6), end
 
 
+def keys_of(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind's number, end) of the keys in base64."""
+    starts = [(m.start(), m.end()) for m in _BASE64.finditer(text)]
+    found, runs, run_end = [], _RUN.finditer(text, starts[0][0]) if starts else iter(()), 0
+    for a, b in starts:
+        while run_end <= a:
+            run_end = next(runs).end()
+        if key := key_at(text, a, b, run_end):
+            found.append((a, *key))
+    return found
+
+
 def spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end), in that order."""
     found: list[tuple[int, int, int]] = []
@@ -213,8 +241,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     armoured = []
     if "PRIVATE KEY-----" in text:
         armoured = [(m.start(), 4, m.end()) for m in _PEM.finditer(text) if is_pem_key(m[1], m[2], m[3])]
-    bodies = [(m.start(), key_at(text, m.start(), m.end())) for m in _BASE64.finditer(text)]
-    bare = [(a, *found_at) for a, found_at in bodies if found_at]
+    bare = keys_of(text)
     for m in _HEX_KEY.finditer(text):
         if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             bare.append((m.start(), 5, m.end()))
