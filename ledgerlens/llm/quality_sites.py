@@ -6,7 +6,7 @@ aggregation turns these into host means and, below them, path means; each is a
 Beta posterior whose prior is the level above, with a strength estimated from how
 much sites differ (method of moments), so sparse sites shrink toward the global
 mean. A document's posterior odds are its own odds times its path's odds over the
-global odds, the latter held within ``max_pull``.
+global odds.
 
 The classifier is fitted on at most ``max_per_class`` labelled documents of each
 class; everything else covers all rows. Null hosts and paths form a site of their
@@ -135,12 +135,11 @@ def sites(evidence: DataFrame) -> tuple[DataFrame, float, int]:
     return materialize(means, "quality-sites"), mean, row["n"] or 0
 
 
-def posterior(mean: float, max_pull: float = 4.0) -> Column:
-    """The document's probability of being good, from evidence and path_mean."""
+def posterior(mean: float) -> Column:
+    """The document's probability of being good: the odds of its evidence times what the site's odds are of all rows' odds."""
     odds = lambda p: p / (1 - p)
     held = lambda c: F.greatest(F.least(c, F.lit(1 - 1e-4)), F.lit(1e-4))
-    pull = F.greatest(F.least(odds(held(F.col("path_mean"))) / odds(mean), F.lit(max_pull)), F.lit(1 / max_pull))
-    o = odds(held(F.col("evidence"))) * pull
+    o = odds(held(F.col("evidence"))) * odds(held(F.col("path_mean"))) / odds(mean)
     return o / (1 + o)
 
 

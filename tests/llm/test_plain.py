@@ -132,11 +132,22 @@ def test_site_posteriors_are_the_plain_ones(spark):
     for r in found:
         h, p = docs[r.doc_id].source, docs[r.doc_id].lang
         assert r.host_mean == pytest.approx(host_mean[h]) and r.path_mean == pytest.approx(path_mean[h, p])
-        pull = max(min(odds(held(path_mean[h, p])) / odds(mean), 4.0), 0.25)
-        o = odds(held(r.evidence)) * pull
+        o = odds(held(r.evidence)) * odds(held(path_mean[h, p])) / odds(mean)
         assert r.posterior == pytest.approx(o / (1 + o)) and r.kept == (r.posterior >= 0.5)
 
 
+def test_quality_of_documents_whose_labels_were_not_learned(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = quality_sites.rated(docs, labels.where(~held_out), columns=["doc_id"]).join(labels.where(held_out), "doc_id").collect()
+    good, bad = ([r for r in found if r.quality == k] for k in (1, 0))
+    assert len(good) > 20 and len(bad) > 3
+    above = sum((g.posterior > b.posterior) + 0.5 * (g.posterior == b.posterior) for g in good for b in bad) / (len(good) * len(bad))
+    assert above > 0.9
+    assert sum(r.kept for r in good) >= 0.95 * len(good) and sum(not r.kept for r in bad) >= 0.6 * len(bad)
+
+
 def test_form_counts_by_characters(spark):
     texts = ["", "A b!!! C| $5 the the the. End", "no marks at all", "ÉCOLE é #tag a  a", " lead and trail. ", "x x\nx y y"]
     names = [f"f{i}" for i in range(7)]
