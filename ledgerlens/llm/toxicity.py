@@ -7,9 +7,10 @@ training documents that hold it; logistic regression is fitted on features scale
 by their ratios, and the product of weight and ratio scores a text.
 
 Training takes a bounded sample - ``max_per_class`` labelled documents of each
-class, by hash of their id - and counts it on the executors; the driver sees at
-most ``max_features`` ratios and the sample's features among them. Scoring reads
-every whole text. Null and empty texts have no features and get the score of the
+class, by hash of their id - and counts it on the executors; the driver sees a
+ratio for each bucket and the sample's features. Every n-gram of the sample has a
+weight. Scoring reads every whole text, cut into stretches of bounded length, so a
+very long text takes its characters and one table of buckets. Null and empty texts have no features and get the score of the
 intercept. Labels that are null or belong to no document are not learned from;
 without any of one class every text scores 0. Rows are scored one by one; an
 empty table gives an empty result; other columns are not read.
@@ -28,10 +29,12 @@ from .common import chunks_of, lean, materialize, small_batches, text_or_empty
 
 BITS = 21
 SIZES = (3, 4, 5, 6)
-#: Spaces after each text, so that no n-gram spans two.
+#: Spaces after each text, so that each of its places begins n-grams of all sizes.
 GAP = max(SIZES)
-#: Cells of a matrix of texts by chosen buckets.
-CELLS = 1 << 23
+#: Squared standard errors at which a ratio counts half, and steps of the regression.
+DOUBT, STEPS = 50.0, 40
+#: Characters of a stretch of a text, whose n-grams are looked at together.
+STRETCH = 1 << 18
 
 _letters: list[np.ndarray] = []
 
@@ -45,81 +48,57 @@ def _letter_table() -> np.ndarray:
     return _letters[0]
 
 
-def _grams(texts: list[str]):
-    """(size of n-gram, bucket at each place, document of each place or -1) for each size."""
-    spaced = "".join([" " + t.lower() + " " * GAP for t in texts])
-    points = _letter_table()[np.frombuffer(spaced.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
-    lengths = np.fromiter((len(t.lower()) + 1 + GAP for t in texts), dtype=np.int64, count=len(texts))
-    ends = np.cumsum(lengths)
-    h = points.copy()
-    at = 1
-    for size in range(2, max(SIZES) + 1):
-        h = h[:-1] * np.uint32(0x01000193) + points[at:]
-        at += 1
-        if size in SIZES:
-            yield ((h ^ np.uint32(size * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS), ends
+def _grams(text: str):
+    """The distinct buckets of each stretch of a text, ordered; the last n-grams begin with the space after the text."""
+    low = " " + text.lower() + " " * GAP
+    starts = len(low) - GAP + 1
+    for a in range(0, starts, STRETCH):
+        points = _letter_table()[np.frombuffer(low[a : a + STRETCH + GAP - 1].encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+        h, n, found = points.copy(), min(STRETCH, starts - a), []
+        for size in range(2, GAP + 1):
+            h = h[:-1] * np.uint32(0x01000193) + points[size - 1 :]
+            if size in SIZES:
+                found.append(((h[:n] ^ np.uint32(size * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS))
+        buckets = np.sort(np.concatenate(found))
+        yield buckets[np.append(True, buckets[1:] != buckets[:-1])], starts <= STRETCH
 
 
-def _doc_of(ends: np.ndarray) -> np.ndarray:
-    """By place the text that it is inside (one space after it counts), or -1."""
-    starts = np.concatenate(([0], ends[:-1]))
-    doc = np.repeat(np.arange(len(ends), dtype=np.int32), ends - starts)
-    doc[(ends[:, None] - np.arange(1, GAP)).ravel()] = -1
-    return doc
+def new_buckets(text: str):
+    """The distinct buckets of a text, part by part."""
+    seen = None
+    for buckets, whole in _grams(text):
+        if not whole:
+            seen = np.zeros(1 << BITS, dtype=bool) if seen is None else seen
+            buckets = buckets[~seen[buckets]]
+            seen[buckets] = True
+        yield buckets
 
 
-def features(texts: list[str], number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) pairs, each once, ordered.
+def buckets_of(text: str) -> np.ndarray:
+    """The distinct buckets of a text, ordered."""
+    return np.sort(np.concatenate(list(new_buckets(text)))).astype(np.int64)
 
-    With ``number``, which gives the chosen buckets numbers from 0 and others -1, (text, number) pairs, repeated ones as often as they stand.
-    """
-    docs, found, doc_of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], None
-    for buckets, ends in _grams(texts):
-        doc_of = _doc_of(ends) if doc_of is None else doc_of
-        kind = buckets if number is None else number[buckets]
-        doc = doc_of[: len(kind)]
-        places = np.flatnonzero(doc >= 0 if number is None else (kind >= 0) & (doc >= 0))
-        docs.append(doc[places])
-        found.append(kind[places])
-    doc, kind = np.concatenate(docs).astype(np.int64), np.concatenate(found).astype(np.int64)
-    if number is not None:
-        return doc, kind
-    pairs = np.unique(doc << BITS | kind)
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
-
-
-def numbered(buckets: np.ndarray) -> np.ndarray:
-    """By bucket its number in ``buckets``, or -1."""
-    number = np.full(1 << BITS, -1, dtype=np.int32)
-    number[buckets] = np.arange(len(buckets))
-    return number
 
-
-def held(texts: list[str], number: np.ndarray, n: int):
-    """(from, matrix): which of the ``n`` chosen buckets each text has, for texts from that place on, as many as fit ``CELLS``."""
-    most = max(1, CELLS // max(n, 1))
-    for a, b in chunks_of(texts):
-        for i in range(a, b, most):
-            some = texts[i : min(i + most, b)]
-            doc, kind = features(some, number)
-            has = np.zeros(len(some) * n, dtype=bool)
-            has[doc * n + kind] = True
-            yield i, has.reshape(len(some), n)
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) pairs, each once, ordered."""
+    sets = [buckets_of(t) for t in texts]
+    doc = np.repeat(np.arange(len(texts), dtype=np.int64), [len(x) for x in sets])
+    return doc, np.concatenate([np.zeros(0, np.int64), *sets])
 
 
 @dataclass
 class Model:
-    """Weights by bucket and an intercept."""
+    """A weight for each bucket and an intercept."""
 
-    buckets: np.ndarray
     weights: np.ndarray
     intercept: float
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """Probability of toxicity, for each text."""
-        number, out = numbered(self.buckets), np.full(len(texts), self.intercept)
-        for a, has in held(texts, number, len(self.buckets)):
-            out[a : a + len(has)] += has @ self.weights.astype(np.float32)
+        """Probability of toxicity, for each text: of its distinct buckets the weights are summed."""
+        out = np.full(len(texts), self.intercept)
+        for i, text in enumerate(texts):
+            for new in new_buckets(text):
+                out[i] += self.weights[new].sum(dtype=np.float64)
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
@@ -137,7 +116,7 @@ def fitted(rows: list[tuple[int, np.ndarray]], ratios: np.ndarray, prior_shift:
     counts = np.array([len(r[1]) for r in rows])
     cols = np.concatenate([r[1] for r in rows])
     ends = np.concatenate(([0], np.cumsum(counts)))
-    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], 1 << 19)), len(rows)))
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], 1 << 22)), len(rows)))
     parts = list(zip(cuts[:-1], cuts[1:], strict=True))  # of rows, with about so many features each
     w, b = np.zeros(len(ratios)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -190,15 +169,18 @@ def train(
     docs: DataFrame,
     labels: DataFrame,
     label: str = "toxic",
-    max_per_class: int = 6000,
-    max_features: int = 20_000,
-    min_sure: float = 2.5,
+    max_per_class: int = 1500,
+    doubt: float = DOUBT,
     penalty: float = 1e-4,
-    steps: int = 150,
+    steps: int = STEPS,
     doc_col="doc_id",
     text_col="text",
 ) -> Model:
-    """Fit on a bounded sample of ``labels`` (doc_id and ``label``)."""
+    """Fit on a bounded sample of ``labels`` (doc_id and ``label``).
+
+    Ratios are shrunk toward 0 by what their standard error says: to half where the
+    ratio is sqrt(``doubt``) standard errors, hardly where it is many.
+    """
     small_batches(docs.sparkSession)
     labelled = labels.select(F.col("doc_id"), F.col(label).cast("int").alias(label)).where(F.col(label).isin(0, 1))
     total = {r[label]: r["count"] for r in labelled.groupBy(label).count().collect()}
@@ -213,30 +195,25 @@ def train(
     n = {r[label]: r["count"] for r in texts.groupBy(label).count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
-        return Model(np.zeros(0, np.int64), np.zeros(0), -40.0)
-
-    chosen_rows = (
-        ratios(texts, n1, n0, label)
-        .where(F.col("sure") >= min_sure)
-        .orderBy(F.desc("sure"), "bucket")
-        .limit(max_features)
-        .select("bucket", "ratio")
-        .toArrow()
-        .sort_by("bucket")
-    )
-    buckets, found_ratios = np.asarray(chosen_rows["bucket"]).astype(np.int64), np.asarray(chosen_rows["ratio"])
+        return Model(np.zeros(1 << BITS, dtype=np.float32), -40.0)
+
+    trust = F.col("sure") * F.col("sure") / (F.col("sure") * F.col("sure") + F.lit(doubt))
+    shrunk = ratios(texts, n1, n0, label).select("bucket", (F.col("ratio") * trust).alias("ratio")).toArrow().sort_by("bucket")
+    buckets = np.asarray(shrunk["bucket"]).astype(np.int64)  # 2 ** BITS at most
 
     def extract(batches):
-        number = numbered(buckets)
         for batch in batches:
-            rows = [np.flatnonzero(x).astype("<i4").tobytes() for _, has in held(batch.column(1).to_pylist(), number, len(buckets)) for x in has]
+            rows = [buckets_of(t).astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], [label, "cols"])
 
+    number = np.zeros(1 << BITS, dtype=np.int32)
+    number[buckets] = np.arange(len(buckets))
     found = texts.mapInArrow(lean(extract), f"{label} int, cols binary").toLocalIterator()
-    rows = [(x[label], np.frombuffer(bytes(x["cols"]), dtype="<i4")) for x in found]
+    rows = [(x[label], number[np.frombuffer(bytes(x["cols"]), dtype="<i4")]) for x in found]
     shift = np.log((total[1] / total[0]) / (n1 / n0))
-    weights, intercept = fitted(rows, found_ratios, float(shift), penalty, steps)
-    return Model(buckets, weights, float(intercept))
+    weights = np.zeros(1 << BITS, dtype=np.float32)
+    weights[buckets], intercept = fitted(rows, np.asarray(shrunk["ratio"]), float(shift), penalty, steps)
+    return Model(weights, float(intercept))
 
 
 def score(docs: DataFrame, model: Model, doc_col="doc_id", text_col="text") -> DataFrame:

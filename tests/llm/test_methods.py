@@ -187,6 +187,50 @@ def test_signed_tokens_are_confirmed():
     assert secret_scan.redacted("x token=abcdefgh1 y", secret_scan.spans("x token=abcdefgh1 y")) == "x [ASSIGN] y"
 
 
+def test_keys_of_any_size_are_reported():
+    r = random.Random(12)
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    number = lambda n: _tlv(2, bytes([r.randrange(1, 128)]) + r.randbytes(n - 1))
+    rsa = _tlv(0x30, _tlv(2, b"\0"), *[number(12_000) for _ in range(8)])
+    public = [field(field(b"ssh-ed25519") + field(r.randbytes(32))) for _ in range(90)]
+    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (90).to_bytes(4, "big") + b"".join(public) + field(r.randbytes(90_000))
+    for kind, key in ((5, rsa), (6, ssh)):
+        body = base64.b64encode(key).decode()
+        for text in (body, "\n".join(body[i : i + 64] for i in range(0, len(body), 64))):
+            assert [x for x in secret_scan.spans(f"k {text} z") if x[1] > 2] == [(2, kind, 2 + len(text))]
+            cut = text[: len(text) // 2]
+            assert not [x for x in secret_scan.spans(f"k {cut} z") if x[1] > 2]
+    # lines that each claim to begin a key larger than all that follows are refused unread
+    line = base64.b64encode(bytes.fromhex("308300ffff") + b"\x02" * 43).decode() + "\n"
+    long = base64.b64encode(b"openssh-key-v1\0" + b"\x7f" * 33).decode() + "\n"
+    assert not [x for x in secret_scan.spans(line * 20_000 + long * 20_000) if x[1] > 2]
+
+
+def test_secret_scan_of_the_whole_table(spark):
+    from ledgerlens.llm import queries
+
+    d = "/root/testdata/sf0.01"
+    patterns = {
+        "assign": r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
+        "access": r"()(AKIA[A-Z0-9]+)", "hex": r"()([0-9a-f]+)",
+    }
+    least = {"assign": 8, "access": 16, "hex": 32}
+    got = {r.doc_id: r for r in queries.op8_secret_scan(spark, d).collect()}
+    docs = spark.read.parquet(f"{d}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for x in docs:
+        found = []
+        for k, (kind, pattern) in enumerate(patterns.items()):
+            found += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, x.text or "") if len(m[2]) >= least[kind]]
+        want, r = [s for _, _, s in sorted(found)], got[x.doc_id]
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(s.startswith(k) for s in want) for k in patterns]
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [s for s in r.spans.split(",") if s.split(":")[0] in patterns] == want
+        for s in (s.split(":") for s in r.spans.split(",") if s and s.split(":")[0] not in patterns):
+            assert secret_scan.spans(x.text[int(s[1]) : int(s[2])])[0][1:] == (secret_scan.KINDS.index(s[0]), int(s[2]) - int(s[1]))
+    assert sum(len(r.spans) > 0 for r in got.values()) > 5
+
+
 def test_base_secrets_by_the_contract():
     r = random.Random(7)
     bits = ["token", "=", ": ", '"', "abcdefgh", "AKIA", "ABCDEFGHIJKL", "0123456789abcdef", " ", "secret", "Pass", "word", "api_key", "-", "é"]
@@ -222,11 +266,45 @@ def test_ngrams_of_a_text_do_not_depend_on_its_neighbours():
 
 
 def test_toxicity_on_held_out_documents(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"
     from ledgerlens.llm import queries
 
     found = queries.op1_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
-    assert np.mean([r.predicted == r.toxic for r in found]) > 0.9
+    toxic, clean = ([r for r in found if r.toxic == k] for k in (1, 0))
+    assert len(toxic) > 50 and len(clean) > 500
+    above = sum((t.score > c.score) + 0.5 * (t.score == c.score) for t in toxic for c in clean) / (len(toxic) * len(clean))
+    assert above > 0.97  # 0.5 for a constant
+    assert sum(r.predicted for r in toxic) >= 0.75 * len(toxic) and sum(r.predicted for r in clean) <= 0.01 * len(clean)
+
+
+def test_toxicity_scores_are_sums_over_distinct_ngrams(monkeypatch):
+    r = random.Random(8)
+    weights = np.random.default_rng(8).normal(size=1 << toxicity.BITS).astype(np.float32) / 50
+
+    def bucket(gram):
+        h = gram[0]
+        for c in gram[1:]:
+            h = (h * 0x01000193 + c) & 0xFFFFFFFF
+        return ((h ^ (len(gram) * 0x9E3779B1 & 0xFFFFFFFF)) * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - toxicity.BITS)
+
+    texts = ["", "a", "Aa! bb\t9", "\U0001f600 \u0130x", *("".join(r.choice("abcDE ,1\u00e9") for _ in range(r.randrange(300))) for _ in range(20))]
+    plain = []
+    for t in texts:
+        low = [ord(c) if c.isalpha() else 32 for c in " " + t.lower() + " " * toxicity.GAP]
+        grams = {tuple(low[i : i + n]) for n in toxicity.SIZES for i in range(len(low) - toxicity.GAP + 1)}
+        plain.append(1 / (1 + np.exp(-(0.1 + sum(float(weights[b]) for b in {bucket(g) for g in grams})))))
+    model = toxicity.Model(weights, 0.1)
+    assert np.allclose(model.score(texts), plain, atol=1e-5)
+    monkeypatch.setattr(toxicity, "STRETCH", 17)  # no n-gram is lost or counted twice where a text is cut
+    assert np.allclose(model.score(texts), plain, atol=1e-5)
+
+
+def test_a_very_long_text_is_scored_whole():
+    weights = np.zeros(1 << toxicity.BITS, dtype=np.float32)
+    weights[toxicity.buckets_of("qqqq")] = 1
+    model = toxicity.Model(weights, 0.0)
+    text = "plain words " * 2_000_000
+    assert model.score([text + "qqqq"])[0] > model.score([text])[0]
 
 
 def test_pipeline_keeps_labelled_good_documents(spark):
