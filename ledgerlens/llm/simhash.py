@@ -292,25 +292,6 @@ def similar(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.mapInArrow(lean(run), "a long, b long")
 
 
-#: Columns of 64 one-bit minhashes each.
-SKETCH = ("m0", "m1")
-
-
-def _multipliers() -> np.ndarray:
-    """Odd factors, one for each minhash, from hashes of their numbers."""
-    return np.array([xxhash.xxh64_intdigest(str(i), 1) | 1 for i in range(64 * len(SKETCH))], dtype=np.uint64)
-
-
-def minhash_bits(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """One bit of each minhash of a set, as signed longs: two sets of similarity s differ in a share (1 - s) / 2 of the bits."""
-    least = np.full(len(factors), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(hashes), 4096):
-        least = np.minimum(least, (hashes[i : i + 4096, None] * factors[None, :]).min(axis=0))
-    # a middle bit of the mixed minimum, as low bits of a product are poor and high ones small
-    mixed = (least ^ (least >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.packbits((mixed >> np.uint64(33)).astype(np.uint8) & 1, bitorder="little").view("<i8")
-
-
 #: Bits of a set's parities.
 PARITIES = 2048
 
@@ -340,59 +321,60 @@ def possible(pairs: DataFrame, similarity: float) -> DataFrame:
 
 
 def sketched(docs: DataFrame, width: int, doc_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, fp, content, size, parities, m0, m1): a SimHash, a 128-bit hash, the size, parities and one-bit minhashes of the set of ``width``-word shingles."""
+    """(doc_id, fp, content, size, parities): a SimHash, a 128-bit hash, the size and parities of the set of ``width``-word shingles."""
     small_batches(docs.sparkSession)
 
     def run(batches):
-        factors = _multipliers()
         for batch in batches:
-            fps, contents, sizes, odd, bits = [], [], [], [], []
+            fps, contents, sizes, odd = [], [], [], []
             for t in batch.column(1).to_pylist():
                 hashes = shingle_set(t, width)
                 fps.append(simhash(hashes))
                 contents.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                 sizes.append(len(hashes))
                 odd.append(parities(hashes))
-                bits.append(minhash_bits(hashes, factors))
-            m = np.array(bits, dtype=np.int64).reshape(len(fps), len(SKETCH))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array(fps, pa.int64()), pa.array(contents, pa.binary()), pa.array(sizes, pa.int32()), pa.array(odd, pa.binary()),
-                    *(pa.array(m[:, i]) for i in range(len(SKETCH))),
-                ],
-                ["doc_id", "fp", "content", "size", "parities", *SKETCH],
+                [batch.column(0), pa.array(fps, pa.int64()), pa.array(contents, pa.binary()), pa.array(sizes, pa.int32()), pa.array(odd, pa.binary())],
+                ["doc_id", "fp", "content", "size", "parities"],
             )
 
     return docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.encode(text_or_empty(text_col), "UTF-8")).mapInArrow(
-        lean(run), "doc_id long, fp long, content binary, size int, parities binary, " + ", ".join(f"{c} long" for c in SKETCH)
+        lean(run), "doc_id long, fp long, content binary, size int, parities binary"
     )
 
 
-def sketch_bound(similarity: float, sigmas: float = 2.3) -> int:
-    """Bits in which sketches of sets of ``similarity`` differ at most, but for about one pair in a hundred."""
-    n, p = 64 * len(SKETCH), (1 - similarity) / 2
-    return int(n * p + sigmas * math.sqrt(n * p * (1 - p)))
-
+def central_spokes(live: DataFrame, distance: int, plan: list[tuple[int, list[int], int]]) -> DataFrame:
+    """(a_id, b_id): rows (fp, doc_id) linked to the most central of those that have the same value in a probed part, where that is near enough.
 
-def star_links(live: DataFrame, distance: int, most: int, parts: int = 4) -> DataFrame:
-    """(a_id, b_id): rows (fp, doc_id, sketch) linked to the smallest doc_id among those that share a part of the fingerprint.
-
-    One link for each row at most, to the smallest of those documents: it joins a dense group without listing its pairs.
+    Like ``spokes``, as many links as rows and parts at most; but as links are judged on whole sets
+    later, a hub must be like many of its group: it is the fingerprint next to the group's bitwise majority.
+    """
+    values = live.select("fp", "doc_id", F.explode(F.array(*[_values(i, m, b, 0)[0] for i, (m, b, _) in enumerate(plan)])).alias("k"))
+    values = values.select("fp", "doc_id", "k.i", "k.v")
+    ones = [F.sum(F.shiftright("fp", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(BITS)]
+    shared = values.groupBy("i", "v").agg(F.count("*").alias("n"), *ones).where("n > 1")
+    middle = F.lit(0).cast("long")
+    for b in range(BITS):
+        middle = middle.bitwiseOR(F.when(2 * F.col(f"b{b}") > F.col("n"), F.lit(mask_of([b]))).otherwise(F.lit(0)).cast("long"))
+    near = values.join(shared.select("i", "v", middle.alias("middle")), ["i", "v"])
+    hubs = near.groupBy("i", "v").agg(F.min(F.struct(_differ("fp", "middle").alias("away"), "doc_id", "fp")).alias("hub"))
+    hubs = hubs.select("i", "v", F.col("hub.doc_id").alias("a_id"), F.col("hub.fp").alias("hub"))
+    met = values.join(hubs, ["i", "v"]).where((F.col("doc_id") != F.col("a_id")) & (_differ("fp", "hub") <= distance))
+    return met.select("a_id", F.col("doc_id").alias("b_id")).distinct()
+
+
+def probed(leads: DataFrame, node: DataFrame, distance: int, plan: list[tuple[int, list[int], int]]) -> DataFrame:
+    """(a_id, b_id) of those ``leads`` (lead, fp) of different labels whose fingerprints differ in ``distance`` bits at most.
+
+    Each fingerprint is probed once, for the smallest document that has it; others of that
+    fingerprint are paired with this one.
     """
-    width = BITS // parts
-    own = [
-        F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(mask_of(list(range(i * width, (i + 1) * width))))).alias("v"))
-        for i in range(parts)
-    ]
-    values = live.select("fp", "doc_id", *SKETCH, F.explode(F.array(*own)).alias("k")).select("fp", "doc_id", *SKETCH, "k.i", "k.v")
-    center = (
-        values.groupBy("i", "v").agg(F.min(F.struct("doc_id", "fp", *SKETCH)).alias("c"), F.count("*").alias("n")).where("n > 1")
-    ).select(F.col("i").alias("c_i"), F.col("v").alias("c_v"), "c")
-    differ = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"c.{c}")))
-    met = (F.col("i") == F.col("c_i")) & (F.col("v") == F.col("c_v")) & (F.col("doc_id") != F.col("c.doc_id"))
-    met = met & (differ("fp") <= distance) & (sum((differ(c) for c in SKETCH), F.lit(0)) <= most)
-    met = values.join(center, met).select(F.col("c.doc_id").alias("a_id"), F.col("doc_id").alias("b_id"))
-    return met.groupBy("b_id").agg(F.min("a_id").alias("a_id")).select("a_id", "b_id")
+    labelled = leads.join(node, leads.lead == node.node).select("lead", "fp", "label")
+    first = labelled.groupBy("fp").agg(F.min(F.struct("lead", "label")).alias("first")).select("fp", "first.*")
+    of = lambda end: first.select(F.col("fp").alias(end), F.col("lead").alias(f"{end}_id"))
+    met = links(first.select("fp", "label"), distance, plan).join(of("a"), "a").join(of("b"), "b").select("a_id", "b_id")
+    same = labelled.join(first.select("fp", F.col("lead").alias("a_id"), F.col("label").alias("a_label")), "fp").where("label <> a_label")
+    return met.union(same.select("a_id", F.col("lead").alias("b_id")))
 
 
 #: Documents whose shingles are counted to tell common ones, and common shingles kept at most.
@@ -478,38 +460,50 @@ def prefix_links(texts: DataFrame, labels: DataFrame, width: int, similarity: fl
 
 
 def groups(
-    docs: DataFrame, doc_col="doc_id", text_col="text", width: int = 5, similarity: float = 0.8, distance: int = 10, stars: int = 2, key_col: str | None = None
+    docs: DataFrame,
+    doc_col="doc_id",
+    text_col="text",
+    width: int = 5,
+    similarity: float = 0.8,
+    distance: int = 10,
+    stars: int = 2,
+    key_col: str | None = None,
+    probe: int = 6,
 ) -> DataFrame:
     """(row_key, doc_id, group_id, kept) of every row: group_id is the smallest doc_id of its near duplicates.
 
     Rows are told apart by ``key_col``, a long that must not change when ``docs`` is read again, or
     by numbers of their own; the one with the smallest (doc_id, key) of a group is kept.
-    Documents of equal shingle sets are one node; equal fingerprints alone join nothing. Dense
-    groups are first joined by ``stars`` rounds of links to the smallest document that shares a
-    part of a fingerprint, within ``distance`` bits and with a close sketch; a member leaves the
-    later rounds, but not the join that follows: there all documents meet on the rare shingles of
-    their sets, which misses no pair, and only pairs already in one group are skipped. Parities
-    rule out pairs that can't be similar; every link is then verified on whole shingle sets.
+    Documents of equal shingle sets are one node; equal fingerprints alone join nothing. As in
+    ``near_duplicates`` a plan of the generalised pigeonhole cuts the fingerprints: dense groups are
+    first joined by ``stars`` rounds of links to the most central document of the same value in a
+    part, within ``distance`` bits (a member leaves the later of these rounds only), then probes
+    find all pairs of different groups within ``probe`` bits. As sets of ``similarity`` can differ in more
+    bits, an exact search follows: there all documents meet on the rare shingles of their sets,
+    which misses no pair, and only pairs already in one group are skipped. Parities rule out pairs
+    that can't be similar; every link is then verified on whole shingle sets.
 
     Null and empty texts, and texts without words, are one empty set; null ids come first; an
     empty table gives an empty result; other columns are not read.
     """
-    most = sketch_bound(similarity)
     if key_col is None:
         key_col = "row_key"
         docs = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias(key_col))
         docs, doc_col, text_col = materialize(docs, "simhash-rows"), "doc_id", "text"
     # from here on a row's key stands for its doc_id
     fps = materialize(sketched(docs, width, key_col, text_col), "simhash-fps")
-    first = F.min(F.struct("doc_id", "fp", *SKETCH)).alias("first")
-    lead = fps.groupBy("content").agg(first).select("content", F.col("first.doc_id").alias("lead"), "first.fp", *[f"first.{c}" for c in SKETCH])
+    first = F.min(F.struct("doc_id", "fp")).alias("first")
+    lead = fps.groupBy("content").agg(first).select("content", F.col("first.doc_id").alias("lead"), "first.fp")
     lead = materialize(lead, "simhash-leads")
+    plan = probe_plan(materialize(lead.select("fp").distinct(), "simhash-distinct"), probe)
     node = lead.select(F.col("lead").alias("node"), F.col("lead").alias("label"))
-    live = lead.select("fp", F.col("lead").alias("doc_id"), *SKETCH)
+    live = lead.select("fp", F.col("lead").alias("doc_id"))
     whole = docs.select(F.col(key_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    for step in range(stars + 1):
+    for step in range(stars + 2):
         if step < stars:
-            ends = materialize(star_links(live, distance, most), "simhash-ends")
+            ends = materialize(central_spokes(live, distance, plan), "simhash-ends")
+        elif step == stars:
+            ends = materialize(probed(lead.select("lead", "fp"), node, probe, plan), "simhash-ends")
         else:
             ends = prefix_links(whole, node.withColumnRenamed("node", "doc_id"), width, similarity)
         marks = lambda end: fps.select(F.col("doc_id").alias(f"{end}_id"), F.col("size").alias(f"n{end}"), F.col("parities").alias(f"p{end}"))
@@ -531,7 +525,7 @@ def groups(
             node.join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("label")), "simhash-groups"
         )
         gone = labels.where("node <> label").select(F.col("node").alias("doc_id"))
-        live = materialize(live.join(gone, "doc_id", "left_anti").select("fp", "doc_id", *SKETCH), "simhash-leads")
+        live = materialize(live.join(gone, "doc_id", "left_anti").select("fp", "doc_id"), "simhash-leads")
     of_content = lead.join(node, lead.lead == node.node).select("content", "label")
     rows = fps.select(F.col("doc_id").alias("row_key"), "content").join(of_content, "content").select("row_key", "label")
     ids = docs.select(F.col(key_col).cast("long").alias("row_key"), F.col(doc_col).cast("long").alias("doc_id"))

@@ -98,6 +98,43 @@ def test_parities_never_rule_out_a_similar_pair(spark):
     assert got >= {i for i, w in enumerate(want) if w} and 40 < len(got) < sum(want) + 60
 
 
+def joined_up(ids, pairs):
+    """Smallest id of each component."""
+    label = {i: i for i in ids}
+    for i, j in pairs:
+        old, new = max(label[i], label[j]), min(label[i], label[j])
+        label = {x: new if y == old else y for x, y in label.items()}
+    return label
+
+
+def test_probes_alone_find_every_similar_pair_within_their_bits(spark, monkeypatch):
+    """Without spokes and without the exact search: the pigeonhole's links, verified, and no others."""
+    rng, rows = random.Random(6), []
+    for i in range(60):
+        words = some_words(rng, 240)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed(rng, words, 1 + i % 5)))]
+    sets, fps = {i: sets_of(t) for i, t in rows}, {i: simhash.simhash(simhash.shingle_set(t.encode(), 5)) for i, t in rows}
+    near = lambda i, j: ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= 6 and jaccard(sets[i], sets[j]) >= 0.8
+    want = joined_up(sets, [(i, j) for i in sets for j in range(i) if near(i, j)])
+    assert 15 < sum(i != g for i, g in want.items()) < 60
+    monkeypatch.setattr(simhash, "prefix_links", lambda *_: spark.createDataFrame([], "a_id long, b_id long"))
+    monkeypatch.setattr(simhash, "discard", lambda _: None)
+    found = simhash.groups(spark.createDataFrame(rows, "doc_id long, text string"), stars=0)
+    assert {r.doc_id: r.group_id for r in found.collect()} == want
+
+
+def test_hub_of_a_dense_group_is_its_centre(spark):
+    rng = random.Random(7)
+    bits = [list(range(k, k + 16)) for k in (0, 16, 32, 48)]
+    centre = rng.getrandbits(63)
+    rows = [(i, centre ^ sum(1 << b for b in rng.sample(range(48, 63), 5))) for i in range(40) if i != 20] + [(20, centre)]
+    rows += [(100 + i, rng.getrandbits(63)) for i in range(40)]
+    plan = [(simhash.mask_of(b), b, 0) for b in bits]
+    got = simhash.central_spokes(spark.createDataFrame(rows, "doc_id long, fp long"), 5, plan).collect()
+    assert {(r.a_id, r.b_id) for r in got if r.a_id == 20} == {(20, i) for i in range(40) if i != 20}
+    assert len(got) <= 4 * len(rows)
+
+
 def test_recall_on_the_given_documents(spark):
     """Every document that comparing all sets removes is removed, and no other."""
     rows = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
