@@ -437,21 +437,23 @@ def prefixes(docs: DataFrame, width: int, similarity: float, common: np.ndarray,
 def prefix_links(texts: DataFrame, labels: DataFrame, width: int, similarity: float) -> DataFrame:
     """(a_id, b_id), written: all pairs of ``texts`` (doc_id, text) that can have ``similarity``, but those of equal ``labels`` (doc_id, label) or of none.
 
-    Exact: of two such sets the smaller has one of its first shingles, up to 2s / (1 + s) of it from
-    the end, among the larger one's first. What two sets with a shingle at these places share at most
-    is bounded by what stands before and after it.
+    Exact: two such sets have their first common shingle, in the order that all share, among the
+    first of both, and it suffices to find them there. They share it and what stands behind it at
+    most, 2s / (1 + s) of their mean size at least; and the shingles before it, of those that more
+    than one group has, differ.
     """
     common, counts = common_shingles(texts, width)
     rows = prefixes(texts, width, similarity, common, counts).join(labels, "doc_id")
     whole = Window.partitionBy("x")
     rows = rows.select("*", F.min("label").over(whole).alias("least"), F.max("label").over(whole).alias("most"))
-    rows = materialize(rows.where("least < most").drop("least", "most"), "simhash-prefixes")
-    a, b = (rows.select("x", *[F.col(c).alias(f"{end}_{c}") for c in ("doc_id", "at", "size", "label")]) for end in "ab")
+    rows = rows.where("least < most").select("*", F.lag("x").over(Window.partitionBy("doc_id").orderBy("at")).alias("before"))
+    rows = materialize(rows.drop("least", "most"), "simhash-prefixes")
+    a, b = (rows.select("x", *[F.col(c).alias(f"{end}_{c}") for c in ("doc_id", "at", "size", "label", "before")]) for end in "ab")
     share = similarity / (1 + similarity)
-    first = F.struct("a_size", "a_doc_id") < F.struct("b_size", "b_doc_id")
-    early = F.col("a_at") <= F.col("a_size") * (1 - 2 * share) + 1e-6
-    bound = F.least("a_at", "b_at") + F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
-    met = first & early & (F.col("a_label") != F.col("b_label")) & (bound >= share * (F.col("a_size") + F.col("b_size")) - 1e-6)
+    order = F.struct("a_size", "a_doc_id") < F.struct("b_size", "b_doc_id")
+    bound = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
+    first = ~F.coalesce(F.col("a_before") == F.col("b_before"), F.lit(False))
+    met = order & first & (F.col("a_label") != F.col("b_label")) & (bound >= share * (F.col("a_size") + F.col("b_size")) - 1e-6)
     pairs = a.join(b, (a.x == b.x) & met)
     ends = pairs.select(F.least("a_doc_id", "b_doc_id").alias("a_id"), F.greatest("a_doc_id", "b_doc_id").alias("b_id")).distinct()
     ends = materialize(ends, "simhash-ends")

@@ -135,6 +135,24 @@ def test_hub_of_a_dense_group_is_its_centre(spark):
     assert len(got) <= 4 * len(rows)
 
 
+def test_exact_search_lists_no_pair_that_shares_too_little_from_its_first_common_shingle(spark):
+    rng, words = random.Random(8), some_words(random.Random(9), 150)
+
+    def other(n):  # places of its own: copies are less like one another than like the text
+        ws = list(words)
+        for k in rng.sample(range(2, 29), n):
+            ws[5 * k] = f"x{rng.randrange(10**9)}"
+        return " ".join(ws)
+
+    rows = [(i, other(1 + i // 30 * 4)) for i in range(60)]  # 30 with one word replaced, 30 with five
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", F.col("doc_id").alias("label"))
+    got = {(r.a_id, r.b_id) for r in simhash.prefix_links(docs, labels, 5, 0.8).collect()}
+    sets = [sets_of(t) for _, t in rows]
+    assert got >= {(i, j) for j in range(60) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.8}
+    assert {x for pair in got for x in pair} == set(range(30))  # five words take 25 of 146 shingles, over (1 - s) / (1 + s) of them
+
+
 def test_recall_on_the_given_documents(spark):
     """Every document that comparing all sets removes is removed, and no other."""
     rows = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
