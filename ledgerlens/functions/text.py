@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,14 +24,16 @@ READER_STOP = (
     "then than so at by for in of on to with from up out into over after"
 ).split()
 WORD_CHARS = "0-9A-Za-z_àáâãéêíóôõúç"
+# The same one by one: Java looks characters of a class up in one table, but tries its ranges one after another.
+EACH_WORD_CHAR = string.digits + string.ascii_letters + WORD_CHARS[9:]
 SLUG = r"^[a-z0-9]+(-[a-z0-9]+)*$"
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of over two characters that are no stop words, in order."""
-    clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"[^{WORD_CHARS}\s]", " ")
     stop = list(dict.fromkeys(PT_STOP + EN_STOP))
-    return F.filter(F.split(clean, r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*stop))
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), rf"[^{EACH_WORD_CHAR}]+")
+    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*stop))
 
 
 def reader_tokens(text: Column) -> Column:

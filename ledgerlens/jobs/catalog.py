@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical, vectors
 from ..functions import text as T
-from ..operators import admission, blocks, chain, expansion, preconditions, projection, proposals, retrieval, similarity, state
+from ..operators import admission, blocks, chain, expansion, near_texts, preconditions, projection, proposals, retrieval, similarity, state
 from ..schema import matrix
 from ..sources import adapters, jsonl, markdown
 from ..sources.storage import scratch_path
@@ -565,8 +565,8 @@ e AS (SELECT rep, len(t) AS n, unnest(t) AS term FROM c),
 b AS (SELECT x.rep AS a, y.rep AS b, x.n AS n, y.n AS m, count(*) AS shared FROM e x JOIN e y ON x.term = y.term AND x.rep < y.rep AND x.n >= 0.8 * y.n AND y.n >= 0.8 * x.n GROUP BY ALL)
 SELECT a, b, round(shared / (n + m - shared), 9) AS similarity FROM b WHERE shared / (n + m - shared) >= 0.8""")
 def near_dup_pairs(spark, d):
-    classes, _ = similarity.token_sets(adapters.table(spark, d, "documents"), "doc_id", "text")
-    return similarity.similar_pairs(classes).withColumn("similarity", F.round("similarity", 9))
+    docs = adapters.table(spark, d, "documents").select(F.col("doc_id").alias("i"), "text")
+    return near_texts.near(docs, [])[0].select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
 @query(f"""s AS (SELECT doc_id, list_sort(list_distinct({_tok('text')})) AS t FROM documents)

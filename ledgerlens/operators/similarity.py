@@ -18,32 +18,6 @@ def token_sets(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
     return classes.select("rep", "terms"), members
 
 
-def similar_pairs(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(a, b, similarity) of classes whose token sets have a Jaccard similarity of ``threshold`` or more.
-
-    Two such sets share one of the first n - ceil(threshold n) + 1 tokens of each, tokens
-    ordered from rare to common; the join sees those alone.
-    """
-    classes = materialize(classes, "token-sets")
-    each = classes.select("rep", F.explode("terms").alias("term"))
-    rarity = each.groupBy("term").agg(F.count("*").alias("df"))
-    by_rarity = F.array_sort(F.collect_list(F.struct("df", "term")))
-    ordered = materialize(each.join(rarity, "term").groupBy("rep").agg(by_rarity.alias("t")).select("rep", F.col("t.term").alias("terms")), "ordered-sets")
-    n = F.size("terms")
-    keep = n - F.ceil(n * threshold - 1e-9) + 1
-    rare = ordered.select("rep", n.alias("n"), F.posexplode(F.slice("terms", F.lit(1), keep.cast("int"))).alias("at", "term"))
-    x, y = (rare.select("term", *[F.col(c).alias(f"{end}_{c}") for c in ("rep", "n", "at")]) for end in "xy")
-    near = (F.col("x_n") >= F.col("y_n") * threshold) & (F.col("y_n") >= F.col("x_n") * threshold)
-    # what two sets share at most, given a token at these places, and what they must share
-    most = F.least("x_at", "y_at") + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
-    enough = most >= (F.col("x_n") + F.col("y_n")) * (threshold / (1 + threshold)) - 1e-9
-    pairs = x.join(y, (x.term == y.term) & (F.col("x_rep") < F.col("y_rep")) & near & enough).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
-    left, right = (classes.select(F.col("rep").alias(end), F.col("terms").alias(f"t{end}")) for end in "ab")
-    both = F.size(F.array_intersect("ta", "tb"))
-    sim = both / (F.size("ta") + F.size("tb") - both)
-    return pairs.join(left, "a").join(right, "b").select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold)
-
-
 def named_sets(rows: DataFrame, by: list[str], terms: str = "terms") -> DataFrame:
     """``rows`` with ``name``, which rows of one group ``by`` have in common exactly if their sets of terms are equal."""
     return rows.withColumn("name", F.sha2(F.to_json(F.struct(*by, F.array_sort(F.array_distinct(terms)).alias("s"))), 256))
