@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
-from ..operators.similarity import alike, named_sets
+from ..operators import near_texts
 from ..sources.storage import materialize
 
 CLUSTER = "array<struct<slug:string,name:string,description:string,rationale:string,supporting_seqs:array<bigint>>>"
@@ -62,13 +61,9 @@ def survivors(candidates: DataFrame, threshold: float = 0.8) -> DataFrame:
     Texts without tokens resemble nothing. Of equal sets of tokens the first stands for all: whatever becomes of
     it, the others resemble an earlier survivor. Rounds then decide all whose earlier likenesses are decided.
     """
-    c = candidates.select("batch", "i", F.array_distinct(tokens(F.col("content"))).alias("terms")).where(F.size("terms") > 0)
-    rows = materialize(named_sets(c, ["batch"]), "candidate-sets")
-    sets = materialize(rows.groupBy("batch", "name").agg(F.min("i").alias("i"), F.first("terms").alias("terms")), "candidate-names")
-    first = sets.select("name", "batch", "i")
-    ends = alike(sets, ["batch"], threshold).join(first.withColumnsRenamed({"name": "a", "i": "i_a"}), "a").join(first.select(F.col("name").alias("b"), F.col("i").alias("i_b")), "b")
-    like = materialize(ends.select("batch", F.least("i_a", "i_b").alias("a_i"), F.greatest("i_a", "i_b").alias("b_i")), "candidate-likeness")
-    copies = rows.join(first.select("name", F.col("i").alias("first")), "name").where(F.col("i") > F.col("first")).select("batch", "i")
+    pairs, again = near_texts.near(candidates.select("batch", "i", F.col("content").alias("text")), ["batch"], threshold)
+    like = pairs.select("batch", F.col("a").alias("a_i"), F.col("b").alias("b_i"))
+    copies = again.where(F.col("i") > F.col("first")).select("batch", "i")
     # only candidates that some likeness touches wait for a decision
     open_ = materialize(like.select("batch", F.col("a_i").alias("i")).union(like.select("batch", "b_i")).distinct(), "candidate-open")
     dropped = None

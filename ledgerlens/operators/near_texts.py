@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..sources.storage import materialize, scratch_path
+from ..sources.storage import discard, materialize, scratch_path
 
 #: Groups for each that may differ, and equal ones that are asked for where there must be as many.
 SPARE, COMMON = 1.5, 5
@@ -47,7 +47,8 @@ def term_sets(texts: DataFrame, by: list[str]) -> DataFrame:
     """(.. by, i, terms, name) of ``texts`` (.. by, i, text): their set of tokens in order, and a name that equal sets of one group ``by`` have in common."""
     t = texts.select(*by, "i", F.sort_array(F.array_distinct(tokens(F.col("text")))).alias("terms"))
     parts = [F.to_json(F.struct(*by))] if by else []
-    return t.withColumn("name", F.unhex(F.sha2(F.concat_ws(" ", *parts, F.array_join("terms", " ")), 256)))
+    name = F.unhex(F.sha2(F.concat_ws(" ", *parts, F.array_join("terms", " ")), 256))
+    return t.withColumn("name", F.coalesce(name, F.lit(b"")))  # never null, which a join would make sure of by taking all texts apart once more
 
 
 def _few(keys: DataFrame) -> DataFrame:
@@ -221,7 +222,8 @@ def near(texts: DataFrame, by: list[str], threshold: float = 0.8) -> tuple[DataF
     """
     with cleaned(texts.sparkSession):
         coded = term_sets(texts, by).select(*by, "i", "name", F.transform("terms", lambda w: F.hash(w)).alias("codes"))
-        coded = materialize(coded.withColumn("id", F.monotonically_increasing_id()), "token-codes").where(F.size("codes") > 0)
+        written = materialize(coded.withColumn("id", F.monotonically_increasing_id()), "token-codes")
+        coded = written.where(F.size("codes") > 0)
         first = coded.groupBy("name").agg(F.min(F.struct("i", "id")).alias("first"), F.count("*").alias("n")).where("n > 1")
         again = coded.select(*by, "i", "name", "id").join(first.select("name", "first"), "name").where("id <> first.id")
         again = materialize(again.select(*by, "i", "id", F.col("first.i").alias("first")), "token-copies")
@@ -231,9 +233,11 @@ def near(texts: DataFrame, by: list[str], threshold: float = 0.8) -> tuple[DataF
         pairs = met_pairs(sets, weights, threshold)
         met = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-ids")
         met = materialize(coded.select("id", *by, "i", "name").join(_few(met), "id"), "near-names")
+        discard(written)
         own = term_sets(texts.join(_few(met.select("i").distinct()), "i", "left_semi"), by).groupBy("name").agg(F.first("terms").alias("terms"))
         terms = materialize(met.join(own, "name").select("id", "terms"), "near-terms")
         found = materialize(_verified(pairs, terms, threshold), "near-verified")
+        discard(terms)
         left, right = (met.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in [*by, "i"]]) for end in "ab")
         same = functools.reduce(lambda x, c: x & F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b")), by, F.lit(True))
         ends = [F.least("i_a", "i_b").alias("a"), F.greatest("i_a", "i_b").alias("b")]
