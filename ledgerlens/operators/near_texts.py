@@ -15,7 +15,6 @@ no pair is missed, and every pair that meets is verified on the tokens themselve
 from __future__ import annotations
 
 import functools
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..sources.storage import discard, materialize, scratch_path
+from ..sources.storage import cleaned, discard, materialize, scratch_path
 
 #: Groups for each that may differ, and equal ones that are asked for where there must be as many.
 SPARE, COMMON = 1.5, 5
@@ -31,18 +30,6 @@ SPARE, COMMON = 1.5, 5
 COUNTERS, ROWS, ROUND, TILE, BROADCAST_ROWS = 1 << 16, 1024, 4_000_000, 2048, 1_000_000
 
 
-@contextmanager
-def cleaned(spark):
-    """What a query shuffles goes when it ends; every intermediate table here is written, so nothing reads shuffles again."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def term_sets(texts: DataFrame, by: list[str]) -> DataFrame:
     """(.. by, i, terms, name) of ``texts`` (.. by, i, text): their set of tokens in order, and a name that equal sets of one group ``by`` have in common."""
     t = texts.select(*by, "i", F.sort_array(F.array_distinct(tokens(F.col("text")))).alias("terms"))
